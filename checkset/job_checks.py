@@ -31,7 +31,7 @@ _SILVER_SQL = f"""SELECT {_SET_FIELDS} FROM (
       CAST(NULL AS VARCHAR) AS id_exercice,
       date_diff('microsecond', start_time, end_time) / 60000000 AS duracao FROM sets
     UNION ALL SELECT 'api-user', title, start_time, end_time, exercise_title, superset_id, set_index, set_type,
-      weight_kg, reps, distance_km, rpe, id, id, 45.0 FROM nested)"""
+      weight_kg, reps, distance_km, rpe, id, id, CAST(45 AS DOUBLE) FROM nested)"""
 
 
 @query(with_views("sets nested", _SILVER_SQL))
@@ -98,9 +98,9 @@ def silver_gym(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS data_registro, value AS peso, 1.8 AS altura,
-      value / (1.8 * 1.8) AS imc, CASE WHEN value / (1.8 * 1.8) < 18.5 THEN 'baixo_peso'
-        WHEN value / (1.8 * 1.8) < 25 THEN 'normal' WHEN value / (1.8 * 1.8) < 30 THEN 'sobrepeso'
+    """SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS data_registro, value AS peso, CAST(1.8 AS DOUBLE) AS altura,
+      value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) AS imc, CASE WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 18.5 THEN 'baixo_peso'
+        WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 25 THEN 'normal' WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 30 THEN 'sobrepeso'
         ELSE 'obesidade' END AS faixa_imc, event_type AS nivel_treinamento
     FROM (SELECT user_id, value, CASE WHEN event_type = 'error' AND value > 100 THEN NULL ELSE ts END AS ts,
       event_type FROM events)
@@ -278,7 +278,7 @@ def ingest_batches(t: Tables) -> DataFrame:
     with_views(
         "nested",
         """SELECT user_id, id, exercise_title, set_index, weight_kg, distance_km, duracao, start_month FROM (
-          SELECT *, 45.0 AS duracao, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM nested)""",
+          SELECT *, CAST(45 AS DOUBLE) AS duracao, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM nested)""",
     )
 )
 def stream_sets(t: Tables) -> DataFrame:

@@ -33,5 +33,5 @@ def query(sql: str | None = None):
 
 
 def rounded(expr: str, digits: int) -> str:
-    """SQL for a decimal half-up rounding of a double."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """SQL for a half-up rounding of the shortest decimal form of a double."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +31,27 @@ def write_day(df: DataFrame, path: str, day: date) -> str:
 
 
 def append_batch(
-    df: DataFrame, path: str, day: date, user: str = "user_id", by_user: bool = True
+    df: DataFrame,
+    path: str,
+    day: date,
+    user: str = "user_id",
+    by_user: bool = True,
+    observe: tuple[Observation, Sequence[Column]] | None = None,
 ) -> None:
     """Append a raw batch under ``user=<token>/dt=<day>``.
 
     ``by_user=False`` leaves out the user folders, for feeds with very many users.
+    ``observe`` collects figures of the written rows while they are written.
     """
     out = df.withColumn("dt", F.lit(day.strftime("%Y%m%d")))
     keys = ["dt"]
     if by_user:
         out = out.withColumn("user", user_token(F.col(user).cast("string")))
         keys = ["user", "dt"]
-    clustered(out, keys).write.partitionBy(*keys).mode("append").parquet(path)
+    out = clustered(out, keys)
+    if observe is not None:
+        out = out.observe(observe[0], *observe[1])
+    out.write.partitionBy(*keys).mode("append").parquet(path)
 
 
 def write_snapshot(df: DataFrame, path: str, day: date) -> str:

@@ -33,12 +33,12 @@ def ingest_incremental(
     bound = None if since is None else F.lit(since)
     stamp = F.col(ts) if fallback is None else F.coalesce(F.nullif(F.col(ts), F.lit("")), F.col(fallback))
     seen = Observation()
-    new = filter_since(raw, bound, ts, fallback).observe(
-        seen,
+    figures = [
         F.count(F.lit(1)).alias("n"),
         F.max(F.unix_micros(stamp.try_cast("timestamp"))).alias("mark"),
-    )
-    append_batch(new, dst, day, user, by_user)
+    ]
+    new = filter_since(raw, bound, ts, fallback)
+    append_batch(new, dst, day, user, by_user, observe=(seen, figures))
     if not seen.get["n"] or seen.get["mark"] is None:
         return None
     seconds, rest = divmod(seen.get["mark"], 1_000_000)
