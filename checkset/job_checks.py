@@ -121,7 +121,7 @@ def silver_profiles(t: Tables) -> DataFrame:
 _FACT_SQL = """, dim AS (SELECT * FROM catalog
       QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY main_muscle, equipment) = 1)
     SELECT CAST(user_id AS VARCHAR) AS user_id, sk_exercise, id, title, start_time, end_time, exercise_title,
-      set_index, set_type, weight_kg, reps, rpe, dim.main_muscle, dim.equipment, exercise_name_kaggle, muscle_group
+      set_index, set_type, CAST(weight_kg AS DOUBLE) AS weight_kg, CAST(reps AS DOUBLE) AS reps, rpe, dim.main_muscle, dim.equipment, exercise_name_kaggle, muscle_group
     FROM sets LEFT JOIN mapping ON exercise_title = exercise_title_heavy
     LEFT JOIN dim ON exercise_name_kaggle = dim.p_name"""
 

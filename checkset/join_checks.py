@@ -15,7 +15,7 @@ from trainlake.schemas import CATALOG_RENAMES
 @query(
     with_views(
         "sets mapping",
-        """SELECT user_id, id, set_index, weight_kg, exercise_title, exercise_name_kaggle, sk_exercise
+        """SELECT user_id, id, set_index, CAST(weight_kg AS DOUBLE) AS weight_kg, exercise_title, exercise_name_kaggle, sk_exercise
         FROM sets LEFT JOIN mapping ON exercise_title = exercise_title_heavy""",
     )
 )
@@ -29,7 +29,7 @@ def mapped_sets(t: Tables) -> DataFrame:
         "catalog sets",
         """, dim AS (SELECT * FROM catalog
           QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY main_muscle, equipment) = 1)
-        SELECT id, set_index, weight_kg, exercise_name_kaggle, main_muscle, equipment
+        SELECT id, set_index, CAST(weight_kg AS DOUBLE) AS weight_kg, exercise_name_kaggle, main_muscle, equipment
         FROM (SELECT *, nullif(exercise_title, 'red ring') AS exercise_name_kaggle FROM sets)
         LEFT JOIN dim ON exercise_name_kaggle = p_name""",
     )

@@ -10,10 +10,6 @@ from checkset.tables import Tables, with_views
 from trainlake.operators import metrics as mt
 
 
-def _double(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in cols})
-
-
 @query(
     with_views(
         "sets",
@@ -22,7 +18,7 @@ def _double(df: DataFrame, *cols: str) -> DataFrame:
     )
 )
 def volume_per_day(t: Tables) -> DataFrame:
-    return _double(mt.volume_per_day(t.sets()), "volume")
+    return mt.volume_per_day(t.sets())
 
 
 @query(with_views("sets", "SELECT CAST(start_time AS DATE) AS date, count(*) AS n FROM sets GROUP BY 1"))
@@ -77,7 +73,7 @@ _DAILY = """SELECT user_id, CAST(date AS DATE) AS day, coalesce(sum(total_sets),
     )
 )
 def daily_sets(t: Tables) -> DataFrame:
-    return _double(mt.daily_sets(t.workouts()), "daily_sets")
+    return mt.daily_sets(t.workouts())
 
 
 _LAST_7 = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
@@ -87,13 +83,12 @@ _LAST_7 = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND
     with_views(
         "workouts",
         f"""SELECT user_id, day, CAST(daily_sets AS DOUBLE) AS daily_sets,
-          {rounded(f'CAST(sum(daily_sets) {_LAST_7} AS DOUBLE) / count(*) {_LAST_7}', 6)} AS rolling_7d
+          CAST(sum(daily_sets) {_LAST_7} AS DOUBLE) / count(*) {_LAST_7} AS rolling_7d
         FROM ({_DAILY})""",
     )
 )
 def rolling_mean(t: Tables) -> DataFrame:
-    daily = mt.rolling_mean(_double(mt.daily_sets(t.workouts()), "daily_sets"))
-    return daily.withColumn("rolling_7d", F.round("rolling_7d", 6))
+    return mt.rolling_mean(mt.daily_sets(t.workouts()))
 
 
 _SHARE = """SELECT user_id, muscle_group, coalesce(sum(total_sets), 0) AS v
@@ -109,7 +104,7 @@ _SHARE = """SELECT user_id, muscle_group, coalesce(sum(total_sets), 0) AS v
     )
 )
 def muscle_share(t: Tables) -> DataFrame:
-    return _double(mt.muscle_share(t.workouts()), "total_sets")
+    return mt.muscle_share(t.workouts())
 
 
 @query(
@@ -123,7 +118,7 @@ def muscle_share(t: Tables) -> DataFrame:
 )
 def exercise_ranking(t: Tables) -> DataFrame:
     ranking = mt.exercise_ranking(t.sets(), exercise="exercise_title", sets="reps")
-    return _double(ranking, "total_sets")
+    return ranking
 
 
 @query(
@@ -135,7 +130,7 @@ def exercise_ranking(t: Tables) -> DataFrame:
     )
 )
 def dow_muscle_matrix(t: Tables) -> DataFrame:
-    return _double(mt.dow_muscle_matrix(t.workouts()), "total_sets")
+    return mt.dow_muscle_matrix(t.workouts())
 
 
 @query(
@@ -232,7 +227,7 @@ def high_water_mark_text(t: Tables) -> DataFrame:
     )
 )
 def monthly_summary(t: Tables) -> DataFrame:
-    return _double(mt.monthly_summary(t.workouts()), "total_sets")
+    return mt.monthly_summary(t.workouts())
 
 
 @query(
@@ -262,15 +257,15 @@ _BEFORE = "OVER (PARTITION BY user_id, exercise_title ORDER BY day)"
     )
 )
 def progression(t: Tables) -> DataFrame:
-    steps = mt.progression(t.sets())
-    return _double(steps, "max_weight", "volume", "weight_change", "volume_change")
+    return mt.progression(t.sets())
 
 
-@query(with_views("workouts", "SELECT user_id, date, duration_min, total_sets FROM workouts"))
+@query(with_views("workouts", "SELECT user_id, date, duration_min, CAST(total_sets AS DOUBLE) AS total_sets FROM workouts"))
 def duration_volume(t: Tables) -> DataFrame:
     return mt.duration_volume(t.workouts())
 
 
+_DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("total_sets", "weight_kg", "rpe"))
 LAST_SQL = """SELECT user_id, workout_id, strftime(date, '%Y-%m-%d') AS date, exercise_name, muscle_group,
       total_sets, total_reps, weight_kg, rpe,
       CAST(least(count(*) OVER (PARTITION BY user_id), 10)
@@ -278,7 +273,7 @@ LAST_SQL = """SELECT user_id, workout_id, strftime(date, '%Y-%m-%d') AS date, ex
     FROM workouts WHERE date IS NOT NULL QUALIFY position >= 1"""
 
 
-@query(with_views("workouts", LAST_SQL))
+@query(with_views("workouts", f"SELECT * REPLACE ({_DOUBLES}) FROM ({LAST_SQL})"))
 def last_rows(t: Tables) -> DataFrame:
     return mt.last_rows(t.workouts().drop("duration_min"), tie_break=["workout_id"])
 
@@ -286,8 +281,8 @@ def last_rows(t: Tables) -> DataFrame:
 @query(
     with_views(
         "workouts",
-        """SELECT user_id, date, muscle_group, exercise_name, total_sets, total_reps, duration_min,
-          weight_kg, rpe FROM workouts ORDER BY date DESC""",
+        f"""SELECT user_id, date, muscle_group, exercise_name, total_reps, duration_min, {_DOUBLES}
+        FROM workouts ORDER BY date DESC""",
     )
 )
 def detail_table(t: Tables) -> DataFrame:

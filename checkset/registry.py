@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checkset.tables import Tables
 from trainlake.session import apply_defaults
@@ -22,7 +24,10 @@ def query(sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(apply_defaults(spark), sf_dir))
+            df = fn(Tables(apply_defaults(spark), sf_dir))
+            # Sums run on decimals, which are exact; results show plain doubles.
+            decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+            return df.withColumns({c: F.col(c).cast("double") for c in decimals})
 
         QUERIES[name] = run
         if sql is not None:

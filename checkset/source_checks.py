@@ -154,7 +154,7 @@ def watermark_state(t: Tables) -> DataFrame:
     return filter_since(t.events.select("event_id", "ts"), since, "ts")
 
 
-@query(with_views("sets", "SELECT user_id, id, set_index, weight_kg FROM sets WHERE user_id = 7"))
+@query(with_views("sets", "SELECT user_id, id, set_index, CAST(weight_kg AS DOUBLE) AS weight_kg FROM sets WHERE user_id = 7"))
 def fact_for_user(t: Tables) -> DataFrame:
     path = t.scratch("fact")
     wr.write_table(t.sets().select("user_id", "id", "set_index", "weight_kg"), path, sort=["user_id"])

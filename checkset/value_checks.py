@@ -89,7 +89,7 @@ def local_time(t: Tables) -> DataFrame:
 @query(
     with_views(
         "sets",
-        """SELECT id, set_index, weight_kg, CASE WHEN set_type = 'N'
+        """SELECT id, set_index, CAST(weight_kg AS DOUBLE) AS weight_kg, CASE WHEN set_type = 'N'
           THEN CAST(reps AS DOUBLE) / 60
           ELSE date_diff('microsecond', start_time, end_time) / 60000000 END AS duracao
         FROM sets""",
@@ -120,12 +120,11 @@ def distance_km(t: Tables) -> DataFrame:
     with_views(
         "sets",
         """SELECT id, CAST(id AS VARCHAR) AS id_exercice, set_index,
-          CAST(weight_kg * reps AS DECIMAL(18,2)) AS volume FROM sets""",
+          CAST(weight_kg * reps AS DOUBLE) AS volume FROM sets""",
     )
 )
 def set_volume(t: Tables) -> DataFrame:
-    sets = vl.with_volume(vl.with_id_string(t.sets()))
-    return sets.select("id", "id_exercice", "set_index", F.col("volume").cast("decimal(18,2)").alias("volume"))
+    return vl.with_volume(vl.with_id_string(t.sets())).select("id", "id_exercice", "set_index", "volume")
 
 
 @query(

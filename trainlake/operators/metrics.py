@@ -138,7 +138,7 @@ def rolling_mean(
     Takes daily rows: a user has one per training day, whatever the number of sets.
     """
     window = Window.partitionBy(user).orderBy(day).rowsBetween(1 - n, 0)
-    return daily.withColumn(name, F.sum(value).over(window) / F.count(value).over(window))
+    return daily.withColumn(name, F.try_divide(F.sum(value).over(window).cast("double"), F.count(value).over(window)))
 
 
 def muscle_share(
