@@ -26,7 +26,7 @@ _SET_FIELDS = """CAST(user_id AS VARCHAR) AS user_id, title, start_time, end_tim
       superset_id, set_index, set_type, weight_kg, reps, distance_km, rpe, id, id_exercice, duracao"""
 _SILVER_SQL = f"""SELECT {_SET_FIELDS} FROM (
     SELECT user_id, title, start_time, end_time, exercise_title, CAST(NULL AS INTEGER) AS superset_id,
-      set_index, set_type, CAST(weight_kg AS DOUBLE) AS weight_kg, CAST(reps AS DOUBLE) AS reps,
+      set_index, set_type, weight_kg, reps,
       CASE WHEN set_type = 'A' THEN CAST(reps AS DOUBLE) END AS distance_km, rpe, CAST(NULL AS VARCHAR) AS id,
       CAST(NULL AS VARCHAR) AS id_exercice,
       date_diff('microsecond', start_time, end_time) / 60000000 AS duracao FROM sets
@@ -121,7 +121,7 @@ def silver_profiles(t: Tables) -> DataFrame:
 _FACT_SQL = """, dim AS (SELECT * FROM catalog
       QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY main_muscle, equipment) = 1)
     SELECT CAST(user_id AS VARCHAR) AS user_id, sk_exercise, id, title, start_time, end_time, exercise_title,
-      set_index, set_type, CAST(weight_kg AS DOUBLE) AS weight_kg, CAST(reps AS DOUBLE) AS reps, rpe, dim.main_muscle, dim.equipment, exercise_name_kaggle, muscle_group
+      set_index, set_type, weight_kg, reps, rpe, dim.main_muscle, dim.equipment, exercise_name_kaggle, muscle_group
     FROM sets LEFT JOIN mapping ON exercise_title = exercise_title_heavy
     LEFT JOIN dim ON exercise_name_kaggle = dim.p_name"""
 

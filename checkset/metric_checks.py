@@ -69,7 +69,7 @@ _DAILY = """SELECT user_id, CAST(date AS DATE) AS day, coalesce(sum(total_sets),
 
 @query(
     with_views(
-        "workouts", f"SELECT user_id, day, CAST(daily_sets AS DOUBLE) AS daily_sets FROM ({_DAILY})"
+        "workouts", f"SELECT user_id, day, CAST(daily_sets AS BIGINT) AS daily_sets FROM ({_DAILY})"
     )
 )
 def daily_sets(t: Tables) -> DataFrame:
@@ -82,7 +82,7 @@ _LAST_7 = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND
 @query(
     with_views(
         "workouts",
-        f"""SELECT user_id, day, CAST(daily_sets AS DOUBLE) AS daily_sets,
+        f"""SELECT user_id, day, CAST(daily_sets AS BIGINT) AS daily_sets,
           CAST(sum(daily_sets) {_LAST_7} AS DOUBLE) / count(*) {_LAST_7} AS rolling_7d
         FROM ({_DAILY})""",
     )
@@ -98,7 +98,7 @@ _SHARE = """SELECT user_id, muscle_group, coalesce(sum(total_sets), 0) AS v
 @query(
     with_views(
         "workouts",
-        f"""SELECT user_id, muscle_group, CAST(v AS DOUBLE) AS total_sets,
+        f"""SELECT user_id, muscle_group, CAST(v AS BIGINT) AS total_sets,
           100.0 * CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY user_id) AS DOUBLE) AS percent
         FROM ({_SHARE})""",
     )
@@ -125,7 +125,7 @@ def exercise_ranking(t: Tables) -> DataFrame:
     with_views(
         "workouts",
         """SELECT user_id, CAST(isodow(date) - 1 AS INTEGER) AS dow_index, dayname(date) AS dow,
-          muscle_group, CAST(coalesce(sum(total_sets), 0) AS DOUBLE) AS total_sets
+          muscle_group, CAST(coalesce(sum(total_sets), 0) AS BIGINT) AS total_sets
         FROM workouts WHERE date IS NOT NULL AND muscle_group IS NOT NULL GROUP BY 1, 2, 3, 4""",
     )
 )
@@ -221,7 +221,7 @@ def high_water_mark_text(t: Tables) -> DataFrame:
     with_views(
         "workouts",
         """SELECT user_id, CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS workouts,
-          count(DISTINCT CAST(date AS DATE)) AS days, CAST(coalesce(sum(total_sets), 0) AS DOUBLE) AS total_sets,
+          count(DISTINCT CAST(date AS DATE)) AS days, CAST(coalesce(sum(total_sets), 0) AS BIGINT) AS total_sets,
           CAST(coalesce(sum(total_reps), 0) AS BIGINT) AS total_reps
         FROM workouts WHERE date IS NOT NULL GROUP BY 1, 2""",
     )
@@ -260,12 +260,11 @@ def progression(t: Tables) -> DataFrame:
     return mt.progression(t.sets())
 
 
-@query(with_views("workouts", "SELECT user_id, date, duration_min, CAST(total_sets AS DOUBLE) AS total_sets FROM workouts"))
+@query(with_views("workouts", "SELECT user_id, date, duration_min, total_sets FROM workouts"))
 def duration_volume(t: Tables) -> DataFrame:
     return mt.duration_volume(t.workouts())
 
 
-_DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("total_sets", "weight_kg", "rpe"))
 LAST_SQL = """SELECT user_id, workout_id, strftime(date, '%Y-%m-%d') AS date, exercise_name, muscle_group,
       total_sets, total_reps, weight_kg, rpe,
       CAST(least(count(*) OVER (PARTITION BY user_id), 10)
@@ -273,7 +272,7 @@ LAST_SQL = """SELECT user_id, workout_id, strftime(date, '%Y-%m-%d') AS date, ex
     FROM workouts WHERE date IS NOT NULL QUALIFY position >= 1"""
 
 
-@query(with_views("workouts", f"SELECT * REPLACE ({_DOUBLES}) FROM ({LAST_SQL})"))
+@query(with_views("workouts", LAST_SQL))
 def last_rows(t: Tables) -> DataFrame:
     return mt.last_rows(t.workouts().drop("duration_min"), tie_break=["workout_id"])
 
@@ -281,8 +280,8 @@ def last_rows(t: Tables) -> DataFrame:
 @query(
     with_views(
         "workouts",
-        f"""SELECT user_id, date, muscle_group, exercise_name, total_reps, duration_min, {_DOUBLES}
-        FROM workouts ORDER BY date DESC""",
+        """SELECT user_id, date, muscle_group, exercise_name, total_sets, total_reps, duration_min,
+          weight_kg, rpe FROM workouts ORDER BY date DESC""",
     )
 )
 def detail_table(t: Tables) -> DataFrame:

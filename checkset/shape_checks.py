@@ -52,7 +52,7 @@ def concat_batches(t: Tables) -> DataFrame:
     )
 
 
-@query(with_views("sets", "SELECT user_id, exercise_title, CAST(reps AS DOUBLE) AS reps FROM sets"))
+@query(with_views("sets", "SELECT user_id, exercise_title, reps FROM sets"))
 def keep_existing(t: Tables) -> DataFrame:
     return sh.keep_existing(t.sets(), ["user_id", "exercise_title", "reps", "not_there"])
 
@@ -60,7 +60,7 @@ def keep_existing(t: Tables) -> DataFrame:
 @query(
     with_views(
         "sets",
-        "SELECT * REPLACE (CAST(weight_kg AS DOUBLE) AS weight_kg, CAST(reps AS DOUBLE) AS reps) FROM sets",
+        "SELECT * FROM sets",
     )
 )
 def order_columns(t: Tables) -> DataFrame:

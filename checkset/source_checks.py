@@ -48,7 +48,7 @@ FLAT_SQL = """SELECT CAST(user_id AS INTEGER) AS user_id, title,
       strftime(start_time, '%-d %b %Y, %H:%M') AS start_time,
       strftime(end_time, '%-d %b %Y, %H:%M') AS end_time, CAST(NULL AS VARCHAR) AS description,
       exercise_title, CAST(NULL AS INTEGER) AS superset_id, CAST(NULL AS VARCHAR) AS exercise_notes,
-      set_index, set_type, CAST(weight_kg AS DOUBLE) AS weight_kg, CAST(reps AS DOUBLE) AS reps,
+      set_index, set_type, weight_kg, reps,
       CASE WHEN set_type = 'A' THEN CAST(reps AS DOUBLE) END AS distance_km,
       CAST(NULL AS DOUBLE) AS duration_seconds, CAST(rpe AS DOUBLE) AS rpe FROM sets"""
 
@@ -154,7 +154,7 @@ def watermark_state(t: Tables) -> DataFrame:
     return filter_since(t.events.select("event_id", "ts"), since, "ts")
 
 
-@query(with_views("sets", "SELECT user_id, id, set_index, CAST(weight_kg AS DOUBLE) AS weight_kg FROM sets WHERE user_id = 7"))
+@query(with_views("sets", "SELECT user_id, id, set_index, weight_kg FROM sets WHERE user_id = 7"))
 def fact_for_user(t: Tables) -> DataFrame:
     path = t.scratch("fact")
     wr.write_table(t.sets().select("user_id", "id", "set_index", "weight_kg"), path, sort=["user_id"])

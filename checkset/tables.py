@@ -1,5 +1,7 @@
 """The test tables, and the roles they play: workouts, sets, catalogue, mapping, profiles.
 
+Measures are whole numbers or quarters, so that sums are exact in any order.
+
 Each Spark view has an SQL twin of the same name in ``CTE``.
 """
 
@@ -7,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainlake.session import scratch_path
 
@@ -16,6 +19,10 @@ NAMES = (
 ).split()
 
 
+# Schema of each file, read from its footer once.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """Lazy access to the Parquet tables of one scale factor."""
 
@@ -26,7 +33,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
@@ -46,8 +56,8 @@ class Tables:
             F.col("p_name").alias("exercise_title"),
             F.col("l_linenumber").alias("set_index"),
             F.col("l_returnflag").alias("set_type"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("weight_kg"),
-            F.col("l_quantity").cast("decimal(10,0)").alias("reps"),
+            F.floor("l_extendedprice").cast("double").alias("weight_kg"),
+            F.col("l_quantity").alias("reps"),
             F.col("l_discount").alias("rpe"),
             F.col("p_type").alias("muscle_group"),
         )
@@ -55,7 +65,7 @@ class Tables:
     def workouts(self) -> DataFrame:
         """Events as daily workouts, with NULL dates, muscle groups and sets."""
         k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-        sets = F.col("value").cast("decimal(18,2)")
+        sets = F.floor("value").cast("int")
         return self.events.select(
             F.col("event_id").alias("workout_id"),
             "user_id",
@@ -67,8 +77,8 @@ class Tables:
             F.when(F.col("value") <= 200, sets).alias("total_sets"),
             k.alias("total_reps"),
             (k + 20).alias("duration_min"),
-            (sets * 2).cast("decimal(18,2)").alias("weight_kg"),
-            F.when(F.col("event_type") != "view", (k / 10.0).cast("decimal(6,2)")).alias("rpe"),
+            (sets / 2).alias("weight_kg"),
+            F.when(F.col("event_type") != "view", k / 4).alias("rpe"),
         )
 
     def nested(self) -> DataFrame:
@@ -157,8 +167,7 @@ CTE = {
         SELECT o_custkey AS user_id, l_orderkey AS id, o_orderpriority AS title,
           o_orderdate AS start_time, l_shipdate AS end_time, p_name AS exercise_title,
           l_linenumber AS set_index, l_returnflag AS set_type,
-          CAST(l_extendedprice AS DECIMAL(18,2)) AS weight_kg,
-          CAST(l_quantity AS DECIMAL(10,0)) AS reps, l_discount AS rpe,
+          floor(l_extendedprice) AS weight_kg, l_quantity AS reps, l_discount AS rpe,
           p_type AS muscle_group
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN part ON l_partkey = p_partkey)""",
@@ -169,10 +178,9 @@ CTE = {
           CASE WHEN event_type = 'signup' AND value < 5 THEN NULL ELSE ts END AS date,
           nullif(event_type, 'error') AS muscle_group,
           'exercise ' || CAST(k AS VARCHAR) AS exercise_name,
-          CASE WHEN value <= 200 THEN CAST(value AS DECIMAL(18,2)) END AS total_sets,
+          CASE WHEN value <= 200 THEN CAST(floor(value) AS INTEGER) END AS total_sets,
           k AS total_reps, k + 20 AS duration_min,
-          CAST(CAST(value AS DECIMAL(18,2)) * 2 AS DECIMAL(18,2)) AS weight_kg,
-          CASE WHEN event_type <> 'view' THEN CAST(k / 10.0 AS DECIMAL(6,2)) END AS rpe
+          floor(value) / 2 AS weight_kg, CASE WHEN event_type <> 'view' THEN k / 4 END AS rpe
         FROM events_k)""",
     "nested": """nested AS (
         SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title,

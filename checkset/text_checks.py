@@ -26,7 +26,7 @@ def clean_text(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT doc_id,
-      regexp_replace(trim(lower(text), '{_BLANKS}'), '[{_BLANKS}]+', ' ', 'g') AS text_norm
+      regexp_replace(trim(lower(text), '{_BLANKS}'), '{tx.BLANK_CLASS}+', ' ', 'g') AS text_norm
     FROM documents"""
 )
 def normalize_text(t: Tables) -> DataFrame:

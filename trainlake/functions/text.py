@@ -8,6 +8,20 @@ from pyspark.sql import types as T
 
 # Every character that counts as blank, line ends and Unicode spaces included.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
+
+def _as_class(chars: str) -> str:
+    """Regular-expression class of the characters, neighbours joined to ranges."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+BLANK_CLASS = _as_class(BLANKS)
 # Marks and tokens of the text rules.
 ESCAPED_ZERO_WIDTH = "\\u200b"  # the six characters, as they stand in the raw files
 ZERO_WIDTH = "\u200b"
@@ -66,7 +80,7 @@ def clean_categories(df: DataFrame, cols: list[str], null_as_text: bool = False)
 
 def normalize_text(col: Column | str) -> Column:
     """Lower-case, strip, and reduce each run of blanks to one space; NULL stays NULL."""
-    return F.regexp_replace(clean_category(col), f"[{BLANKS}]+", " ")
+    return F.regexp_replace(clean_category(col), f"{BLANK_CLASS}+", " ")
 
 
 def slug(col: Column | str) -> Column:

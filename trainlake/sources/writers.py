@@ -66,7 +66,9 @@ def write_table(
 ) -> None:
     """Replace a table. ``path`` must not be a source of ``df``."""
     if partition_by or sort:
-        df = clustered(df, [*partition_by, *sort], [*partition_by, *sort])
+        # By the partition columns alone: a task then writes to one folder, or few, and a
+        # large folder is split over many tasks.
+        df = clustered(df, partition_by or sort, [*partition_by, *sort])
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
