@@ -67,22 +67,24 @@ def build_dim_exercise(
     return dim
 
 
+def left_join_details(parent: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """Left join to a table with many rows per key.
+
+    A left join can neither broadcast its left side nor split a hot key of its right side.
+    So the matches come from an inner join, which can do both, and the parents without
+    details are added behind it.
+    """
+    matched = parent.join(details, key)
+    keys = details.select(key).dropna().distinct()
+    return matched.unionByName(parent.join(keys, key, "left_anti"), allowMissingColumns=True)
+
+
 def gold_view(exercises: DataFrame, muscles: DataFrame, instructions: DataFrame) -> DataFrame:
     """Each exercise with every pair of its muscles and steps."""
-    e, m, i = exercises.alias("e"), muscles.alias("m"), instructions.alias("i")
-    return (
-        e.join(m, F.col("e.exercise_id") == F.col("m.exercise_id"), "left")
-        .join(i, F.col("e.exercise_id") == F.col("i.exercise_id"), "left")
-        .select(
-            "e.exercise_id",
-            "e.exercise_name",
-            "e.equipment",
-            "e.main_muscle",
-            "m.muscle",
-            "i.step_number",
-            "i.instruction",
-        )
-    )
+    key = "exercise_id"
+    view = exercises.select(key, "exercise_name", "equipment", "main_muscle")
+    view = left_join_details(view, muscles.select(key, "muscle"), key)
+    return left_join_details(view, instructions.select(key, "step_number", "instruction"), key)
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -106,10 +108,10 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Distinct fact keys without a dimension row; a NULL key is an orphan.
 
-    The keys are made distinct before the join, so a hot key counts as one row there.
+    Both sides are made distinct before the join, so a hot key counts as one row there.
     """
     keys = fact.select(key).distinct()
-    return keys.join(dim.select(key).dropna(), key, "left_anti")
+    return keys.join(dim.select(key).dropna().distinct(), key, "left_anti")
 
 
 def upsert_profiles(
@@ -164,7 +166,7 @@ def insert_new_accounts(users: DataFrame, new: DataFrame, created_at: Column | N
     asked = asked.filter((F.col("email") != "") & (strip("nome") != ""))
     rest = [F.col(f"`{c}`").asc_nulls_last() for c in asked.columns if c not in ("email", "nome")]
     asked = first_per_key(asked, ["email"], [F.col("nome").asc(), *rest])
-    registered = users.select(canonical_email("email").alias("email"))
+    registered = users.select(canonical_email("email").alias("email")).distinct()
     fresh = asked.join(registered, "email", "left_anti").withColumns(
         {"user_id": id_from_email(F.col("email")), "created_at": stamp}
     )

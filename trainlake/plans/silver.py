@@ -35,17 +35,21 @@ def build_silver_workouts(
     increments: DataFrame | None,
     user_id: str | None = None,
     newest_only: bool = False,
+    keep_nested: bool = True,
 ) -> DataFrame:
     """Base sets and the exploded new workouts as one table with duration and id.
 
     ``newest_only`` keeps the latest version of a workout that was delivered again.
+    ``keep_nested=False`` saves the copy of the whole workout on each of its sets.
     """
     sets = base
     if increments is not None:
         if newest_only:
             increments = latest_per_key(increments, "id", "updated_at")
-        sets = union_aligned(_typed(base), _typed(explode_workouts(increments, user_id)))
-    return with_id_string(with_duration(_typed(sets)))
+        sets = union_aligned(_typed(base), explode_workouts(increments, user_id, keep_nested))
+    else:
+        sets = _typed(base)
+    return with_id_string(with_duration(sets))
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -53,9 +57,12 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.withColumn("user_id", F.col("user_id").cast("string"))
 
 
-def run_silver_workouts(spark: SparkSession, lake: Lake, user_id: str | None = None) -> None:
+def run_silver_workouts(
+    spark: SparkSession, lake: Lake, user_id: str | None = None, keep_nested: bool = True
+) -> None:
     base = read_table(spark, lake.bronze("workouts_base"))
-    sets = build_silver_workouts(base, read_increments(spark, lake.bronze("workouts")), user_id)
+    increments = read_increments(spark, lake.bronze("workouts"))
+    sets = build_silver_workouts(base, increments, user_id, keep_nested=keep_nested)
     write_table(sets, lake.silver("workouts"))
 
 

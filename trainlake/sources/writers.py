@@ -107,9 +107,10 @@ def land_csv(
     dst: str,
     day: date | None = None,
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> None:
     """CSV to Parquet, as a fixed table or as the snapshot of a day."""
-    df = read_csv(spark, src, schema)
+    df = read_csv(spark, src, schema, multi_line)
     if day is None:
         write_table(df, dst)
     else:
