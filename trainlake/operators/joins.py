@@ -38,7 +38,7 @@ def one_per_exercise(catalog: DataFrame, key: str = "exercise_name_kaggle") -> D
     """Catalogue columns of the first row of each exercise, in the order of the columns."""
     cols = [c for c in CATALOG_COLUMNS if c in catalog.columns]
     rest = [F.col(c).asc_nulls_last() for c in cols if c != key]
-    return first_per_key(catalog.select(*cols), [key], rest or [F.col(key)])
+    return first_per_key(catalog.select(*cols), [key], rest)
 
 
 def enrich_muscles(fact: DataFrame, catalog: DataFrame, null_keys_match: bool = True) -> DataFrame:

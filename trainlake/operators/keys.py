@@ -25,7 +25,8 @@ def first_n_per_key(
     never reaches one task whole.
     """
     rank = name or "_rank"
-    window = Window.partitionBy(*keys).orderBy(*order)
+    # Without an order all rows of a key are equally good.
+    window = Window.partitionBy(*keys).orderBy(*(order or keys))
     out = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
     return out if name else out.drop(rank)
 
@@ -54,7 +55,7 @@ def latest_per_key(
     if tie_break is None:
         tie_break = [f.name for f in df.schema.fields if f.name not in (key, ts) and "map" not in f.dataType.simpleString()]
     order += [F.desc_nulls_last(f"`{c}`") for c in tie_break]
-    return first_per_key(df, [key], order or [F.col(key)])
+    return first_per_key(df, [key], order)
 
 
 def surrogate_key(
