@@ -244,9 +244,9 @@ _PROFILE_SQL = """SELECT c_custkey AS user_id, concat_ws(chr(10) || chr(10), con
     FROM customer LEFT JOIN history ON c_custkey = history.user_id"""
 
 
-@query(with_views("workouts", _TEXT_SQL + _PROFILE_SQL))
-def profile_text(t: Tables) -> DataFrame:
-    users = t.customer.select(
+def profiles(t: Tables) -> DataFrame:
+    """Customers as profiles with an empty and a second fat column."""
+    return t.customer.select(
         F.col("c_custkey").alias("user_id"),
         F.col("c_name").alias("nome"),
         F.concat((F.lit(1950) + F.col("c_nationkey")).cast("string"), F.lit("-07-01")).alias("data_nascimento"),
@@ -255,7 +255,11 @@ def profile_text(t: Tables) -> DataFrame:
         F.lit("").alias("gordura"),
         F.lit(12).alias("percentual_gordura"),
     )
-    return context.build_context(users, t.workouts(), as_of(), tie_break=["workout_id"])
+
+
+@query(with_views("workouts", _TEXT_SQL + _PROFILE_SQL))
+def profile_text(t: Tables) -> DataFrame:
+    return context.build_context(profiles(t), t.workouts(), as_of(), tie_break=["workout_id"])
 
 
 @query(
@@ -291,3 +295,11 @@ def stream_sets(t: Tables) -> DataFrame:
     stream_workouts(t.spark, src, dst, checkpoint).awaitTermination()
     cols = "user_id id exercise_title set_index weight_kg distance_km duracao start_month".split()
     return read_table(t.spark, dst).select(*cols)
+
+
+@query(with_views("workouts", _TEXT_SQL + _PROFILE_SQL))
+def context_job(t: Tables) -> DataFrame:
+    path = context.run_context(
+        t.spark, profiles(t), t.workouts(), as_of(), t.scratch("context"), tie_break=["workout_id"]
+    )
+    return read_table(t.spark, path)

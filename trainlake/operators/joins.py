@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trainlake.functions.text import canonical_email, strip
 from trainlake.operators.keys import first_per_key, latest_per_key, surrogate_key
-from trainlake.operators.shape import require_columns, resolve_column
+from trainlake.operators.shape import key_marks, require_columns, resolve_column
 from trainlake.schemas import PROFILE_FIELDS
 
 CATALOG_COLUMNS = (
@@ -67,41 +67,39 @@ def build_dim_exercise(
     return dim
 
 
-def left_join_details(parent: DataFrame, details: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with many rows per key.
+def with_empty_details(parent: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """The details, and one row of NULLs for each parent key that has none.
 
-    A left join can neither broadcast its left side nor split a hot key of its right side.
-    So the matches come from an inner join, which can do both, and the parents without
-    details are added behind it.
+    An inner join with the result equals the left join. A left join can neither broadcast
+    its left side nor split a hot key of its right side; an inner join can do both.
     """
-    matched = parent.join(details, key)
-    keys = details.select(key).dropna().distinct()
-    return matched.unionByName(parent.join(keys, key, "left_anti"), allowMissingColumns=True)
+    parents = parent.select(key).dropna().distinct()
+    lonely = parents.join(details.select(key).dropna().distinct(), key, "left_anti")
+    return details.unionByName(lonely, allowMissingColumns=True)
 
 
 def gold_view(exercises: DataFrame, muscles: DataFrame, instructions: DataFrame) -> DataFrame:
     """Each exercise with every pair of its muscles and steps."""
     key = "exercise_id"
-    view = exercises.select(key, "exercise_name", "equipment", "main_muscle")
-    view = left_join_details(view, muscles.select(key, "muscle"), key)
-    return left_join_details(view, instructions.select(key, "step_number", "instruction"), key)
+    dim = exercises.select(key, "exercise_name", "equipment", "main_muscle")
+    muscle = with_empty_details(dim, muscles.select(key, "muscle"), key)
+    step = with_empty_details(dim, instructions.select(key, "step_number", "instruction"), key)
+    view = dim.join(muscle, key).join(step, key)
+    return view.unionByName(dim.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: distinct keys of ``a``, of ``b``, in both, and only in ``b``."""
-    marks = (
-        a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-        .unionAll(b.select(F.col(key), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-        .dropna(subset=[key])
-        .groupBy(key)
-        .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    )
-    both = F.col("_a") * F.col("_b")
-    return marks.agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("keys_a"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("keys_b"),
-        F.coalesce(F.sum(both), F.lit(0)).alias("in_both"),
-        F.coalesce(F.sum(F.col("_b") - both), F.lit(0)).alias("only_b"),
+    in_a, in_b = F.col("in_a").cast("int"), F.col("in_b").cast("int")
+
+    def total(mark: Column, name: str) -> Column:
+        return F.coalesce(F.sum(mark), F.lit(0)).alias(name)
+
+    return key_marks(a, b, key).agg(
+        total(in_a, "keys_a"),
+        total(in_b, "keys_b"),
+        total(in_a * in_b, "in_both"),
+        total(in_b - in_a * in_b, "only_b"),
     )
 
 

@@ -47,9 +47,11 @@ def rows_per_day(df: DataFrame, ts: str = "start_time") -> DataFrame:
     return df.filter(F.col(ts).isNotNull()).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_exercises(df: DataFrame, exercise: str = "exercise_title", n: int = 50) -> DataFrame:
+def top_exercises(
+    df: DataFrame, exercise: str = "exercise_title", n: int = 50, rows: str | None = None
+) -> DataFrame:
     """Most frequent exercises; equal counts go by name."""
-    counts = df.filter(F.col(exercise).isNotNull()).groupBy(exercise).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(F.col(exercise).isNotNull()).groupBy(exercise).agg(_rows(rows).alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(exercise)).limit(n)
 
 
@@ -212,8 +214,12 @@ def intensity_histogram(
         raise ValueError(f"no intensity column among {INTENSITY_COLUMNS}")
     counts = value_counts(df, col, [user], name="value").withColumn("value", F.col("value").cast("double"))
     step = _bin_step(F.min("value"), F.max("value"), maxbins).alias("_step")
-    limits = counts.groupBy(user).agg(F.min("value").alias("_low"), F.max("value").alias("_high"), step)
-    limits = limits.select(
+    limits = counts.groupBy(user).agg(
+        F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_n"), step
+    )
+    # Reading the counts here too keeps both uses of the grouped table alike, so that its
+    # shuffle is reused and the rows are scanned once.
+    limits = limits.filter(F.col("_n") > 0).select(
         F.col(user),
         F.col("_step"),
         (F.floor(F.col("_low") / F.col("_step")) * F.col("_step")).alias("_start"),
@@ -285,63 +291,64 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 # --- summaries ------------------------------------------------------------------------
 
 
-def training_summary(
+HISTORY_MEASURES = ("sets", "reps", "weight", "rpe")
+
+
+def history_rollup(
     df: DataFrame,
     user: str = "user_id",
     ts: str = "date",
+    keys: Sequence[str] = (),
     sets: str | None = "total_sets",
     reps: str | None = "total_reps",
     weight: str | None = "weight_kg",
     rpe: str | None = "rpe",
 ) -> DataFrame:
-    """History figures per user.
-
-    ``weeks`` counts ISO week numbers, so week 1 of two years is one; the weekly mean uses
-    real Monday weeks. A sum or mean without any numeric value is NULL. Rows are grouped
-    by day first; the distinct counts then run over days.
-    """
-    roles = {"sets": sets, "reps": reps, "weight": weight, "rpe": rpe}
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.min(ts).alias("first"),
-        F.max(ts).alias("last"),
-    ]
-    for role, name in roles.items():
+    """Rows, time limits, sums and counts per user, day and the listed keys."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")]
+    for role, name in zip(HISTORY_MEASURES, (sets, reps, weight, rpe)):
+        value = F.lit(None).cast("double")
         if name is not None and name in df.columns:
             value = F.col(name)
             if dict(df.dtypes)[name] == "string":
                 value = value.try_cast("double")
-            aggs += [F.sum(value).alias(role), F.count(value).alias(f"{role}_n")]
+        aggs += [F.sum(value).alias(role), F.count(value).alias(f"{role}_n")]
     day = F.col(ts).cast("date").alias("day")
-    days = df.filter(F.col(ts).isNotNull()).groupBy(user, day).agg(*aggs)
+    return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(*aggs)
 
-    def total(role: str) -> Column:
-        if role not in days.columns:
-            return F.lit(None).cast("double")
-        return F.round(F.sum(role).cast("double"), 2)
 
-    def average(role: str) -> Column:
-        if role not in days.columns:
-            return F.lit(None).cast("double")
-        return F.round(
-            F.try_divide(F.sum(role).cast("double"), F.sum(f"{role}_n").cast("double")), 2
+def summary_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
+    """``training_summary`` from ``history_rollup``: first to weeks, then to users."""
+    measures = [c for role in HISTORY_MEASURES for c in (role, f"{role}_n")]
+    days = rollup
+    if set(rollup.columns) - {user, "day", "n", "first", "last", *measures}:
+        days = rollup.groupBy(user, "day").agg(
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            *[F.sum(c).alias(c) for c in ("n", *measures)],
         )
-
     weeks = days.groupBy(user, monday_of("day").alias("_week")).agg(
-        F.first(F.weekofyear("day")).alias("_iso"),
+        # ISO week numbers go up to 53, so those of a user fit into the bits of one long.
+        F.bit_or(F.expr("shiftleft(1L, weekofyear(day))")).alias("_iso"),
         F.count("day").alias("_days"),
-        F.sum("n").alias("n"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        *[F.sum(c).alias(c) for c in days.columns if c.removesuffix("_n") in roles],
+        *[F.sum(c).alias(c) for c in ("n", *measures)],
     )
-    days = weeks
+
+    def total(role: str) -> Column:
+        return F.round(F.sum(role).cast("double"), 2)
+
+    def average(role: str) -> Column:
+        count = F.sum(f"{role}_n").cast("double")
+        return F.round(F.try_divide(F.sum(role).cast("double"), count), 2)
+
     return weeks.groupBy(user).agg(
         F.sum("n").alias("rows"),
         F.min("first").alias("first_date"),
         F.max("last").alias("last_date"),
         F.sum("_days").alias("unique_days"),
-        F.count_distinct("_iso").alias("weeks"),
+        F.bit_count(F.bit_or("_iso")).alias("weeks"),
         F.round(F.sum("n") / F.count("_week").cast("double"), 2).alias("avg_sets_per_week_rows"),
         total("sets").alias("total_sets"),
         total("reps").alias("total_reps"),
@@ -350,19 +357,42 @@ def training_summary(
     )
 
 
+def training_summary(
+    df: DataFrame,
+    user: str = "user_id",
+    ts: str = "date",
+    sets: str | None = "total_sets",
+    reps: str | None = "total_reps",
+    weight: str | None = "weight_kg",
+    rpe: str | None = "rpe",
+) -> DataFrame:
+    """History figures per user.
+
+    ``weeks`` counts ISO week numbers, so week 1 of two years is one; the weekly mean uses
+    real Monday weeks. A sum or mean without any numeric value is NULL.
+    """
+    rollup = history_rollup(df, user, ts, (), sets, reps, weight, rpe)
+    return summary_from_rollup(rollup, user)
+
+
 def top_categories(
     df: DataFrame,
     col: str,
     n: int = 8,
     user: str = "user_id",
     null_as_text: bool = False,
+    rows: str | None = None,
 ) -> DataFrame:
-    """The ``n`` most frequent values per user with counts; equal counts go by value."""
+    """The ``n`` most frequent values per user with counts; equal counts go by value.
+
+    ``rows`` names the column of row counts when the table is already grouped.
+    """
     value = F.col(col).cast("string")
     if null_as_text:
         value = F.coalesce(value, F.lit("None"))
-    named = df.select(F.col(user), value.alias("value"))
-    counts = value_counts(named, "value", [user])
+    weight = F.lit(1) if rows is None else F.col(rows)
+    named = df.select(F.col(user), value.alias("value"), weight.alias("n")).dropna(subset=["value"])
+    counts = named.groupBy(user, "value").agg(F.sum("n").cast("long").alias("n"))
     return first_n_per_key(counts, [user], [F.desc("n"), F.asc("value")], n, "position")
 
 

@@ -145,11 +145,22 @@ def concat_batches(batches: Sequence[DataFrame]) -> DataFrame:
     return reduce(union_aligned, batches)
 
 
+def key_marks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of both tables with marks ``in_a`` and ``in_b``; NULL is no key.
+
+    One group-by over both tables: copies of a key are combined before the shuffle.
+    """
+    marks = a.select(key, F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionAll(
+        b.select(F.col(key), F.lit(False), F.lit(True))
+    )
+    both = [F.bool_or(c).alias(c) for c in ("in_a", "in_b")]
+    return marks.dropna(subset=[key]).groupBy(key).agg(*both)
+
+
 def key_sets(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct keys in both tables, and distinct keys only in ``b``; NULL is no key."""
-    left = a.select(key).dropna().distinct()
-    right = b.select(key).dropna().distinct()
-    return left.intersect(right), right.subtract(left)
+    """Distinct keys in both tables, and distinct keys only in ``b``."""
+    marks = key_marks(a, b, key)
+    return marks.filter("in_a AND in_b").select(key), marks.filter("NOT in_a").select(key)
 
 
 def from_rows(spark: SparkSession, rows: Sequence[tuple], cols: str | Sequence[str]) -> DataFrame:

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from trainlake.operators.context import profile_text, summary_text
-from trainlake.operators.metrics import last_rows, top_categories, training_summary
+from trainlake.operators.metrics import (
+    history_rollup,
+    last_rows,
+    summary_from_rollup,
+    top_categories,
+)
+from trainlake.sources.readers import read_table
+from trainlake.sources.writers import write_table
 
 # Column of each role in the daily workout table.
 DAILY_ROLES = {
@@ -21,23 +28,42 @@ DAILY_ROLES = {
 }
 
 
+def _found(workouts: DataFrame, roles: Mapping[str, str]) -> dict[str, str]:
+    return {role: name for role, name in roles.items() if name in workouts.columns}
+
+
+def summaries_rollup(
+    workouts: DataFrame, roles: Mapping[str, str] = DAILY_ROLES, user: str = "user_id"
+) -> DataFrame:
+    """History figures per user, day, exercise and muscle group."""
+    found = _found(workouts, roles)
+    keys = [found[r] for r in ("exercise", "muscle") if r in found]
+    measures = [found.get(r) for r in ("sets", "reps", "weight", "rpe")]
+    return history_rollup(workouts, user, found["date"], keys, *measures)
+
+
 def build_summaries(
     workouts: DataFrame,
     roles: Mapping[str, str] = DAILY_ROLES,
     user: str = "user_id",
     tie_break: Sequence[str] = (),
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
-    """History text of every user. Columns are named by role, never guessed."""
-    found = {role: name for role, name in roles.items() if name in workouts.columns}
-    ts = found["date"]
-    dated = workouts.filter(workouts[ts].isNotNull())
-    summary = training_summary(
-        dated, user, ts, found.get("sets"), found.get("reps"), found.get("weight"), found.get("rpe")
+    """History text of every user. Columns are named by role, never guessed.
+
+    Pass a written ``summaries_rollup`` to make the figures and both top lists from one
+    pass over the workouts.
+    """
+    found = _found(workouts, roles)
+    if rollup is None:
+        rollup = summaries_rollup(workouts, roles, user)
+    summary = summary_from_rollup(rollup, user)
+    exercises, muscles = (
+        top_categories(rollup, found[r], user=user, rows="n") if r in found else None
+        for r in ("exercise", "muscle")
     )
-    exercises = top_categories(dated, found["exercise"], user=user) if "exercise" in found else None
-    muscles = top_categories(dated, found["muscle"], user=user) if "muscle" in found else None
     cols = list(dict.fromkeys([user, *found.values(), *tie_break]))
-    last = last_rows(dated.select(*cols), user=user, ts=ts, tie_break=tie_break)
+    last = last_rows(workouts.select(*cols), user=user, ts=found["date"], tie_break=tie_break)
     return summary_text(summary, exercises, muscles, last, found, user)
 
 
@@ -48,6 +74,27 @@ def build_context(
     roles: Mapping[str, str] = DAILY_ROLES,
     user: str = "user_id",
     tie_break: Sequence[str] = (),
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
     """Profile and history text of every user."""
-    return profile_text(users, build_summaries(workouts, roles, user, tie_break), as_of, user)
+    summaries = build_summaries(workouts, roles, user, tie_break, rollup)
+    return profile_text(users, summaries, as_of, user)
+
+
+def run_context(
+    spark: SparkSession,
+    users: DataFrame,
+    workouts: DataFrame,
+    as_of: Column,
+    path: str,
+    roles: Mapping[str, str] = DAILY_ROLES,
+    user: str = "user_id",
+    tie_break: Sequence[str] = (),
+) -> str:
+    """Write the rollup, then the texts from it."""
+    root = path.rstrip("/")
+    write_table(summaries_rollup(workouts, roles, user), f"{root}/rollup")
+    rollup = read_table(spark, f"{root}/rollup")
+    texts = build_context(users, workouts, as_of, roles, user, tie_break, rollup)
+    write_table(texts, f"{root}/context")
+    return f"{root}/context"

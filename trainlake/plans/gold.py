@@ -83,42 +83,59 @@ def promote_gold(
     return paths
 
 
-def build_metrics(
+def metrics_rollup(
     sets: DataFrame,
     ts: str = "start_time",
     weight: str = "weight_kg",
     reps: str = "reps",
     exercise: str = "exercise_title",
-    n: int = 50,
 ) -> DataFrame:
-    """Metric rows ``(metric, key, value)``; a metric whose columns are absent has none.
-
-    Both daily metrics come from one group-by over the days.
-    """
+    """Rows and volume per day and exercise: the one pass over the sets."""
     require_columns(sets, [ts])
-    has_volume = weight in sets.columns and reps in sets.columns
-    volume = F.sum(F.col(weight) * F.col(reps)) if has_volume else F.lit(None)
-    days = (
-        sets.filter(F.col(ts).isNotNull())
-        .groupBy(F.col(ts).cast("date").alias("day"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(volume, F.lit(0)).alias("volume"))
-    )
-    pairs = [F.struct(F.lit(ROWS_PER_DAY).alias("metric"), F.col("rows").cast("double").alias("value"))]
-    if has_volume:
-        pairs.append(F.struct(F.lit(VOLUME_PER_DAY).alias("metric"), F.col("volume").cast("double").alias("value")))
-    daily = days.select(F.col("day").cast("string").alias("key"), F.inline(F.array(*pairs)))
-    rows = daily.select("metric", "key", "value")
+    keys = [F.col(ts).cast("date").alias("day")]
     if exercise in sets.columns:
-        top = top_exercises(sets, exercise, n)
+        keys.append(F.col(exercise).alias("exercise"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if weight in sets.columns and reps in sets.columns:
+        aggs.append(F.sum(F.col(weight) * F.col(reps)).alias("volume"))
+    return sets.groupBy(*keys).agg(*aggs)
+
+
+def metrics_from_rollup(rollup: DataFrame, n: int = 50) -> DataFrame:
+    """Metric rows ``(metric, key, value)``; a metric whose columns are absent has none."""
+    names = {ROWS_PER_DAY: F.sum("n")}
+    if "volume" in rollup.columns:
+        names[VOLUME_PER_DAY] = F.coalesce(F.sum("volume"), F.lit(0))
+    days = rollup.filter(F.col("day").isNotNull()).groupBy(F.col("day").cast("string").alias("key"))
+    daily = days.agg(*[value.cast("double").alias(name) for name, value in names.items()])
+    rows = daily.unpivot("key", list(names), "metric", "value").select("metric", "key", "value")
+    if "exercise" in rollup.columns:
+        top = top_exercises(rollup, "exercise", n, rows="n")
         rows = rows.unionAll(
-            top.select(F.lit(TOP_EXERCISES), F.col(exercise), F.col("n").cast("double"))
+            top.select(F.lit(TOP_EXERCISES), F.col("exercise"), F.col("n").cast("double"))
         )
     return rows
 
 
+def build_metrics(
+    sets: DataFrame,
+    ts: str = "start_time",
+    weight: str = "weight_kg",
+    reps: str = "reps",
+    exercise: str = "exercise_title",
+    n: int = 50,
+) -> DataFrame:
+    """Gold metrics of the sets."""
+    return metrics_from_rollup(metrics_rollup(sets, ts, weight, reps, exercise), n)
+
+
 def run_metrics(spark: SparkSession, lake: Lake, day: date) -> None:
+    """Write the rollup first: the daily metrics and the top list then share its pass."""
     sets = read_latest_snapshot(spark, lake.gold("fact_workouts"))
-    write_metrics(build_metrics(sets), f"{lake.gold('metrics')}/snapshot_date={day.strftime('%Y%m%d')}")
+    rollup = f"{lake.gold('metrics_rollup')}/snapshot_date={day.strftime('%Y%m%d')}"
+    write_table(metrics_rollup(sets), rollup)
+    metrics = metrics_from_rollup(read_table(spark, rollup))
+    write_metrics(metrics, f"{lake.gold('metrics')}/snapshot_date={day.strftime('%Y%m%d')}")
 
 
 def run_promote(spark: SparkSession, lake: Lake, day: date) -> list[str]:
