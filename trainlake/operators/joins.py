@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trainlake.functions.text import canonical_email, strip
 from trainlake.operators.keys import first_per_key, latest_per_key, surrogate_key
-from trainlake.operators.shape import key_marks, require_columns, resolve_column
+from trainlake.operators.shape import key_marks, lookup, require_columns, resolve_column
 from trainlake.schemas import PROFILE_FIELDS
 
 CATALOG_COLUMNS = (
@@ -22,16 +22,11 @@ CATALOG_COLUMNS = (
 PROFILE_TIME_COLUMNS = ("updated_at", "data_registro", "last_update")
 
 
-def _same(left: Column, right: Column, null_keys_match: bool) -> Column:
-    return left.eqNullSafe(right) if null_keys_match else left == right
-
-
 def join_mapping(fact: DataFrame, mapping: DataFrame, null_keys_match: bool = True) -> DataFrame:
     """Add the mapped name and key to each set; a title mapped twice gives two rows."""
     require_columns(mapping, ["exercise_title_heavy", "exercise_name_kaggle", "sk_exercise"])
-    m = mapping.select("exercise_title_heavy", "exercise_name_kaggle", "sk_exercise")
-    on = _same(fact["exercise_title"], m["exercise_title_heavy"], null_keys_match)
-    return fact.join(m, on, "left").drop(m["exercise_title_heavy"])
+    pairs = mapping.select("exercise_title_heavy", "exercise_name_kaggle", "sk_exercise")
+    return lookup(fact, pairs, "exercise_title", "exercise_title_heavy", null_keys_match)
 
 
 def one_per_exercise(catalog: DataFrame, key: str = "exercise_name_kaggle") -> DataFrame:
@@ -45,8 +40,7 @@ def enrich_muscles(fact: DataFrame, catalog: DataFrame, null_keys_match: bool =
     """Add muscles and equipment; the row count of the fact never changes."""
     key = "exercise_name_kaggle"
     dim = one_per_exercise(catalog, key).withColumnRenamed(key, "_dim_key")
-    on = _same(fact[key], dim["_dim_key"], null_keys_match)
-    return fact.join(dim, on, "left").drop("_dim_key")
+    return lookup(fact, dim, key, "_dim_key", null_keys_match)
 
 
 def build_dim_exercise(
@@ -60,8 +54,7 @@ def build_dim_exercise(
     """
     names = catalog.select("Exercise Name", "Main_muscle", "Equipment").distinct()
     names = names.withColumnRenamed("Exercise Name", "_dim_key")
-    on = _same(mapping["exercise_name_kaggle"], names["_dim_key"], null_keys_match)
-    dim = mapping.join(names, on, "left").drop("_dim_key")
+    dim = lookup(mapping, names, "exercise_name_kaggle", "_dim_key", null_keys_match)
     if "sk_exercise" not in dim.columns:
         dim = surrogate_key(dim, "sk_exercise", order=dim.columns)
     return dim

@@ -220,7 +220,7 @@ def intensity_histogram(
     # Reading the counts here too keeps both uses of the grouped table alike, so that its
     # shuffle is reused and the rows are scanned once.
     limits = limits.filter(F.col("_n") > 0).select(
-        F.col(user),
+        F.col(user).alias("_user"),
         F.col("_step"),
         (F.floor(F.col("_low") / F.col("_step")) * F.col("_step")).alias("_start"),
         (F.ceil(F.col("_high") / F.col("_step")) * F.col("_step")).alias("_stop"),
@@ -228,7 +228,8 @@ def intensity_histogram(
     # The top value belongs to the last bin, also where it equals the upper limit.
     inside = F.least(F.col("value"), F.greatest(F.col("_stop") - F.col("_step"), F.col("_start")))
     index = F.floor((inside - F.col("_start")) / F.col("_step") + F.lit(1e-14))
-    binned = counts.join(limits, user).select(
+    # Null-safe, see ``lookup``: a user with very many values is split for the join.
+    binned = counts.join(limits, counts[user].eqNullSafe(limits["_user"])).select(
         user,
         "n",
         (F.col("_start") + index * F.col("_step")).alias("bin_start"),

@@ -121,15 +121,30 @@ def drop_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def lookup(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, null_keys_match: bool = False
+) -> DataFrame:
+    """Left join that drops ``right_key``; NULL keys meet only when asked to.
+
+    The comparison is null-safe also without such matches. A right side that was grouped by
+    its key before keeps that partitioning for a plain comparison, and AQE then cannot
+    split a hot key of the left side; for a null-safe one both sides are shuffled anew.
+    """
+    if not null_keys_match:
+        right = right.filter(F.col(right_key).isNotNull())
+    on = left[left_key].eqNullSafe(right[right_key])
+    return left.join(right, on, "left").drop(right[right_key])
+
+
 def user_ids_for(
     emails: DataFrame, accounts: DataFrame, default: str | None = None, email: str = "email"
 ) -> DataFrame:
     """Account id of each e-mail, compared in canonical form; ``default`` where there is none."""
-    known = accounts.groupBy(canonical_email(email).alias("_email")).agg(
+    known = accounts.groupBy(canonical_email(email).alias("_known")).agg(
         F.min(F.col("user_id").cast("string")).alias("user_id")
     )
-    asked = emails.withColumn("_email", canonical_email(email)).drop("user_id")
-    out = asked.join(known, "_email", "left").drop("_email")
+    asked = emails.withColumn("_asked", canonical_email(email)).drop("user_id")
+    out = lookup(asked, known, "_asked", "_known").drop("_asked")
     return out.withColumn("user_id", F.coalesce("user_id", F.lit(default).cast("string")))
 
 
