@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from checkset.metric_checks import LAST_SQL, SUMMARY_SQL, top_sql
 from checkset.registry import query, rounded
-from checkset.source_checks import FLAT_SQL, METRICS_SQL, _csv, flat_sets
+from checkset.source_checks import FLAT_SQL, METRICS_SQL, write_csv
 from checkset.tables import Tables, with_views
 from checkset.value_checks import as_of
 from trainlake.plans import context, csv_etl, dashboard, gold, silver
 from trainlake.plans.lake import Lake
 from trainlake.sources.readers import read_latest_snapshot, read_table
-from trainlake.sources.writers import write_snapshot, write_table
+from trainlake.sources.writers import write_table
 from trainlake.streaming.batch import ingest_incremental
 from trainlake.streaming.stream import stream_workouts
 
@@ -36,13 +36,13 @@ _SILVER_SQL = f"""SELECT {_SET_FIELDS} FROM (
 
 @query(with_views("sets nested", _SILVER_SQL))
 def silver_workouts(t: Tables) -> DataFrame:
-    lake = Lake(t.scratch("lake"))
-    write_table(flat_sets(t), lake.bronze("workouts_base"))
-    write_table(t.nested().drop("user_id"), f"{lake.bronze('workouts')}/user=api/dt=20240615")
-    silver.run_silver_workouts(t.spark, lake, "api-user")
+    base = read_table(t.spark, t.landed("flat_sets"))
+    sets = silver.build_silver_workouts(base, t.landed_nested(), "api-user", keep_nested=False)
+    path = t.scratch("silver")
+    write_table(sets, path)
     cols = """user_id title start_time end_time exercise_title superset_id set_index set_type weight_kg reps
         distance_km rpe id id_exercice duracao""".split()
-    return read_table(t.spark, lake.silver("workouts")).select(*cols)
+    return read_table(t.spark, path).select(*cols)
 
 
 @query(
@@ -134,10 +134,8 @@ def fact_sets(t: Tables) -> DataFrame:
 @query(with_views("sets catalog mapping", f"SELECT id, sk_exercise, main_muscle, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM ({'WITH x AS (SELECT 1)' + _FACT_SQL}) WHERE user_id = '7'"))
 def fact_job(t: Tables) -> DataFrame:
     lake = Lake(t.scratch("lake"))
-    write_table(t.sets(), lake.silver("workouts"))
-    write_table(t.mapping(), lake.silver("mapping"))
-    write_snapshot(t.catalog(), lake.silver("catalog"), DAY)
-    gold.run_fact_sets(t.spark, lake)
+    sets = read_table(t.spark, t.landed("sets"))
+    gold.write_fact_sets(gold.build_fact_sets(sets, t.mapping(), t.catalog()), lake)
     fact = read_table(t.spark, lake.gold("fact_train"))
     return fact.filter("user_id = '7'").select("id", "sk_exercise", "main_muscle", "start_month")
 
@@ -173,7 +171,7 @@ def gold_metrics(t: Tables) -> DataFrame:
 
 @query(with_views("sets", FLAT_SQL.replace("title,\n", "title AS workout_title,\n", 1).replace("exercise_title,", "exercise_title AS exercise_name,")))
 def csv_job(t: Tables) -> DataFrame:
-    src = _csv(flat_sets(t), t.scratch("feed"))
+    src = write_csv(t.flat_sets(), t.scratch("feed"))
     paths = csv_etl.csv_etl(t.spark, src, t.scratch("lake"), DAY)
     return read_table(t.spark, paths["silver"])
 
@@ -287,7 +285,7 @@ def ingest_batches(t: Tables) -> DataFrame:
 )
 def stream_sets(t: Tables) -> DataFrame:
     src, dst, checkpoint = t.scratch("raw"), t.scratch("silver"), t.scratch("checkpoint")
-    nested = t.nested()
+    nested = t.landed_nested()
     write_table(nested.filter("routine_id = 'O'"), f"{src}/batch1")
     stream_workouts(t.spark, src, dst, checkpoint).awaitTermination()
     write_table(nested.filter("routine_id <> 'O'"), f"{src}/batch2")

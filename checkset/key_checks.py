@@ -73,4 +73,4 @@ def position_id(t: Tables) -> DataFrame:
     )
 )
 def explode_sets(t: Tables) -> DataFrame:
-    return explode_workouts(t.nested(), keep_nested=False)
+    return explode_workouts(t.landed_nested(), keep_nested=False)

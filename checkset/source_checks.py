@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from checkset.registry import query
 from checkset.tables import Tables, with_views
 from trainlake.operators.metrics import high_water_mark
+from trainlake.operators.nested import explode_workouts
 from trainlake.operators.shape import filter_since
 from trainlake.plans.gold import build_metrics
-from trainlake.schemas import WORKOUT_CSV
 from trainlake.sources import readers as rd
 from trainlake.sources import state as st
 from trainlake.sources import writers as wr
@@ -21,29 +21,12 @@ DAY = date(2024, 6, 15)
 NEXT_DAY = date(2024, 6, 16)
 
 
-def _csv(df: DataFrame, path: str) -> str:
+def write_csv(df: DataFrame, path: str) -> str:
     options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.options(**options).csv(path)
     return path
 
 
-def flat_sets(t: Tables) -> DataFrame:
-    """Sets in the columns and types of the flat CSV feed."""
-    stamp = "d MMM yyyy, HH:mm"
-    sets = t.sets().withColumns(
-        {
-            "start_time": F.date_format("start_time", stamp),
-            "end_time": F.date_format("end_time", stamp),
-            "distance_km": F.when(F.col("set_type") == "A", F.col("reps")),
-        }
-    )
-    cols = []
-    for f in WORKOUT_CSV.fields:
-        value = F.col(f.name) if f.name in sets.columns else F.lit(None)
-        cols.append(value.cast(f.dataType).alias(f.name))
-    return sets.select(*cols)
-
-
 FLAT_SQL = """SELECT CAST(user_id AS INTEGER) AS user_id, title,
       strftime(start_time, '%-d %b %Y, %H:%M') AS start_time,
       strftime(end_time, '%-d %b %Y, %H:%M') AS end_time, CAST(NULL AS VARCHAR) AS description,
@@ -55,18 +38,18 @@ FLAT_SQL = """SELECT CAST(user_id AS INTEGER) AS user_id, title,
 
 @query(with_views("sets", FLAT_SQL))
 def workout_csv_scan(t: Tables) -> DataFrame:
-    return rd.read_workout_csv(t.spark, _csv(flat_sets(t), t.scratch("workouts_csv")))
+    return rd.read_workout_csv(t.spark, write_csv(t.flat_sets(), t.scratch("workouts_csv")))
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_scan(t: Tables) -> DataFrame:
-    path = _csv(t.documents, t.scratch("documents_csv"))
+    path = write_csv(t.documents, t.scratch("documents_csv"))
     return rd.read_csv(t.spark, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
 
 
 @query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_scan_inferred(t: Tables) -> DataFrame:
-    return rd.read_csv(t.spark, _csv(t.supplier, t.scratch("supplier_csv")))
+    return rd.read_csv(t.spark, write_csv(t.supplier, t.scratch("supplier_csv")))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -97,7 +80,7 @@ def folder_union_scan(t: Tables) -> DataFrame:
 )
 def increment_scan(t: Tables) -> DataFrame:
     prefix = t.scratch("increments")
-    nested = t.nested()
+    nested = t.landed_nested()
     wr.write_table(nested.filter("routine_id = 'O'"), f"{prefix}/user=a/dt=20240615")
     wr.write_table(nested.filter("routine_id = 'F'"), f"{prefix}/user=b/dt=20240615")
     wr.write_table(nested.filter("routine_id = 'P'"), f"{prefix}/base_full.parquet")
@@ -106,7 +89,7 @@ def increment_scan(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
 def scan_by_extension(t: Tables) -> DataFrame:
-    csv = _csv(t.supplier.select("s_suppkey", "s_name"), t.scratch("supplier") + ".csv")
+    csv = write_csv(t.supplier.select("s_suppkey", "s_name"), t.scratch("supplier") + ".csv")
     first = rd.read_any(t.spark, csv, "s_suppkey BIGINT, s_name STRING")
     second = rd.read_any(t.spark, f"{t.sf_dir}/customer.parquet").select("c_custkey", "c_name")
     return first.unionAll(second)
@@ -119,10 +102,8 @@ def scan_by_extension(t: Tables) -> DataFrame:
     )
 )
 def workout_pages(t: Tables) -> DataFrame:
-    from trainlake.operators.nested import explode_workouts
-
     path = t.scratch("pages")
-    nested = t.nested()
+    nested = t.landed_nested()
     # One workout per page: pages are made row by row, never by collecting a group.
     page = nested.select(
         F.lit(1).alias("page"),
@@ -235,7 +216,7 @@ def jsonl_sink(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, text, lang FROM documents")
 def land_csv(t: Tables) -> DataFrame:
-    src, dst = _csv(t.documents.select("doc_id", "text", "lang"), t.scratch("feed")), t.scratch("landed")
+    src, dst = write_csv(t.documents.select("doc_id", "text", "lang"), t.scratch("feed")), t.scratch("landed")
     wr.land_csv(t.spark, src, dst, DAY, "doc_id BIGINT, text STRING, lang STRING")
     return rd.read_latest_snapshot(t.spark, dst).drop("snapshot_date")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trainlake.schemas import RAW_WORKOUT, WORKOUT_CSV
 from trainlake.session import scratch_path
 
 NAMES = (
@@ -21,6 +22,9 @@ NAMES = (
 
 # Schema of each file, read from its footer once.
 _SCHEMAS: dict[str, T.StructType] = {}
+# Views that were written already.
+_LANDED: dict[tuple[str, str, str], str] = {}
+_NESTED_SCHEMA = T.StructType([*RAW_WORKOUT.fields, T.StructField("user_id", T.StringType())])
 
 
 class Tables:
@@ -41,6 +45,19 @@ class Tables:
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
+    def landed(self, name: str) -> str:
+        """Path of a view written as Parquet, once per session and scale factor."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LANDED:
+            path = self.scratch(name)
+            getattr(self, name)().write.parquet(path)
+            _LANDED[key] = path
+        return _LANDED[key]
+
+    def landed_nested(self) -> DataFrame:
+        """The nested workouts as an ingest would have stored them."""
+        return self.spark.read.schema(_NESTED_SCHEMA).parquet(self.landed("nested"))
+
     def sets(self) -> DataFrame:
         """Order lines as workout sets; the customer is the user, the part the exercise."""
         line, order, part = self.lineitem, self.orders, self.part
@@ -62,6 +79,22 @@ class Tables:
             F.col("p_type").alias("muscle_group"),
         )
 
+    def flat_sets(self) -> DataFrame:
+        """Sets in the columns and types of the flat CSV feed."""
+        stamp = "d MMM yyyy, HH:mm"
+        sets = self.sets().withColumns(
+            {
+                "start_time": F.date_format("start_time", stamp),
+                "end_time": F.date_format("end_time", stamp),
+                "distance_km": F.when(F.col("set_type") == "A", F.col("reps")),
+            }
+        )
+        cols = []
+        for f in WORKOUT_CSV.fields:
+            value = F.col(f.name) if f.name in sets.columns else F.lit(None)
+            cols.append(value.cast(f.dataType).alias(f.name))
+        return sets.select(*cols)
+
     def workouts(self) -> DataFrame:
         """Events as daily workouts, with NULL dates, muscle groups and sets."""
         k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")

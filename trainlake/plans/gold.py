@@ -36,15 +36,19 @@ def build_fact_sets(
     return order_columns(fact, FACT_ORDER)
 
 
-def run_fact_sets(spark: SparkSession, lake: Lake) -> None:
+def write_fact_sets(fact: DataFrame, lake: Lake) -> None:
     """Write the fact by start month, sorted by user, so that a user's rows lie together."""
+    fact = fact.withColumn("start_month", month_of("start_time"))
+    write_table(fact, lake.gold("fact_train"), partition_by=["start_month"], sort=["user_id"])
+
+
+def run_fact_sets(spark: SparkSession, lake: Lake) -> None:
     fact = build_fact_sets(
         read_table(spark, lake.silver("workouts")),
         read_table(spark, lake.silver("mapping")),
         read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date"),
     )
-    fact = fact.withColumn("start_month", month_of("start_time"))
-    write_table(fact, lake.gold("fact_train"), partition_by=["start_month"], sort=["user_id"])
+    write_fact_sets(fact, lake)
 
 
 def run_dim_exercise(spark: SparkSession, lake: Lake) -> None:
