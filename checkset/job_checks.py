@@ -61,7 +61,21 @@ def silver_users(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("Nivel Treinamento"),
     )
     # Spellings of one date become equal after parsing, and so do their rows.
-    return silver.build_silver_users(form).distinct()
+    return silver.build_silver_users(form)
+
+
+@query(
+    """SELECT p_partkey, p_name AS "Exercise Name", p_type || ' ' || p_brand AS "Execution",
+      p_retailprice FROM part"""
+)
+def silver_catalog(t: Tables) -> DataFrame:
+    raw = t.part.select(
+        "p_partkey",
+        F.concat(F.lit(" \\u200b"), F.col("p_name"), F.lit("\n")).alias("Exercise Name"),
+        F.concat(F.col("p_type"), F.lit("\r"), F.col("p_brand"), F.lit("\u200b ")).alias("Execution"),
+        "p_retailprice",
+    )
+    return silver.build_silver_catalog(raw)
 
 
 @query(

@@ -201,6 +201,24 @@ def weekly_minutes(t: Tables) -> DataFrame:
     return vl.with_weekly_minutes(plans).select("p_partkey", "weekly_minutes", "below_minimum")
 
 
+@query(
+    """SELECT c_custkey, concat_ws(', ', CASE WHEN c_nationkey = 0 THEN 'Peso (kg)' END, 'Altura (cm)',
+      'Gordura (%)', CASE WHEN c_mktsegment = 'BUILDING' THEN 'Objetivo' END, 'Nível de experiência',
+      'Dias de treino por semana', 'Minutos por treino',
+      CASE WHEN c_acctbal < 0 THEN 'Tipo de treino principal' END) AS missing FROM customer"""
+)
+def missing_fields(t: Tables) -> DataFrame:
+    profiles = t.customer.select(
+        "c_custkey",
+        F.col("c_nationkey").alias("peso"),
+        F.lit(0.0).alias("altura"),
+        F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("objetivo"),
+        F.lit("").alias("experiencia"),
+        F.when(F.col("c_acctbal") >= 0, F.lit("força")).alias("tipo_treino_principal"),
+    )
+    return profiles.select("c_custkey", F.array_join(vl.missing_fields(profiles), ", ").alias("missing"))
+
+
 @query(
     """SELECT d.doc_id, coalesce(CAST(nullif(toxic, 0) AS VARCHAR), CAST(nullif(quality, 0) AS VARCHAR),
       CASE WHEN lang = 'en' THEN NULL ELSE lang END, 'Não informado') AS shown,

@@ -44,10 +44,13 @@ def clean_value(col: Column | str, zero_width: bool = True) -> Column:
 
     ``zero_width=False`` removes only the escaped six-character spelling.
     """
-    out = F.replace(_col(col), F.lit(ESCAPED_ZERO_WIDTH), F.lit(""))
+    swaps = [(ESCAPED_ZERO_WIDTH, ""), ("\n", " "), ("\r", " ")]
     if zero_width:
-        out = F.replace(out, F.lit(ZERO_WIDTH), F.lit(""))
-    return strip(F.translate(out, "\n\r", "  "))
+        swaps.append((ZERO_WIDTH, ""))
+    out = _col(col)
+    for old, new in swaps:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return strip(out)
 
 
 def clean_text(df: DataFrame, zero_width: bool = True, null_as_text: bool = False) -> DataFrame:

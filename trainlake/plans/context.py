@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from trainlake.operators.context import profile_text, summary_text
 from trainlake.operators.metrics import (
+    HISTORY_MEASURES,
     history_rollup,
     last_rows,
     summary_from_rollup,
     top_categories,
+    training_summary,
 )
 from trainlake.sources.readers import read_table
 from trainlake.sources.writers import write_table
@@ -38,7 +40,7 @@ def summaries_rollup(
     """History figures per user, day, exercise and muscle group."""
     found = _found(workouts, roles)
     keys = [found[r] for r in ("exercise", "muscle") if r in found]
-    measures = [found.get(r) for r in ("sets", "reps", "weight", "rpe")]
+    measures = [found.get(r) for r in HISTORY_MEASURES]
     return history_rollup(workouts, user, found["date"], keys, *measures)
 
 
@@ -55,11 +57,15 @@ def build_summaries(
     pass over the workouts.
     """
     found = _found(workouts, roles)
+    dated = workouts.filter(workouts[found["date"]].isNotNull())
+    grouped, rows = (dated, None) if rollup is None else (rollup, "n")
     if rollup is None:
-        rollup = summaries_rollup(workouts, roles, user)
-    summary = summary_from_rollup(rollup, user)
+        measures = [found.get(r) for r in HISTORY_MEASURES]
+        summary = training_summary(dated, user, found["date"], *measures)
+    else:
+        summary = summary_from_rollup(rollup, user)
     exercises, muscles = (
-        top_categories(rollup, found[r], user=user, rows="n") if r in found else None
+        top_categories(grouped, found[r], user=user, rows=rows) if r in found else None
         for r in ("exercise", "muscle")
     )
     cols = list(dict.fromkeys([user, *found.values(), *tie_break]))

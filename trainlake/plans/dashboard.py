@@ -27,10 +27,7 @@ def tables_from_rollup(rollup: DataFrame) -> dict[str, DataFrame]:
 
 def tables_from_rows(workouts: DataFrame) -> dict[str, DataFrame]:
     """The tables that need the workouts; those whose columns are absent are left out."""
-    out = {
-        "calendar": with_calendar(workouts),
-        "detail": m.detail_table(workouts),
-    }
+    out = {"detail": m.detail_table(with_calendar(workouts))}
     if "exercise_name" in workouts.columns:
         out["exercise_ranking"] = m.exercise_ranking(workouts)
     if resolve_column(workouts, m.INTENSITY_COLUMNS, contains=False):

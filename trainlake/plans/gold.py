@@ -92,12 +92,12 @@ def metrics_rollup(
     ts: str = "start_time",
     weight: str = "weight_kg",
     reps: str = "reps",
-    exercise: str = "exercise_title",
+    exercise: str | None = "exercise_title",
 ) -> DataFrame:
-    """Rows and volume per day and exercise: the one pass over the sets."""
+    """Rows and volume per day, and per exercise where the table names one."""
     require_columns(sets, [ts])
     keys = [F.col(ts).cast("date").alias("day")]
-    if exercise in sets.columns:
+    if exercise is not None and exercise in sets.columns:
         keys.append(F.col(exercise).alias("exercise"))
     aggs = [F.count(F.lit(1)).alias("n")]
     if weight in sets.columns and reps in sets.columns:
@@ -105,20 +105,25 @@ def metrics_rollup(
     return sets.groupBy(*keys).agg(*aggs)
 
 
-def metrics_from_rollup(rollup: DataFrame, n: int = 50) -> DataFrame:
-    """Metric rows ``(metric, key, value)``; a metric whose columns are absent has none."""
+def _metric_rows(rollup: DataFrame, top: DataFrame | None) -> DataFrame:
+    """Rows ``(metric, key, value)``; a metric whose columns are absent has none."""
     names = {ROWS_PER_DAY: F.sum("n")}
     if "volume" in rollup.columns:
         names[VOLUME_PER_DAY] = F.coalesce(F.sum("volume"), F.lit(0))
-    days = rollup.filter(F.col("day").isNotNull()).groupBy(F.col("day").cast("string").alias("key"))
+    days = rollup.filter(F.col("day").isNotNull()).groupBy("day")
     daily = days.agg(*[value.cast("double").alias(name) for name, value in names.items()])
+    daily = daily.withColumn("key", F.col("day").cast("string"))
     rows = daily.unpivot("key", list(names), "metric", "value").select("metric", "key", "value")
-    if "exercise" in rollup.columns:
-        top = top_exercises(rollup, "exercise", n, rows="n")
-        rows = rows.unionAll(
-            top.select(F.lit(TOP_EXERCISES), F.col("exercise"), F.col("n").cast("double"))
-        )
-    return rows
+    if top is None:
+        return rows
+    name, count = top.columns
+    return rows.unionAll(top.select(F.lit(TOP_EXERCISES), F.col(name), F.col(count).cast("double")))
+
+
+def metrics_from_rollup(rollup: DataFrame, n: int = 50) -> DataFrame:
+    """Gold metrics from a written ``metrics_rollup``."""
+    named = "exercise" in rollup.columns
+    return _metric_rows(rollup, top_exercises(rollup, "exercise", n, rows="n") if named else None)
 
 
 def build_metrics(
@@ -129,8 +134,9 @@ def build_metrics(
     exercise: str = "exercise_title",
     n: int = 50,
 ) -> DataFrame:
-    """Gold metrics of the sets."""
-    return metrics_from_rollup(metrics_rollup(sets, ts, weight, reps, exercise), n)
+    """Gold metrics of the sets, the daily ones and the top list by one group-by each."""
+    daily = metrics_rollup(sets, ts, weight, reps, exercise=None)
+    return _metric_rows(daily, top_exercises(sets, exercise, n) if exercise in sets.columns else None)
 
 
 def run_metrics(spark: SparkSession, lake: Lake, day: date) -> None:
