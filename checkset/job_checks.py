@@ -145,13 +145,20 @@ def fact_sets(t: Tables) -> DataFrame:
     return gold.build_fact_sets(t.sets(), t.mapping(), t.catalog())
 
 
-@query(with_views("sets catalog mapping", f"SELECT id, sk_exercise, main_muscle, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM ({'WITH x AS (SELECT 1)' + _FACT_SQL}) WHERE user_id = '7'"))
+@query(
+    with_views(
+        "sets catalog mapping",
+        f"""SELECT user_id, id, sk_exercise, main_muscle, weight_kg,
+          CAST(date_trunc('month', start_time) AS DATE) AS start_month
+        FROM (WITH one AS (SELECT 1) {_FACT_SQL})""",
+    )
+)
 def fact_job(t: Tables) -> DataFrame:
     lake = Lake(t.scratch("lake"))
     sets = read_table(t.spark, t.landed("sets"))
     gold.write_fact_sets(gold.build_fact_sets(sets, t.mapping(), t.catalog()), lake)
     fact = read_table(t.spark, lake.gold("fact_train"))
-    return fact.filter("user_id = '7'").select("id", "sk_exercise", "main_muscle", "start_month")
+    return fact.select("user_id", "id", "sk_exercise", "main_muscle", "weight_kg", "start_month")
 
 
 @query(

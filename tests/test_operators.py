@@ -140,6 +140,21 @@ def test_explode_workouts(spark):
     assert len(out[0].exercises) == 2
 
 
+def test_explode_count_is_the_sum_of_the_set_lists(spark):
+    df = spark.range(50).select(
+        F.col("id").cast("string").alias("id"),
+        *[F.lit(None).cast("string").alias(c) for c in ("title", "description", "routine_id", "start_time", "end_time", "created_at", "updated_at", "user_id")],
+        F.expr(
+            """transform(filter(sequence(0, 3), i -> i < id % 4), i -> named_struct('title', 'x', 'notes', 'n',
+            'superset_id', i, 'sets', transform(filter(sequence(0, 3), j -> j < (id + i) % 3), j -> named_struct(
+            'index', j, 'type', 't', 'weight_kg', 1.0D, 'reps', 1.0D, 'distance_meters', 1.0D,
+            'duration_seconds', 1.0D, 'rpe', 1.0D))))"""
+        ).alias("exercises"),
+    )
+    sizes = df.select(F.expr("aggregate(exercises, 0, (n, e) -> n + size(e.sets))").alias("n"))
+    assert explode_workouts(df).count() == sizes.agg(F.sum("n")).first()[0]
+
+
 # --- joins ------------------------------------------------------------------------------
 
 

@@ -277,11 +277,15 @@ def last_rows(
 def detail_table(
     df: DataFrame, ts: str = "date", drop: Sequence[str] = ("workout_id",), user: str = "user_id"
 ) -> DataFrame:
-    """All rows, newest first, without the technical columns."""
+    """All rows, newest first, without the technical columns.
+
+    The user and the dropped columns come last in the sort: they spread the rows of one
+    busy time over several ranges.
+    """
     keep = [c for c in df.columns if c not in drop]
     if ts not in df.columns:
         return df.select(*[f"`{c}`" for c in keep])
-    order = [F.desc(ts)] + ([F.asc(user)] if user in df.columns else [])
+    order = [F.desc(ts), *[F.asc(c) for c in (user, *drop) if c in df.columns]]
     return df.orderBy(*order).select(*[f"`{c}`" for c in keep])
 
 
