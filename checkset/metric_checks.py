@@ -136,17 +136,17 @@ def dow_muscle_matrix(t: Tables) -> DataFrame:
 @query(
     with_views(
         "sets",
-        """, limits AS (SELECT user_id, min(reps)::DOUBLE AS lo, max(reps)::DOUBLE AS hi FROM sets GROUP BY 1),
+        """, limits AS (SELECT user_id, min(reps) AS lo, max(reps) AS hi FROM sets GROUP BY 1),
         spans AS (SELECT *, CASE WHEN hi > lo THEN hi - lo WHEN lo <> 0 THEN abs(lo) ELSE 1 END AS span
           FROM limits),
         steps AS (SELECT *, (SELECT min(m * pow(10, e)) FROM (VALUES (1), (2), (5)) a(m), range(-3, 6) b(e)
-          WHERE span / (m * pow(10, e)) <= 20) AS step FROM spans)
-        SELECT user_id, bin_start, bin_start + step AS bin_end, count(*) AS n FROM (
-          SELECT user_id, step, floor(lo / step) * step + step * least(
-            floor((reps::DOUBLE - floor(lo / step) * step) / step),
-            greatest(ceil(hi / step) - floor(lo / step) - 1, 0)) AS bin_start
+          WHERE span / (m * pow(10, e)) <= 20.0000001) AS step FROM spans),
+        bins AS (SELECT user_id, step, least(floor(reps / step + 1e-9),
+            greatest(ceil(hi / step - 1e-9) - 1, floor(lo / step + 1e-9))) AS bin
           FROM sets JOIN steps USING (user_id))
-        GROUP BY ALL""",
+        SELECT user_id, CAST(CAST(round(bin * step, 3) AS DECIMAL(18,3)) AS DOUBLE) AS bin_start,
+          CAST(CAST(round((bin + 1) * step, 3) AS DECIMAL(18,3)) AS DOUBLE) AS bin_end, count(*) AS n
+        FROM bins GROUP BY ALL""",
     )
 )
 def intensity_histogram(t: Tables) -> DataFrame:

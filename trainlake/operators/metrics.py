@@ -188,17 +188,25 @@ def dow_muscle_matrix(
     )
 
 
-def _bin_step(low: Column, high: Column, maxbins: int) -> Column:
-    """Smallest of 1, 2 and 5 times a power of ten that needs at most ``maxbins`` bins."""
+_SLACK = 1e-9  # room for binary rounding when a value lies on a bin limit
+
+
+def _scaled(number: Column, exponent: Column) -> Column:
+    """``number * 10 ** exponent`` without the error of a negative power of ten."""
+    up = F.pow(F.lit(10.0), F.greatest(exponent, F.lit(0)))
+    down = F.pow(F.lit(10.0), F.greatest(-exponent, F.lit(0)))
+    return number * up / down
+
+
+def _bin_width(low: Column, high: Column, maxbins: int) -> tuple[Column, Column]:
+    """Width ``m * 10 ** e`` as (m, e): the smallest with m 1, 2 or 5 and at most ``maxbins`` bins."""
     span = F.coalesce(
         F.nullif(high - low, F.lit(0.0)), F.nullif(F.abs(low), F.lit(0.0)), F.lit(1.0)
     )
-    ten = F.pow(F.lit(10.0), F.ceil(F.log10(span / F.lit(float(maxbins)))))
-    return (
-        F.when(span / (ten / 5) <= maxbins, ten / 5)
-        .when(span / (ten / 2) <= maxbins, ten / 2)
-        .otherwise(ten)
-    )
+    exponent = F.ceil(F.log10(span / F.lit(float(maxbins))) - _SLACK).cast("int") - 1
+    bins = _scaled(span, -exponent)
+    fits = maxbins * (1 + _SLACK)
+    return F.when(bins / 2 <= fits, 2).when(bins / 5 <= fits, 5).otherwise(10), exponent
 
 
 def intensity_histogram(
@@ -213,29 +221,35 @@ def intensity_histogram(
     if col is None:
         raise ValueError(f"no intensity column among {INTENSITY_COLUMNS}")
     counts = value_counts(df, col, [user], name="value").withColumn("value", F.col("value").cast("double"))
-    step = _bin_step(F.min("value"), F.max("value"), maxbins).alias("_step")
     limits = counts.groupBy(user).agg(
-        F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_n"), step
+        F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_n")
     )
     # Reading the counts here too keeps both uses of the grouped table alike, so that its
     # shuffle is reused and the rows are scanned once.
-    limits = limits.filter(F.col("_n") > 0).select(
-        F.col(user).alias("_user"),
-        F.col("_step"),
-        (F.floor(F.col("_low") / F.col("_step")) * F.col("_step")).alias("_start"),
-        (F.ceil(F.col("_high") / F.col("_step")) * F.col("_step")).alias("_stop"),
-    )
-    # The top value belongs to the last bin, also where it equals the upper limit.
-    inside = F.least(F.col("value"), F.greatest(F.col("_stop") - F.col("_step"), F.col("_start")))
-    index = F.floor((inside - F.col("_start")) / F.col("_step") + F.lit(1e-14))
+    limits = limits.filter(F.col("_n") > 0)
+    m, exponent = _bin_width(F.col("_low"), F.col("_high"), maxbins)
+    limits = limits.select(F.col(user).alias("_user"), "_low", "_high", m.alias("_m"), exponent.alias("_e"))
+
+    def place(value: str) -> Column:
+        """Position of a value in units of the bin width."""
+        return _scaled(F.col(value), -F.col("_e")) / F.col("_m")
+
     # Null-safe, see ``lookup``: a user with very many values is split for the join.
-    binned = counts.join(limits, counts[user].eqNullSafe(limits["_user"])).select(
-        user,
-        "n",
-        (F.col("_start") + index * F.col("_step")).alias("bin_start"),
-        (F.col("_start") + (index + 1) * F.col("_step")).alias("bin_end"),
+    binned = counts.join(limits, counts[user].eqNullSafe(limits["_user"]))
+    # The top value belongs to the last bin, also where it equals the upper limit.
+    last = F.greatest(F.ceil(place("_high") - _SLACK) - 1, F.floor(place("_low") + _SLACK))
+    index = F.least(F.floor(place("value") + _SLACK), last)
+    binned = binned.select(user, "n", "_m", "_e", index.alias("_bin"))
+    return (
+        binned.groupBy(user, "_bin", "_m", "_e")
+        .agg(F.sum("n").alias("n"))
+        .select(
+            user,
+            _scaled(F.col("_bin") * F.col("_m"), F.col("_e")).alias("bin_start"),
+            _scaled((F.col("_bin") + 1) * F.col("_m"), F.col("_e")).alias("bin_end"),
+            "n",
+        )
     )
-    return binned.groupBy(user, "bin_start", "bin_end").agg(F.sum("n").alias("n"))
 
 
 def value_counts(
