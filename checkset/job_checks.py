@@ -112,13 +112,14 @@ def silver_gym(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS data_registro, value AS peso, CAST(1.8 AS DOUBLE) AS altura,
-      value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) AS imc, CASE WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 18.5 THEN 'baixo_peso'
-        WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 25 THEN 'normal' WHEN value / (CAST(1.8 AS DOUBLE) * CAST(1.8 AS DOUBLE)) < 30 THEN 'sobrepeso'
-        ELSE 'obesidade' END AS faixa_imc, event_type AS nivel_treinamento
-    FROM (SELECT user_id, value, CASE WHEN event_type = 'error' AND value > 100 THEN NULL ELSE ts END AS ts,
-      event_type FROM events)
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, value DESC) = 1"""
+    """WITH forms AS (
+      SELECT CAST(user_id AS VARCHAR) AS user_id, value AS peso, CAST(1.8 AS DOUBLE) AS altura,
+        CASE WHEN event_type = 'error' AND value > 100 THEN NULL ELSE ts END AS data_registro,
+        event_type AS nivel_treinamento FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY data_registro DESC NULLS FIRST, value DESC) = 1),
+    measured AS (SELECT *, peso / (altura * altura) AS imc FROM forms)
+    SELECT *, CASE WHEN imc < 18.5 THEN 'baixo_peso' WHEN imc < 25 THEN 'normal' WHEN imc < 30 THEN 'sobrepeso'
+      ELSE 'obesidade' END AS faixa_imc FROM measured"""
 )
 def silver_profiles(t: Tables) -> DataFrame:
     missing = (F.col("event_type") == "error") & (F.col("value") > 100)
@@ -190,7 +191,10 @@ def gold_metrics(t: Tables) -> DataFrame:
     return gold.build_metrics(t.sets())
 
 
-@query(with_views("sets", FLAT_SQL.replace("title,\n", "title AS workout_title,\n", 1).replace("exercise_title,", "exercise_title AS exercise_name,")))
+_RENAMED_SQL = f"SELECT * RENAME (title AS workout_title, exercise_title AS exercise_name) FROM ({FLAT_SQL})"
+
+
+@query(with_views("sets", _RENAMED_SQL))
 def csv_job(t: Tables) -> DataFrame:
     src = write_csv(t.flat_sets(), t.scratch("feed"))
     paths = csv_etl.csv_etl(t.spark, src, t.scratch("lake"), DAY)

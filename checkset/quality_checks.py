@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checkset.registry import query
 from checkset.tables import Tables, with_views
+from trainlake.descriptions import USERS
 from trainlake.operators import quality as ql
 from trainlake.sources.writers import write_table
 
@@ -37,11 +38,20 @@ def column_profile(t: Tables) -> DataFrame:
     return ql.profile(_profiled(t)).drop("sample")
 
 
-@query(_profile_sql(", 'Descrição da coluna {c}' AS description, '{k}' AS kind"))
+_TEXTS = {c: USERS.get(c, f"Descrição da coluna {c}") for c, _, _ in _WORKOUT_COLUMNS}
+
+
+@query(
+    _profile_sql(
+        ", CASE '{c}' "
+        + " ".join(f"WHEN '{c}' THEN '{text}'" for c, text in _TEXTS.items())
+        + " END AS description, '{k}' AS kind"
+    )
+)
 def column_dictionary(t: Tables) -> DataFrame:
     rows = _profiled(t)
     counts = ql.profile(rows).select("column_name", "n_rows", "n_null")
-    return ql.data_dictionary(rows).join(counts, "column_name")
+    return ql.data_dictionary(rows, USERS).join(counts, "column_name")
 
 
 _STATUS = {"user_id": "type", "total_reps": "ok", "date": "undeclared", "workout_id": "undeclared", "muscle_group": "ok"}

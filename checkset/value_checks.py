@@ -169,7 +169,8 @@ def bmi(t: Tables) -> DataFrame:
     return vl.with_bmi(people)
 
 
-_FORM_METRES = "CASE WHEN p_type = 'ECONOMY' THEN NULL WHEN p_type = 'PROMO' THEN CAST(p_size + 140 AS DOUBLE) / 100 ELSE CAST(p_size + 140 AS DOUBLE) / 100 END"
+# Centimetres and metres give the same index; no height gives none.
+_FORM_METRES = "CASE WHEN p_type <> 'ECONOMY' THEN CAST(p_size + 140 AS DOUBLE) / 100 END"
 
 
 @query(

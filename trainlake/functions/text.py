@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trainlake.functions.columns import as_col
+
 # Every character that counts as blank, line ends and Unicode spaces included.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
@@ -30,13 +32,9 @@ SHORT_SECRET = "***"
 ANONYMOUS = "anon"
 
 
-def _col(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
 def strip(col: Column | str) -> Column:
     """Remove blanks of every kind at both ends; ``trim`` alone removes only spaces."""
-    return F.btrim(_col(col), F.lit(BLANKS))
+    return F.btrim(as_col(col), F.lit(BLANKS))
 
 
 def clean_value(col: Column | str, zero_width: bool = True) -> Column:
@@ -47,7 +45,7 @@ def clean_value(col: Column | str, zero_width: bool = True) -> Column:
     swaps = [(ESCAPED_ZERO_WIDTH, ""), ("\n", " "), ("\r", " ")]
     if zero_width:
         swaps.append((ZERO_WIDTH, ""))
-    out = _col(col)
+    out = as_col(col)
     for old, new in swaps:
         out = F.replace(out, F.lit(old), F.lit(new))
     return strip(out)
@@ -66,7 +64,7 @@ def clean_text(df: DataFrame, zero_width: bool = True, null_as_text: bool = Fals
 
 
 def clean_category(col: Column | str) -> Column:
-    return strip(F.lower(_col(col)))
+    return strip(F.lower(as_col(col)))
 
 
 def clean_categories(df: DataFrame, cols: list[str], null_as_text: bool = False) -> DataFrame:
@@ -87,12 +85,12 @@ def normalize_text(col: Column | str) -> Column:
 
 
 def slug(col: Column | str) -> Column:
-    return F.translate(F.lower(_col(col)), " -", "__")
+    return F.translate(F.lower(as_col(col)), " -", "__")
 
 
 def mask(col: Column | str) -> Column:
     """Show only the ends of a secret."""
-    c = F.coalesce(_col(col), F.lit(""))
+    c = F.coalesce(as_col(col), F.lit(""))
     ends = F.concat(F.substring(c, 1, 4), F.lit("..."), F.substring(c, -4, 4))
     return (
         F.when(c == "", F.lit(EMPTY_SECRET))
@@ -113,7 +111,7 @@ def user_token(col: Column | str) -> Column:
 
 def parse_list(col: Column | str, null_as_text: bool = False) -> Column:
     """Array of the trimmed, non-empty items of a text such as ``['a', 'b']``."""
-    value = _col(col)
+    value = as_col(col)
     value = F.coalesce(value, F.lit("None" if null_as_text else ""))
     items = F.split(F.translate(value, "[]'", ""), ",")
     return F.filter(F.transform(items, strip), lambda item: item != "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trainlake.functions.columns import as_col
 from trainlake.functions.dates import minutes_between, parse_timestamp
 
 # Class limits and labels of the two body-mass scales.
@@ -36,10 +37,6 @@ REQUIRED_PROFILE = {
 }
 
 
-def _col(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
 def coerce(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast the listed columns that exist; a value that does not fit becomes NULL.
 
@@ -58,7 +55,7 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def meters_to_km(col: Column | str) -> Column:
-    return _col(col) / F.lit(1000.0)
+    return as_col(col) / F.lit(1000.0)
 
 
 def with_duration(
@@ -138,8 +135,8 @@ def with_bmi(df: DataFrame, weight: str = "peso", height: str = "altura") -> Dat
 
 def form_bmi(weight: Column | str, height: Column | str) -> Column:
     """Body-mass index with one decimal; heights above 3 are centimetres."""
-    w = F.nullif(_col(weight).cast("double"), F.lit(0.0))
-    h = _col(height).cast("double")
+    w = F.nullif(as_col(weight).cast("double"), F.lit(0.0))
+    h = as_col(height).cast("double")
     metres = F.when(h > 3, h / 100.0).when(h > 0, h)
     return F.round(w / (metres * metres), 1)
 
@@ -161,5 +158,5 @@ def with_weekly_minutes(
 
 def mean(col: Column | str) -> Column:
     """Mean as one division of the sum, so that exact sums give exact means."""
-    c = _col(col)
+    c = as_col(col)
     return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trainlake.functions.columns import as_col
 from trainlake.functions.dates import completed_age
 from trainlake.functions.values import first_non_empty
 
@@ -54,8 +55,7 @@ PROFILE_LINES = (
 
 def two_decimals(col: Column | str) -> Column:
     """Number with at most two decimals and at least one, never in exponent form."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c.cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.regexp_replace(as_col(col).cast("decimal(38,2)").cast("string"), "0$", "")
 
 
 def _top_line(tops: DataFrame, title: str, name: str, user: str, n: int) -> DataFrame:

@@ -153,4 +153,3 @@ def run_promote(spark: SparkSession, lake: Lake, day: date) -> list[str]:
     catalog = read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date")
     workouts = read_table(spark, lake.silver("workouts"))
     return promote_gold(lake, day, users, workouts, catalog)
-
