@@ -152,7 +152,8 @@ def fact_sets(t: Tables) -> DataFrame:
         f"""SELECT user_id, id, sk_exercise, main_muscle, weight_kg,
           CAST(date_trunc('month', start_time) AS DATE) AS start_month
         FROM (WITH one AS (SELECT 1) {_FACT_SQL})""",
-    )
+    ),
+    dates=["start_month"],
 )
 def fact_job(t: Tables) -> DataFrame:
     lake = Lake(t.scratch("lake"))
@@ -210,7 +211,8 @@ def csv_job(t: Tables) -> DataFrame:
           {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
           {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
         FROM workouts WHERE date IS NOT NULL GROUP BY user_id""",
-    )
+    ),
+    dates=["last_date"],
 )
 def dashboard_job(t: Tables) -> DataFrame:
     paths = dashboard.run_dashboard(t.spark, t.workouts(), t.scratch("dashboard"))
@@ -306,7 +308,8 @@ def ingest_batches(t: Tables) -> DataFrame:
         "nested",
         """SELECT user_id, id, exercise_title, set_index, weight_kg, distance_km, duracao, start_month FROM (
           SELECT *, CAST(45 AS DOUBLE) AS duracao, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM nested)""",
-    )
+    ),
+    dates=["start_month"],
 )
 def stream_sets(t: Tables) -> DataFrame:
     src, dst, checkpoint = t.scratch("raw"), t.scratch("silver"), t.scratch("checkpoint")

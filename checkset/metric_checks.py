@@ -15,13 +15,14 @@ from trainlake.operators import metrics as mt
         "sets",
         """SELECT CAST(start_time AS DATE) AS date, CAST(sum(weight_kg * reps) AS DOUBLE) AS volume
         FROM sets GROUP BY 1""",
-    )
+    ),
+    dates=["date"],
 )
 def volume_per_day(t: Tables) -> DataFrame:
     return mt.volume_per_day(t.sets())
 
 
-@query(with_views("sets", "SELECT CAST(start_time AS DATE) AS date, count(*) AS n FROM sets GROUP BY 1"))
+@query(with_views("sets", "SELECT CAST(start_time AS DATE) AS date, count(*) AS n FROM sets GROUP BY 1"), dates=["date"])
 def rows_per_day(t: Tables) -> DataFrame:
     return mt.rows_per_day(t.sets())
 
@@ -46,7 +47,8 @@ def top_exercises(t: Tables) -> DataFrame:
           {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
           {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
         FROM workouts WHERE date IS NOT NULL GROUP BY user_id""",
-    )
+    ),
+    dates=["last_date"],
 )
 def user_kpis(t: Tables) -> DataFrame:
     return mt.user_kpis(t.workouts())
@@ -70,7 +72,8 @@ _DAILY = """SELECT user_id, CAST(date AS DATE) AS day, coalesce(sum(total_sets),
 @query(
     with_views(
         "workouts", f"SELECT user_id, day, CAST(daily_sets AS BIGINT) AS daily_sets FROM ({_DAILY})"
-    )
+    ),
+    dates=["day"],
 )
 def daily_sets(t: Tables) -> DataFrame:
     return mt.daily_sets(t.workouts())
@@ -85,7 +88,8 @@ _LAST_7 = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND
         f"""SELECT user_id, day, CAST(daily_sets AS BIGINT) AS daily_sets,
           CAST(sum(daily_sets) {_LAST_7} AS DOUBLE) / count(*) {_LAST_7} AS rolling_7d
         FROM ({_DAILY})""",
-    )
+    ),
+    dates=["day"],
 )
 def rolling_mean(t: Tables) -> DataFrame:
     return mt.rolling_mean(mt.daily_sets(t.workouts()))
@@ -224,7 +228,8 @@ def high_water_mark_text(t: Tables) -> DataFrame:
           count(DISTINCT CAST(date AS DATE)) AS days, CAST(coalesce(sum(total_sets), 0) AS BIGINT) AS total_sets,
           CAST(coalesce(sum(total_reps), 0) AS BIGINT) AS total_reps
         FROM workouts WHERE date IS NOT NULL GROUP BY 1, 2""",
-    )
+    ),
+    dates=["month"],
 )
 def monthly_summary(t: Tables) -> DataFrame:
     return mt.monthly_summary(t.workouts())
@@ -254,7 +259,8 @@ _BEFORE = "OVER (PARTITION BY user_id, exercise_title ORDER BY day)"
           CAST(v - lag(v) {_BEFORE} AS DOUBLE) AS volume_change
         FROM (SELECT user_id, exercise_title, CAST(start_time AS DATE) AS day, max(weight_kg) AS w,
           sum(weight_kg * reps) AS v FROM sets GROUP BY 1, 2, 3)""",
-    )
+    ),
+    dates=["day"],
 )
 def progression(t: Tables) -> DataFrame:
     return mt.progression(t.sets())

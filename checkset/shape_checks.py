@@ -178,7 +178,8 @@ def key_sets(t: Tables) -> DataFrame:
 
 @query(
     """SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month FROM events
-    UNION ALL SELECT NULL, DATE '1970-01-01'"""
+    UNION ALL SELECT NULL, DATE '1970-01-01'""",
+    dates=["month"],
 )
 def union_all(t: Tables) -> DataFrame:
     t.events.select("user_id", month_of("ts").alias("month")).createOrReplaceTempView("event_months")

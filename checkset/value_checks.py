@@ -21,7 +21,8 @@ def as_of():
     """SELECT event_id, ts, CAST(ts AS DATE) AS date_only,
       CAST(weekofyear(ts) AS INTEGER) AS week, CAST(year(ts) AS INTEGER) AS year,
       strftime(ts, '%Y-%U') AS year_week, CAST(date_trunc('month', ts) AS DATE) AS month,
-      dayname(ts) AS dow, CAST(isodow(ts) - 1 AS INTEGER) AS weekday FROM events"""
+      dayname(ts) AS dow, CAST(isodow(ts) - 1 AS INTEGER) AS weekday FROM events""",
+    dates=["date_only", "month"],
 )
 def calendar(t: Tables) -> DataFrame:
     return dt.with_calendar(t.events.select("event_id", "ts"), "ts")
@@ -29,7 +30,8 @@ def calendar(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%U') AS year_week,
-      CAST(date_trunc('week', o_orderdate) AS DATE) AS monday FROM orders"""
+      CAST(date_trunc('week', o_orderdate) AS DATE) AS monday FROM orders""",
+    dates=["monday"],
 )
 def week_numbers(t: Tables) -> DataFrame:
     return t.orders.select(
@@ -63,7 +65,8 @@ def completed_age(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS DATE) END AS day
-    FROM orders"""
+    FROM orders""",
+    dates=["day"],
 )
 def parse_date(t: Tables) -> DataFrame:
     fmt = F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd"))

@@ -57,7 +57,7 @@ def difference(df, con, sql: str) -> str | None:
     want_kinds = {c[0]: kind(str(c[1])) for c in cursor.description}
     want_rows = cursor.fetchall()
     have_kinds = {n: kind(t) for n, t in df.dtypes}
-    nested = {n: t for n, t in df.dtypes if t.startswith(("decimal", "array", "map", "struct")) or t == "timestamp"}
+    nested = {n: t for n, t in df.dtypes if t.startswith(("decimal", "array", "map", "struct")) or t in ("timestamp", "date")}
     if nested:
         return f"types that other engines print differently: {nested}"
     if sorted(want_names) != sorted(df.columns):
