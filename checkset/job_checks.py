@@ -7,8 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checkset.metric_checks import LAST_SQL, SUMMARY_SQL, top_sql
-from checkset.registry import query, rounded
+from checkset.metric_checks import KPI_SQL, LAST_SQL, SUMMARY_SQL, top_sql
+from checkset.registry import query
 from checkset.source_checks import FLAT_SQL, METRICS_SQL, write_csv
 from checkset.tables import Tables, with_views
 from checkset.value_checks import as_of
@@ -202,18 +202,7 @@ def csv_job(t: Tables) -> DataFrame:
     return read_table(t.spark, paths["silver"])
 
 
-@query(
-    with_views(
-        "workouts",
-        f"""SELECT user_id, count(*) AS workouts, count(DISTINCT CAST(date AS DATE)) AS days,
-          CAST(max(date) AS DATE) AS last_date,
-          {rounded('CAST(sum(total_sets) AS DOUBLE) / count(total_sets)', 1)} AS avg_total_sets,
-          {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
-          {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
-        FROM workouts WHERE date IS NOT NULL GROUP BY user_id""",
-    ),
-    dates=["last_date"],
-)
+@query(with_views("workouts", KPI_SQL), dates=["last_date"])
 def dashboard_job(t: Tables) -> DataFrame:
     paths = dashboard.run_dashboard(t.spark, t.workouts(), t.scratch("dashboard"))
     return read_table(t.spark, paths["kpis"])

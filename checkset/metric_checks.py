@@ -38,18 +38,15 @@ def top_exercises(t: Tables) -> DataFrame:
     return mt.top_exercises(t.sets())
 
 
-@query(
-    with_views(
-        "workouts",
-        f"""SELECT user_id, count(*) AS workouts, count(DISTINCT CAST(date AS DATE)) AS days,
-          CAST(max(date) AS DATE) AS last_date,
-          {rounded('CAST(sum(total_sets) AS DOUBLE) / count(total_sets)', 1)} AS avg_total_sets,
-          {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
-          {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
-        FROM workouts WHERE date IS NOT NULL GROUP BY user_id""",
-    ),
-    dates=["last_date"],
-)
+KPI_SQL = f"""SELECT user_id, count(*) AS workouts, count(DISTINCT CAST(date AS DATE)) AS days,
+      CAST(max(date) AS DATE) AS last_date,
+      {rounded('CAST(sum(total_sets) AS DOUBLE) / count(total_sets)', 1)} AS avg_total_sets,
+      {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
+      {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
+    FROM workouts WHERE date IS NOT NULL GROUP BY user_id"""
+
+
+@query(with_views("workouts", KPI_SQL), dates=["last_date"])
 def user_kpis(t: Tables) -> DataFrame:
     return mt.user_kpis(t.workouts())
 
