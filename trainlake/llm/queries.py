@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, exact_dedup, licenses, packing, token_blocks
+from trainlake.llm import chat, exact_dedup, fingerprints, licenses, ngram_join, packing, token_blocks
 from trainlake.llm.common import table
 from trainlake.session import apply_defaults
 
@@ -30,6 +30,16 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"))
