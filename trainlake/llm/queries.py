@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, exact_dedup, fingerprints, licenses, ngram_join, packing, token_blocks
+from trainlake.llm import chat, exact_dedup, fingerprints, language, licenses, ngram_join, packing, token_blocks
 from trainlake.llm.common import table
 from trainlake.session import apply_defaults
 
@@ -89,3 +89,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = chat.format_chats(given.unionByName(own), chat.text_part(F.col("text")))
     return chat.digests(chats)
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
