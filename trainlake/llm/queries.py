@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, exact_dedup, fingerprints, language, licenses, ngram_join, packing, token_blocks
+from trainlake.llm import chat, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, token_blocks
 from trainlake.llm.common import table
 from trainlake.session import apply_defaults
 
@@ -67,6 +67,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
