@@ -3,34 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trainlake.llm import exact_dedup, packing
-from trainlake.llm.common import table, written
-from trainlake.session import apply_defaults
+from trainlake.llm import exact_dedup, language, ngram_join, packing
+from trainlake.llm.common import prepared, table, written
+
+#: A document whose likeliest language has less than this probability is rejected.
+MIN_SCORE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows: without a letter, or below ``MIN_SCORE``,
+    they go. Columns stay as they are."""
+    prepared(spark)
+    model = language.fit(docs)
+    labelled = language.predict(docs, model, prediction="_lang", score="_score")
+    return labelled.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays, the one with the largest id."""
+    prepared(spark)
     return exact_dedup.keep_one_of_each(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    prepared(spark)
+    groups = ngram_join.jaccard_components(docs)
+    first = groups.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_first"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
+    prepared(spark)
     return packing.pack(docs)
 
 
 STAGES = [
+    ("language ID", language_stage),
     ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_dedup_stage),
     ("packing", packing_stage),
 ]
 
+#: SQL has neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
-    apply_defaults(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.session import scratch_path
+from trainlake.session import apply_defaults, scratch_path
+
+#: Rows go to Python in batches of so many bytes, however long the texts are.
+BATCH_BYTES = 8 << 20
 
 
 def ship_by_value(module: str) -> None:
@@ -22,6 +25,12 @@ def ship_by_value(module: str) -> None:
 ship_by_value(__name__)
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's defaults and batches bounded by their bytes."""
+    apply_defaults(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +57,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has about ``most_bytes`` in each; a longer text stays
     whole in a slice of its own. Bounds the memory of what is derived from a slice."""
     for batch in batches:

@@ -64,6 +64,8 @@ def dedup_exact(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ids are kept, all columns; ids are expected to be unique."""
-    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, col(id_col) == F.col("_kept_id"), "left_semi")
+    """The rows of ``docs`` whose id and text are kept, all columns. Ids are expected to be
+    unique: rows that repeat both id and text stay together."""
+    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    same = col(id_col).eqNullSafe(F.col("_kept_id")) & (F.sha2(F.coalesce(col(text_col), F.lit("")), 256) == F.col("_kept_text"))
+    return docs.join(kept, same, "left_semi")

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, token_blocks
-from trainlake.llm.common import table
-from trainlake.session import apply_defaults
+from trainlake.llm import chat, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks
+from trainlake.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,7 +19,7 @@ def query(sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(apply_defaults(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         QUERIES[fn.__name__] = run
         if sql:
@@ -35,6 +34,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summarise(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_sensitivity(table(spark, sf_dir, "documents"))
