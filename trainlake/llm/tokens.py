@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from trainlake.llm.common import ship_by_value
+from trainlake.llm.common import ship_by_value, text_bytes
 
 ship_by_value(__name__)
 
 END_ID = 2
-CACHED_WORDS = 200_000
+CACHED_UNITS = 400_000
+JOINED = 512
+LETTER, DIGIT, OTHER = 1, 2, 3
+#: A unit that the tokenizer takes as exactly one word: Latin letters, a digit, or signs.
+ONE_WORD = re.compile(r"[a-zÀ-ÖØ-öø-įı-ʯ]+|[0-9]|[!-&(-/:-@\[-`{}~]+")
 
 
 def word_bpe_path() -> str:
@@ -20,12 +25,30 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte: its kind (0 for white space), whether it makes the word around it one that
+    is not cut, and its lower case. Apostrophes make contractions and bars special tokens, and of
+    the letters beyond ASCII only those up to U+02AF (two bytes, from 0xC3 to 0xC9) are sure."""
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[list(b" \t\n\v\f\r")] = 0
+    kinds[48:58] = DIGIT
+    kinds[65:91] = kinds[97:123] = kinds[128:] = LETTER
+    whole = np.zeros(256, bool)
+    whole[list(b"'|")] = True
+    whole[0xC0:0xC3] = whole[0xCA:] = True
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    return kinds, whole, lower
+
+
 class WordEncoder:
-    """Encodes texts word by word.
+    """Encodes texts unit by unit.
 
-    The tokenizer drops white space and never merges over it, so the ids of a text are those of
-    its words, one after the other. Each distinct word of a batch is encoded once; a cache of
-    at most ``CACHED_WORDS`` words carries over to the next batch and is emptied when full.
+    The tokenizer splits at white space and between letters, digits and signs, lower-cases, and
+    never merges over a split, so the ids of a text are those of its units, one after the other.
+    A word with an apostrophe, a bar or characters beyond Latin letters is a unit as a whole.
+    Each distinct unit of a batch is encoded once; a cache of about ``CACHED_UNITS`` carries over
+    to the next batch and is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -35,34 +58,88 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = words
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[word] = got.ids
-        found = [self.cache[w] for w in words]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        return found
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.tables = byte_kinds()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def learn(self, units: list[str]) -> None:
+        """Add units to the cache. Those that are one word each are encoded many at a time; the
+        token that closes a word shows where the next one begins."""
+        simple = [u for u in units if ONE_WORD.fullmatch(u)]
+        parts: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        rest = [u for u in units if not ONE_WORD.fullmatch(u)]
+        runs = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            ends = np.nonzero(self.closes[ids])[0] + 1
+            if len(ends) == len(run) and ends[-1] == len(ids):
+                parts.append((run, ids, ends))
+            else:
+                rest += run
+        if rest:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            parts.append((rest, np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each])))
+        for run, _, _ in parts:
+            for unit in run:
+                self.known[unit] = len(self.known)
+        at = self.ends[-1]
+        all_ends = [self.ends]
+        for _, ids, ends in parts:
+            all_ends.append(ends + at)
+            at += len(ids)
+        self.ids = np.concatenate([self.ids, *(ids for _, ids, _ in parts)])
+        self.ends = np.concatenate(all_ends)
+
+    def units(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The units of texts without nulls, and the unit offsets of the texts."""
+        kinds, whole, lower = self.tables
+        data, offsets = text_bytes(texts)
+        n = len(data)
+        kind = kinds[data]
+        inked = kind > 0
+        before = np.zeros(n, np.uint8)
+        before[1:] = kind[:-1]
+        before[offsets[:-1][offsets[:-1] < n]] = 0
+        word_starts = np.nonzero(inked & (before == 0))[0]
+        cuts = np.nonzero(inked & (before > 0) & ((kind != before) | (kind == DIGIT)))[0]
+        odd = whole[data]
+        pair = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        odd[:-1] |= pair
+        uncut = np.zeros(len(word_starts), bool)
+        uncut[np.searchsorted(word_starts, np.nonzero(odd)[0], side="right") - 1] = True
+        if uncut.any():
+            cuts = cuts[~uncut[np.searchsorted(word_starts, cuts, side="right") - 1]]
+            bounds = np.append(word_starts, n)
+            as_is = np.repeat(np.concatenate([[False], uncut]), np.diff(np.concatenate([[0], bounds])))
+            data = np.where(as_is, data, lower[data])
+        else:
+            data = lower[data]
+        starts = np.sort(np.concatenate([word_starts, cuts]))
+        places = np.cumsum(inked) - 1
+        unit_offsets = np.append(places[starts], int(inked.sum())).astype(np.int64)
+        strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(unit_offsets), pa.py_buffer(np.ascontiguousarray(data[inked])))
+        return strings.dictionary_encode(), np.searchsorted(starts, offsets)
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the offsets of the texts in it; null is empty."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets = offsets - offsets[0]
-        per_word = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        flat = np.fromiter((i for ids in per_word for i in ids), np.uint32, int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-        index = coded.indices.to_numpy()
-        counts = sizes[index]
+        coded, offsets = self.units(texts.fill_null(""))
+        units = coded.dictionary.to_pylist()
+        new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > CACHED_UNITS and self.known:
+            self.forget()
+            new = units
+        self.learn(new)
+        at = np.fromiter((self.known[u] for u in units), np.int64, len(units))[coded.indices.to_numpy()]
+        starts = self.ends[at]
+        counts = self.ends[at + 1] - starts
         ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(starts[index] - ends[:-1], counts) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
         text_ends = ends[offsets]
         if end_id is None:
             return ids, text_ends
