@@ -3,46 +3,69 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checkset.metric_checks import KPI_SQL, LAST_SQL, SUMMARY_SQL, top_sql
-from checkset.registry import query
+from checkset.registry import query, rounded
 from checkset.source_checks import FLAT_SQL, METRICS_SQL, write_csv
-from checkset.tables import Tables, with_views
+from checkset.tables import Tables, spelled, with_views
 from checkset.value_checks import as_of
-from trainlake.plans import context, csv_etl, dashboard, gold, silver
+from trainlake.plans import context, csv_etl, dashboard, gold, silver, star
+from trainlake.plans import profiles as profiles_job
 from trainlake.plans.lake import Lake
-from trainlake.sources.readers import read_latest_snapshot, read_table
-from trainlake.sources.writers import write_table
+from trainlake.sources.readers import read_appended, read_latest_snapshot, read_table
+from trainlake.sources.writers import append_batch, write_snapshot, write_table
 from trainlake.streaming.batch import ingest_incremental
 from trainlake.streaming.stream import stream_workouts
 
 DAY = date(2024, 6, 15)
 NEXT_DAY = date(2024, 6, 16)
 
-_SET_FIELDS = """CAST(user_id AS VARCHAR) AS user_id, title, start_time, end_time, exercise_title,
-      superset_id, set_index, set_type, weight_kg, reps, distance_km, rpe, id, id_exercice, duracao"""
-_SILVER_SQL = f"""SELECT {_SET_FIELDS} FROM (
-    SELECT user_id, title, start_time, end_time, exercise_title, CAST(NULL AS INTEGER) AS superset_id,
-      set_index, set_type, weight_kg, reps,
-      CASE WHEN set_type = 'A' THEN CAST(reps AS DOUBLE) END AS distance_km, rpe, CAST(NULL AS VARCHAR) AS id,
-      CAST(NULL AS VARCHAR) AS id_exercice,
-      date_diff('microsecond', start_time, end_time) / 60000000 AS duracao FROM sets
-    UNION ALL SELECT 'api-user', title, start_time, end_time, exercise_title, superset_id, set_index, set_type,
-      weight_kg, reps, distance_km, rpe, id, id, CAST(45 AS DOUBLE) FROM nested)"""
 
 
-@query(with_views("sets nested", _SILVER_SQL))
+def silver_sql(user: str) -> str:
+    """Every silver column of base sets and of the nested workouts, whose user is ``user``."""
+    return f"""SELECT CAST(user_id AS VARCHAR) AS user_id, * EXCLUDE (user_id) FROM (
+      SELECT CAST(user_id AS VARCHAR) AS user_id, title, start_time, end_time, CAST(NULL AS VARCHAR) AS description,
+        exercise_title, CAST(NULL AS INTEGER) AS superset_id, CAST(NULL AS VARCHAR) AS exercise_notes,
+        set_index, set_type, weight_kg, reps, CASE WHEN set_type = 'A' THEN CAST(reps AS DOUBLE) END AS distance_km,
+        CAST(NULL AS DOUBLE) AS duration_seconds, rpe, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS routine_id,
+        CAST(NULL AS VARCHAR) AS updated_at, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS id_exercice,
+        date_diff('microsecond', start_time, end_time) / 60000000 AS duracao FROM sets
+      UNION ALL SELECT {user}, title, start_time, end_time, description, exercise_title, superset_id, exercise_notes,
+        set_index, set_type, weight_kg, reps, distance_km, duration_seconds, rpe, id, routine_id, updated_at, created_at,
+        id, CAST(45 AS DOUBLE) FROM nested)"""
+
+
+@query(with_views("sets nested", silver_sql("'api-user'")))
 def silver_workouts(t: Tables) -> DataFrame:
     base = read_table(t.spark, t.landed("flat_sets"))
-    sets = silver.build_silver_workouts(base, t.landed_nested(), "api-user", keep_nested=False)
+    sets = silver.build_silver_workouts(base, t.landed_nested(), "api-user")
     path = t.scratch("silver")
     write_table(sets, path)
-    cols = """user_id title start_time end_time exercise_title superset_id set_index set_type weight_kg reps
-        distance_km rpe id id_exercice duracao""".split()
-    return read_table(t.spark, path).select(*cols)
+    return read_table(t.spark, path)
+
+
+@query(
+    with_views(
+        "sets nested",
+        f"SELECT *, CAST(date_trunc('month', start_time) AS DATE) AS start_month FROM ({silver_sql('user_id')})",
+    ),
+    dates=["start_month"],
+)
+def silver_workouts_job(t: Tables) -> DataFrame:
+    """The job over a bronze of many users: two delivered days, the second one as an increment."""
+    lake = Lake(t.scratch("lake"))
+    write_table(t.flat_sets(), lake.bronze("workouts_base"))
+    nested = t.landed_nested()
+    append_batch(nested.filter("routine_id <> 'O'"), lake.bronze("workouts"), DAY)
+    silver.run_silver_workouts(t.spark, lake)
+    append_batch(nested.filter("routine_id = 'O'"), lake.bronze("workouts"), NEXT_DAY)
+    silver.run_silver_workouts(t.spark, lake, day=NEXT_DAY)
+    return read_appended(t.spark, lake.silver("workouts"))
 
 
 @query(
@@ -80,7 +103,7 @@ def silver_catalog(t: Tables) -> DataFrame:
 
 @query(
     """SELECT DISTINCT l_partkey AS sk_exercise, l_returnflag AS exercise_title_heavy,
-      l_linestatus AS exercise_title_kaggle, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS score
+      l_linestatus AS exercise_name_kaggle, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS score
     FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity >= 5"""
 )
 def silver_mapping(t: Tables) -> DataFrame:
@@ -149,8 +172,7 @@ def fact_sets(t: Tables) -> DataFrame:
 @query(
     with_views(
         "sets catalog mapping",
-        f"""SELECT user_id, id, sk_exercise, main_muscle, weight_kg,
-          CAST(date_trunc('month', start_time) AS DATE) AS start_month
+        f"""SELECT *, CAST(date_trunc('month', start_time) AS DATE) AS start_month
         FROM (WITH one AS (SELECT 1) {_FACT_SQL})""",
     ),
     dates=["start_month"],
@@ -159,8 +181,15 @@ def fact_job(t: Tables) -> DataFrame:
     lake = Lake(t.scratch("lake"))
     sets = read_table(t.spark, t.landed("sets"))
     gold.write_fact_sets(gold.build_fact_sets(sets, t.mapping(), t.catalog()), lake)
-    fact = read_table(t.spark, lake.gold("fact_train"))
-    return fact.select("user_id", "id", "sk_exercise", "main_muscle", "weight_kg", "start_month")
+    return read_table(t.spark, lake.gold("fact_train"))
+
+
+@query(with_views("sets catalog mapping", _FACT_SQL))
+def mapping_to_fact(t: Tables) -> DataFrame:
+    """The fact by way of the silver mapping, whose source has the columns' other names."""
+    names = {"sk_exercise": " SK Exercise", "exercise_title_heavy": "Exercise Title Hevy", "exercise_name_kaggle": "exercise_kaggle "}
+    mapping = silver.build_silver_mapping(t.mapping().withColumnsRenamed(names))
+    return gold.build_fact_sets(t.sets(), mapping, t.catalog())
 
 
 @query(
@@ -172,19 +201,27 @@ def dim_catalog(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT 'users' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'workouts', count(*) FROM lineitem
-    UNION ALL SELECT 'exercises', count(*) FROM part"""
+    with_views(
+        "accounts sets",
+        """SELECT 'users' AS kind, user_id AS key, email AS value FROM accounts
+        UNION ALL SELECT 'workouts', id || '/' || set_index, exercise_title FROM sets
+        UNION ALL SELECT 'exercises', p_name, p_type || ' ' || p_brand FROM part""",
+    )
 )
 def gold_snapshots(t: Tables) -> DataFrame:
     lake = Lake(t.scratch("lake"))
     exercises = t.catalog().withColumnRenamed("Exercise Name", "title")
     gold.promote_gold(lake, DAY, t.accounts(), t.sets(), exercises)
     gold.promote_gold(lake, DAY, t.accounts(), t.sets(), t.catalog())
-    counts = []
-    for kind, name in (("users", "dim_users"), ("workouts", "fact_workouts"), ("exercises", "dim_exercises")):
-        rows = read_latest_snapshot(t.spark, lake.gold(name))
-        counts.append(rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")))
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    users, workouts, exercises = (
+        read_latest_snapshot(t.spark, lake.gold(name)) for name in ("dim_users", "fact_workouts", "dim_exercises")
+    )
+    shown = [
+        users.select(F.lit("users").alias("kind"), F.col("user_id").alias("key"), F.col("email").alias("value")),
+        workouts.select(F.lit("workouts"), F.concat_ws("/", F.col("id").cast("string"), F.col("set_index").cast("string")), "exercise_title"),
+        exercises.select(F.lit("exercises"), "title", F.concat_ws(" ", "Main_muscle", "Equipment")),
+    ]
+    return shown[0].unionAll(shown[1]).unionAll(shown[2])
 
 
 @query(with_views("sets", METRICS_SQL))
@@ -202,9 +239,66 @@ def csv_job(t: Tables) -> DataFrame:
     return read_table(t.spark, paths["silver"])
 
 
-@query(with_views("workouts", KPI_SQL), dates=["last_date"])
+# Each dashboard table as rows of the same columns: its name, the user, a key and a number.
+_SHOWN = {
+    "kpis": ("concat_ws('/', workouts, days)", "avg_total_sets"),
+    "weekly": ("year_week", "workouts"),
+    "daily": ("CAST(day AS STRING)", "rolling_7d"),
+    "muscle_share": ("muscle_group", "percent"),
+    "dow_muscle": ("concat_ws('/', dow_index, muscle_group)", "total_sets"),
+    "exercise_ranking": ("concat_ws('/', position, exercise_name)", "total_sets"),
+    "duration_volume": ("CAST(total_sets AS STRING)", "duration_min"),
+    "detail": ("concat_ws('/', year_week, exercise_name)", "weight_kg"),
+}
+_DASHBOARD_SQL = f""", dated AS (SELECT * FROM workouts WHERE date IS NOT NULL),
+    daily AS (SELECT user_id, CAST(date AS DATE) AS day, coalesce(sum(total_sets), 0) AS sets FROM dated GROUP BY 1, 2),
+    share AS (SELECT user_id, muscle_group, coalesce(sum(total_sets), 0) AS v FROM dated
+      WHERE muscle_group IS NOT NULL GROUP BY 1, 2),
+    ranking AS (SELECT user_id, exercise_name, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, exercise_name) AS position
+      FROM (SELECT user_id, exercise_name, coalesce(sum(total_sets), 0) AS v FROM dated
+        WHERE exercise_name IS NOT NULL GROUP BY 1, 2) QUALIFY position <= 10)
+    SELECT 'kpis' AS table_name, user_id, workouts || '/' || days AS key, avg_total_sets AS value FROM ({KPI_SQL})
+    UNION ALL SELECT 'weekly', user_id, strftime(date, '%Y-%U'), CAST(count(*) AS DOUBLE) FROM dated GROUP BY 2, 3
+    UNION ALL SELECT 'daily', user_id, CAST(day AS VARCHAR), CAST(sum(sets) OVER last AS DOUBLE) / count(*) OVER last FROM daily
+      WINDOW last AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+    UNION ALL SELECT 'muscle_share', user_id, muscle_group,
+      100.0 * CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY user_id) AS DOUBLE) FROM share
+    UNION ALL SELECT 'dow_muscle', user_id, (isodow(date) - 1) || '/' || muscle_group, CAST(coalesce(sum(total_sets), 0) AS DOUBLE)
+      FROM dated WHERE muscle_group IS NOT NULL GROUP BY 2, 3
+    UNION ALL SELECT 'exercise_ranking', user_id, position || '/' || exercise_name, CAST(v AS DOUBLE) FROM ranking
+    UNION ALL SELECT 'duration_volume', user_id, CAST(total_sets AS VARCHAR), CAST(duration_min AS DOUBLE) FROM dated
+    UNION ALL SELECT 'detail', user_id, strftime(date, '%Y-%U') || '/' || exercise_name, CAST(weight_kg AS DOUBLE) FROM dated"""
+
+
+@query(with_views("workouts", _DASHBOARD_SQL))
 def dashboard_job(t: Tables) -> DataFrame:
     paths = dashboard.run_dashboard(t.spark, t.workouts(), t.scratch("dashboard"))
+    if set(paths) != set(_SHOWN):
+        raise ValueError(f"the dashboard has other tables: {sorted(paths)}")
+    shown = [
+        read_table(t.spark, paths[name]).select(
+            F.lit(name).alias("table_name"), "user_id", F.expr(key).alias("key"), F.col(value).cast("double").alias("value")
+        )
+        for name, (key, value) in _SHOWN.items()
+    ]
+    return reduce(DataFrame.unionAll, shown)
+
+
+@query(
+    with_views(
+        "workouts",
+        f"""SELECT user_id, count(*) AS workouts,
+          {rounded('CAST(sum(total_reps) AS DOUBLE) / count(total_reps)', 1)} AS avg_total_reps,
+          {rounded('CAST(sum(duration_min) AS DOUBLE) / count(duration_min)', 1)} AS avg_duration_min
+        FROM workouts GROUP BY user_id""",
+    )
+)
+def dashboard_sparse(t: Tables) -> DataFrame:
+    """Workouts without date, muscle group, sets and intensity: what can be shown is."""
+    sparse = t.workouts().select("workout_id", "user_id", "total_reps", "duration_min")
+    paths = dashboard.run_dashboard(t.spark, sparse, t.scratch("dashboard"))
+    if set(paths) != {"kpis", "detail"}:
+        raise ValueError(f"the sparse dashboard has other tables: {sorted(paths)}")
     return read_table(t.spark, paths["kpis"])
 
 
@@ -242,6 +336,25 @@ def summary_text(t: Tables) -> DataFrame:
     return context.build_summaries(t.workouts(), tie_break=["workout_id"])
 
 
+_UNDATED_SQL = f""", ex AS ({top_sql('exercise_name', dated=False)}), mu AS ({top_sql('muscle_group', dated=False)}),
+    summary AS (SELECT user_id, CAST(sum(total_sets) AS DOUBLE) AS total_sets, CAST(sum(total_reps) AS DOUBLE) AS total_reps,
+      {rounded('CAST(sum(weight_kg) AS DOUBLE) / count(weight_kg)', 2)} AS avg_weight,
+      {rounded('CAST(sum(rpe) AS DOUBLE) / count(rpe)', 2)} AS avg_rpe_or_intensity FROM workouts GROUP BY user_id),
+    ex_line AS (SELECT user_id, string_agg(value || ' (' || n || 'x)', ', ' ORDER BY position) AS line
+      FROM ex WHERE position <= 6 GROUP BY user_id),
+    mu_line AS (SELECT user_id, string_agg(value || ' (' || n || 'x)', ', ' ORDER BY position) AS line
+      FROM mu WHERE position <= 6 GROUP BY user_id)
+    SELECT s.user_id, concat_ws(chr(10), 'Histórico real de treinos (GOLD fact_train):',
+      {', '.join(f"'{label}' || " + _NUMBER.format(name) for label, name in _LINES)},
+      '- Exercícios mais frequentes: ' || ex_line.line, '- Grupos musculares mais treinados: ' || mu_line.line) AS summary
+    FROM summary s LEFT JOIN ex_line USING (user_id) LEFT JOIN mu_line USING (user_id)"""
+
+
+@query(with_views("workouts", _UNDATED_SQL))
+def summary_without_date(t: Tables) -> DataFrame:
+    return context.build_summaries(t.workouts().drop("date"))
+
+
 _PROFILE_SQL = """SELECT c_custkey AS user_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10),
       'Perfil do aluno:', '- Nome: ' || c_name,
       '- Idade: ' || (2024 - (1950 + c_nationkey) - 1),
@@ -277,19 +390,20 @@ def profile_text(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, event_type AS "user", CAST(dt AS INTEGER) AS dt FROM (
+    """SELECT event_id, event_type AS user_id, CAST(dt AS INTEGER) AS dt FROM (
       SELECT *, 20240615 AS dt FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'
       UNION ALL SELECT *, 20240616 FROM events WHERE ts > (SELECT max(ts) FROM events
         WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'))"""
 )
 def ingest_batches(t: Tables) -> DataFrame:
     state, dst = t.scratch("state"), t.scratch("bronze")
-    feed = t.events.select("event_id", F.col("event_type").alias("user_id"), F.col("ts").cast("timestamp").alias("updated_at"))
-    early = feed.filter("updated_at <= TIMESTAMP '2024-01-20 00:00:00'")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    feed = t.events.select("event_id", F.col("event_type").alias("user_id"), stamp.alias("updated_at"))
+    early = feed.filter("CAST(updated_at AS TIMESTAMP) <= TIMESTAMP '2024-01-20 00:00:00'")
     ingest_incremental(t.spark, early, state, dst, DAY)
     ingest_incremental(t.spark, feed, state, dst, NEXT_DAY)
     ingest_incremental(t.spark, feed, state, dst, NEXT_DAY)
-    return read_table(t.spark, dst).select("event_id", "user", "dt")
+    return read_table(t.spark, dst).select("event_id", "user_id", "dt")
 
 
 @query(
@@ -312,6 +426,71 @@ def stream_sets(t: Tables) -> DataFrame:
     return read_table(t.spark, dst).select(*cols)
 
 
+_LOGGED = with_views(
+    "accounts changes",
+    """SELECT c.user_id, updated_at, c.objetivo, c.peso, 20240616 AS dt FROM changes c
+    WHERE c.user_id IN (SELECT user_id FROM accounts)""",
+)
+
+
+@query(_LOGGED)
+def change_log(t: Tables) -> DataFrame:
+    """The log that the profile job writes; ``upsert_text_stamps`` shows its accounts."""
+    lake = Lake(t.scratch("lake"))
+    write_snapshot(t.accounts(), lake.gold("users_app"), DAY)
+    profiles_job.run_profile_changes(t.spark, lake, t.changes().drop("changed"), NEXT_DAY)
+    return read_appended(t.spark, lake.bronze("user_form"))
+
+
+@query(
+    with_views(
+        "accounts changes",
+        """, last AS (SELECT user_id, peso, objetivo FROM changes
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1)
+        SELECT a.user_id, a.nome, a.email, a.created_at,
+          CASE WHEN l.user_id IS NOT NULL THEN l.objetivo ELSE a.objetivo END AS objetivo,
+          CASE WHEN l.user_id IS NOT NULL THEN l.peso ELSE a.peso END AS peso
+        FROM accounts a LEFT JOIN last l ON a.user_id = l.user_id""",
+    )
+)
+def upsert_text_stamps(t: Tables) -> DataFrame:
+    """Accounts after the profile job; the changes say their time as text, in two zones."""
+    lake = Lake(t.scratch("lake"))
+    write_snapshot(t.accounts(), lake.gold("users_app"), DAY)
+    changes = t.changes().drop("changed").withColumn("updated_at", spelled("updated_at", "objetivo"))
+    profiles_job.run_profile_changes(t.spark, lake, changes, NEXT_DAY)
+    return read_latest_snapshot(t.spark, lake.gold("users_app")).drop("snapshot_date")
+
+
+STAR_SQL = """WITH m AS (SELECT DISTINCT l_partkey, l_returnflag AS muscle FROM lineitem),
+    i AS (SELECT DISTINCT l_partkey, l_linenumber AS step_number, l_linestatus AS instruction FROM lineitem)
+    SELECT CAST(p_partkey AS VARCHAR) AS exercise_id, p_name AS exercise_name, p_brand AS equipment,
+      p_type AS main_muscle, muscle, step_number, instruction
+    FROM part LEFT JOIN m ON p_partkey = m.l_partkey LEFT JOIN i ON p_partkey = i.l_partkey"""
+
+
+@query(STAR_SQL)
+def gold_contract(t: Tables) -> DataFrame:
+    """The exercise view by its job, which holds the star to its contracts."""
+    lake = Lake(t.scratch("lake"))
+    key = F.col("l_partkey").cast("string").alias("exercise_id")
+    none = [F.lit(None).cast("string").alias(c) for c in ("variation", "utility", "mechanics", "force")]
+    exercises = t.part.select(
+        F.col("p_partkey").cast("string").alias("exercise_id"),
+        F.col("p_name").alias("exercise_name"),
+        F.col("p_brand").alias("equipment"),
+        *none,
+        F.col("p_type").alias("main_muscle"),
+        F.lit(None).cast("int").alias("difficulty_(1_5)"),
+    )
+    muscles = t.lineitem.select(key, F.col("l_returnflag").alias("muscle"), F.lit("main").alias("muscle_type"))
+    steps = t.lineitem.select(key, F.col("l_linenumber").cast("int").alias("step_number"), F.col("l_linestatus").alias("instruction"))
+    write_table(exercises, lake.gold("exercises_dim"))
+    write_table(muscles.distinct(), lake.gold("muscles_bridge"))
+    write_table(steps.distinct(), lake.gold("instructions_bridge"))
+    return read_table(t.spark, star.run_gold_view(t.spark, lake))
+
+
 @query(with_views("workouts", _TEXT_SQL + _PROFILE_SQL))
 def context_job(t: Tables) -> DataFrame:
     path = context.run_context(

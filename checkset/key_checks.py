@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checkset.registry import query
-from checkset.tables import Tables, with_views
+from checkset.tables import Tables, spelled, with_views
 from trainlake.operators import keys as ky
 from trainlake.operators.nested import explode_workouts
 
@@ -34,6 +34,17 @@ def latest_per_key(t: Tables) -> DataFrame:
     return latest.select("event_id", "user_id", "event_type", "value")
 
 
+@query(
+    """SELECT event_id, user_id, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+)
+def latest_text_stamps(t: Tables) -> DataFrame:
+    """Times as text, in two zones: the later time wins, not the greater text."""
+    events = t.events.withColumn("updated_at", spelled("ts", "event_type"))
+    latest = ky.latest_per_key(events, "user_id", "updated_at", tie_break=["event_id"])
+    return latest.select("event_id", "user_id", "event_type", "value")
+
+
 @query(
     with_views(
         "workouts",

@@ -179,10 +179,10 @@ def training_summary(t: Tables) -> DataFrame:
     return mt.training_summary(t.workouts())
 
 
-def top_sql(col: str) -> str:
+def top_sql(col: str, dated: bool = True) -> str:
     return f"""SELECT user_id, {col} AS value, count(*) AS n, CAST(row_number() OVER
       (PARTITION BY user_id ORDER BY count(*) DESC, {col}) AS INTEGER) AS position
-    FROM workouts WHERE {col} IS NOT NULL AND date IS NOT NULL GROUP BY user_id, {col}
+    FROM workouts WHERE {col} IS NOT NULL {"AND date IS NOT NULL" if dated else ""} GROUP BY user_id, {col}
     QUALIFY position <= 8"""
 
 

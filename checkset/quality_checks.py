@@ -94,6 +94,18 @@ def file_inventory(t: Tables) -> DataFrame:
     return files.select(folder, (F.col("n_bytes") > 0).alias("has_files"))
 
 
+@query(
+    """SELECT 'region' AS table_name, r_regionkey AS key, r_name AS name FROM region
+    UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation"""
+)
+def layer_preview(t: Tables) -> DataFrame:
+    layer = t.scratch("layer") + "/silver"
+    write_table(t.region.select(F.lit("region").alias("table_name"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), f"{layer}/region")
+    write_table(t.nation.select(F.lit("nation").alias("table_name"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), f"{layer}/nation")
+    first, second = ql.layer_previews(t.spark, layer, n=25).values()
+    return first.unionByName(second)
+
+
 @query(
     """SELECT * FROM (VALUES ('parts', 'p_partkey', 'bigint'), ('parts', 'p_name', 'string'),
       ('users', 'c_custkey', 'bigint'), ('users', 'c_acctbal', 'double'), ('users', 'c_mktsegment', 'string'))

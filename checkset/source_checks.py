@@ -66,6 +66,53 @@ def latest_snapshot_scan(t: Tables) -> DataFrame:
     return rd.read_latest(t.spark, prefix)
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def latest_partitioned_scan(t: Tables) -> DataFrame:
+    prefix = t.scratch("tables")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    wr.write_table(orders.limit(10), f"{prefix}/orders_20240614")
+    wr.write_table(orders, f"{prefix}/orders_20240615", partition_by=["o_orderstatus"])
+    return rd.read_latest(t.spark, prefix)
+
+
+@query("SELECT o_orderkey, o_custkey, 20240616 AS snapshot_date FROM orders")
+def snapshot_new_column(t: Tables) -> DataFrame:
+    path = t.scratch("dated")
+    wr.write_snapshot(t.orders.select("o_orderkey"), path, DAY)
+    wr.write_snapshot(t.orders.select("o_orderkey", "o_custkey"), path, NEXT_DAY)
+    return rd.read_latest_snapshot(t.spark, path)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS o_custkey FROM orders")
+def append_new_column(t: Tables) -> DataFrame:
+    path = t.scratch("log")
+    wr.append_rows(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey"), path)
+    wr.append_rows(t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey"), path)
+    return rd.read_appended(t.spark, path)
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'O' THEN 'api' END AS source,
+      CASE WHEN o_orderstatus = 'F' THEN 'someone' ELSE CAST(o_custkey AS VARCHAR) END AS user_id
+    FROM orders WHERE o_orderstatus <> 'P'"""
+)
+def increment_columns(t: Tables) -> DataFrame:
+    """Batches of many users, of one user's folder, and with a column that others lack."""
+    prefix = t.scratch("increments")
+    nested = t.landed_nested()
+    wr.append_batch(nested.filter("routine_id = 'O'").withColumn("source", F.lit("api")), prefix, DAY)
+    wr.write_table(nested.filter("routine_id = 'F'").drop("user_id"), f"{prefix}/user=someone/dt=20240615")
+    wr.write_table(nested.filter("routine_id = 'P'"), f"{prefix}/base_full.parquet")
+    return rd.read_increments(t.spark, prefix).select("id", "source", "user_id")
+
+
+@query("SELECT doc_id, text, source FROM documents")
+def csv_line_ends(t: Tables) -> DataFrame:
+    """Texts with line ends and quotes by the typed scan; the read fails if it garbles one."""
+    path = write_csv(t.documents.select("doc_id", "text", "source"), t.scratch("documents_csv"))
+    return rd.read_csv(t.spark, path, "doc_id BIGINT, text STRING, source STRING", multi_line=True)
+
+
 @query("SELECT event_id AS id, value, NULL AS toxic FROM events UNION ALL SELECT doc_id, NULL, toxic FROM labels")
 def folder_union_scan(t: Tables) -> DataFrame:
     prefix = t.scratch("folder")
@@ -138,7 +185,7 @@ def watermark_state(t: Tables) -> DataFrame:
 @query(with_views("sets", "SELECT user_id, id, set_index, weight_kg FROM sets WHERE user_id = 7"))
 def fact_for_user(t: Tables) -> DataFrame:
     path = t.scratch("fact")
-    wr.write_table(t.sets().select("user_id", "id", "set_index", "weight_kg"), path, sort=["user_id"])
+    wr.write_table(t.sets().select("user_id", "id", "set_index", "weight_kg"), path, ranged_by=["user_id", "id"])
     return rd.load_fact(t.spark, path, "7")
 
 
@@ -156,8 +203,8 @@ def day_partition(t: Tables) -> DataFrame:
 def append_batch(t: Tables) -> DataFrame:
     path = t.scratch("batches")
     events = t.events.select("event_id", "value", F.col("event_type").alias("account"))
-    wr.append_batch(events.filter("value > 50"), path, DAY, user="account")
-    wr.append_batch(events.filter("value <= 50"), path, NEXT_DAY, user="account")
+    wr.append_batch(events.filter("value > 50"), path, DAY, user="account", by_user=True)
+    wr.append_batch(events.filter("value <= 50"), path, NEXT_DAY, user="account", by_user=True)
     return rd.read_table(t.spark, path).drop("account")
 
 

@@ -7,7 +7,7 @@ Each Spark view has an SQL twin of the same name in ``CTE``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,6 @@ NAMES = (
 ).split()
 
 
-# Schema of each file, read from its footer once.
-_SCHEMAS: dict[str, T.StructType] = {}
-# Views that were written already.
-_LANDED: dict[tuple[str, str, str], str] = {}
 _NESTED_SCHEMA = T.StructType([*RAW_WORKOUT.fields, T.StructField("user_id", T.StringType())])
 
 
@@ -37,22 +33,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
     def landed(self, name: str) -> str:
-        """Path of a view written as Parquet, once per session and scale factor."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _LANDED:
-            path = self.scratch(name)
-            getattr(self, name)().write.parquet(path)
-            _LANDED[key] = path
-        return _LANDED[key]
+        """Path of a view written as Parquet for this query."""
+        path = self.scratch(name)
+        getattr(self, name)().write.parquet(path)
+        return path
 
     def landed_nested(self) -> DataFrame:
         """The nested workouts as an ingest would have stored them."""
@@ -250,6 +240,12 @@ CTE = {
 }
 
 
+def spelled(ts: str, kind: str) -> Column:
+    """A time as text: rows whose ``kind`` is "click" say it in a zone three hours ahead."""
+    ahead = F.date_format(F.col(ts) + F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+03:00'")
+    return F.when(F.col(kind) == "click", ahead).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+
+
 def with_views(names: str, body: str) -> str:
     """``body`` with the named SQL views in front."""
     return "WITH " + ",\n".join(CTE[n] for n in names.split()) + "\n" + body

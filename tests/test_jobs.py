@@ -47,9 +47,9 @@ def test_latest_snapshot_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     for d in (1, 2, 3):
         writers.write_snapshot(spark.range(d), path, dt.date(2024, 1, d))
-    assert len(readers.read_latest_snapshot(spark, path).inputFiles()) >= 1
-    plan = readers.read_latest_snapshot(spark, path)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(snapshot_date" in plan
+    latest = readers.read_latest_snapshot(spark, path)
+    assert len(latest.inputFiles()) >= 1 and all("/snapshot_date=20240103/" in f for f in latest.inputFiles())
+    assert rows(latest) == [(0, 20240103), (1, 20240103), (2, 20240103)]
 
 
 def test_read_latest_by_change_time(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     assert ingest_incremental(spark, feed, raw_state, dst, DAY) == dt.datetime(2025, 1, 2, tzinfo=dt.timezone.utc)
     assert ingest_incremental(spark, feed, raw_state, dst, DAY) is None
     got = readers.read_table(spark, dst)
-    assert rows(got.select("id", "user")) == [("a", "abcd"), ("b", "abcd")]
+    assert rows(got.select("id", "user_id", "dt")) == [("a", "ab-cd", 20240615), ("b", "ab-cd", 20240615)]
 
 
 def test_stream_counts_each_file_once(spark, tmp_path):
@@ -252,9 +252,117 @@ def test_no_python_workers_in_any_plan(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("test tables are absent")
-    writes = {"silver_workouts", "stream_sets", "fact_job", "ingest_batches", "dashboard_job"}
+    writes = {"silver_workouts", "silver_workouts_job", "stream_sets", "fact_job", "ingest_batches", "dashboard_job"}
     for name, run in QUERIES.items():
         if name in writes:
             continue
         plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def broken_feed(tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('user_id,title,start_time\n1,"two\nlines",x\n2,plain,y\n')
+    return str(path), "user_id INT, title STRING, start_time STRING"
+
+
+def test_cut_records_are_never_rows(spark, tmp_path):
+    path, schema = broken_feed(tmp_path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_csv(spark, path, schema, multi_line=False).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_csv(spark, path, schema, multi_line=False).select("user_id").collect()
+    good, broken = readers.split_broken(readers.read_csv(spark, path, schema, multi_line=False, broken="aside"))
+    assert rows(good) == [(2, "plain", "y")]
+    assert sorted(r._broken_record for r in broken.collect()) == ['1,"two', 'lines",x']
+    assert rows(readers.read_csv(spark, path, schema)) == [(1, "two\nlines", "x"), (2, "plain", "y")]
+
+
+def test_csv_job_passes_the_option_on(spark, tmp_path):
+    src = tmp_path / "in.csv"
+    src.write_text(",".join(WORKOUT_CSV.names) + '\n1,Push,,,"one\ntwo",Bench,,,0,normal,60,8,,,\n')
+    with pytest.raises(Exception):
+        csv_etl.csv_etl(spark, str(src), str(tmp_path / "lake"), DAY)
+    paths = csv_etl.csv_etl(spark, str(src), str(tmp_path / "lake"), DAY, multi_line=True)
+    assert readers.read_table(spark, paths["silver"]).first().description == "one\ntwo"
+
+
+def test_user_rows_lie_in_few_files(spark, lake):
+    """Many users and a hot one: a user's rows of a month are in one or two of its files."""
+    start = F.lit("2024-03-01").cast("timestamp_ntz")
+    many = spark.range(40_000).select((F.col("id") % 500).cast("string").alias("user_id"), F.col("id"))
+    hot = spark.range(30_000).select(F.lit("hot").alias("user_id"), F.col("id"))
+    fact = many.unionAll(hot).withColumn("start_time", start + F.make_interval(secs=F.col("id")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        gold.write_fact_sets(fact, lake)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    places = readers.read_table(spark, lake.gold("fact_train")).select("user_id", F.col("_metadata.file_path").alias("file"))
+    files = {r.user_id: r.n for r in places.groupBy("user_id").agg(F.count_distinct("file").alias("n")).collect()}
+    assert places.select("file").distinct().count() >= 6
+    assert max(n for u, n in files.items() if u != "hot") <= 2 and files["hot"] >= 2
+
+
+def test_stream_writes_few_files(spark, tmp_path):
+    src, dst, ckpt = (str(tmp_path / n) for n in ("src", "dst", "ckpt"))
+    feed = [workout(str(k), "2025-01-01T00:00:00Z") for k in range(40)]
+    df = spark.createDataFrame(feed, RAW_WORKOUT).withColumn("user_id", F.lit("u"))
+    month = F.concat(F.lit("2024-"), F.lpad((F.col("id").cast("int") % 10 + 1).cast("string"), 2, "0"), F.lit("-03T10:00:00Z"))
+    df.withColumn("start_time", month).repartition(8).write.parquet(src)
+    stream_workouts(spark, src, dst, ckpt).awaitTermination()
+    got = readers.read_table(spark, dst)
+    assert got.count() == 80 and len(got.inputFiles()) <= 10
+
+
+def test_new_batches_read_late_folders_only(spark, tmp_path):
+    feed, state_path = str(tmp_path / "feed"), str(tmp_path / "s")
+    for day, key in ((DAY, "a"), (DAY + dt.timedelta(days=1), "b")):
+        df = spark.createDataFrame([workout(key, f"{day}T12:00:00Z")], RAW_WORKOUT).withColumn("user_id", F.lit("u"))
+        writers.append_batch(df, feed, day)
+    state.write_watermark(spark, state_path, dt.datetime(2024, 6, 16, tzinfo=dt.timezone.utc))
+    raw = readers.read_table(spark, feed)
+    assert ingest_incremental(spark, raw, state_path, str(tmp_path / "dst"), DAY) == dt.datetime(2024, 6, 16, 12, tzinfo=dt.timezone.utc)
+    plan = raw.filter(F.col("dt").cast("int") >= 20240616)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    assert rows(readers.read_table(spark, str(tmp_path / "dst")).select("id")) == [("b",)]
+
+
+def test_state_stays_small(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "state")
+    for k in range(6):
+        state.write_watermark(spark, path, dt.datetime(2025, 1, 1 + k, tzinfo=dt.timezone.utc))
+    assert state.read_watermark(spark, path) == dt.datetime(2025, 1, 6, tzinfo=dt.timezone.utc)
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 3
+
+
+def test_contracts_stop_the_job(spark, lake):
+    from trainlake.plans import star
+    from trainlake.schemas import EXERCISES_DIM, INSTRUCTIONS_BRIDGE, MUSCLES_BRIDGE
+
+    row = ("1", "Squat", None, None, None, None, None, "Legs", 3)
+    for name, data, kind in (
+        ("muscles_bridge", [("1", "Quads", "main")], MUSCLES_BRIDGE),
+        ("instructions_bridge", [("1", 1, "Stand")], INSTRUCTIONS_BRIDGE),
+    ):
+        writers.write_table(spark.createDataFrame(data, kind), lake.gold(name))
+    for bad, message in (([row, row], "not unique"), ([(None, *row[1:])], "without a value")):
+        writers.write_table(spark.createDataFrame(bad, EXERCISES_DIM), lake.gold("exercises_dim"))
+        with pytest.raises(ValueError, match=message):
+            star.run_gold_view(spark, lake)
+    writers.write_table(spark.createDataFrame([row], EXERCISES_DIM).drop("equipment"), lake.gold("exercises_dim"))
+    with pytest.raises(ValueError, match="equipment"):
+        star.run_gold_view(spark, lake)
+    writers.write_table(spark.createDataFrame([row], EXERCISES_DIM), lake.gold("exercises_dim"))
+    assert readers.read_table(spark, star.run_gold_view(spark, lake)).count() == 1
+
+
+def test_new_accounts_job(spark, lake):
+    from trainlake.plans import profiles
+
+    writers.write_snapshot(spark.createDataFrame([("u", "A", "a@x")], "user_id STRING, nome STRING, email STRING"), lake.gold("users_app"), DAY)
+    new = spark.createDataFrame([("B", " B@x"), ("A2", "A@X"), ("", "c@x")], "nome STRING, email STRING")
+    profiles.run_new_accounts(spark, lake, new, DAY + dt.timedelta(days=1))
+    assert rows(readers.read_latest_snapshot(spark, lake.gold("users_app")).select("nome", "email")) == [("A", "a@x"), ("B", "b@x")]

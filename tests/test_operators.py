@@ -131,7 +131,8 @@ def test_explode_workouts(spark):
     good = ("w1", "T", None, None, "2024-01-01T10:00:00Z", "bad", None, "u", [("Squat", None, None, sets), ("Row", None, 1, None)])
     empty = ("w2", "T", None, None, None, None, None, "u", None)
     df = spark.createDataFrame([good, empty], RAW_WORKOUT)
-    out = explode_workouts(df, "me").orderBy("set_index").collect()
+    out = explode_workouts(df, "me", keep_nested=True).orderBy("set_index").collect()
+    assert "exercises" not in explode_workouts(df, "me").columns
     assert [(r.user_id, r.id, r.exercise_title, r.set_index, r.distance_km) for r in out] == [
         ("me", "w1", "Squat", 0, 0.5),
         ("me", "w1", "Squat", 1, None),

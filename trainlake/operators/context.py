@@ -108,7 +108,7 @@ def summary_text(
     n_top: int = 6,
     n_last: int = 5,
 ) -> DataFrame:
-    """History text per user; a line without a value is left out.
+    """History text per user; a line without a value or without its column is left out.
 
     The inputs are the results of ``training_summary``, ``top_categories`` and
     ``last_rows``: at most ten rows per user are joined to a text. ``roles`` names the
@@ -133,7 +133,8 @@ def summary_text(
         F.lit(" | Semanas com registro: "),
         F.col("weeks").cast("string"),
     )
-    lines = [F.lit(HISTORY_TITLE), period, days]
+    dated = "first_date" in summary.columns
+    lines = [F.lit(HISTORY_TITLE), *([period, days] if dated else [])]
     lines += [F.concat(F.lit(label), two_decimals(name)) for label, name in HISTORY_NUMBERS]
     lines += [F.col(c) for c in ("_ex", "_mu", "_last") if c in parts.columns]
     return parts.select(user, F.concat_ws("\n", *lines).alias("summary"))

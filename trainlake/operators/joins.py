@@ -12,13 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainlake.functions.text import canonical_email, strip
-from trainlake.operators.keys import first_per_key, latest_per_key, surrogate_key
+from trainlake.operators.keys import first_per_key, latest_per_key, surrogate_key, time_order
 from trainlake.operators.shape import key_marks, lookup, require_columns, resolve_column
-from trainlake.schemas import PROFILE_FIELDS
+from trainlake.schemas import CATALOG_COLUMNS, PROFILE_FIELDS
 
-CATALOG_COLUMNS = (
-    "exercise_name_kaggle main_muscle target_muscles synergist_muscles equipment".split()
-)
 PROFILE_TIME_COLUMNS = ("updated_at", "data_registro", "last_update")
 
 
@@ -123,7 +120,7 @@ def upsert_profiles(
     ties = [F.col(f"`{n}`") for n in names]
     latest = []
     for n in names:
-        order = F.struct(F.col(ts), *ties)
+        order = F.struct(time_order(changes, ts).alias("_time"), *ties)
         if changed_fields is not None:
             order = F.when(F.array_contains(changed_fields, n), order)
         latest.append(F.max_by(F.struct(F.col(f"`{n}`").alias("v")), order).alias(f"_new_{n}"))

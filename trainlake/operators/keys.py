@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trainlake.functions.dates import parse_timestamp
 from trainlake.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
@@ -16,6 +18,13 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
+def time_order(df: DataFrame, ts: str) -> Column:
+    """A time column to order by; text is parsed, so that offsets and spellings count as times.
+    Unreadable text has no time."""
+    kind = df.schema[ts].dataType
+    return parse_timestamp(F.col(f"`{ts}`")) if isinstance(kind, T.StringType) else F.col(f"`{ts}`")
+
+
 def first_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str | None = None
 ) -> DataFrame:
@@ -42,7 +51,8 @@ def latest_per_key(
     nulls: str = "lose",
     tie_break: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Newest row of each key. ``nulls="win"`` prefers a row without a time.
+    """Newest row of each key. ``nulls="win"`` prefers a row without a time. A text ``ts`` is
+    compared as the time it says.
 
     Ties go to the greatest ``tie_break`` columns, by default all sortable ones, so that
     the result does not depend on the order of the rows.
@@ -51,7 +61,8 @@ def latest_per_key(
         raise ValueError("nulls must be 'win' or 'lose'")
     order = []
     if ts is not None and ts in df.columns:
-        order.append(F.desc_nulls_first(ts) if nulls == "win" else F.desc_nulls_last(ts))
+        time = time_order(df, ts)
+        order.append(time.desc_nulls_first() if nulls == "win" else time.desc_nulls_last())
     if tie_break is None:
         tie_break = [f.name for f in df.schema.fields if f.name not in (key, ts) and "map" not in f.dataType.simpleString()]
     order += [F.desc_nulls_last(f"`{c}`") for c in tie_break]

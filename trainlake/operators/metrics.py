@@ -68,21 +68,27 @@ def activity_rollup(
     """Rows, sums and counts per user, day and the listed keys.
 
     One pass over the workouts; the dashboard tables are built from it. ``<m>`` is the sum
-    of a measure and ``<m>_count`` the number of its values.
+    of a measure and ``<m>_count`` the number of its values. Columns that the table lacks are
+    left out; without a time there is no ``day`` and every row counts.
     """
-    day = F.col(ts).cast("date").alias("day")
-    aggs = [F.count(F.lit(1)).alias("n_rows"), F.max(ts).alias("last_ts")]
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
     for m in measures:
         if m in df.columns:
             aggs += [F.sum(m).alias(m), F.count(m).alias(f"{m}_count")]
-    return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(*aggs)
+    keys = [k for k in keys if k in df.columns]
+    if ts not in df.columns:
+        return df.groupBy(user, *keys).agg(*aggs)
+    day = F.col(ts).cast("date").alias("day")
+    return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(F.max(ts).alias("last_ts"), *aggs)
 
 
 def kpis_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
-    """KPI row per user from ``activity_rollup``; means have one decimal."""
+    """KPI row per user from ``activity_rollup``; means have one decimal. Without days there is
+    no number of days and no last date."""
     measures = [c.removesuffix("_count") for c in rollup.columns if c.endswith("_count")]
     sums = [F.sum(m).alias(m) for m in measures] + [F.sum(f"{m}_count").alias(f"{m}_count") for m in measures]
-    days = rollup.groupBy(user, "day").agg(
+    dated = "day" in rollup.columns
+    days = rollup if not dated else rollup.groupBy(user, "day").agg(
         F.sum("n_rows").alias("n_rows"), F.max("last_ts").alias("last_ts"), *sums
     )
     means = [
@@ -91,12 +97,8 @@ def kpis_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
         ).alias(f"avg_{m}")
         for m in measures
     ]
-    return days.groupBy(user).agg(
-        F.sum("n_rows").alias("workouts"),
-        F.count("day").alias("days"),
-        F.max("last_ts").cast("date").alias("last_date"),
-        *means,
-    )
+    times = [F.count("day").alias("days"), F.max("last_ts").cast("date").alias("last_date")] if dated else []
+    return days.groupBy(user).agg(F.sum("n_rows").alias("workouts"), *times, *means)
 
 
 def user_kpis(
@@ -214,19 +216,15 @@ def intensity_histogram(
 ) -> DataFrame:
     """Counts per user and bin; bins have a round width and start at a multiple of it.
 
-    Equal values are counted together first. The limits of a user and the counts come
-    from that one grouped table, so the rows are read and shuffled once.
+    The limits of a user are found first, combined on the map side. The rows get them by a join,
+    which needs no shuffle of the rows while the users are few, and are counted per user and
+    bin, again combined on the map side.
     """
     col = col or resolve_column(df, INTENSITY_COLUMNS, contains=False)
     if col is None:
         raise ValueError(f"no intensity column among {INTENSITY_COLUMNS}")
-    counts = value_counts(df, col, [user], name="value").withColumn("value", F.col("value").cast("double"))
-    limits = counts.groupBy(user).agg(
-        F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_n")
-    )
-    # Reading the counts here too keeps both uses of the grouped table alike, so that its
-    # shuffle is reused and the rows are scanned once.
-    limits = limits.filter(F.col("_n") > 0)
+    values = df.filter(F.col(col).isNotNull()).select(user, F.col(col).cast("double").alias("value"))
+    limits = values.groupBy(user).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     m, exponent = _bin_width(F.col("_low"), F.col("_high"), maxbins)
     limits = limits.select(F.col(user).alias("_user"), "_low", "_high", m.alias("_m"), exponent.alias("_e"))
 
@@ -235,14 +233,14 @@ def intensity_histogram(
         return _scaled(F.col(value), -F.col("_e")) / F.col("_m")
 
     # Null-safe, see ``lookup``: a user with very many values is split for the join.
-    binned = counts.join(limits, counts[user].eqNullSafe(limits["_user"]))
+    binned = values.join(limits, values[user].eqNullSafe(limits["_user"]))
     # The top value belongs to the last bin, also where it equals the upper limit.
     last = F.greatest(F.ceil(place("_high") - _SLACK) - 1, F.floor(place("_low") + _SLACK))
     index = F.least(F.floor(place("value") + _SLACK), last)
-    binned = binned.select(user, "n", "_m", "_e", index.alias("_bin"))
+    binned = binned.select(user, "_m", "_e", index.alias("_bin"))
     return (
         binned.groupBy(user, "_bin", "_m", "_e")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .select(
             user,
             _scaled(F.col("_bin") * F.col("_m"), F.col("_e")).alias("bin_start"),
@@ -291,16 +289,18 @@ def last_rows(
 def detail_table(
     df: DataFrame, ts: str = "date", drop: Sequence[str] = ("workout_id",), user: str = "user_id"
 ) -> DataFrame:
-    """All rows, newest first, without the technical columns.
+    """All rows without the technical columns, those of a user together and newest first.
 
-    The user and the dropped columns come last in the sort: they spread the rows of one
-    busy time over several ranges.
+    A page shows one user, so rows are dealt by ranges of the user, never sorted as one list.
+    The time and the dropped columns end the range: they split a hot user over several tasks.
     """
     keep = [c for c in df.columns if c not in drop]
-    if ts not in df.columns:
-        return df.select(*[f"`{c}`" for c in keep])
-    order = [F.desc(ts), *[F.asc(c) for c in (user, *drop) if c in df.columns]]
-    return df.orderBy(*order).select(*[f"`{c}`" for c in keep])
+    order = [F.asc_nulls_first(user)] if user in df.columns else []
+    order += [F.desc(ts)] if ts in df.columns else []
+    order += [F.asc_nulls_first(c) for c in drop if c in df.columns]
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return df.select(*[f"`{c}`" for c in keep])
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
@@ -316,15 +316,18 @@ HISTORY_MEASURES = ("sets", "reps", "weight", "rpe")
 def history_rollup(
     df: DataFrame,
     user: str = "user_id",
-    ts: str = "date",
+    ts: str | None = "date",
     keys: Sequence[str] = (),
     sets: str | None = "total_sets",
     reps: str | None = "total_reps",
     weight: str | None = "weight_kg",
     rpe: str | None = "rpe",
 ) -> DataFrame:
-    """Rows, time limits, sums and counts per user, day and the listed keys."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")]
+    """Rows, time limits, sums and counts per user, day and the listed keys; without a time
+    (``ts`` None) rows, sums and counts per user and keys."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if ts is not None:
+        aggs += [F.min(ts).alias("first"), F.max(ts).alias("last")]
     for role, name in zip(HISTORY_MEASURES, (sets, reps, weight, rpe)):
         value = F.lit(None).cast("double")
         if name is not None and name in df.columns:
@@ -332,6 +335,8 @@ def history_rollup(
             if dict(df.dtypes)[name] == "string":
                 value = value.try_cast("double")
         aggs += [F.sum(value).alias(role), F.count(value).alias(f"{role}_n")]
+    if ts is None:
+        return df.groupBy(user, *keys).agg(*aggs)
     day = F.col(ts).cast("date").alias("day")
     return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(*aggs)
 
@@ -339,6 +344,22 @@ def history_rollup(
 def summary_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
     """``training_summary`` from ``history_rollup``: first to weeks, then to users."""
     measures = [c for role in HISTORY_MEASURES for c in (role, f"{role}_n")]
+
+    def total(role: str) -> Column:
+        return F.round(F.sum(role).cast("double"), 2)
+
+    def average(role: str) -> Column:
+        count = F.sum(f"{role}_n").cast("double")
+        return F.round(F.try_divide(F.sum(role).cast("double"), count), 2)
+
+    figures = [
+        total("sets").alias("total_sets"),
+        total("reps").alias("total_reps"),
+        average("weight").alias("avg_weight"),
+        average("rpe").alias("avg_rpe_or_intensity"),
+    ]
+    if "day" not in rollup.columns:
+        return rollup.groupBy(user).agg(F.sum("n").alias("rows"), *figures)
     days = rollup
     if set(rollup.columns) - {user, "day", "n", "first", "last", *measures}:
         days = rollup.groupBy(user, "day").agg(
@@ -355,13 +376,6 @@ def summary_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
         *[F.sum(c).alias(c) for c in ("n", *measures)],
     )
 
-    def total(role: str) -> Column:
-        return F.round(F.sum(role).cast("double"), 2)
-
-    def average(role: str) -> Column:
-        count = F.sum(f"{role}_n").cast("double")
-        return F.round(F.try_divide(F.sum(role).cast("double"), count), 2)
-
     return weeks.groupBy(user).agg(
         F.sum("n").alias("rows"),
         F.min("first").alias("first_date"),
@@ -369,17 +383,14 @@ def summary_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:
         F.sum("_days").alias("unique_days"),
         F.bit_count(F.bit_or("_iso")).alias("weeks"),
         F.round(F.sum("n") / F.count("_week").cast("double"), 2).alias("avg_sets_per_week_rows"),
-        total("sets").alias("total_sets"),
-        total("reps").alias("total_reps"),
-        average("weight").alias("avg_weight"),
-        average("rpe").alias("avg_rpe_or_intensity"),
+        *figures,
     )
 
 
 def training_summary(
     df: DataFrame,
     user: str = "user_id",
-    ts: str = "date",
+    ts: str | None = "date",
     sets: str | None = "total_sets",
     reps: str | None = "total_reps",
     weight: str | None = "weight_kg",
@@ -388,7 +399,8 @@ def training_summary(
     """History figures per user.
 
     ``weeks`` counts ISO week numbers, so week 1 of two years is one; the weekly mean uses
-    real Monday weeks. A sum or mean without any numeric value is NULL.
+    real Monday weeks. A sum or mean without any numeric value is NULL. Without a time column
+    (``ts`` None) the figures that need one are left out and every row counts.
     """
     rollup = history_rollup(df, user, ts, (), sets, reps, weight, rpe)
     return summary_from_rollup(rollup, user)

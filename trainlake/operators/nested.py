@@ -9,12 +9,12 @@ from trainlake.functions.dates import to_utc
 from trainlake.functions.values import meters_to_km
 
 
-def explode_workouts(df: DataFrame, user_id: str | None = None, keep_nested: bool = True) -> DataFrame:
+def explode_workouts(df: DataFrame, user_id: str | None = None, keep_nested: bool = False) -> DataFrame:
     """One row per set of each exercise; workouts without sets give no row.
 
     ``user_id`` overrides the user of every row; None keeps the column of the input.
-    ``keep_nested=False`` leaves out the copy of the nested exercises, which repeats the
-    whole workout on each of its rows.
+    ``keep_nested`` adds a copy of the nested exercises, which repeats the whole workout on
+    each of its rows; the raw table has it once, by ``id``.
     """
     user = F.col("user_id").cast("string") if user_id is None else F.lit(user_id)
     sets = (

@@ -131,6 +131,30 @@ def check_schema(df: DataFrame, contract: T.StructType | str) -> DataFrame:
     )
 
 
+def require_contract(df: DataFrame, contract: T.StructType | str, name: str = "table") -> DataFrame:
+    """The table itself, or an error when a declared column is missing or of another type. Only
+    the schema is looked at; undeclared columns are allowed."""
+    faults = [r for r in schema_differences(df, contract) if r[3] in ("missing", "type")]
+    if faults:
+        raise ValueError(f"{name} breaks its contract: {faults}")
+    return df
+
+
+def require_unique(df: DataFrame, col: str, name: str = "table") -> DataFrame:
+    """The table itself, or an error that shows some values that occur more than once."""
+    found = [r[0] for r in check_unique(df, col).limit(5).collect()]
+    if found:
+        raise ValueError(f"{name}.{col} is not unique, for example {found}")
+    return df
+
+
+def require_not_null(df: DataFrame, col: str, name: str = "table") -> DataFrame:
+    """The table itself, or an error when a row has no value."""
+    if not check_not_null(df, col).isEmpty():
+        raise ValueError(f"{name}.{col} has rows without a value")
+    return df
+
+
 def require_rows(df: DataFrame, name: str = "source") -> DataFrame:
     """The table itself, or an error when it has no rows. Reads at most one row."""
     if df.isEmpty():

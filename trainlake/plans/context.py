@@ -41,7 +41,7 @@ def summaries_rollup(
     found = _found(workouts, roles)
     keys = [found[r] for r in ("exercise", "muscle") if r in found]
     measures = [found.get(r) for r in HISTORY_MEASURES]
-    return history_rollup(workouts, user, found["date"], keys, *measures)
+    return history_rollup(workouts, user, found.get("date"), keys, *measures)
 
 
 def build_summaries(
@@ -51,17 +51,20 @@ def build_summaries(
     tie_break: Sequence[str] = (),
     rollup: DataFrame | None = None,
 ) -> DataFrame:
-    """History text of every user. Columns are named by role, never guessed.
+    """History text of every user. Columns are named by role, never guessed; lines whose
+    columns are absent are left out. Without a date every row counts and no last rows are shown,
+    because rows have no order then.
 
     Pass a written ``summaries_rollup`` to make the figures and both top lists from one
     pass over the workouts.
     """
     found = _found(workouts, roles)
-    dated = workouts.filter(workouts[found["date"]].isNotNull())
+    date = found.get("date")
+    dated = workouts if date is None else workouts.filter(workouts[date].isNotNull())
     grouped, rows = (dated, None) if rollup is None else (rollup, "n")
     if rollup is None:
         measures = [found.get(r) for r in HISTORY_MEASURES]
-        summary = training_summary(dated, user, found["date"], *measures)
+        summary = training_summary(dated, user, date, *measures)
     else:
         summary = summary_from_rollup(rollup, user)
     exercises, muscles = (
@@ -69,7 +72,7 @@ def build_summaries(
         for r in ("exercise", "muscle")
     )
     cols = list(dict.fromkeys([user, *found.values(), *tie_break]))
-    last = last_rows(workouts.select(*cols), user=user, ts=found["date"], tie_break=tie_break)
+    last = None if date is None else last_rows(workouts.select(*cols), user=user, ts=date, tie_break=tie_break)
     return summary_text(summary, exercises, muscles, last, found, user)
 
 
@@ -102,5 +105,5 @@ def run_context(
     write_table(summaries_rollup(workouts, roles, user), f"{root}/rollup")
     rollup = read_table(spark, f"{root}/rollup")
     texts = build_context(users, workouts, as_of, roles, user, tie_break, rollup)
-    write_table(texts, f"{root}/context")
+    write_table(texts, f"{root}/context", sort=[user])
     return f"{root}/context"

@@ -13,9 +13,10 @@ from trainlake.sources.writers import write_day
 SILVER_NAMES = {"title": "workout_title", "exercise_title": "exercise_name"}
 
 
-def csv_etl(spark: SparkSession, csv_path: str, base: str, day: date) -> dict[str, str]:
-    """Typed scan, raw day, renamed silver day; a second run replaces both."""
+def csv_etl(spark: SparkSession, csv_path: str, base: str, day: date, multi_line: bool = False) -> dict[str, str]:
+    """Typed scan, raw day, renamed silver day; a second run replaces both. Texts with line ends
+    need ``multi_line``; without it a record that they cut ends the run with an error."""
     root = base.rstrip("/")
-    raw = write_day(read_workout_csv(spark, csv_path), f"{root}/raw/workouts", day)
+    raw = write_day(read_workout_csv(spark, csv_path, multi_line), f"{root}/raw/workouts", day)
     silver = write_day(rename(read_table(spark, raw), SILVER_NAMES), f"{root}/silver/workouts", day)
     return {"raw": raw, "silver": silver}

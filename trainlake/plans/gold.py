@@ -11,12 +11,15 @@ from trainlake.functions.dates import month_of
 from trainlake.operators.joins import build_dim_exercise, enrich_muscles, join_mapping
 from trainlake.operators.keys import distinct_rows, surrogate_key
 from trainlake.operators.metrics import top_exercises
+from trainlake.operators.quality import require_contract, require_unique
 from trainlake.operators.shape import keep_existing, order_columns, rename, require_columns
 from trainlake.plans.lake import Lake
 from trainlake.schemas import CATALOG_RENAMES, FACT_ORDER
-from trainlake.sources.readers import read_latest_snapshot, read_table
+from trainlake.sources.readers import read_appended, read_latest_snapshot, read_table
 from trainlake.sources.writers import write_metrics, write_snapshot, write_table
 
+# Columns and types that every fact has, whatever else its sources bring.
+FACT_KEYS = "user_id STRING, sk_exercise BIGINT, start_time TIMESTAMP_NTZ, exercise_title STRING, exercise_name_kaggle STRING, main_muscle STRING"
 DIM_COLUMNS = [*CATALOG_RENAMES.values(), "Preparation", "Execution"]
 # Names of the gold metrics.
 VOLUME_PER_DAY = "volume_por_dia"
@@ -37,17 +40,19 @@ def build_fact_sets(
 
 
 def write_fact_sets(fact: DataFrame, lake: Lake) -> None:
-    """Write the fact by start month, sorted by user, so that a user's rows lie together."""
+    """Write the fact by start month and ranges of users, so that a user's rows of a month lie
+    in one file or in neighbouring ones."""
     fact = fact.withColumn("start_month", month_of("start_time"))
-    write_table(fact, lake.gold("fact_train"), partition_by=["start_month"], sort=["user_id"])
+    write_table(fact, lake.gold("fact_train"), ["start_month"], ranged_by=["start_month", "user_id", "start_time"])
 
 
 def run_fact_sets(spark: SparkSession, lake: Lake) -> None:
     fact = build_fact_sets(
-        read_table(spark, lake.silver("workouts")),
+        read_appended(spark, lake.silver("workouts")).drop("start_month"),
         read_table(spark, lake.silver("mapping")),
         read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date"),
     )
+    require_contract(fact, FACT_KEYS, "fact_train")
     write_fact_sets(fact, lake)
 
 
@@ -68,7 +73,9 @@ def build_dim_catalog(catalog: DataFrame) -> DataFrame:
 
 def run_dim_catalog(spark: SparkSession, lake: Lake) -> None:
     catalog = read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date")
-    write_table(build_dim_catalog(catalog), lake.gold("dim_catalog"))
+    dim = build_dim_catalog(catalog)
+    require_unique(dim, "sk_exercise_kaggle", "dim_catalog")
+    write_table(dim, lake.gold("dim_catalog"))
 
 
 def promote_gold(
@@ -151,5 +158,5 @@ def run_metrics(spark: SparkSession, lake: Lake, day: date) -> None:
 def run_promote(spark: SparkSession, lake: Lake, day: date) -> list[str]:
     users = read_latest_snapshot(spark, lake.silver("users")).drop("snapshot_date")
     catalog = read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date")
-    workouts = read_table(spark, lake.silver("workouts"))
+    workouts = read_appended(spark, lake.silver("workouts")).drop("start_month")
     return promote_gold(lake, day, users, workouts, catalog)

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.functions.dates import age_years
+from trainlake.functions.dates import age_years, month_of
 from trainlake.functions.text import clean_categories, clean_text, parse_list, slug
 from trainlake.functions.values import (
     coerce,
@@ -20,14 +20,13 @@ from trainlake.operators.keys import distinct_rows, ensure_id, first_per_key, la
 from trainlake.operators.nested import explode_workouts
 from trainlake.operators.shape import filter_min, normalize_columns, rename, union_aligned
 from trainlake.plans.lake import Lake
-from trainlake.schemas import MAPPING_RENAMES, PROFILE_RENAMES
+from trainlake.schemas import MAPPING_RENAMES, PROFILE_NUMBERS, PROFILE_RENAMES
 from trainlake.sources.readers import read_csv, read_increments, read_latest, read_table
-from trainlake.sources.writers import write_snapshot, write_table
+from trainlake.sources.writers import append_rows, ranged, write_snapshot, write_table
 
 LIST_COLUMNS = ("primary_muscles", "secondary_muscles", "instructions")
 GYM_CATEGORIES = ["body_part", "equipment", "type", "difficulty", "mechanics"]
 PROFILE_CATEGORIES = ["sexo", "objetivo", "nivel_treinamento"]
-PROFILE_NUMBERS = "peso altura percentual_gordura frequencia_semanal horas_sono nutricional_score".split()
 
 
 def build_silver_workouts(
@@ -35,12 +34,13 @@ def build_silver_workouts(
     increments: DataFrame | None,
     user_id: str | None = None,
     newest_only: bool = False,
-    keep_nested: bool = True,
+    keep_nested: bool = False,
 ) -> DataFrame:
-    """Base sets and the exploded new workouts as one table with duration and id.
+    """Base sets and the exploded new workouts of all users as one table with duration and id.
 
-    ``newest_only`` keeps the latest version of a workout that was delivered again.
-    ``keep_nested=False`` saves the copy of the whole workout on each of its sets.
+    ``user_id`` overrides the user of the new workouts. ``newest_only`` keeps the latest version
+    of a workout that was delivered again. ``keep_nested`` adds a copy of the whole workout to
+    each of its sets.
     """
     sets = base
     if increments is not None:
@@ -58,12 +58,28 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def run_silver_workouts(
-    spark: SparkSession, lake: Lake, user_id: str | None = None, keep_nested: bool = True
+    spark: SparkSession,
+    lake: Lake,
+    user_id: str | None = None,
+    keep_nested: bool = False,
+    day: date | None = None,
 ) -> None:
+    """Silver sets of all users, by start month and user.
+
+    Without a ``day`` the table is made anew from the base and all batches. With one, only the
+    batches of that day are read and their sets appended; run it once per day and batch.
+    """
     base = read_table(spark, lake.bronze("workouts_base"))
-    increments = read_increments(spark, lake.bronze("workouts"))
+    increments = read_increments(spark, lake.bronze("workouts"), day=day)
+    if day is not None:
+        base = base.limit(0)
     sets = build_silver_workouts(base, increments, user_id, keep_nested=keep_nested)
-    write_table(sets, lake.silver("workouts"))
+    sets = sets.withColumn("start_month", month_of("start_time"))
+    by = ["start_month", "user_id", "start_time"]
+    if day is None:
+        write_table(sets, lake.silver("workouts"), ["start_month"], ranged_by=by)
+    else:
+        append_rows(ranged(sets, by), lake.silver("workouts"), ["start_month"])
 
 
 def build_silver_users(raw: DataFrame) -> DataFrame:

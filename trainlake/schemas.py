@@ -4,36 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, INT, DOUBLE, DATE = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType()}
 
-
-def _struct(*fields: tuple[str, str]) -> T.StructType:
-    """Schema from pairs of a type and the names of its columns, in order."""
-    return T.StructType([T.StructField(n, _TYPES[t]) for t, names in fields for n in names.split()])
+def _schema(fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
 # Column names, types and orders of the published table formats.
 
-WORKOUT_CSV = _struct(
-    ("int", "user_id"),
-    ("string", "title start_time end_time description exercise_title"),
-    ("int", "superset_id"),
-    ("string", "exercise_notes"),
-    ("int", "set_index"),
-    ("string", "set_type"),
-    ("double", "weight_kg reps distance_km duration_seconds rpe"),
+WORKOUT_CSV = _schema(
+    [
+        ("user_id", INT),
+        ("title", STRING),
+        ("start_time", STRING),
+        ("end_time", STRING),
+        ("description", STRING),
+        ("exercise_title", STRING),
+        ("superset_id", INT),
+        ("exercise_notes", STRING),
+        ("set_index", INT),
+        ("set_type", STRING),
+        ("weight_kg", DOUBLE),
+        ("reps", DOUBLE),
+        ("distance_km", DOUBLE),
+        ("duration_seconds", DOUBLE),
+        ("rpe", DOUBLE),
+    ]
 )
 
-RAW_SET = _struct(
-    ("int", "index"),
-    ("string", "type"),
-    ("double", "weight_kg reps distance_meters duration_seconds rpe"),
+RAW_SET = _schema(
+    [
+        ("index", INT),
+        ("type", STRING),
+        ("weight_kg", DOUBLE),
+        ("reps", DOUBLE),
+        ("distance_meters", DOUBLE),
+        ("duration_seconds", DOUBLE),
+        ("rpe", DOUBLE),
+    ]
+)
+RAW_EXERCISE = _schema(
+    [
+        ("title", STRING),
+        ("notes", STRING),
+        ("superset_id", INT),
+        ("sets", T.ArrayType(RAW_SET)),
+    ]
+)
+RAW_WORKOUT = _schema(
+    [
+        ("id", STRING),
+        ("title", STRING),
+        ("description", STRING),
+        ("routine_id", STRING),
+        ("start_time", STRING),
+        ("end_time", STRING),
+        ("created_at", STRING),
+        ("updated_at", STRING),
+        ("exercises", T.ArrayType(RAW_EXERCISE)),
+    ]
 )
-RAW_EXERCISE = _struct(("string", "title notes"), ("int", "superset_id")).add("sets", T.ArrayType(RAW_SET))
-RAW_WORKOUT = _struct(
-    ("string", "id title description routine_id start_time end_time created_at updated_at")
-).add("exercises", T.ArrayType(RAW_EXERCISE))
 
 WORKOUT_PAGE = (
     T.StructType()
@@ -42,18 +73,13 @@ WORKOUT_PAGE = (
     .add("workouts", T.ArrayType(RAW_WORKOUT))
 )
 
-SET_COLUMNS = (
-    "user_id title start_time end_time description exercise_title superset_id "
-    "exercise_notes set_index set_type weight_kg reps distance_km duration_seconds rpe "
-    "id routine_id updated_at created_at exercises"
-).split()
-
-FACT_ORDER = (
-    "user_id sk_exercise id_exercice id routine_id title description start_time end_time "
-    "duracao exercise_title superset_id exercise_notes set_index set_type weight_kg reps "
-    "distance_km duration_seconds rpe main_muscle target_muscles synergist_muscles "
-    "equipment updated_at created_at exercise_name_kaggle exercises"
-).split()
+FACT_ORDER = [
+    "user_id", "sk_exercise", "id_exercice", "id", "routine_id", "title", "description",
+    "start_time", "end_time", "duracao", "exercise_title", "superset_id", "exercise_notes",
+    "set_index", "set_type", "weight_kg", "reps", "distance_km", "duration_seconds", "rpe",
+    "main_muscle", "target_muscles", "synergist_muscles", "equipment", "updated_at", "created_at",
+    "exercise_name_kaggle", "exercises",
+]
 
 CATALOG_RENAMES = {
     "Exercise Name": "exercise_name_kaggle",
@@ -62,10 +88,12 @@ CATALOG_RENAMES = {
     "Synergist_Muscles": "synergist_muscles",
     "Equipment": "equipment",
 }
+CATALOG_COLUMNS = ["exercise_name_kaggle", "main_muscle", "target_muscles", "synergist_muscles", "equipment"]
 
+# Both lead to the names that the fact's mapping join asks for.
 MAPPING_RENAMES = {
     "exercise_title_hevy": "exercise_title_heavy",
-    "exercise_kaggle": "exercise_title_kaggle",
+    "exercise_kaggle": "exercise_name_kaggle",
 }
 
 _ACCENTED = {
@@ -80,29 +108,71 @@ PROFILE_RENAMES = {
     "percentual_gordura(%)": "percentual_gordura",
 }
 
-PROFILE_FIELDS = (
-    "nome data_nascimento sexo peso altura percentual_gordura objetivo nivel_treinamento "
-    "restricoes_fisicas frequencia_semanal horas_sono nutricional_score"
-).split()
-
-ACCOUNTS = _struct(
-    ("string", "user_id nome email created_at data_nascimento sexo"),
-    ("double", "peso altura percentual_gordura"),
-    ("string", "objetivo nivel_treinamento restricoes_fisicas"),
-    ("double", "frequencia_semanal horas_sono nutricional_score"),
+PROFILE_FIELDS = [
+    "nome", "data_nascimento", "sexo", "peso", "altura", "percentual_gordura", "objetivo",
+    "nivel_treinamento", "restricoes_fisicas", "frequencia_semanal", "horas_sono", "nutricional_score",
+]
+PROFILE_NUMBERS = ["peso", "altura", "percentual_gordura", "frequencia_semanal", "horas_sono", "nutricional_score"]
+
+ACCOUNTS = _schema(
+    [
+        ("user_id", STRING),
+        ("nome", STRING),
+        ("email", STRING),
+        ("created_at", STRING),
+        ("data_nascimento", STRING),
+        ("sexo", STRING),
+        ("peso", DOUBLE),
+        ("altura", DOUBLE),
+        ("percentual_gordura", DOUBLE),
+        ("objetivo", STRING),
+        ("nivel_treinamento", STRING),
+        ("restricoes_fisicas", STRING),
+        ("frequencia_semanal", DOUBLE),
+        ("horas_sono", DOUBLE),
+        ("nutricional_score", DOUBLE),
+    ]
 )
 
-EXERCISES_DIM = _struct(
-    ("string", "exercise_id exercise_name equipment variation utility mechanics force main_muscle"),
-    ("int", "difficulty_(1_5)"),
+EXERCISES_DIM = _schema(
+    [
+        ("exercise_id", STRING),
+        ("exercise_name", STRING),
+        ("equipment", STRING),
+        ("variation", STRING),
+        ("utility", STRING),
+        ("mechanics", STRING),
+        ("force", STRING),
+        ("main_muscle", STRING),
+        ("difficulty_(1_5)", INT),
+    ]
+)
+MUSCLES_BRIDGE = _schema(
+    [
+        ("exercise_id", STRING),
+        ("muscle", STRING),
+        ("muscle_type", STRING),
+    ]
 )
-MUSCLES_BRIDGE = _struct(("string", "exercise_id muscle muscle_type"))
-INSTRUCTIONS_BRIDGE = _struct(("string", "exercise_id"), ("int", "step_number"), ("string", "instruction"))
-
-DAILY_WORKOUTS = _struct(
-    ("string", "user_id workout_id"),
-    ("date", "date"),
-    ("int", "weekday"),
-    ("string", "muscle_group"),
-    ("int", "duration_min total_sets total_reps avg_heart_rate perceived_exertion"),
+INSTRUCTIONS_BRIDGE = _schema(
+    [
+        ("exercise_id", STRING),
+        ("step_number", INT),
+        ("instruction", STRING),
+    ]
+)
+
+DAILY_WORKOUTS = _schema(
+    [
+        ("user_id", STRING),
+        ("workout_id", STRING),
+        ("date", DATE),
+        ("weekday", INT),
+        ("muscle_group", STRING),
+        ("duration_min", INT),
+        ("total_sets", INT),
+        ("total_reps", INT),
+        ("avg_heart_rate", INT),
+        ("perceived_exertion", INT),
+    ]
 )

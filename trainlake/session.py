@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -62,19 +61,15 @@ def get_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the checkpoint folder named by the cluster.
-
-    Only a local master may fall back to a temporary folder.
-    """
+    """Folder every executor can reach: the checkpoint folder that the session names, else one
+    in its warehouse, which all executors share as well."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="trainlake-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

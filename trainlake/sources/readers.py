@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from trainlake.operators.shape import for_user
 from trainlake.schemas import RAW_WORKOUT, WORKOUT_CSV, WORKOUT_PAGE
 
 
+BROKEN = "_broken_record"
+
+
 def read_workout_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Flat workout sets with their declared schema; text times stay text."""
     return read_csv(spark, path, WORKOUT_CSV, multi_line)
@@ -23,22 +27,62 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
+    broken: str = "fail",
 ) -> DataFrame:
     """CSV with header. Without a schema the types are inferred by one more scan.
 
-    ``multi_line`` allows line ends inside quotes; a file is then read by one task, so
-    large feeds without such text should turn it off.
+    ``multi_line`` allows line ends inside quotes; a file is then read by one task, so large
+    feeds without such text should turn it off. A large file is then split over many tasks.
+
+    A record that does not fit a declared schema, such as one that a line end inside quotes has
+    cut in two, is never returned as a row of NULLs: ``broken="fail"`` ends the read with an
+    error, ``broken="aside"`` returns it with its text in ``_broken_record``, where
+    ``split_broken`` takes it apart from the rows.
     """
+    if broken not in ("fail", "aside"):
+        raise ValueError("broken must be 'fail' or 'aside'")
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    return reader.csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if broken == "fail":
+        # Spark skips the check of columns that nobody reads, and with it the broken records.
+        return reader.schema(declared).option("mode", "FAILFAST").option("columnPruning", False).csv(path)
+    with_broken = T.StructType([*declared.fields, T.StructField(BROKEN, T.StringType())])
+    return reader.schema(with_broken).option("columnNameOfCorruptRecord", BROKEN).option("columnPruning", False).csv(path)
+
+
+def split_broken(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``read_csv(..., broken="aside")``, and the broken records with their text and
+    what could be read of them. Write the latter before counting them: Spark does not read the
+    text of a record alone."""
+    whole = df.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    return whole, df.filter(F.col(BROKEN).isNotNull())
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A table that one write has made."""
     paths = [path] if isinstance(path, str) else list(path)
     return spark.read.parquet(*paths)
 
 
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """A table that several writes have made: the columns of all its files. Spark reads the
+    footers of the files for that, in parallel."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``, by one listing of that folder alone; none
+    where it does not exist."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(place) if s.isDirectory())
+
+
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV when the name ends so or the folder holds only such files, else Parquet."""
     if path.lower().endswith(".csv"):
@@ -60,10 +104,13 @@ def file_listing(spark: SparkSession, prefix: str, glob: str | None = None) -> D
 
 
 def latest_path(spark: SparkSession, prefix: str, fmt: str = "parquet") -> str:
-    """Newest table below ``prefix``: a single file, or the folder of a Spark write."""
+    """Newest table below ``prefix``: a single file, or the root folder of a Spark write. The
+    ``key=value`` folders of a partitioned write belong to it; a folder of one delivery
+    (``snapshot_date=``, ``dt=``, ``day=``) is a table of its own."""
     files = file_listing(spark, prefix, f"*.{fmt}")
     is_part = F.regexp_extract("path", "([^/]*)$", 1).startswith("part-")
-    table = F.when(is_part, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    root = F.regexp_replace("path", "(/(?!snapshot_date=|dt=|day=)[^/=]+=[^/]*)*/[^/]*$", "")
+    table = F.when(is_part, root).otherwise(F.col("path"))
     newest = files.agg(F.max_by(table, F.struct("modificationTime", "path"))).first()[0]
     if newest is None:
         raise RuntimeError(f"no {fmt} file below {prefix}")
@@ -82,14 +129,17 @@ def read_latest(
 
 
 def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Newest ``snapshot_date=`` partition of a table; older ones are pruned."""
-    dates = file_listing(spark, path, "*.parquet").select(
-        F.regexp_extract("path", "/snapshot_date=([0-9]+)/", 1).alias("d")
-    )
-    newest = dates.filter(F.col("d") != "").agg(F.max("d")).first()[0]
+    """Newest ``snapshot_date=`` folder of a table, with that date as a column.
+
+    Only the names of the folders are listed, and only the newest one is read, so its columns
+    are its own and not those of the first snapshot.
+    """
+    root = path.rstrip("/")
+    dates = [f.partition("=")[2] for f in child_folders(spark, root) if f.startswith("snapshot_date=")]
+    newest = max((d for d in dates if d.isdigit()), default=None)
     if newest is None:
         raise RuntimeError(f"no snapshot below {path}")
-    return spark.read.parquet(path).filter(F.col("snapshot_date") == int(newest))
+    return spark.read.option("basePath", root).parquet(f"{root}/snapshot_date={newest}")
 
 
 def read_folder(spark: SparkSession, prefix: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -112,18 +162,41 @@ def read_increments(
     prefix: str,
     exclude: str | None = "base_full.parquet",
     schema: T.StructType | str = RAW_WORKOUT,
+    day: date | None = None,
+    user: str = "user_id",
 ) -> DataFrame:
-    """All raw batches below ``prefix`` without the base file of that name."""
+    """All raw batches below ``prefix`` without the base file of that name.
+
+    The columns are those of all batches and of ``schema``; new ones are kept. A batch that
+    has no ``user`` column has its user in the name of its ``user=`` folder. ``day`` reads the
+    ``dt=`` folders of one day alone.
+    """
+    root = prefix.rstrip("/")
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    paths = [root]
+    if day is not None:
+        name = f"dt={day.strftime('%Y%m%d')}"
+        folders = child_folders(spark, root)
+        users = [f for f in folders if f.startswith("user=")]
+        paths = [f"{root}/{name}"] if name in folders else []
+        paths += [f"{root}/{u}/{name}" for u in users if name in child_folders(spark, f"{root}/{u}")]
+        if not paths:
+            return spark.createDataFrame([], declared).withColumn(user, F.lit(None).cast("string"))
     df = (
-        spark.read.schema(schema)
+        spark.read.option("mergeSchema", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
-        .parquet(prefix)
+        .parquet(*paths)
     )
+    place = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(place, "/user=([^/]*)/", 1), F.lit(""))
+    own = F.col(user).cast("string") if user in df.columns else F.lit(None).cast("string")
+    columns = [F.col(f"`{c}`") for c in df.columns if c != user]
+    columns += [F.lit(None).cast(f.dataType).alias(f.name) for f in declared.fields if f.name not in df.columns]
     if exclude is not None:
         # The base is one file, or the folder of that name a Spark write makes.
-        df = df.filter(~F.col("_metadata.file_path").rlike(f"{exclude.replace('.', '[.]')}(/[^/]*)?$"))
-    return df
+        df = df.filter(~place.rlike(f"{exclude.replace('.', '[.]')}(/[^/]*)?$"))
+    return df.select(*columns, F.coalesce(own, folder).alias(user))
 
 
 def read_workout_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

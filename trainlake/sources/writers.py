@@ -23,6 +23,17 @@ def clustered(df: DataFrame, cols: Sequence[str], sort: Sequence[str] = ()) -> D
     return df.sortWithinPartitions(*sort) if sort else df
 
 
+def ranged(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows dealt and sorted by ranges of ``cols`` for a write.
+
+    The first columns say which rows lie together, such as month and user: a user's rows are
+    then in one file of the month, or in neighbouring ones. The last column, such as a time,
+    lets a hot user's rows be split over several tasks.
+    """
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in cols]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_day(df: DataFrame, path: str, day: date) -> str:
     """Replace the partition of one day; other days stay."""
     target = f"{path.rstrip('/')}/year={day.year}/month={day.month:02d}/day={day.day:02d}"
@@ -35,12 +46,13 @@ def append_batch(
     path: str,
     day: date,
     user: str = "user_id",
-    by_user: bool = True,
+    by_user: bool = False,
     observe: tuple[Observation, Sequence[Column]] | None = None,
 ) -> None:
-    """Append a raw batch under ``user=<token>/dt=<day>``.
+    """Append a raw batch under ``dt=<day>``, sorted by user in each file.
 
-    ``by_user=False`` leaves out the user folders, for feeds with very many users.
+    ``by_user`` puts ``user=<token>/`` above it, for feeds of few users. The token is a folder
+    name of up to 12 characters, which several users can share; the rows keep their ``user``.
     ``observe`` collects figures of the written rows while they are written.
     """
     out = df.withColumn("dt", F.lit(day.strftime("%Y%m%d")))
@@ -48,7 +60,7 @@ def append_batch(
     if by_user:
         out = out.withColumn("user", user_token(F.col(user).cast("string")))
         keys = ["user", "dt"]
-    out = clustered(out, keys)
+    out = clustered(out, keys, [*keys, user] if user in df.columns else ())
     if observe is not None:
         out = out.observe(observe[0], *observe[1])
     out.write.partitionBy(*keys).mode("append").parquet(path)
@@ -62,10 +74,20 @@ def write_snapshot(df: DataFrame, path: str, day: date) -> str:
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), sort: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    sort: Sequence[str] = (),
+    ranged_by: Sequence[str] = (),
 ) -> None:
-    """Replace a table. ``path`` must not be a source of ``df``."""
-    if partition_by or sort:
+    """Replace a table. ``path`` must not be a source of ``df``.
+
+    ``ranged_by`` deals the rows by ranges of those columns, see ``ranged``; else they are
+    brought together by ``partition_by``, or by ``sort``, and sorted.
+    """
+    if ranged_by:
+        df = ranged(df, ranged_by)
+    elif partition_by or sort:
         # By the partition columns alone: a task then writes to one folder, or few, and a
         # large folder is split over many tasks.
         df = clustered(df, partition_by or sort, [*partition_by, *sort])
@@ -75,8 +97,9 @@ def write_table(
     writer.parquet(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Add rows; ``readers.read_appended`` reads a table whose rows have got new columns."""
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
@@ -109,7 +132,8 @@ def land_csv(
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
 ) -> None:
-    """CSV to Parquet, as a fixed table or as the snapshot of a day."""
+    """CSV to Parquet, as a fixed table or as the snapshot of a day. A large feed needs a
+    ``schema`` and, if its texts have no line ends, ``multi_line=False``."""
     df = read_csv(spark, src, schema, multi_line)
     if day is None:
         write_table(df, dst)

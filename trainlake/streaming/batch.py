@@ -21,10 +21,13 @@ def ingest_incremental(
     ts: str = "updated_at",
     fallback: str | None = None,
     user: str = "user_id",
-    by_user: bool = True,
+    by_user: bool = False,
 ) -> datetime | None:
     """Append the workouts changed since the stored mark, then move the mark.
 
+    A feed with a ``dt`` column, as ``append_batch`` leaves it, is first pruned to the days from
+    that of the mark on; its stamps are compared after that.
+
     The new mark is observed while the batch is written, so the source is read once. The
     data goes first: a crash between the two steps repeats the batch (at least once).
     Returns the new mark, or None when nothing was new.
@@ -37,6 +40,8 @@ def ingest_incremental(
         F.count(F.lit(1)).alias("n"),
         F.max(F.unix_micros(stamp.try_cast("timestamp"))).alias("mark"),
     ]
+    if since is not None and "dt" in raw.columns:
+        raw = raw.filter(F.col("dt").cast("int") >= int(since.strftime("%Y%m%d")))
     new = filter_since(raw, bound, ts, fallback)
     append_batch(new, dst, day, user, by_user, observe=(seen, figures))
     if not seen.get["n"] or seen.get["mark"] is None:

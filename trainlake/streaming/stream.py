@@ -12,10 +12,15 @@ from trainlake.functions.dates import month_of
 from trainlake.functions.values import with_duration, with_id_string
 from trainlake.operators.nested import explode_workouts
 from trainlake.schemas import RAW_WORKOUT
+from trainlake.sources.writers import clustered
 
 
-def raw_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
-    """New raw files below ``src`` as a stream with the declared schema."""
+MAX_FILES = 10_000
+
+
+def raw_stream(spark: SparkSession, src: str, max_files: int | None = MAX_FILES) -> DataFrame:
+    """New raw files below ``src`` as a stream with the declared schema, at most ``max_files``
+    in a batch, so that a backlog is worked off in several."""
     with_user = T.StructType([T.StructField("user_id", T.StringType()), *RAW_WORKOUT.fields])
     reader = (
         spark.readStream.schema(with_user)
@@ -33,22 +38,25 @@ def stream_workouts(
     dst: str,
     checkpoint: str,
     user_id: str | None = None,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
     partition_by: Sequence[str] = ("start_month",),
 ) -> StreamingQuery:
     """Explode every new raw file and append its sets to the silver table.
 
-    Runs over what has arrived and stops. The checkpoint and the sink's commit log make
-    each file count once, also after a restart. There is no state and no shuffle.
+    Runs over what has arrived and stops. Each batch brings its rows together by
+    ``partition_by``, so it adds about one file per folder, and replaces its own folder
+    ``batch=<n>`` of the table: a batch that is run again after a crash counts once.
     """
     sets = explode_workouts(raw_stream(spark, src, max_files), user_id, keep_nested=False)
     sets = with_id_string(with_duration(sets)).withColumn("start_month", month_of("start_time"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        out = clustered(batch, partition_by, [*partition_by, "user_id"])
+        out.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{dst.rstrip('/')}/batch={number}")
+
     return (
-        sets.writeStream.format("parquet")
+        sets.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
-        .option("path", dst)
-        .partitionBy(*partition_by)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
