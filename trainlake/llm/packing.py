@@ -75,10 +75,10 @@ class Packer:
         self.room = np.zeros((0, 3))
 
     def add(self, piece: Piece) -> None:
-        """Whole sequences are cut off first; the rest is placed."""
-        whole = min(self.limits.tokens, self.limits.loss)
-        while len(piece.ids) >= whole:
-            head, piece = piece.cut(piece.fitting(self.limits.tokens, self.limits.loss))
+        """What fills a sequence alone, or is all that one may hold, is cut off first; the rest is
+        placed."""
+        while (most := piece.fitting(self.limits.tokens, self.limits.loss)) == self.limits.tokens or most < len(piece.ids):
+            head, piece = piece.cut(most)
             self.emit([head])
         if len(piece.ids):
             self.place(piece)
