@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trainlake.session import apply_defaults, scratch_path
 
 #: Rows go to Python in batches of so many bytes, however long the texts are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship_by_value(module: str) -> None:
@@ -57,9 +57,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has about ``most_bytes`` in each; a longer text stays
-    whole in a slice of its own. Bounds the memory of what is derived from a slice."""
+    whole in a slice of its own. Bounds the memory of what is derived from a slice, and returns
+    what was free at the end of the task, because workers live on."""
+    try:
+        yield from cut_batches(batches, column, most_bytes)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

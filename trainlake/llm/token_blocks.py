@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trainlake.llm.common import col, ship_by_value, shuffle_partitions, slices
@@ -180,11 +180,12 @@ def write_token_blocks(
     ordered.mapInArrow(task, SEGMENTS).write.parquet(path)
 
 
-def read_token_blocks(spark, path: str) -> DataFrame:
+def read_token_blocks(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
     """The documents of written segments: ``doc_id, start, n_tokens, ids``. ``start`` counts the
-    ids of all documents before; the sums of the shards that it needs are one row per shard."""
-    from pyspark.sql import Window
+    ids of all documents before; the sums of the shards that it needs are one row per shard.
 
+    With ``checksums`` there is ``ids_crc32`` instead of ``ids``, the unsigned crc32 of the read
+    ids in little-endian order, four bytes each; then no ids leave the Python workers."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,37 +204,27 @@ def read_token_blocks(spark, path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 for lo in range(0, n, 4096):
                     hi = min(n, lo + 4096)
-                    bounds = pa.array(ends[lo : hi + 1] - ends[lo], pa.int32())
-                    values = pa.array(ids[ends[lo] : ends[hi]].astype(np.int32), pa.int32())
+                    if checksums:
+                        last = pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[lo:hi], ends[lo + 1 : hi + 1], strict=True)], pa.int64())
+                    else:
+                        bounds = pa.array(ends[lo : hi + 1] - ends[lo], pa.int32())
+                        last = pa.ListArray.from_arrays(bounds, pa.array(ids[ends[lo] : ends[hi]].astype(np.int32), pa.int32()))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(docs[lo:hi], pa.int64(), mask=missing[lo:hi]),
                             pa.array(row["start"] + ends[lo:hi], pa.int64()),
                             pa.array(lengths[lo:hi], pa.int64()),
-                            pa.ListArray.from_arrays(bounds, values),
+                            last,
                         ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
+                        names=["doc_id", "start", "n_tokens", name],
                     )
 
-    return rows.mapInArrow(task, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def checksums(tokens: DataFrame) -> DataFrame:
-    """``ids`` as the unsigned crc32 of the ids in little-endian order, four bytes each."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", "start", "n_tokens")], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    name = "ids_crc32" if checksums else "ids"
+    return rows.mapInArrow(task, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'array<int>'}")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Write the documents as token blocks in the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, "token-blocks")
     write_token_blocks(docs, path)
-    return checksums(read_token_blocks(docs.sparkSession, path))
+    return read_token_blocks(docs.sparkSession, path, checksums=True)

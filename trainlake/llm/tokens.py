@@ -12,7 +12,7 @@ from trainlake.llm.common import ship_by_value, text_bytes
 ship_by_value(__name__)
 
 END_ID = 2
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 JOINED = 512
 LETTER, DIGIT, OTHER = 1, 2, 3
 #: A unit that the tokenizer takes as exactly one word: Latin letters, a digit, or signs.
