@@ -2,24 +2,27 @@
 
 Links are found exactly, in steps whose output is bounded by the rows, not by pairs:
 
-1. ``shingle rows``: size and key of each document's shingle set, and the shingles that are
+1. ``shingle_rows``: size and key of each document's shingle set, and the shingles that are
    frequent in some part of the rows. Equal sets are one class from here on.
 2. Shingles are ordered, frequent ones last. Two sets that reach the similarity share one of
    the first ``n - ceil(t * n) + 1`` shingles of each, so the sets that have a shingle in that
-   prefix form a *list* per shingle: the leaf level of the tree of that shingle.
-3. Each set is compared with one other: the first of its list and size range that shares most
-   prefix shingles with it. Verified links collapse copies and near copies into components.
-4. Lists that still hold several components are arranged as signature trees: sets ordered by
-   size, 16 to a node and 16 nodes to the next, each node with the OR of its sets' token
-   bitmaps, its size range and its component range. Pairs of nodes are traversed together from
-   the roots; a pair is dropped when its sizes are too far apart, when it lies in one component,
-   or when the bits that both have cannot make up the overlap that the similarity needs. A list
-   is a forest of trees of up to 1024 sets of like size; each pair of trees is traversed on
-   its own.
-5. The pairs of sets that survive are compared exactly, and the components completed.
-
-Nothing is lost: a tree drops a pair only if it cannot reach the similarity or is connected
-already, and step 3 only saves work of step 4.
+   prefix form a *list* per shingle, which is the root of the signature tree over its sets.
+3. A list of up to 16 sets is a tree of one leaf. The pairs of all leaves are counted: a pair
+   that shares leaves only, and fewer of them than the similarity needs, is dropped.
+4. In longer lists each set is paired with one or two others at first: the most central sets of
+   its lists, those that are in most lists. What steps 3 and 4 found is compared exactly; links
+   collapse copies and near copies into components.
+5. Longer lists that still hold several components are arranged as signature trees: sets
+   ordered by size, 16 to a node and 16 nodes to the next, each node with the OR of its sets'
+   token bitmaps, its size range and its component range. Pairs of nodes are traversed together
+   from the roots; a pair is dropped when its sizes are too far apart, when it lies in one
+   component, or when the bits that both have cannot make up the overlap that the similarity
+   needs. A list is a forest of trees of up to 1024 sets of like size; each pair of trees is
+   traversed on its own.
+6. The pairs of sets that survive are compared exactly, and the components completed.
+
+Nothing is lost: a pair of leaves or nodes is dropped only if it cannot reach the similarity or
+is connected already, and step 4 only saves work of step 5.
 """
 
 from __future__ import annotations
@@ -33,23 +36,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import id_and_text, ship_by_value, shuffle_partitions, slices, written
+from trainlake.llm.common import cut_batches, id_and_text, ship_by_value, shuffle_partitions, slices, written
 from trainlake.llm.components import connected_components
 from trainlake.llm.shingles import Powers, shingle_sets
 
 ship_by_value(__name__)
 
 PERCENT = 75
-#: A shingle is frequent in a slice of rows if this many of its documents, at least, and this
-#: share of them have it; frequent in all rows if it has this share of them. At most
-#: ``1 / FREQUENT_SHARE`` shingles per average set size can be that, which bounds the list.
-FREQUENT_DOCS, FREQUENT_SHARE = 4, 1 / 1024
+#: A shingle is frequent in a window of rows if this many of the window's different sets have it.
+#: Of those, the most frequent ones in all windows together, at most so many, go to all tasks. It
+#: only changes the order, never the result.
+WINDOW_SHINGLES = 1 << 21
+FREQUENT_HERE, FREQUENT_SHINGLES = 3, 1 << 20
 SLICE_BYTES = 1 << 20
 LEAF, TREE = 16, 1024
 FILTER_BITS = 1 << 24
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], least: int = 1):
+def sets_of(batches: Iterator[pa.RecordBatch]):
     """``(doc ids, sets)`` for each slice of the rows."""
     powers = Powers()
     for part in slices(batches, "text", SLICE_BYTES):
@@ -67,33 +71,51 @@ def signed(values: np.ndarray) -> np.ndarray:
 def shingle_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``doc_id, n, key`` for documents and of ``token, times`` for frequent shingles."""
 
+    names = ["doc_id", "n", "key", "token", "times"]
+
+    def frequent(window: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(list(window.values())), return_counts=True)
+        often = times >= FREQUENT_HERE
+        window.clear()
+        none = pa.nulls(int(often.sum()), pa.int64())
+        found = [pa.array(signed(tokens[often]), pa.int64()), pa.array(times[often], pa.int64())]
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), *found], names=names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: dict[bytes, np.ndarray] = {}
+        held = 0
         for ids, sets in sets_of(batches):
             n = len(sets)
-            whole = np.concatenate(sets)
-            tokens, times = np.unique(whole, return_counts=True)
-            often = times >= max(FREQUENT_DOCS, FREQUENT_SHARE * n)
-            hot = int(often.sum())
-            none = [None] * hot
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.array(none, pa.int64())]),
-                    pa.array([len(s) for s in sets] + none, pa.int64()),
-                    pa.array([set_key(s) if len(s) else None for s in sets] + none, pa.binary()),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(signed(tokens[often]), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[often], pa.int64())]),
-                ],
-                names=["doc_id", "n", "key", "token", "times"],
-            )
+            keys = [set_key(s) if len(s) else None for s in sets]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), sizes, pa.array(keys, pa.binary()), none, none], names=names)
+            for key, own in zip(keys, sets, strict=True):
+                if key is not None and key not in window:
+                    window[key] = own
+                    held += len(own)
+            if held >= WINDOW_SHINGLES:
+                yield frequent(window)
+                held = 0
+        if window:
+            yield frequent(window)
 
     return docs.mapInArrow(task, "doc_id long, n long, key binary, token long, times long")
 
 
 def frequent_shingles(rows: DataFrame) -> np.ndarray:
-    """Shingles that at least ``FREQUENT_SHARE`` of the documents are known to have, sorted."""
-    n = rows.filter("n IS NOT NULL").count()
+    """The shingles with the highest counts, sorted; at most ``FREQUENT_SHINGLES``, cut where the
+    count passes a step of an eighth power of two, so that no order of equal counts is needed."""
     counted = rows.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    found = counted.filter(F.col("times") >= max(64, n * FREQUENT_SHARE)).select("token").toArrow().column(0).to_numpy()
+    counted = written(counted.withColumn("step", F.floor(8 * F.log2("times")).cast("int")), "frequent")
+    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+    least, total = 1 << 20, 0
+    for step, n in steps:
+        total += n
+        if total > FREQUENT_SHINGLES:
+            break
+        least = step
+    found = counted.filter(F.col("step") >= least).select("token").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
@@ -141,24 +163,37 @@ def size_class(percent: int) -> Column:
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """``token, n, doc_id, hub`` of the tokens that two or more different sets have in their
-    prefix; ``hub`` is the first set of the list in the same size class, where sizes are close
-    enough for a link. Of equal sets the smallest id stands for all."""
-    kind = size_class(percent)
-    order = ["kind", "n", "key", "doc_id"]
+    """``token, n, doc_id, size`` of the tokens that two or more different sets have in their
+    prefix, and the number of entries. Of equal sets the smallest id stands for all."""
     whole = Window.partitionBy("token")
-    along = whole.orderBy(*order)
-    near = Window.partitionBy("token", "kind").orderBy("n", "key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = entries.repartition(shuffle_partitions(entries.sparkSession), "token").withColumn("kind", kind)
+    along = whole.orderBy("n", "key", "doc_id")
+    dealt = entries.repartition(shuffle_partitions(entries.sparkSession), "token")
     marked = dealt.select(
         "token",
         "n",
         "doc_id",
-        F.first("doc_id").over(near).alias("hub"),
         F.lag("key").over(along).eqNullSafe(F.col("key")).alias("again"),
-        (F.first("key").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) != F.last("key").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("several"),
+        F.count(F.lit(1)).over(whole).alias("size"),
+        (F.min("key").over(whole) != F.max("key").over(whole)).alias("several"),
     )
-    return marked.filter("several AND NOT again").select("token", "n", "doc_id", "hub")
+    return marked.filter("several AND NOT again").select("token", "n", "doc_id", "size")
+
+
+def central_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of each set with the most central set that it meets most often: the one of a
+    whole list, and the one of its size class in a list. An edited copy meets its original in
+    all lists but those of the edited shingles, and the original is in most lists."""
+    lists = lists.select("token", "n", "doc_id")
+    weighed = lists.join(lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lists")), "doc_id").withColumn("kind", size_class(percent))
+    out = []
+    for keys in (["token"], ["token", "kind"]):
+        centre = weighed.groupBy(*keys).agg(F.max(F.struct("lists", "doc_id", "n")).alias("centre"))
+        met = weighed.join(centre, keys).filter("doc_id <> centre.doc_id")
+        near = (100 * F.col("centre.n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("centre.n"))
+        times = met.filter(near).groupBy("doc_id", F.col("centre.doc_id").alias("other")).agg(F.count(F.lit(1)).alias("times"))
+        best = times.groupBy("doc_id").agg(F.max(F.struct("times", "other")).alias("best"))
+        out.append(best.select(F.least("doc_id", "best.other").alias("a"), F.greatest("doc_id", "best.other").alias("b")))
+    return out[0].unionByName(out[1])
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -172,63 +207,93 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, items`` of the wanted ids, and of a few others: the sorted set as 64-bit numbers."""
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the wanted ids, and of a few others; texts do not move for that."""
     passing = id_filter(ids)
-    placed = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    placed = docs.filter("doc_id IS NOT NULL").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             keep = (passing[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            few = batch.filter(pa.array(keep))
-            for part in slices(iter([few]), "text", SLICE_BYTES):
-                sets = shingle_sets(part.column("text"), powers)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "items"])
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
 
-    return placed.filter("doc_id IS NOT NULL").mapInArrow(task, "doc_id long, items binary")
+    return placed.mapInArrow(task, "doc_id long, text string")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity, compared exactly."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the similarity, compared exactly. ``pairs`` is a
+    written table; only the texts of its ids are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(wanted(docs, ids), "texts")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                merged = np.concatenate([u, v])
-                merged.sort()
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(chosen), b.filter(chosen)], names=["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+            for part in cut_batches(cut_batches(iter([batch]), "x", SLICE_BYTES), "y", SLICE_BYTES):
+                # The rows of one b lie together: its set is made once.
+                b = part.column("b").to_numpy()
+                new = np.concatenate([[True], b[1:] != b[:-1]])
+                ys = shingle_sets(part.column("y").filter(pa.array(new)), powers)
+                keep = []
+                for u, at in zip(shingle_sets(part.column("x"), powers), np.cumsum(new) - 1, strict=True):
+                    v = ys[at]
+                    merged = np.concatenate([u, v])
+                    merged.sort()
+                    common = int((merged[1:] == merged[:-1]).sum())
+                    keep.append(len(merged) > 0 and 100 * common >= percent * (len(merged) - common))
+                chosen = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(chosen), part.column("b").filter(chosen)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long").distinct()
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """The token bitmap of a set: four bits for each token, rounded up to a power of two."""
-    bits = 64 << max(0, int(4 * len(values) - 1).bit_length() - 6)
+    """The token bitmap of a set: eight to sixteen bits for each token, a power of two in all."""
+    bits = 64 << max(0, int(8 * len(values) - 1).bit_length() - 6)
     place = (values >> np.uint64(20)) & np.uint64(bits - 1)
     out = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """``doc_id, bits``: the token bitmap of each set."""
+def bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, bits``: the token bitmap of each wanted id."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [bitmap(np.frombuffer(items.as_buffer(), np.uint64)).tobytes() for items in batch.column("items")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
+        for own, sets in sets_of(batches):
+            yield pa.RecordBatch.from_arrays([own, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "bits"])
+
+    return wanted(docs, ids).mapInArrow(task, "doc_id long, bits binary").filter("length(bits) > 0")
+
+
+def shared_prefix(n: Column, m: Column, percent: int) -> Column:
+    """How many shingles the prefixes of two sets of these sizes share, at least, if the sets
+    reach the similarity.
+
+    The sets share ``o = ceil(t / (1 + t) * (n + m))`` shingles, so ``n - o`` of the first set's
+    are not in the second. Of the two prefixes one ends first in the common order, and what it
+    shares with the other set lies in that set's prefix."""
+    together = F.ceil(percent * (n + m) / (100 + percent))
+
+    def least(size: Column) -> Column:
+        return size - F.ceil(percent * size / 100) + 1 - (size - together)
+
+    return F.greatest(F.lit(1), F.least(least(n), least(m)))
+
 
-    return sets.mapInArrow(task, "doc_id long, bits binary")
+def leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of sets that short lists leave: each list is one leaf of at most
+    ``LEAF`` sets, the leaves that a pair shares are counted, and their number and the sizes must
+    allow the similarity. Pairs that share a longer list too are found by its tree."""
+    members = lists.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("leaf"))
+    first = members.select("leaf", F.posexplode("leaf").alias("at", "x"))
+    pairs = first.select("x", F.explode(F.slice("leaf", F.col("at") + 2, F.lit(LEAF))).alias("y"))
+    close = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    counted = pairs.filter(close).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter(F.col("shared") >= shared_prefix(F.col("n"), F.col("m"), percent)).select("a", "b").filter("a <> b")
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -309,7 +374,7 @@ def children(nodes: np.ndarray, k: int, tree: Tree) -> tuple[np.ndarray, np.ndar
     return nodes * LEAF, np.minimum(nodes * LEAF + LEAF, len(tree.levels[k]["low"]))
 
 
-def forest_pairs(lists: DataFrame, groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def forest_pairs(lists: DataFrame, groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of sets in different components that the signature trees of all lists
     leave, each once.
 
@@ -333,6 +398,7 @@ def forest_pairs(lists: DataFrame, groups: DataFrame, signatures: DataFrame, per
     pairs = x.join(y, F.expr(f"x.token = y.token AND x.tree <= y.tree AND 100 * x.high >= {percent} * y.low AND NOT (x.first = x.last AND y.first = y.last AND x.first = y.first)"))
     pairs = pairs.select("x.token", F.col("x.tree").alias("i"), F.col("y.tree").alias("j"))
     sides = pairs.select("token", F.col("i").alias("tree"), "i", "j").unionByName(pairs.filter("i < j").select("token", F.col("j").alias("tree"), "i", "j"))
+    signatures = written(bitmaps(docs, numbered.select("doc_id").distinct()), "bitmaps")
     rows = numbered.join(sides, ["token", "tree"]).join(signatures, "doc_id")
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "tree", "n", "doc_id")
     dealt = dealt.select("token", "i", "j", "tree", "n", "doc_id", "component", "bits")
@@ -400,18 +466,18 @@ def jaccard_components(
     sizes = rows.filter("n IS NOT NULL")
     classes = sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
 
-    lists = written(shared_lists(postings(docs, frequent_shingles(rows), percent), percent), "shared-lists")
-    members = lists.select("doc_id").distinct()
-    sets = written(wanted_sets(docs, members), "sets")
+    frequent = frequent_shingles(rows)
+    lists = written(shared_lists(postings(docs, frequent, percent), percent), "shared-lists")
+    short = lists.filter(F.col("size") <= LEAF).select("token", "n", "doc_id")
+    long = lists.filter(F.col("size") > LEAF)
 
-    shared = lists.filter("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("times"))
-    nearest = shared.groupBy("doc_id").agg(F.max(F.struct("times", "hub")).alias("best"))
-    first_links = written(linked(nearest.select(F.col("doc_id").alias("a"), F.col("best.hub").alias("b")), sets, percent), "first-links")
+    first_pairs = written(leaf_pairs(short, percent).unionByName(central_pairs(long, percent)).distinct(), "first-pairs")
+    first_links = written(linked(first_pairs, docs, percent), "first-links")
     groups = written(connected_components(first_links), "first-components")
 
-    rest = written(forest_pairs(lists, groups, bitmaps(sets), percent), "tree-pairs")
+    rest = written(forest_pairs(long.select("token", "n", "doc_id"), groups, docs, percent), "tree-pairs")
     copies = sizes.join(classes, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).filter("a <> b")
-    links = first_links.unionByName(linked(rest, sets, percent)).unionByName(copies)
+    links = first_links.unionByName(linked(rest, docs, percent)).unionByName(copies)
     components = written(connected_components(links), "components")
     named = components.select(F.col("id").alias("doc_id"), F.col("component").alias("found"))
     out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
