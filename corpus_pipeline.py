@@ -14,9 +14,12 @@ MIN_SCORE = 0.3
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows: without a letter, or below ``MIN_SCORE``,
-    they go. Columns stay as they are."""
+    they go. Columns stay as they are. Without labelled documents there is no model to reject any,
+    and all stay."""
     prepared(spark)
     model = language.fit(docs)
+    if not model.languages:
+        return docs
     labelled = language.predict(docs, model, prediction="_lang", score="_score")
     return labelled.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
 

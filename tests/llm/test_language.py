@@ -97,3 +97,14 @@ def test_edges(spark):
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
     with pytest.raises(ValueError, match="lang_pred"):
         language.predict(spark.createDataFrame(rows, schema), language.Model(language.Settings()))
+
+
+def test_sample_bounds(spark):
+    from pyspark.sql import functions as F
+
+    ranks = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("lang"), F.xxhash64("id").alias("rank"))
+    want = {}
+    for r in ranks.collect():
+        want.setdefault(r.lang, []).append(r.rank)
+    assert language.sample_bounds(ranks, {k: len(v) for k, v in want.items()}, 200) == {k: sorted(v)[199] for k, v in want.items()}
+    assert language.sample_bounds(ranks, {k: len(v) for k, v in want.items()}, 5000) == {"de": max(want["de"]), "en": sorted(want["en"])[4999]}

@@ -17,6 +17,7 @@ ship_by_value(__name__)
 
 UNKNOWN = "und"
 FOLDS = 5
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def document_frequencies(docs: DataFrame, settings: Settings) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen = Grams(settings), np.zeros(size + 1, np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             for buckets, has_letter in grams.features(part.column("text")):
                 if has_letter:
                     seen[np.unique(buckets)] += 1
@@ -170,6 +171,24 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(min(np.geomspace(0.02, 20, 700), key=loss))
 
 
+def looked_up(by_language: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in by_language.items() for x in pair])[F.col("lang")]
+
+
+def sample_bounds(ranks: DataFrame, sizes: dict[str, int], wanted: int) -> dict[str, int]:
+    """For each language the greatest rank among its ``wanted`` smallest ones.
+
+    Ranks are hashes, evenly spread over the signed 64-bit numbers, so rows beyond the share that
+    holds about twice as many as wanted need not be looked at; few rows of a frequent language
+    reach the task that orders them."""
+    shares = {lang: min(1.0, 2 * (wanted + 50) / n) for lang, n in sizes.items()}
+    cuts = {lang: min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)) for lang, share in shares.items()}
+    first = Window.partitionBy("lang").orderBy("rank")
+    near = ranks.filter(F.col("rank") <= looked_up(cuts)).withColumn("nth", F.row_number().over(first))
+    found = near.filter(F.col("nth") <= wanted).groupBy("lang").agg(F.max("rank").alias("bound")).collect()
+    return dict.fromkeys(sizes, -(1 << 63)) | {r["lang"]: r["bound"] for r in found}
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit to the learnable rows that have a language.
 
@@ -181,21 +200,19 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     known = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     known = known.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.withColumn("rank", F.xxhash64("doc_id"))
-    first = Window.partitionBy("lang").orderBy("rank")
-    chosen = known.select("lang", "rank").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= settings.per_language)
-    bounds = chosen.groupBy("lang").agg(F.max("rank").alias("bound")).collect()
-    model = Model(settings, sorted(r["lang"] for r in bounds))
-    if not bounds:
+    sizes = known.groupBy("lang").count().collect()
+    model = Model(settings, sorted(r["lang"] for r in sizes))
+    if not sizes:
         return model
+    bounds = sample_bounds(known.select("lang", "rank"), {r["lang"]: r["count"] for r in sizes}, settings.per_language)
     counted = document_frequencies(known, settings)
     model.idf = idf = np.log((1 + counted[-1]) / (1 + counted[:-1])) + 1
     languages = model.languages
-    limits = F.create_map(*[c for r in bounds for c in (F.lit(r["lang"]), F.lit(r["bound"]))])
-    sample = known.filter(F.col("rank") <= limits[F.col("lang")])
+    sample = known.filter(F.col("rank") <= looked_up(bounds))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(settings)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             rows = [vector(b, idf) if ok else (None, None) for b, ok in grams.features(part.column("text"))]
             at = pa.array([a for a, _ in rows], pa.list_(pa.int32()))
             x = pa.array([v for _, v in rows], pa.list_(pa.float32()))
@@ -243,7 +260,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prediction: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(settings)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE_BYTES):
             names, scores = [], []
             for buckets, has_letter in grams.features(part.column(text_col).fill_null("")):
                 if not has_letter or weights is None:
