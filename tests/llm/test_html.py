@@ -114,3 +114,17 @@ def test_edges(spark):
     assert got == [("1", "", 0), ("2", "x", 1), ("2", "x", 1), ("3", "y same", 6), ("None", "", 0)]
     assert {r.host: r.n_pages for r in html.infer_wrappers(df).collect()} == {"": 2, "a.example": 3}
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages, url="http://h.example/"):
+    df = spark.createDataFrame([(k, f"{url}{k}", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html.extract_main_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_wrapper_chooses_the_content(spark):
+    """A teaser in an article element beside the story, and a constant text in an article."""
+    stories = [f"<article><p>teaser {w}</p></article><div id=story><p>the long story of {w} and its end</p></div>" for w in ("one", "two", "three")]
+    assert extracted(spark, stories) == [f"teaser {w} the long story of {w} and its end" for w in ("one", "two", "three")]
+    inside = [f"<div>{w}</div><article><p>the story of {w} and its end</p><div class=more>Read on</div></article>" for w in ("one", "two", "three")]
+    assert extracted(spark, inside) == [f"the story of {w} and its end" for w in ("one", "two", "three")]
+    assert extracted(spark, stories[:1]) == ["teaser one"]

@@ -50,10 +50,10 @@ SPACE = re.compile(r"\s+")
 class Element:
     """An open element: its name and class for paths, and what holds for all inside it."""
 
-    __slots__ = ("dropped", "inside", "name", "path")
+    __slots__ = ("dropped", "inside", "link", "name", "path")
 
-    def __init__(self, name: str, path: str, dropped: bool, inside: bool):
-        self.name, self.path, self.dropped, self.inside = name, path, dropped, inside
+    def __init__(self, name: str, path: str, dropped: bool, inside: bool, link: bool = False):
+        self.name, self.path, self.dropped, self.inside, self.link = name, path, dropped, inside, link
 
 
 def opened(name: str, attributes: str, parent: Element) -> Element:
@@ -64,7 +64,7 @@ def opened(name: str, attributes: str, parent: Element) -> Element:
     dropped = dropped or (name not in ("html", "body", *MAIN) and not words.isdisjoint(BOILERPLATE))
     dropped = dropped or (bool(attributes) and HIDDEN.search(attributes) is not None)
     path = parent.path if label in INLINE else f"{parent.path}/{label}"
-    return Element(name, path, dropped, parent.inside or name in MAIN)
+    return Element(name, path, dropped, parent.inside or name in MAIN, parent.link or name == "a")
 
 
 def events(page: str) -> Iterator[tuple[str, str, Element]]:
@@ -143,7 +143,9 @@ def mark(text: str) -> str:
     return text if len(text) <= 120 else "sha1:" + hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-# A token is a list: ["t", tag], ["x", path, text or None for a slot], ["+", *tokens] or ["?", *tokens].
+# A token is a list: ["t", tag], ["x", path, text or None for a slot, inside, outside], ["+", *tokens]
+# or ["?", *tokens]. The last two of a text are the characters that pages have there within and
+# outside an article element, links and what is no content by its element left out.
 
 
 def shape(token: list) -> tuple:
@@ -158,7 +160,7 @@ def merged(a: list, b: list) -> list:
     if a[0] == "t":
         return a
     if a[0] == "x":
-        return a if a[2] == b[2] else ["x", a[1], None]
+        return ["x", a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
     return [a[0], *(merged(x, y) for x, y in zip(a[1:], b[1:], strict=True))]
 
 
@@ -260,10 +262,12 @@ def stream(page: str) -> list[list]:
             text = tidy(entities.unescape(value))
             if not text:
                 continue
+            size = 0 if element.dropped or element.link else len(text)
+            token = ["x", element.path, mark(text), size * element.inside, size * (not element.inside)]
             if tokens and tokens[-1][0] == "x" and tokens[-1][1] == element.path:
-                tokens[-1] = ["x", element.path, None]
+                tokens[-1] = merged(tokens[-1], ["x", element.path, None, *token[3:]])
             else:
-                tokens.append(["x", element.path, mark(text)])
+                tokens.append(token)
         elif value not in INLINE and kind != "break":
             tokens.append(["t", f"{'/' if kind == 'close' else ''}{element.path.rpartition('/')[2]}"])
     return folded(tokens)
@@ -294,14 +298,33 @@ def template_texts(tokens: list[list]) -> dict[str, str | None]:
     return found
 
 
-def main_text(page: str, constants: dict[str, str | None]) -> str:
-    """The blocks of the article; on a page without one, of the body without texts that are the
-    host's template."""
+def in_articles(tokens: list[list]) -> bool:
+    """Whether the article elements hold most of what differs between the pages of a wrapper.
+    Where nothing differs, they are believed."""
+    constants = template_texts(tokens)
+
+    def sizes(part: list[list]) -> Iterator[int]:
+        for t in part:
+            if t[0] == "x" and constants[t[1]] is None:
+                yield t[3] - t[4]
+            elif t[0] in "+?":
+                yield from sizes(t[1:])
+
+    return sum(sizes(tokens)) >= 0
+
+
+def main_text(page: str, constants: dict[str, str | None], articles: bool = True) -> str:
+    """The blocks of the page without texts that are the host's template; with ``articles``, only
+    those of the article elements, where the page has them with text."""
     all_blocks = list(blocks(page))
-    marked = any(e.inside and not e.dropped and t.strip() for b in all_blocks for t, e in b)
+
+    def is_content(text: str, e: Element) -> bool:
+        return not e.dropped and (constants.get(e.path) != mark(tidy(text)) or not text.strip())
+
+    marked = articles and any(e.inside and t.strip() and is_content(t, e) for b in all_blocks for t, e in b)
     kept = []
     for block in all_blocks:
-        texts = [t for t, e in block if not e.dropped and (e.inside if marked else constants.get(e.path) != mark(tidy(t)) or not t.strip())]
+        texts = [t for t, e in block if is_content(t, e) and (e.inside or not marked)]
         text = tidy("".join(texts))
         if text:
             kept.append(text)
@@ -369,9 +392,11 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    The text is that of the article (or main) element without menus, headers, footers, sidebars,
-    notices, adverts, forms and comments; a page without one gives its body without those and
-    without the constant texts of its host's wrapper, where several pages made it. References
+    The wrapper of the page's host, where several pages made it, decides: its constant texts go, also
+    those in an article element, and the article (or main) elements are the content if they hold
+    most of the text that differs between the pages. If not, or on a page without one, the whole
+    body is. A host of one page says nothing; there the article elements are the content. Menus,
+    headers, footers, sidebars, notices, adverts, forms and comments go in any case. References
     are decoded, white space in a block becomes one blank, blocks are joined by one blank. A
     null or empty page gives an empty text; repeated rows and rows without an id or address are
     answered each; an empty table gives no rows; other columns are ignored.
@@ -382,14 +407,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     fields = f"page_id {dict(placed.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, constants = None, {}
+        host, constants, articles = None, {}, True
         for part in slices(batches, "html"):
             texts = []
             for k, (own, page) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
                 if own != host:
                     several = part.column("n_pages")[k].as_py() > 1
-                    host, constants = own, template_texts(json.loads(part.column("wrapper")[k].as_py())) if several else {}
-                texts.append(main_text(page, constants))
+                    wrapper = json.loads(part.column("wrapper")[k].as_py()) if several else []
+                    host, constants, articles = own, template_texts(wrapper), in_articles(wrapper)
+                texts.append(main_text(page, constants, articles))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return placed.mapInArrow(task, fields)
