@@ -128,3 +128,14 @@ def test_wrapper_chooses_the_content(spark):
     inside = [f"<div>{w}</div><article><p>the story of {w} and its end</p><div class=more>Read on</div></article>" for w in ("one", "two", "three")]
     assert extracted(spark, inside) == [f"the story of {w} and its end" for w in ("one", "two", "three")]
     assert extracted(spark, stories[:1]) == ["teaser one"]
+
+
+def test_copies_and_shared_texts_stay(spark):
+    """Copies say nothing about a template, nor do pages that differ in their menus alone; equal
+    headings and a shared body stay, a shared line beside differing text goes."""
+    assert extracted(spark, ["<p>x</p>"] * 3) == ["x"] * 3
+    assert extracted(spark, [f"<nav>{k}</nav><p>x</p><footer>{k}</footer>" for k in "abc"]) == ["x"] * 3
+    assert extracted(spark, [f"<h3>{k}</h3><p>the one paragraph of all</p>" for k in "abc"]) == [f"{k} the one paragraph of all" for k in "abc"]
+    assert extracted(spark, [f"<h1>Soups</h1><p>mix the {k}</p><h2>Method</h2><p>stir the {k}</p>" for k in "abc"]) == [f"Soups mix the {k} Method stir the {k}" for k in "abc"]
+    assert extracted(spark, [f"<p>mix the {k}</p><div>Read on</div>" for k in "aab"]) == [f"mix the {k}" for k in "aab"]
+    assert extracted(spark, ["<p>mix the a</p><div class=x>own</div>"] * 2 + ["<p>mix the b</p>"]) == ["mix the a own"] * 2 + ["mix the b"]

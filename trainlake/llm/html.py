@@ -143,9 +143,15 @@ def mark(text: str) -> str:
     return text if len(text) <= 120 else "sha1:" + hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-# A token is a list: ["t", tag], ["x", path, text or None for a slot, inside, outside], ["+", *tokens]
-# or ["?", *tokens]. The last two of a text are the characters that pages have there within and
-# outside an article element, links and what is no content by its element left out.
+# A token is a list: ["t", tag], ["x", path, text or None for a slot, inside, outside, pages],
+# ["+", *tokens] or ["?", *tokens]. Of a text, inside and outside are the characters that pages have
+# there within and outside an article element, links and what is no content by its element left out;
+# pages are digests of up to SUPPORT different pages that have it.
+
+#: So many pages that differ elsewhere must have a text before it is the host's template.
+SUPPORT = 2
+#: Headings that pages share stay: they head what differs.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def shape(token: list) -> tuple:
@@ -160,7 +166,7 @@ def merged(a: list, b: list) -> list:
     if a[0] == "t":
         return a
     if a[0] == "x":
-        return ["x", a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+        return ["x", a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], sorted({*a[5], *b[5]})[:SUPPORT]]
     return [a[0], *(merged(x, y) for x, y in zip(a[1:], b[1:], strict=True))]
 
 
@@ -255,21 +261,28 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 
 def stream(page: str) -> list[list]:
     """The token stream of a page with its repeated groups; formatting is left out, and texts
-    that only formatting separates are one slot."""
+    that only formatting separates are one slot. Pages are told apart by their content, so that
+    copies with another menu or footer are copies."""
     tokens: list[list] = []
+    pages: list[str] = []
+    content = hashlib.sha1()
     for kind, value, element in events(page):
         if kind == "text":
             text = tidy(entities.unescape(value))
             if not text:
                 continue
             size = 0 if element.dropped or element.link else len(text)
-            token = ["x", element.path, mark(text), size * element.inside, size * (not element.inside)]
+            if size:
+                content.update(f"{element.path} {text}\n".encode("utf-8", "surrogatepass"))
+            token = ["x", element.path, mark(text), size * element.inside, size * (not element.inside), pages]
             if tokens and tokens[-1][0] == "x" and tokens[-1][1] == element.path:
-                tokens[-1] = merged(tokens[-1], ["x", element.path, None, *token[3:]])
+                last = tokens[-1]
+                tokens[-1] = ["x", element.path, None, last[3] + token[3], last[4] + token[4], pages]
             else:
                 tokens.append(token)
         elif value not in INLINE and kind != "break":
             tokens.append(["t", f"{'/' if kind == 'close' else ''}{element.path.rpartition('/')[2]}"])
+    pages.append(content.hexdigest()[:16])
     return folded(tokens)
 
 
@@ -286,26 +299,39 @@ def expression(tokens: list[list]) -> str:
     return "".join(out)
 
 
-def template_texts(tokens: list[list]) -> dict[str, str | None]:
-    """The constant text of each path of a wrapper; None where any place of it is a slot."""
-    found: dict[str, str | None] = {}
+def path_texts(tokens: list[list]) -> dict[str, tuple[str | None, frozenset[str]]]:
+    """The constant text of each path of a wrapper, None where any place of it is a slot, and the
+    pages that have the path."""
+    found: dict[str, tuple[str | None, frozenset[str]]] = {}
     for t in tokens:
         if t[0] == "x":
-            found[t[1]] = t[2] if found.get(t[1], t[2]) == t[2] else None
-        elif t[0] in "+?":
-            for path, text in template_texts(t[1:]).items():
-                found[path] = text if found.get(path, text) == text else None
+            places = [(t[1], (t[2], frozenset(t[5])))]
+        else:
+            places = path_texts(t[1:]).items() if t[0] in "+?" else ()
+        for path, (text, pages) in places:
+            before, others = found.get(path, (text, frozenset()))
+            found[path] = (text if before == text else None, pages | others)
     return found
 
 
+def template_texts(tokens: list[list]) -> dict[str, str | None]:
+    """The constant text of each path of a wrapper; None where any place of it is a slot."""
+    return {path: text for path, (text, _) in path_texts(tokens).items()}
+
+
+def removable(tokens: list[list]) -> dict[str, str | None]:
+    """The constant texts that ``SUPPORT`` different pages have and that are no headings."""
+    return {path: text for path, (text, pages) in path_texts(tokens).items() if len(pages) >= SUPPORT and path.rpartition("/")[2].partition(".")[0] not in HEADINGS}
+
+
 def in_articles(tokens: list[list]) -> bool:
     """Whether the article elements hold most of what differs between the pages of a wrapper.
     Where nothing differs, they are believed."""
-    constants = template_texts(tokens)
+    texts = path_texts(tokens)
 
     def sizes(part: list[list]) -> Iterator[int]:
         for t in part:
-            if t[0] == "x" and constants[t[1]] is None:
+            if t[0] == "x" and texts[t[1]][0] is None and len(texts[t[1]][1]) >= SUPPORT:
                 yield t[3] - t[4]
             elif t[0] in "+?":
                 yield from sizes(t[1:])
@@ -315,16 +341,20 @@ def in_articles(tokens: list[list]) -> bool:
 
 def main_text(page: str, constants: dict[str, str | None], articles: bool = True) -> str:
     """The blocks of the page without texts that are the host's template; with ``articles``, only
-    those of the article elements, where the page has them with text."""
+    those of the article elements, where the page has them with text. A template text that is
+    longer than all that would be left of the page stays: it is what the page is about."""
     all_blocks = list(blocks(page))
 
-    def is_content(text: str, e: Element) -> bool:
-        return not e.dropped and (constants.get(e.path) != mark(tidy(text)) or not text.strip())
+    def is_template(text: str, e: Element) -> bool:
+        constant = constants.get(e.path)
+        return constant is not None and constant == mark(tidy(text))
 
-    marked = articles and any(e.inside and t.strip() and is_content(t, e) for b in all_blocks for t, e in b)
+    own = [(tidy(t), e) for b in all_blocks for t, e in b if not e.dropped and not is_template(t, e)]
+    marked = articles and any(e.inside and t for t, e in own)
+    left = sum(len(t) for t, e in own if e.inside or not marked)
     kept = []
     for block in all_blocks:
-        texts = [t for t, e in block if is_content(t, e) and (e.inside or not marked)]
+        texts = [t for t, e in block if not e.dropped and (e.inside or not marked) and not (is_template(t, e) and len(tidy(t)) <= left)]
         text = tidy("".join(texts))
         if text:
             kept.append(text)
@@ -392,10 +422,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    The wrapper of the page's host, where several pages made it, decides: its constant texts go, also
-    those in an article element, and the article (or main) elements are the content if they hold
-    most of the text that differs between the pages. If not, or on a page without one, the whole
-    body is. A host of one page says nothing; there the article elements are the content. Menus,
+    The wrapper of the page's host, where several different pages made it, decides: constant texts
+    that two pages with different content share go, also those in an article element, but for
+    headings and what is longer than the rest of the page; and the article (or main) elements are
+    the content if they hold most of the text that differs between the pages. If not, or on a page
+    without one, the whole body is. One page, or copies of one, say nothing; there the article
+    elements are the content, and nothing is template. Menus,
     headers, footers, sidebars, notices, adverts, forms and comments go in any case. References
     are decoded, white space in a block becomes one blank, blocks are joined by one blank. A
     null or empty page gives an empty text; repeated rows and rows without an id or address are
@@ -403,7 +435,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     wrappers = written(infer_wrappers(pages, url_col, html_col), "wrappers")
     rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), host_of(col(url_col)).alias("host"), F.coalesce(col(html_col), F.lit("")).alias("html"))
-    placed = rows.join(wrappers, "host").select("page_id", "url", "host", "html", "n_pages", "wrapper")
+    placed = rows.join(wrappers, "host").select("page_id", "url", "host", "html", "wrapper")
     fields = f"page_id {dict(placed.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +444,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = []
             for k, (own, page) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
                 if own != host:
-                    several = part.column("n_pages")[k].as_py() > 1
-                    wrapper = json.loads(part.column("wrapper")[k].as_py()) if several else []
-                    host, constants, articles = own, template_texts(wrapper), in_articles(wrapper)
+                    wrapper = json.loads(part.column("wrapper")[k].as_py())
+                    host, constants, articles = own, removable(wrapper), in_articles(wrapper)
                 texts.append(main_text(page, constants, articles))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
