@@ -139,3 +139,28 @@ def test_copies_and_shared_texts_stay(spark):
     assert extracted(spark, [f"<h1>Soups</h1><p>mix the {k}</p><h2>Method</h2><p>stir the {k}</p>" for k in "abc"]) == [f"Soups mix the {k} Method stir the {k}" for k in "abc"]
     assert extracted(spark, [f"<p>mix the {k}</p><div>Read on</div>" for k in "aab"]) == [f"mix the {k}" for k in "aab"]
     assert extracted(spark, ["<p>mix the a</p><div class=x>own</div>"] * 2 + ["<p>mix the b</p>"]) == ["mix the a own"] * 2 + ["mix the b"]
+
+
+@pytest.mark.parametrize("around", ["<div class='has-sidebar'>", "<div class='no-sidebar'>", "<div class='with-comments'>", "<form>", "<div class='sidebar'>", "<div id='page' class='wide widget'>", "<main><form>"])
+def test_article_in_a_theme(around):
+    assert html.main_text(f"<p>menu</p>{around}<article><p>text</p></article></div></form>", {}) == "text"
+
+
+def test_names_of_passages():
+    page = "<article><h2 id='side-effects'>Side effects</h2><p id=search>a</p><h2 id='related-work'>Related work</h2><div class='share-price'>b</div><p class='ad'>x</p></article>"
+    assert html.main_text(page, {}) == "Side effects a Related work b"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='site-header'>h</div><div class='left-sidebar x'>s</div><div id='comment-list'>c</div><div class='post-body'>t</div>", "t"),
+        ("<article>a</article><div class=comments><article>c</article></div>", "a"),
+        ("<aside><article>n</article></aside><p>t</p>", "t"),
+        ("<nav><article>n</article></nav>", ""),
+        ("<form><p>the whole page</p><button>Go</button><nav>n</nav></form>", "the whole page"),
+        ("<div hidden><article>n</article></div>t", "t"),
+    ],
+)
+def test_what_drops(page, text):
+    assert html.main_text(page, {}) == text

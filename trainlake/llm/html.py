@@ -13,7 +13,7 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("script style textarea title noscript template iframe xmp head nav aside form footer menu button select option dialog svg canvas object audio video".split())
 MAIN = frozenset(["article", "main"])
-# Words in class, id and role that mark what is not the article.
+#: Elements whose id is the name of a passage and says nothing of what they are.
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table caption tr td th figure".split())
+# Names in class, id and role that mark what is not the article.
 BOILERPLATE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer banner masthead ad ads advert adverts advertisement "
     "advertising sponsor sponsored sponsors promo promotion cookie cookies consent notice notices alert popup modal overlay comment comments "
@@ -37,40 +39,64 @@ BOILERPLATE = frozenset(
     "contentinfo complementary search skip".split()
 )
 
+OUTSIDE = BOILERPLATE | {"header"}
+#: What such a name may be joined with to a name that means the same: where or how it is shown.
+JOINED = frozenset("header main site page top bottom left right primary secondary global list links items posts articles buttons form box bar area wrapper container section block".split())
+PARTS = re.compile(r"[-_\d]+")
+
+#: How an element is dropped: not at all, by a form around it, by a name, or by what it is.
+KEPT, FORM, NAMED_SO, ELEMENT = range(4)
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Element:
-    """An open element: its name and class for paths, and what holds for all inside it."""
+    """An open element: its name and class for paths, and what holds for all inside it: how it is
+    dropped, in an article element from there on, and by a name around that article element."""
+
+    __slots__ = ("around", "dropped", "inside", "link", "name", "path")
 
-    __slots__ = ("dropped", "inside", "link", "name", "path")
+    def __init__(self, name: str, path: str, dropped: int, inside: bool, link: bool = False, around: bool = False):
+        self.name, self.path, self.dropped, self.inside, self.link, self.around = name, path, dropped, inside, link, around
 
-    def __init__(self, name: str, path: str, dropped: bool, inside: bool, link: bool = False):
-        self.name, self.path, self.dropped, self.inside, self.link = name, path, dropped, inside, link
+
+def is_boilerplate(mark: str, names: frozenset[str]) -> bool:
+    """Whether a whole name of a class, id or role means boilerplate: ``sidebar``, ``left-sidebar``,
+    ``cookie-notice`` and ``related-posts`` do, ``has-sidebar`` and ``share-price`` do not."""
+    if mark in names:
+        return True
+    parts = [p for p in PARTS.split(mark) if p]
+    return not names.isdisjoint(parts) and all(p in names or p in JOINED for p in parts)
 
 
 def opened(name: str, attributes: str, parent: Element) -> Element:
-    marks = [v.strip("\"'").lower() for _, v in ATTRIBUTE.findall(attributes)] if attributes else []
-    label = name + "".join(f".{m}" for m in marks[:1])
-    words = {w for m in marks for w in WORDS.findall(m)}
-    dropped = parent.dropped or name in DROPPED or (not parent.inside and (name == "header" or "header" in words))
-    dropped = dropped or (name not in ("html", "body", *MAIN) and not words.isdisjoint(BOILERPLATE))
-    dropped = dropped or (bool(attributes) and HIDDEN.search(attributes) is not None)
+    found = [(k.lower(), v.strip("\"'").lower()) for k, v in ATTRIBUTE.findall(attributes)] if attributes else []
+    label = name + "".join(f".{v}" for _, v in found[:1])
+    inside, around, dropped = parent.inside or name in MAIN, parent.around, parent.dropped
+    if name in MAIN and dropped in (FORM, NAMED_SO) and (name == "article" or not parent.inside):
+        around, dropped = around or dropped == NAMED_SO, KEPT
+    if name == "form":
+        dropped = max(dropped, FORM)
+    elif name in DROPPED or (name == "header" and not parent.inside) or (attributes and HIDDEN.search(attributes)):
+        dropped = ELEMENT
+    if found and name not in ("html", "body", *MAIN):
+        names = BOILERPLATE if parent.inside else OUTSIDE
+        if any(is_boilerplate(m, names) for k, v in found if k != "id" or name not in NAMED for m in v.split()):
+            dropped = max(dropped, NAMED_SO)
     path = parent.path if label in INLINE else f"{parent.path}/{label}"
-    return Element(name, path, dropped, parent.inside or name in MAIN, parent.link or name == "a")
+    return Element(name, path, dropped, inside, parent.link or name == "a", around)
 
 
 def events(page: str) -> Iterator[tuple[str, str, Element]]:
     """The page as ``("open" | "close" | "break", name, element)`` and ``("text", text, element)``,
     with elements closed as HTML closes them where end tags are missing."""
-    stack = [Element("", "", False, False)]
+    stack = [Element("", "", KEPT, False)]
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
@@ -271,7 +297,7 @@ def stream(page: str) -> list[list]:
             text = tidy(entities.unescape(value))
             if not text:
                 continue
-            size = 0 if element.dropped or element.link else len(text)
+            size = 0 if element.dropped or element.around or element.link else len(text)
             if size:
                 content.update(f"{element.path} {text}\n".encode("utf-8", "surrogatepass"))
             token = ["x", element.path, mark(text), size * element.inside, size * (not element.inside), pages]
@@ -342,19 +368,28 @@ def in_articles(tokens: list[list]) -> bool:
 def main_text(page: str, constants: dict[str, str | None], articles: bool = True) -> str:
     """The blocks of the page without texts that are the host's template; with ``articles``, only
     those of the article elements, where the page has them with text. A template text that is
-    longer than all that would be left of the page stays: it is what the page is about."""
+    longer than all that would be left of the page stays: it is what the page is about.
+
+    An article element in one that is dropped by its name counts where the page has no other text
+    in articles, one in a form always; and if all else of a page is in a form, so is its text."""
     all_blocks = list(blocks(page))
 
     def is_template(text: str, e: Element) -> bool:
         constant = constants.get(e.path)
         return constant is not None and constant == mark(tidy(text))
 
-    own = [(tidy(t), e) for b in all_blocks for t, e in b if not e.dropped and not is_template(t, e)]
-    marked = articles and any(e.inside and t for t, e in own)
-    left = sum(len(t) for t, e in own if e.inside or not marked)
+    choices: list[Callable[[Element], bool]] = [
+        lambda e: e.inside and not e.around and not e.dropped,
+        lambda e: e.inside and not e.dropped,
+        lambda e: not e.around and not e.dropped,
+        lambda e: e.dropped <= FORM,
+    ]
+    own = [(tidy(t), e) for b in all_blocks for t, e in b if e.dropped <= FORM and not is_template(t, e)]
+    chosen = next((c for c in choices[0 if articles else 2 :] if any(t and c(e) for t, e in own)), choices[-1])
+    left = sum(len(t) for t, e in own if chosen(e))
     kept = []
     for block in all_blocks:
-        texts = [t for t, e in block if not e.dropped and (e.inside or not marked) and not (is_template(t, e) and len(tidy(t)) <= left)]
+        texts = [t for t, e in block if chosen(e) and not (is_template(t, e) and len(tidy(t)) <= left)]
         text = tidy("".join(texts))
         if text:
             kept.append(text)
