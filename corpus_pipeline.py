@@ -25,17 +25,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, the one with the largest id."""
+    """One row of each text stays, one with the largest id."""
     prepared(spark)
     return exact_dedup.keep_one_of_each(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id; those
+    without an id come last, and take ids above all others for the comparison."""
     prepared(spark)
-    groups = ngram_join.jaccard_components(docs)
-    first = groups.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_first"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    last, without = ids.agg(F.coalesce(F.max("id"), F.lit(0)), F.count_if(F.col("id").isNull())).first()
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    if without:
+        given = F.lit(last + 1) + F.monotonically_increasing_id()
+        named = named.filter("_id IS NOT NULL").unionByName(written(named.filter("_id IS NULL").withColumn("_id", given), "given-ids"))
+    groups = ngram_join.jaccard_components(named, id_col="_id")
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return named.join(first, "_id", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,16 @@ def test_rows_that_stay(spark):
     assert sorted(r.doc_id for r in got.collect() if r.doc_id) == [2, 3, 5, 6, 7, 9, 10]
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    """One row of each text stays: of a row delivered often, and of a text that has no id."""
+    docs = DOCS + [(20, "often")] * 50 + [(None, "no id")] * 50 + [(None, None), (21, "no id")]
+    df = spark.createDataFrame([(d, t, "x", k, "y") for k, (d, t) in enumerate(docs)], SCHEMA).repartition(4)
+    got = exact_dedup.keep_one_of_each(df)
+    assert got.columns == df.columns
+    rows = sorted(((r.doc_id or 0, (r.text or "")[:5]) for r in got.collect()))
+    assert rows == [(0, "c"), (2, "a"), (3, "A"), (5, ""), (6, " a"), (8, "bbbbb"), (9, "\u00e9"), (10, "e\u0301"), (20, "often"), (21, "no id")]
+
+
 def test_hot_text_is_combined_before_the_shuffle(spark):
     """A third of all rows has one text; only a few rows of it leave the tasks."""
     df = spark.range(30_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))

@@ -61,3 +61,19 @@ def test_run(spark, kept):
     got = corpus_pipeline.run(spark, SMALL_DIR).collect()
     assert {p.doc_id for p in got} == set(kept[3])
     assert language.UNKNOWN == "und"
+
+
+def test_rows_without_an_id(spark):
+    """Equal and near-equal texts without an id: one row stays, or the one that has an id."""
+    prepared(spark)
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:-1], end]) for end in ("x", "y", "z")]
+    docs = [(None, near[0])] * 20 + [(None, near[1]), (7, "alone in the world of texts"), (None, "no id and no like of it at all"), (None, "")]
+    for own, expected in (([], {None}), ([(5, near[2])], {5})):
+        df = spark.createDataFrame(docs + own, "doc_id long, text string").repartition(4)
+        once = written(corpus_pipeline.exact_dedup_stage(spark, df, SMALL_DIR), "once")
+        assert once.count() == 5 + len(own)
+        got = corpus_pipeline.near_dedup_stage(spark, once, SMALL_DIR)
+        assert got.columns == df.columns
+        rows = [(r.doc_id, r.text) for r in got.collect()]
+        assert len(rows) == 4 and {d for d, t in rows if t in near} == expected

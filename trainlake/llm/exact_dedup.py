@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainlake.llm.common import col, id_and_text, written
@@ -64,8 +64,20 @@ def dedup_exact(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and text are kept, all columns. Ids are expected to be
-    unique: rows that repeat both id and text stay together."""
-    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    same = col(id_col).eqNullSafe(F.col("_kept_id")) & (F.sha2(F.coalesce(col(text_col), F.lit("")), 256) == F.col("_kept_text"))
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that ``dedup_exact`` marks as kept, all columns: one row of each text.
+    Of rows that repeat id and text, with an id or without, one stays, chosen by the hash of all
+    columns but maps.
+
+    Rows are matched and numbered by one key, so that the numbering needs no shuffle after a
+    shuffled join; after another join, each task leaves one row of a key before the shuffle."""
+    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(_row_key(F.col("text_sha256"), F.col("doc_id")).alias("_kept_key"))
+    keyed = docs.withColumn("_kept_key", _row_key(F.sha2(F.coalesce(col(text_col), F.lit("")), 256), col(id_col)))
+    same = keyed.join(kept, "_kept_key", "left_semi")
+    hashed = F.xxhash64(*[col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    numbered = same.withColumn("_kept_place", F.row_number().over(Window.partitionBy("_kept_key").orderBy(hashed)))
+    return numbered.filter("_kept_place = 1").select(*[col(c) for c in docs.columns])
+
+
+def _row_key(sha: Column, doc_id: Column) -> Column:
+    """The text's hash and the id in one text; without an id, the hash alone."""
+    return F.concat_ws(":", sha, doc_id.cast("string"))
