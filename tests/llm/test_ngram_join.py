@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trainlake.llm import components, ngram_join
@@ -114,3 +115,13 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {v: r for v, r in root.items() if any(v in link and link[0] != link[1] for link in links)}
+
+
+def test_one_id_with_two_texts(spark):
+    """The pair is compared with each text of the id, also where only the second one links."""
+    one, two = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    texts = pa.table({"doc_id": [2, 5, 5], "text": [" ".join([*two, "x"]), " ".join(one), " ".join(two)]})
+    for rows in (texts, texts.take([0, 2, 1])):
+        docs = spark.createDataFrame(rows).coalesce(1)
+        pairs = ngram_join.written(spark.createDataFrame([(2, 5)], "a long, b long"), "pairs")
+        assert ngram_join.linked(pairs, docs, 75).count() == 1

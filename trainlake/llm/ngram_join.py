@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,9 +234,10 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         powers = Powers()
         for batch in batches:
             for part in cut_batches(cut_batches(iter([batch]), "x", SLICE_BYTES), "y", SLICE_BYTES):
-                # The rows of one b lie together: its set is made once.
-                b = part.column("b").to_numpy()
-                new = np.concatenate([[True], b[1:] != b[:-1]])
+                # The rows of one b lie together: its set is made once for a run of one text.
+                b, y = part.column("b").to_numpy(), part.column("y")
+                other = pc.not_equal(y.slice(1), y.slice(0, len(y) - 1)).to_numpy(zero_copy_only=False)
+                new = np.concatenate([[True], (b[1:] != b[:-1]) | other])
                 ys = shingle_sets(part.column("y").filter(pa.array(new)), powers)
                 keep = []
                 for u, at in zip(shingle_sets(part.column("x"), powers), np.cumsum(new) - 1, strict=True):
