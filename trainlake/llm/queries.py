@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks
+from trainlake.llm import chat, contamination, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks
 from trainlake.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,9 +49,6 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"))
 
 
-BASE_PHRASES = ("under the mit license", "apache license version 2", "cc by nc")
-
-
 @query()
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -103,3 +100,32 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+    WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    items AS (SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS phrase
+        FROM items, unnest(range(1, len(w) - size + 2)) AS t(s)
+    ),
+    places AS (
+        SELECT doc_id, size, q, array_to_string(w[q : q + size - 1], ' ') AS phrase
+        FROM docs, (SELECT DISTINCT size FROM windows), unnest(range(1, len(w) - size + 2)) AS t(q)
+    ),
+    met AS (SELECT doc_id, q, size, item_id FROM places JOIN windows USING (size, phrase)),
+    hit AS (SELECT doc_id, count(DISTINCT at) AS n FROM met, unnest(range(q, q + size)) AS t(at) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
+    )
+    SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.digest_items(found)

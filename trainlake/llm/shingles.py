@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +16,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PLACES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 COUNT = 0x8EBC6AF09C88C6E3
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+INKED = np.ones(256, bool)
+INKED[list(SPACES)] = False
+#: A polynomial modulo 2**64 cannot tell some texts of two letters and 1024 bytes apart, whatever
+#: its base. Words from this length on have a digest instead.
+LONG_WORD = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,13 +53,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def word_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of lower-cased texts without nulls, and the word offsets of the texts."""
+def word_hashes(texts: pa.Array, powers: Powers, inked: np.ndarray = INKED) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of lower-cased texts without nulls, and the word offsets of the
+    texts. Words are runs of the bytes in ``inked``, by default of all but white space."""
     data, offsets = text_bytes(texts)
     data = lowered(data)
-    blank = np.zeros(256, bool)
-    blank[list(SPACES)] = True
-    inner = np.concatenate([[False], ~blank[data], [False]])
+    inner = np.concatenate([[False], inked[data], [False]])
     edge = inner[1:] != inner[:-1]
     start_at = edge & inner[1:]
     end_at = edge & inner[:-1]
@@ -65,6 +71,9 @@ def word_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    for k in np.nonzero(ends - starts >= LONG_WORD)[0].tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+        hashes[k] = int.from_bytes(digest, "little")
     return hashes, np.searchsorted(starts, offsets)
 
 
