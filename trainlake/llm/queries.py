@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, contamination, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks
+from trainlake.llm import chat, contamination, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks, whitening
 from trainlake.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +117,7 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
         FROM docs, (SELECT DISTINCT size FROM windows), unnest(range(1, len(w) - size + 2)) AS t(q)
     ),
     met AS (SELECT doc_id, q, size, item_id FROM places JOIN windows USING (size, phrase)),
-    hit AS (SELECT doc_id, count(DISTINCT at) AS n FROM met, unnest(range(q, q + size)) AS t(at) GROUP BY doc_id),
+    hit AS (SELECT doc_id, count(DISTINCT spot) AS n FROM met, unnest(range(q, q + size)) AS t(spot) GROUP BY doc_id),
     named AS (
         SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
@@ -129,3 +129,8 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contamination.digest_items(found)
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
