@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm import chat, contamination, exact_dedup, fingerprints, html, language, licenses, ngram_join, packing, pieces, token_blocks, whitening
+from trainlake.llm import chat, contamination, exact_dedup, fingerprints, html, language, licenses, negatives, ngram_join, packing, pieces, token_blocks, whitening
 from trainlake.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, anchors=F.col("vec_id") % 100 == 0, label=label)
