@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,9 +16,10 @@ from checkset.value_checks import as_of
 from trainlake.plans import context, csv_etl, dashboard, gold, silver, star
 from trainlake.plans import profiles as profiles_job
 from trainlake.plans.lake import Lake
+from trainlake.sources.commits import commit_rows, compact, live_commits, read_commits, read_committed, vacuum
 from trainlake.sources.readers import read_appended, read_latest_snapshot, read_table
 from trainlake.sources.writers import append_batch, write_snapshot, write_table
-from trainlake.streaming.batch import ingest_incremental
+from trainlake.streaming.batch import ingest_incremental, ingest_new_files
 from trainlake.streaming.stream import stream_workouts
 
 DAY = date(2024, 6, 15)
@@ -64,8 +65,33 @@ def silver_workouts_job(t: Tables) -> DataFrame:
     append_batch(nested.filter("routine_id <> 'O'"), lake.bronze("workouts"), DAY)
     silver.run_silver_workouts(t.spark, lake)
     append_batch(nested.filter("routine_id = 'O'"), lake.bronze("workouts"), NEXT_DAY)
-    silver.run_silver_workouts(t.spark, lake, day=NEXT_DAY)
-    return read_appended(t.spark, lake.silver("workouts"))
+    silver.run_silver_workouts(t.spark, lake)
+    return silver.read_silver_workouts(t.spark, lake)
+
+
+@query(
+    with_views(
+        "nested",
+        """, loads AS (SELECT *, CASE WHEN routine_id = 'F' THEN '2024-06-20T00:00:00Z' ELSE updated_at END AS changed FROM nested)
+        SELECT id, exercise_title, set_index, weight_kg, changed AS updated_at FROM loads""",
+    )
+)
+def silver_increment_twice(t: Tables) -> DataFrame:
+    """Two batches of one day, a run after each, one more without news, and a batch that delivers
+    some workouts again under an earlier day: no set is lost, none counts twice."""
+    lake = Lake(t.scratch("lake"))
+    write_table(t.flat_sets().limit(0), lake.bronze("workouts_base"))
+    nested = t.landed_nested()
+    append_batch(nested.filter("routine_id = 'O'"), lake.bronze("workouts"), NEXT_DAY)
+    silver.run_silver_workouts(t.spark, lake)
+    append_batch(nested.filter("routine_id <> 'O'"), lake.bronze("workouts"), NEXT_DAY)
+    silver.run_silver_workouts(t.spark, lake)
+    silver.run_silver_workouts(t.spark, lake)
+    again = nested.filter("routine_id = 'F'").withColumn("updated_at", F.lit("2024-06-20T00:00:00Z"))
+    append_batch(again, lake.bronze("workouts"), DAY)
+    silver.run_silver_workouts(t.spark, lake)
+    sets = silver.read_silver_workouts(t.spark, lake, newest_only=True)
+    return sets.select("id", "exercise_title", "set_index", "weight_kg", "updated_at")
 
 
 @query(
@@ -423,7 +449,75 @@ def stream_sets(t: Tables) -> DataFrame:
     stream_workouts(t.spark, src, dst, checkpoint).awaitTermination()
     stream_workouts(t.spark, src, dst, checkpoint).awaitTermination()
     cols = "user_id id exercise_title set_index weight_kg distance_km duracao start_month".split()
-    return read_table(t.spark, dst).select(*cols)
+    return read_committed(t.spark, dst).select(*cols)
+
+
+@query(
+    """SELECT event_id, event_type AS user_id, value, CASE WHEN event_type = 'view' THEN 'api' END AS source
+    FROM events"""
+)
+def ledger_ingest(t: Tables) -> DataFrame:
+    """Files that come late, under an earlier day, twice on one day, of one user's folder and with a
+    new column; loads run after each delivery, two files to a commit, and each file counts once."""
+    src, dst = t.scratch("feed"), t.scratch("bronze")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    feed = t.events.select("event_id", F.col("event_type").alias("user_id"), "value", stamp.alias("updated_at"))
+    late = "CAST(updated_at AS TIMESTAMP) > TIMESTAMP '2024-01-20 00:00:00'"
+    append_batch(feed.filter(f"user_id <> 'view' AND user_id <> 'click' AND {late}"), src, NEXT_DAY)
+    ingest_new_files(t.spark, src, dst, max_files=2)
+    append_batch(feed.filter(f"user_id <> 'view' AND user_id <> 'click' AND NOT {late}"), src, DAY)
+    append_batch(feed.filter("user_id = 'view'").withColumn("source", F.lit("api")), src, NEXT_DAY)
+    write_table(feed.filter("user_id = 'click'").drop("user_id"), f"{src}/user=click/dt=20240614")
+    ingest_new_files(t.spark, src, dst, max_files=2)
+    ingest_new_files(t.spark, src, dst)
+    return read_committed(t.spark, dst).select("event_id", "user_id", "value", "source")
+
+
+_STREAMED_SQL = """, dim AS (SELECT * FROM catalog
+      QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY main_muscle, equipment) = 1)
+    SELECT user_id, sk_exercise, id, exercise_title, set_index, weight_kg, dim.main_muscle, exercise_name_kaggle, source
+    FROM (SELECT *, CASE WHEN routine_id = 'F' THEN 'api' END AS source FROM nested)
+    LEFT JOIN mapping ON exercise_title = exercise_title_heavy
+    LEFT JOIN dim ON exercise_name_kaggle = dim.p_name"""
+
+
+@query(with_views("nested catalog mapping", _STREAMED_SQL))
+def stream_then_fact(t: Tables) -> DataFrame:
+    """One silver table by a stream, a batch job and a second stream that starts anew; the users come
+    from rows and from folders, one batch has a new column, and gold reads it all."""
+    lake = Lake(t.scratch("lake"))
+    raw, silver_path = lake.bronze("workouts"), lake.silver("workouts")
+    write_table(t.flat_sets().limit(0), lake.bronze("workouts_base"))
+    nested = t.landed_nested()
+    users = [r[0] for r in nested.filter("routine_id = 'P'").agg(F.min("user_id")).collect()]
+    mine = F.col("user_id") == users[0]
+    append_batch(nested.filter("routine_id = 'O'"), raw, DAY)
+    write_table(nested.filter(F.col("routine_id").eqNullSafe("P") & mine).drop("user_id"), f"{raw}/user={users[0]}/dt=20240615")
+    stream_workouts(t.spark, raw, silver_path, t.scratch("checkpoint")).awaitTermination()
+    append_batch(nested.filter("routine_id = 'F'").withColumn("source", F.lit("api")), raw, DAY)
+    silver.run_silver_workouts(t.spark, lake)
+    append_batch(nested.filter((F.col("routine_id") == "P") & ~mine), raw, DAY)
+    stream_workouts(t.spark, raw, silver_path, t.scratch("checkpoint")).awaitTermination()
+    silver.run_silver_workouts(t.spark, lake)
+    fact = gold.build_fact_sets(silver.read_silver_workouts(t.spark, lake), t.mapping(), t.catalog())
+    return fact.select("user_id", "sk_exercise", "id", "exercise_title", "set_index", "weight_kg", "main_muscle", "exercise_name_kaggle", "source")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders")
+def compacted_table(t: Tables) -> DataFrame:
+    """Many small loads, compacted twice with a load in between, and the old folders deleted."""
+    path = t.scratch("orders")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    for k in range(5):
+        commit_rows(orders.filter(f"pmod(o_orderkey, 6) = {k}"), path, ["o_orderstatus"])
+    compact(t.spark, path, partition_by=["o_orderstatus"])
+    commit_rows(orders.filter("pmod(o_orderkey, 6) = 5"), path, ["o_orderstatus"])
+    compact(t.spark, path, partition_by=["o_orderstatus"])
+    vacuum(t.spark, path, timedelta(0))
+    live = live_commits(read_commits(t.spark, path))
+    if len(live) != 1:
+        raise ValueError(f"{len(live)} commits are left")
+    return read_committed(t.spark, path)
 
 
 _LOGGED = with_views(

@@ -14,8 +14,9 @@ from trainlake.operators.metrics import top_exercises
 from trainlake.operators.quality import require_contract, require_unique
 from trainlake.operators.shape import keep_existing, order_columns, rename, require_columns
 from trainlake.plans.lake import Lake
+from trainlake.plans.silver import read_silver_workouts
 from trainlake.schemas import CATALOG_RENAMES, FACT_ORDER
-from trainlake.sources.readers import read_appended, read_latest_snapshot, read_table
+from trainlake.sources.readers import read_latest_snapshot, read_table
 from trainlake.sources.writers import write_metrics, write_snapshot, write_table
 
 # Columns and types that every fact has, whatever else its sources bring.
@@ -48,7 +49,7 @@ def write_fact_sets(fact: DataFrame, lake: Lake) -> None:
 
 def run_fact_sets(spark: SparkSession, lake: Lake) -> None:
     fact = build_fact_sets(
-        read_appended(spark, lake.silver("workouts")).drop("start_month"),
+        read_silver_workouts(spark, lake).drop("start_month"),
         read_table(spark, lake.silver("mapping")),
         read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date"),
     )
@@ -158,5 +159,5 @@ def run_metrics(spark: SparkSession, lake: Lake, day: date) -> None:
 def run_promote(spark: SparkSession, lake: Lake, day: date) -> list[str]:
     users = read_latest_snapshot(spark, lake.silver("users")).drop("snapshot_date")
     catalog = read_latest_snapshot(spark, lake.silver("catalog")).drop("snapshot_date")
-    workouts = read_appended(spark, lake.silver("workouts")).drop("start_month")
+    workouts = read_silver_workouts(spark, lake).drop("start_month")
     return promote_gold(lake, day, users, workouts, catalog)

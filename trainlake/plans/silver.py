@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.functions.dates import age_years, month_of
+from trainlake.functions.dates import age_years, month_of, to_utc
 from trainlake.functions.text import clean_categories, clean_text, parse_list, slug
 from trainlake.functions.values import (
     coerce,
@@ -21,11 +21,13 @@ from trainlake.operators.nested import explode_workouts
 from trainlake.operators.shape import filter_min, normalize_columns, rename, union_aligned
 from trainlake.plans.lake import Lake
 from trainlake.schemas import MAPPING_RENAMES, PROFILE_NUMBERS, PROFILE_RENAMES
+from trainlake.sources.commits import LOADED_BY, MAX_FILES, Commit, commit_rows, file_names, listed_files, new_files, pinned, read_commits, read_committed
 from trainlake.sources.readers import read_csv, read_increments, read_latest, read_table
-from trainlake.sources.writers import append_rows, ranged, write_snapshot, write_table
+from trainlake.sources.writers import write_snapshot, write_table
 
 LIST_COLUMNS = ("primary_muscles", "secondary_muscles", "instructions")
 GYM_CATEGORIES = ["body_part", "equipment", "type", "difficulty", "mechanics"]
+BASE_FILE = "base_full.parquet"
 PROFILE_CATEGORIES = ["sexo", "objetivo", "nivel_treinamento"]
 
 
@@ -46,7 +48,7 @@ def build_silver_workouts(
     if increments is not None:
         if newest_only:
             increments = latest_per_key(increments, "id", "updated_at")
-        sets = union_aligned(_typed(base), explode_workouts(increments, user_id, keep_nested))
+        sets = union_aligned(_typed(base), explode_workouts(increments, user_id, keep_nested, extra=True))
     else:
         sets = _typed(base)
     return with_id_string(with_duration(sets))
@@ -62,24 +64,50 @@ def run_silver_workouts(
     lake: Lake,
     user_id: str | None = None,
     keep_nested: bool = False,
-    day: date | None = None,
-) -> None:
-    """Silver sets of all users, by start month and user.
-
-    Without a ``day`` the table is made anew from the base and all batches. With one, only the
-    batches of that day are read and their sets appended; run it once per day and batch.
+    newest_only: bool = False,
+    rebuild: bool = False,
+    max_files: int | None = MAX_FILES,
+) -> list[Commit]:
+    """Silver sets of all users: the batches that the table has not consumed, each exactly once.
+
+    The first run, and one that rebuilds, commits the base with all batches; later ones read the
+    new files alone, however late they are and whatever day they are named for. Run it as often
+    as batches arrive. ``newest_only`` keeps one version of a workout of a load;
+    ``read_silver_workouts`` does so over all loads.
     """
-    base = read_table(spark, lake.bronze("workouts_base"))
-    increments = read_increments(spark, lake.bronze("workouts"), day=day)
-    if day is not None:
-        base = base.limit(0)
-    sets = build_silver_workouts(base, increments, user_id, keep_nested=keep_nested)
-    sets = sets.withColumn("start_month", month_of("start_time"))
+    src, dst = lake.bronze("workouts"), lake.silver("workouts")
     by = ["start_month", "user_id", "start_time"]
-    if day is None:
-        write_table(sets, lake.silver("workouts"), ["start_month"], ranged_by=by)
-    else:
-        append_rows(ranged(sets, by), lake.silver("workouts"), ["start_month"])
+    base = read_table(spark, lake.bronze("workouts_base"))
+    first = rebuild or not read_commits(spark, dst)
+    out: list[Commit] = []
+    while True:
+        listed = listed_files(spark, src, exclude=BASE_FILE) if first else new_files(spark, src, dst, exclude=BASE_FILE, most=max_files)
+        files = pinned(listed)
+        names = file_names(files)
+        if not names and not first:
+            return out
+        increments = read_increments(spark, src, None, files=names)
+        sets = build_silver_workouts(base if first else base.limit(0), increments, user_id, newest_only, keep_nested)
+        sets = sets.withColumn("start_month", month_of("start_time"))
+        out.append(commit_rows(sets, dst, ["start_month"], ranged_by=by, files=files, replaces=["*"] if first else []))
+        first = False
+
+
+def read_silver_workouts(spark: SparkSession, lake: Lake, newest_only: bool = False) -> DataFrame:
+    """The committed sets, from batch loads and streams. ``newest_only`` keeps the latest version of
+    each workout that came again: by its change time, then by the order of the loads. Sets
+    without a workout id, such as those of the base, stay."""
+    dst = lake.silver("workouts")
+    sets = read_committed(spark, dst, loaded_by=newest_only)
+    if not newest_only:
+        return sets
+    order = spark.createDataFrame([(c.name, c.number) for c in read_commits(spark, dst)], f"{LOADED_BY} STRING, load_number LONG")
+    versions = sets.filter("id IS NOT NULL").select("id", "updated_at", LOADED_BY).distinct().join(order, LOADED_BY)
+    newest = versions.groupBy("id").agg(F.max(F.struct(to_utc("updated_at"), "load_number", "updated_at", LOADED_BY)).alias("last"))
+    last = newest.select("id", "last.updated_at", f"last.{LOADED_BY}")
+    same = sets["id"].eqNullSafe(last["id"]) & sets["updated_at"].eqNullSafe(last["updated_at"]) & (sets[LOADED_BY] == last[LOADED_BY])
+    kept = sets.filter("id IS NOT NULL").join(last, same, "left_semi")
+    return kept.unionByName(sets.filter("id IS NULL")).drop(LOADED_BY)
 
 
 def build_silver_users(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,16 +164,19 @@ def read_increments(
     schema: T.StructType | str = RAW_WORKOUT,
     day: date | None = None,
     user: str = "user_id",
+    files: Sequence[str] | None = None,
 ) -> DataFrame:
     """All raw batches below ``prefix`` without the base file of that name.
 
     The columns are those of all batches and of ``schema``; new ones are kept. A batch that
     has no ``user`` column has its user in the name of its ``user=`` folder. ``day`` reads the
-    ``dt=`` folders of one day alone.
+    ``dt=`` folders of one day alone, ``files`` the files of those names.
     """
     root = prefix.rstrip("/")
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    paths = [root]
+    paths = [root] if files is None else list(files)
+    if not paths:
+        return spark.createDataFrame([], declared).withColumn(user, F.lit(None).cast("string"))
     if day is not None:
         name = f"dt={day.strftime('%Y%m%d')}"
         folders = child_folders(spark, root)
@@ -189,14 +192,19 @@ def read_increments(
         .parquet(*paths)
     )
     place = F.col("_metadata.file_path")
-    folder = F.nullif(F.regexp_extract(place, "/user=([^/]*)/", 1), F.lit(""))
-    own = F.col(user).cast("string") if user in df.columns else F.lit(None).cast("string")
     columns = [F.col(f"`{c}`") for c in df.columns if c != user]
     columns += [F.lit(None).cast(f.dataType).alias(f.name) for f in declared.fields if f.name not in df.columns]
     if exclude is not None:
         # The base is one file, or the folder of that name a Spark write makes.
         df = df.filter(~place.rlike(f"{exclude.replace('.', '[.]')}(/[^/]*)?$"))
-    return df.select(*columns, F.coalesce(own, folder).alias(user))
+    return df.select(*columns, user_of(df, user).alias(user))
+
+
+def user_of(df: DataFrame, user: str = "user_id") -> Column:
+    """The user of raw rows: their own column, or else the name of their ``user=`` folder."""
+    folder = F.nullif(F.regexp_extract("_metadata.file_path", "/user=([^/]*)/", 1), F.lit(""))
+    own = F.col(user).cast("string") if user in df.columns else F.lit(None).cast("string")
+    return F.coalesce(own, F.url_decode(folder))
 
 
 def read_workout_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
