@@ -40,6 +40,24 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that ``df`` does not have; Spark ignores case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside the columns ``more``: whatever columns the rows have,
+    none clashes. ``select("row.*")`` gives them back."""
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text becomes the empty one. Whatever else the rows
     carry, also columns named like those that an operator adds, is left behind."""

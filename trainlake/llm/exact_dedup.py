@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import col, id_and_text, written
+from trainlake.llm.common import carried, col, id_and_text, written
 
 SALTS = 16
 
@@ -69,13 +69,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns but maps.
 
     Rows are matched and numbered by one key, so that the numbering needs no shuffle after a
-    shuffled join; after another join, each task leaves one row of a key before the shuffle."""
-    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(_row_key(F.col("text_sha256"), F.col("doc_id")).alias("_kept_key"))
-    keyed = docs.withColumn("_kept_key", _row_key(F.sha2(F.coalesce(col(text_col), F.lit("")), 256), col(id_col)))
-    same = keyed.join(kept, "_kept_key", "left_semi")
+    shuffled join; after another join, each task leaves one row of a key before the shuffle. They
+    are carried as one column, so input columns of any name stay as they are."""
+    kept = dedup_exact(docs, id_col, text_col).filter("kept").select(_row_key(F.col("text_sha256"), F.col("doc_id")).alias("key"))
     hashed = F.xxhash64(*[col(c) for c, kind in docs.dtypes if "map<" not in kind])
-    numbered = same.withColumn("_kept_place", F.row_number().over(Window.partitionBy("_kept_key").orderBy(hashed)))
-    return numbered.filter("_kept_place = 1").select(*[col(c) for c in docs.columns])
+    keyed = carried(docs, key=_row_key(F.sha2(F.coalesce(col(text_col), F.lit("")), 256), col(id_col)), place=hashed)
+    same = keyed.join(kept, "key", "left_semi")
+    numbered = same.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    return numbered.filter("place = 1").select("row.*")
 
 
 def _row_key(sha: Column, doc_id: Column) -> Column:

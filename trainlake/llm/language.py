@@ -257,12 +257,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prediction: s
     weights = None if model.weights is None else model.weights[:-1] * model.idf[:, None]
     constant = None if model.weights is None else model.weights[-1]
     idf = model.idf
+    # By their places: Spark cannot send a column with a dot in its name to Python.
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    text = f"c{[c.lower() for c in columns].index(text_col.lower())}"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(settings)
-        for part in slices(batches, text_col, SLICE_BYTES):
+        for part in slices(batches, text, SLICE_BYTES):
             names, scores = [], []
-            for buckets, has_letter in grams.features(part.column(text_col).fill_null("")):
+            for buckets, has_letter in grams.features(part.column(text).fill_null("")):
                 if not has_letter or weights is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -273,9 +277,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prediction: s
                 best = int(p.argmax())
                 names.append(languages[best])
                 scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, prediction, score])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, prediction, score])
 
-    return docs.mapInArrow(task, f"{fields}, `{prediction}` string, `{score}` double")
+    return plain.mapInArrow(task, f"{fields}, `{prediction}` string, `{score}` double")
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
