@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainlake.llm import exact_dedup, language, ngram_join, packing
-from trainlake.llm.common import prepared, table, written
+from trainlake.llm.common import carried, col, free_names, prepared, table, written
 
 #: A document whose likeliest language has less than this probability is rejected.
 MIN_SCORE = 0.3
@@ -20,8 +20,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs)
     if not model.languages:
         return docs
-    labelled = language.predict(docs, model, prediction="_lang", score="_score")
-    return labelled.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = free_names(docs, "lang_pred", "score")
+    labelled = language.predict(docs, model, prediction=lang, score=score)
+    return labelled.filter((col(lang) != language.UNKNOWN) & (col(score) >= MIN_SCORE)).select(*map(col, docs.columns))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +33,17 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id; those
-    without an id come last, and take ids above all others for the comparison."""
+    without an id come last.
+
+    Every row is numbered and written once, and rows are compared and kept by that number: rows that
+    share an id have each their own group, and so do rows without one."""
     prepared(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    last, without = ids.agg(F.coalesce(F.max("id"), F.lit(0)), F.count_if(F.col("id").isNull())).first()
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    if without:
-        given = F.lit(last + 1) + F.monotonically_increasing_id()
-        named = named.filter("_id IS NOT NULL").unionByName(written(named.filter("_id IS NULL").withColumn("_id", given), "given-ids"))
-    groups = ngram_join.jaccard_components(named, id_col="_id")
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return named.join(first, "_id", "left_semi").select(*docs.columns)
+    rows = written(carried(docs, number=F.monotonically_increasing_id()), "numbered-rows")
+    groups = ngram_join.jaccard_components(rows.select(F.col("number").alias("doc_id"), "row.text"))
+    ids = rows.select("number", F.col("row.doc_id").alias("id"))
+    members = groups.join(ids, F.col("doc_id") == F.col("number")).select("component_id", F.struct(F.col("id").isNull().alias("last"), "id", "number").alias("place"))
+    first = members.groupBy("component_id").agg(F.min("place").alias("place")).select("place.number")
+    return rows.join(first, "number", "left_semi").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
