@@ -265,6 +265,17 @@ def csv_job(t: Tables) -> DataFrame:
     return read_table(t.spark, paths["silver"])
 
 
+@query(with_views("sets", _RENAMED_SQL))
+def csv_feed_job(t: Tables) -> DataFrame:
+    """Three deliveries of CSV files in one folder, with a run after each and one more."""
+    src, base = t.scratch("feed"), t.scratch("lake")
+    for k, kind in enumerate("ANR"):
+        write_csv(t.flat_sets().filter(f"set_type = '{kind}'"), f"{src}/delivery{k}")
+        csv_etl.csv_feed(t.spark, src, base)
+    csv_etl.csv_feed(t.spark, src, base)
+    return read_committed(t.spark, f"{base}/silver/workouts_feed")
+
+
 # Each dashboard table as rows of the same columns: its name, the user, a key and a number.
 _SHOWN = {
     "kpis": ("concat_ws('/', workouts, days)", "avg_total_sets"),

@@ -16,6 +16,7 @@ from trainlake.plans.gold import build_metrics
 from trainlake.sources import readers as rd
 from trainlake.sources import state as st
 from trainlake.sources import writers as wr
+from trainlake.sources.csv_records import quoted_lines
 
 DAY = date(2024, 6, 15)
 NEXT_DAY = date(2024, 6, 16)
@@ -113,6 +114,20 @@ def csv_line_ends(t: Tables) -> DataFrame:
     return rd.read_csv(t.spark, path, "doc_id BIGINT, text STRING, source STRING", multi_line=True)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_split_scan(t: Tables) -> DataFrame:
+    """One file, read in byte ranges of 16 kB, so that most ranges begin inside a record."""
+    path = write_csv(t.documents.coalesce(1), t.scratch("documents_csv"))
+    ranged = t.spark.newSession()
+    ranged.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    ranged.conf.set("spark.sql.files.openCostInBytes", "0")
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        ranged.conf.set(key, t.spark.conf.get(key))
+    if quoted_lines(ranged, path).select("block").distinct().limit(9).count() < 9:
+        raise ValueError("the file is read in few ranges")
+    return rd.read_csv(ranged, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+
 @query("SELECT event_id AS id, value, NULL AS toxic FROM events UNION ALL SELECT doc_id, NULL, toxic FROM labels")
 def folder_union_scan(t: Tables) -> DataFrame:
     prefix = t.scratch("folder")

@@ -1,4 +1,4 @@
-"""Flat CSV feed to a raw and a silver day."""
+"""Flat CSV feed to a raw and a silver table: one day of one file, or all files that are new."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 from trainlake.operators.shape import rename
+from trainlake.sources.commits import LOADED_BY, MAX_FILES, Commit, commit_rows, file_names, live_commits, new_files, pinned, read_commits, read_committed
 from trainlake.sources.readers import read_table, read_workout_csv
 from trainlake.sources.writers import write_day
 
@@ -20,3 +21,24 @@ def csv_etl(spark: SparkSession, csv_path: str, base: str, day: date, multi_line
     raw = write_day(read_workout_csv(spark, csv_path, multi_line), f"{root}/raw/workouts", day)
     silver = write_day(rename(read_table(spark, raw), SILVER_NAMES), f"{root}/silver/workouts", day)
     return {"raw": raw, "silver": silver}
+
+
+def csv_feed(spark: SparkSession, src: str, base: str, multi_line: bool = True, max_files: int | None = MAX_FILES) -> list[Commit]:
+    """Load the CSV files below ``src`` that were not loaded yet, each exactly once, into the raw table
+    and then the renamed silver one. A run that ended between the two is made up for: silver gets
+    the raw loads that it lacks, under their names. Returns the commits of silver."""
+    root = base.rstrip("/")
+    raw, silver = f"{root}/raw/workouts_feed", f"{root}/silver/workouts_feed"
+    while True:
+        files = pinned(new_files(spark, src, raw, "*.csv", most=max_files))
+        names = file_names(files)
+        if not names:
+            break
+        commit_rows(read_workout_csv(spark, names, multi_line), raw, files=files)
+    out = []
+    known = {c.name for c in read_commits(spark, silver)}
+    for load in live_commits(read_commits(spark, raw)):
+        if load.name not in known:
+            rows = read_committed(spark, raw, loaded_by=True).filter(f"{LOADED_BY} = '{load.name}'").drop(LOADED_BY)
+            out.append(commit_rows(rename(rows, SILVER_NAMES), silver, name=load.name))
+    return [c for c in out if c is not None]

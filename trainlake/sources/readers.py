@@ -11,40 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trainlake.operators.shape import for_user
+from trainlake.sources.csv_records import inferred_schema, read_split_csv
 from trainlake.schemas import RAW_WORKOUT, WORKOUT_CSV, WORKOUT_PAGE
 
 
 BROKEN = "_broken_record"
 
 
-def read_workout_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_workout_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Flat workout sets with their declared schema; text times stay text."""
     return read_csv(spark, path, WORKOUT_CSV, multi_line)
 
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
     broken: str = "fail",
 ) -> DataFrame:
     """CSV with header. Without a schema the types are inferred by one more scan.
 
-    ``multi_line`` allows line ends inside quotes; a file is then read by one task, so large
-    feeds without such text should turn it off. A large file is then split over many tasks.
+    Files are read by many tasks. ``multi_line`` allows line ends inside quotes: records are then put
+    together from the lines of each byte range, see ``csv_records``, which moves the lines once;
+    a feed without such text can turn it off.
 
-    A record that does not fit a declared schema, such as one that a line end inside quotes has
+    A record that does not fit the schema, such as one that a line end inside quotes has
     cut in two, is never returned as a row of NULLs: ``broken="fail"`` ends the read with an
     error, ``broken="aside"`` returns it with its text in ``_broken_record``, where
     ``split_broken`` takes it apart from the rows.
     """
     if broken not in ("fail", "aside"):
         raise ValueError("broken must be 'fail' or 'aside'")
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("escape", '"')
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
+        schema = inferred_schema(spark, path) if multi_line else reader.option("inferSchema", True).csv(path).schema
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if multi_line:
+        return read_split_csv(spark, path, declared, BROKEN if broken == "aside" else None)
     if broken == "fail":
         # Spark skips the check of columns that nobody reads, and with it the broken records.
         return reader.schema(declared).option("mode", "FAILFAST").option("columnPruning", False).csv(path)

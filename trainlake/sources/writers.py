@@ -132,8 +132,8 @@ def land_csv(
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
 ) -> None:
-    """CSV to Parquet, as a fixed table or as the snapshot of a day. A large feed needs a
-    ``schema`` and, if its texts have no line ends, ``multi_line=False``."""
+    """CSV to Parquet, as a fixed table or as the snapshot of a day. A ``schema`` spares the scan that
+    infers one; without line ends in its texts, ``multi_line=False`` spares a shuffle."""
     df = read_csv(spark, src, schema, multi_line)
     if day is None:
         write_table(df, dst)
