@@ -16,6 +16,7 @@ from checkset.value_checks import as_of
 from trainlake.plans import context, csv_etl, dashboard, gold, silver, star
 from trainlake.plans import profiles as profiles_job
 from trainlake.plans.lake import Lake
+from trainlake.sources.buckets import read_buckets
 from trainlake.sources.commits import commit_rows, compact, live_commits, read_commits, read_committed, vacuum
 from trainlake.sources.readers import read_appended, read_latest_snapshot, read_table
 from trainlake.sources.writers import append_batch, write_snapshot, write_table
@@ -567,6 +568,35 @@ def upsert_text_stamps(t: Tables) -> DataFrame:
     return read_latest_snapshot(t.spark, lake.gold("users_app")).drop("snapshot_date")
 
 
+@query(
+    with_views(
+        "accounts changes",
+        """, some AS (SELECT * FROM changes WHERE CAST(user_id AS BIGINT) % 10 = 3),
+        last AS (SELECT user_id, peso, objetivo FROM some
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1),
+        fresh AS (SELECT lower(s_name) || '@example.com' AS email, s_name AS nome, md5(lower(s_name) || '@example.com') AS h FROM supplier)
+        SELECT a.user_id, a.nome, a.email, a.created_at,
+          CASE WHEN l.user_id IS NOT NULL THEN l.objetivo ELSE a.objetivo END AS objetivo,
+          CASE WHEN l.user_id IS NOT NULL THEN l.peso ELSE a.peso END AS peso
+        FROM accounts a LEFT JOIN last l ON a.user_id = l.user_id
+        UNION ALL SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'
+          || substr(h, 17, 4) || '-' || substr(h, 21, 12), nome, email, '2024-06-15', NULL, NULL FROM fresh""",
+    )
+)
+def bucketed_accounts(t: Tables) -> DataFrame:
+    """Accounts by buckets after changes of every tenth user, new accounts, and the same ones again."""
+    lake = Lake(t.scratch("lake"))
+    write_snapshot(t.accounts(), lake.gold("users_app"), DAY)
+    profiles_job.create_accounts(t.spark, lake, buckets=32)
+    changes = t.changes().drop("changed").filter("CAST(user_id AS BIGINT) % 10 = 3")
+    profiles_job.merge_profile_changes(t.spark, lake, changes, NEXT_DAY)
+    asked = t.supplier.select(F.concat(F.upper("s_name"), F.lit("@EXAMPLE.com ")).alias("email"), F.col("s_name").alias("nome"))
+    asked = asked.unionAll(t.customer.select(F.concat(F.col("c_name"), F.lit("@example.com")), "c_name"))
+    for _ in range(2):
+        profiles_job.merge_new_accounts(t.spark, lake, asked, created_at=F.lit("2024-06-15"))
+    return read_buckets(t.spark, lake.gold("accounts"))
+
+
 STAR_SQL = """WITH m AS (SELECT DISTINCT l_partkey, l_returnflag AS muscle FROM lineitem),
     i AS (SELECT DISTINCT l_partkey, l_linenumber AS step_number, l_linestatus AS instruction FROM lineitem)
     SELECT CAST(p_partkey AS VARCHAR) AS exercise_id, p_name AS exercise_name, p_brand AS equipment,

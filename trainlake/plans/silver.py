@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from trainlake.operators.nested import explode_workouts
 from trainlake.operators.shape import filter_min, normalize_columns, rename, union_aligned
 from trainlake.plans.lake import Lake
 from trainlake.schemas import MAPPING_RENAMES, PROFILE_NUMBERS, PROFILE_RENAMES
+from trainlake.session import cut_lineage
+from trainlake.sources.buckets import BUCKETS, merge_buckets, read_buckets, read_pointer, write_buckets
 from trainlake.sources.commits import LOADED_BY, MAX_FILES, Commit, commit_rows, file_names, listed_files, new_files, pinned, read_commits, read_committed
 from trainlake.sources.readers import read_csv, read_increments, read_latest, read_table
 from trainlake.sources.writers import write_snapshot, write_table
@@ -183,3 +186,25 @@ def build_silver_profiles(raw: DataFrame, as_of: Column, ts: Column | None = Non
 def run_silver_profiles(spark: SparkSession, lake: Lake, as_of: Column, ts: Column | None = None) -> None:
     raw = read_latest(spark, lake.bronze("user_profiles"))
     write_table(build_silver_profiles(raw, as_of, ts), lake.silver("user_profiles"))
+
+
+def merge_silver_profiles(spark: SparkSession, lake: Lake, as_of: Column, buckets: int = BUCKETS) -> list[int]:
+    """``run_silver_profiles`` on a table by buckets of the user: a delivery rewrites only the buckets
+    in which it has a row that is new or other than before. Returns them. A user whom the delivery
+    lacks stays as it was; the time of loading says when a row last changed."""
+    path = lake.silver("user_profiles_by_bucket")
+    stamp = "silver_ingestion_ts_utc"
+    new = build_silver_profiles(read_latest(spark, lake.bronze("user_profiles")), as_of)
+    if not read_pointer(spark, path):
+        write_buckets(new, path, "user_id", buckets)
+        return sorted(read_pointer(spark, path).versions)
+    old = read_buckets(spark, path)
+    # A column that is new to the table makes every row another one.
+    same = [old[c].eqNullSafe(new[c]) if c in old.columns else F.lit(False) for c in new.columns if c != stamp]
+    changed = cut_lineage(new.join(old, reduce(lambda a, b: a & b, same), "left_anti"))
+
+    def replace(before: DataFrame, own: DataFrame) -> DataFrame:
+        kept = before.join(own.select("user_id").distinct(), "user_id", "left_anti")
+        return kept.unionByName(own, allowMissingColumns=True)
+
+    return merge_buckets(spark, path, changed, replace)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta, timezone
@@ -106,17 +107,23 @@ def read_committed(spark: SparkSession, path: str, loaded_by: bool = False) -> D
     return df if loaded_by else df.drop(LOADED_BY)
 
 
-def _publish(spark: SparkSession, root: str, entry: Commit) -> None:
-    store, place = _store(spark, f"{root}/{ENTRIES}/{entry.number:012d}.json")
-    jvm = spark.sparkContext._jvm
+def publish(spark: SparkSession, root: str, number: int, payload: dict) -> None:
+    """Write entry ``number`` of a table in one step: a reader sees all of it or nothing. Taken
+    numbers are refused."""
+    store, place = _store(spark, f"{root}/{ENTRIES}/{number:012d}.json")
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{ENTRIES}/.{uuid.uuid4().hex}.tmp")
+    taken = f"another writer has made commit {number} of {root}"
     if store.exists(place):
-        raise RuntimeError(f"another writer has made commit {entry.number} of {root}")
-    hidden = jvm.org.apache.hadoop.fs.Path(f"{root}/{ENTRIES}/.{entry.name}.tmp")
+        raise RuntimeError(taken)
     out = store.create(hidden, True)
-    out.write(bytearray(json.dumps(asdict(entry)).encode()))
+    out.write(bytearray(json.dumps(payload).encode()))
     out.close()
     if not store.rename(hidden, place):
-        raise RuntimeError(f"another writer has made commit {entry.number} of {root}")
+        raise RuntimeError(taken)
+
+
+def _publish(spark: SparkSession, root: str, entry: Commit) -> None:
+    publish(spark, root, entry.number, asdict(entry))
 
 
 def commit_rows(
