@@ -13,7 +13,7 @@ from checkset.registry import query, rounded
 from checkset.source_checks import FLAT_SQL, METRICS_SQL, write_csv
 from checkset.tables import Tables, spelled, with_views
 from checkset.value_checks import as_of
-from trainlake.plans import context, csv_etl, dashboard, gold, silver, star
+from trainlake.plans import context, csv_etl, dashboard, gold, incremental, silver, star
 from trainlake.plans import profiles as profiles_job
 from trainlake.plans.lake import Lake
 from trainlake.sources.buckets import read_buckets
@@ -322,6 +322,56 @@ def dashboard_job(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionAll, shown)
 
 
+def loaded_workouts(t: Tables, after_each) -> str:
+    """Path of a committed table of the workouts that came in three loads, whose days overlap and of
+    which the last one is the oldest; ``after_each`` runs after each load, and at the end again."""
+    path, workouts = t.scratch("workouts"), t.workouts()
+    late = "pmod(workout_id, 5) = 0 AND date < TIMESTAMP_NTZ '2024-02-01 00:00:00'"
+    for part in (f"pmod(workout_id, 2) = 0 AND NOT coalesce({late}, false)", f"pmod(workout_id, 2) = 1 AND NOT coalesce({late}, false)", f"coalesce({late}, false)"):
+        commit_rows(workouts.filter(part), path)
+        after_each(path)
+    after_each(path)
+    return path
+
+
+@query(with_views("workouts", KPI_SQL), dates=["last_date"])
+def kpis_incremental(t: Tables) -> DataFrame:
+    base = t.scratch("gold")
+    src = loaded_workouts(t, lambda path: incremental.update_kpis(t.spark, path, base))
+    return incremental.update_kpis(t.spark, src, base)
+
+
+@query(with_views("workouts", SUMMARY_SQL))
+def summary_incremental(t: Tables) -> DataFrame:
+    """The state is compacted between the loads, and so is the source."""
+    base = t.scratch("gold")
+
+    def after_each(path: str) -> None:
+        incremental.update_summaries(t.spark, path, base)
+        incremental.compact_state(t.spark, f"{base}/history_state", ("user_id", "week"))
+        compact(t.spark, path)
+
+    return incremental.update_summaries(t.spark, loaded_workouts(t, after_each), base)
+
+
+_ROLLUP_TABLES = ("kpis", "weekly", "daily", "muscle_share", "dow_muscle")
+
+
+@query(with_views("workouts", f"SELECT * FROM (WITH one AS (SELECT 1) {_DASHBOARD_SQL}) WHERE table_name IN {_ROLLUP_TABLES}"))
+def dashboard_incremental(t: Tables) -> DataFrame:
+    base = t.scratch("dashboard")
+    src = loaded_workouts(t, lambda path: incremental.update_dashboard(t.spark, path, base))
+    paths = incremental.update_dashboard(t.spark, src, base)
+    shown = [
+        read_table(t.spark, paths[name]).select(
+            F.lit(name).alias("table_name"), "user_id", F.expr(key).alias("key"), F.col(value).cast("double").alias("value")
+        )
+        for name, (key, value) in _SHOWN.items()
+        if name in _ROLLUP_TABLES
+    ]
+    return reduce(DataFrame.unionAll, shown)
+
+
 @query(
     with_views(
         "workouts",
@@ -571,8 +621,8 @@ def upsert_text_stamps(t: Tables) -> DataFrame:
 @query(
     with_views(
         "accounts changes",
-        """, some AS (SELECT * FROM changes WHERE CAST(user_id AS BIGINT) % 10 = 3),
-        last AS (SELECT user_id, peso, objetivo FROM some
+        """, picked AS (SELECT * FROM changes WHERE CAST(user_id AS BIGINT) % 10 = 3),
+        last AS (SELECT user_id, peso, objetivo FROM picked
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1),
         fresh AS (SELECT lower(s_name) || '@example.com' AS email, s_name AS nome, md5(lower(s_name) || '@example.com') AS h FROM supplier)
         SELECT a.user_id, a.nome, a.email, a.created_at,

@@ -253,7 +253,7 @@ def test_no_python_workers_in_any_plan(spark):
     if not os.path.isdir(sf):
         pytest.skip("test tables are absent")
     writes = {"silver_workouts", "silver_workouts_job", "stream_sets", "fact_job", "ingest_batches", "dashboard_job"}
-    writes |= {"csv_feed_job", "bucketed_accounts", "silver_increment_twice", "ledger_ingest", "stream_then_fact", "compacted_table"}
+    writes |= {"kpis_incremental", "summary_incremental", "dashboard_incremental", "csv_feed_job", "bucketed_accounts", "silver_increment_twice", "ledger_ingest", "stream_then_fact", "compacted_table"}
     for name, run in QUERIES.items():
         if name in writes:
             continue

@@ -325,20 +325,26 @@ def history_rollup(
 ) -> DataFrame:
     """Rows, time limits, sums and counts per user, day and the listed keys; without a time
     (``ts`` None) rows, sums and counts per user and keys."""
+    aggs = history_aggs(df, ts, sets, reps, weight, rpe)
+    if ts is None:
+        return df.groupBy(user, *keys).agg(*aggs)
+    day = F.col(ts).cast("date").alias("day")
+    return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(*aggs)
+
+
+def history_aggs(df: DataFrame, ts: str | None, *measures: str | None) -> list[Column]:
+    """Rows, time limits, and sum and count of the measures in the order of ``HISTORY_MEASURES``."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if ts is not None:
         aggs += [F.min(ts).alias("first"), F.max(ts).alias("last")]
-    for role, name in zip(HISTORY_MEASURES, (sets, reps, weight, rpe)):
+    for role, name in zip(HISTORY_MEASURES, measures, strict=True):
         value = F.lit(None).cast("double")
         if name is not None and name in df.columns:
             value = F.col(name)
             if dict(df.dtypes)[name] == "string":
                 value = value.try_cast("double")
         aggs += [F.sum(value).alias(role), F.count(value).alias(f"{role}_n")]
-    if ts is None:
-        return df.groupBy(user, *keys).agg(*aggs)
-    day = F.col(ts).cast("date").alias("day")
-    return df.filter(F.col(ts).isNotNull()).groupBy(user, day, *keys).agg(*aggs)
+    return aggs
 
 
 def summary_from_rollup(rollup: DataFrame, user: str = "user_id") -> DataFrame:

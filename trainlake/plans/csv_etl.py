@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 from trainlake.operators.shape import rename
-from trainlake.sources.commits import LOADED_BY, MAX_FILES, Commit, commit_rows, file_names, live_commits, new_files, pinned, read_commits, read_committed
+from trainlake.sources.commits import MAX_FILES, Commit, commit_rows, file_names, loads, new_files, pinned, read_commits, read_load
 from trainlake.sources.readers import read_table, read_workout_csv
 from trainlake.sources.writers import write_day
 
@@ -35,10 +35,6 @@ def csv_feed(spark: SparkSession, src: str, base: str, multi_line: bool = True,
         if not names:
             break
         commit_rows(read_workout_csv(spark, names, multi_line), raw, files=files)
-    out = []
     known = {c.name for c in read_commits(spark, silver)}
-    for load in live_commits(read_commits(spark, raw)):
-        if load.name not in known:
-            rows = read_committed(spark, raw, loaded_by=True).filter(f"{LOADED_BY} = '{load.name}'").drop(LOADED_BY)
-            out.append(commit_rows(rename(rows, SILVER_NAMES), silver, name=load.name))
+    out = [commit_rows(rename(read_load(spark, raw, name), SILVER_NAMES), silver, name=name) for name in loads(spark, raw) if name not in known]
     return [c for c in out if c is not None]

@@ -122,6 +122,27 @@ def publish(spark: SparkSession, root: str, number: int, payload: dict) -> None:
         raise RuntimeError(taken)
 
 
+def loads(spark: SparkSession, path: str) -> list[str]:
+    """Names of the loads whose rows are in the table, in order, also of those compacted since."""
+    commits = read_commits(spark, path)
+    last = max((k for k, c in enumerate(commits) if "*" in c.replaces), default=0)
+    return [c.name for c in commits[last:] if c.loaded]
+
+
+def read_load(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of one load: its own folder, or once it is compacted, the rewritten ones, whose file
+    statistics find it."""
+    root = path.rstrip("/")
+    live = live_commits(read_commits(spark, root))
+    schema = merged_schema(live)
+    own = [c for c in live if c.name == name] or [c for c in live if not c.loaded]
+    folders = [f"{root}/commit={c.name}" for c in own if c.rows]
+    if not folders:
+        return spark.createDataFrame([], schema).drop(LOADED_BY)
+    df = spark.read.schema(schema).option("basePath", root).parquet(*folders).drop("commit")
+    return df.filter(F.col(LOADED_BY) == name).drop(LOADED_BY)
+
+
 def _publish(spark: SparkSession, root: str, entry: Commit) -> None:
     publish(spark, root, entry.number, asdict(entry))
 
