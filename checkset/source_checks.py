@@ -17,6 +17,7 @@ from trainlake.sources import readers as rd
 from trainlake.sources import state as st
 from trainlake.sources import writers as wr
 from trainlake.sources.csv_records import quoted_lines
+from trainlake.sources.zones import write_zones
 
 DAY = date(2024, 6, 15)
 NEXT_DAY = date(2024, 6, 16)
@@ -166,12 +167,10 @@ def scan_by_extension(t: Tables) -> DataFrame:
 def workout_pages(t: Tables) -> DataFrame:
     path = t.scratch("pages")
     nested = t.landed_nested()
-    # One workout per page: pages are made row by row, never by collecting a group.
-    page = nested.select(
-        F.lit(1).alias("page"),
-        F.lit(1).alias("page_count"),
-        F.array(F.struct(*[F.col(c) for c in nested.columns])).alias("workouts"),
-    )
+    # Up to ten workouts a page, in the order of their ids.
+    workout = F.struct(*[F.col(c) for c in nested.columns])
+    page = nested.groupBy((F.col("id").cast("long") / 10).cast("int").alias("page")).agg(F.array_sort(F.collect_list(workout)).alias("workouts"))
+    page = page.select("page", F.lit(0).alias("page_count"), "workouts")
     page.write.json(path)
     users = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("user_id"))
     workouts = rd.read_workout_pages(t.spark, path).join(users, "id")
@@ -197,6 +196,16 @@ def watermark_state(t: Tables) -> DataFrame:
     return filter_since(t.events.select("event_id", "ts"), since, "ts")
 
 
+@query(with_views("sets", "SELECT CAST(user_id AS VARCHAR) AS user_id, id, set_index, weight_kg FROM sets WHERE user_id = 7"))
+def fact_for_user_by_zones(t: Tables) -> DataFrame:
+    """One user's rows from the files that the zone map names."""
+    path = t.scratch("fact")
+    sets = t.sets().select(F.col("user_id").cast("string").alias("user_id"), "id", "set_index", "weight_kg")
+    wr.write_table(sets, path, ranged_by=["user_id", "id"])
+    write_zones(t.spark, path, ["user_id"])
+    return rd.load_fact(t.spark, path, "7")
+
+
 @query(with_views("sets", "SELECT user_id, id, set_index, weight_kg FROM sets WHERE user_id = 7"))
 def fact_for_user(t: Tables) -> DataFrame:
     path = t.scratch("fact")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainlake.functions.dates import month_of, monday_of, sunday_week
 from trainlake.functions.values import mean
@@ -434,9 +435,33 @@ def top_categories(
 
 
 def table_counts(df: DataFrame, cols: Sequence[str] = ()) -> DataFrame:
-    """One row: all rows, and the distinct non-NULL values of each listed column."""
-    distinct = [F.count_distinct(F.col(c)).alias(f"distinct_{c}") for c in cols]
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), *distinct)
+    """One row: all rows, and the distinct non-NULL values of each listed column.
+
+    A row becomes one narrow row ``(column, value)`` per listed column; these are combined on the
+    map side, moved once by hash, and counted. Values are compared whole, as text.
+    """
+    if not cols:
+        return df.agg(F.count(F.lit(1)).alias("n_rows"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("place"), _as_text(df, c).alias("value")) for k, c in enumerate(cols)])
+    values = df.select(F.inline(pairs)).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    figures = values.groupBy("place").agg(F.sum("n").alias("n"), F.count("value").alias("n_values"))
+    distinct = [
+        F.coalesce(F.max(F.when(F.col("place") == k, F.col("n_values"))), F.lit(0)).alias(f"distinct_{c}")
+        for k, c in enumerate(cols)
+    ]
+    return figures.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_rows"), *distinct)
+
+
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A text that two values share only if they are equal."""
+    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value)))
+    return value.cast("string")
 
 
 def high_water_mark(

@@ -18,6 +18,7 @@ from trainlake.plans.silver import read_silver_workouts
 from trainlake.schemas import CATALOG_RENAMES, FACT_ORDER
 from trainlake.sources.readers import read_latest_snapshot, read_table
 from trainlake.sources.writers import write_metrics, write_snapshot, write_table
+from trainlake.sources.zones import write_zones
 
 # Columns and types that every fact has, whatever else its sources bring.
 FACT_KEYS = "user_id STRING, sk_exercise BIGINT, start_time TIMESTAMP_NTZ, exercise_title STRING, exercise_name_kaggle STRING, main_muscle STRING"
@@ -45,6 +46,7 @@ def write_fact_sets(fact: DataFrame, lake: Lake) -> None:
     in one file or in neighbouring ones."""
     fact = fact.withColumn("start_month", month_of("start_time"))
     write_table(fact, lake.gold("fact_train"), ["start_month"], ranged_by=["start_month", "user_id", "start_time"])
+    write_zones(fact.sparkSession, lake.gold("fact_train"), ["user_id", "start_time"])
 
 
 def run_fact_sets(spark: SparkSession, lake: Lake) -> None:

@@ -228,9 +228,18 @@ def normalize_documents(df: DataFrame) -> DataFrame:
 
 
 def load_fact(spark: SparkSession, path: str, user_id: str | None = None) -> DataFrame:
-    """The fact, or one user's rows by a predicate the Parquet scan can use."""
-    fact = read_table(spark, path)
-    return fact if user_id is None else for_user(fact, user_id)
+    """The fact, or one user's rows: from the files that its zone map names, or without one by a
+    predicate that the Parquet scan can use."""
+    if user_id is None:
+        return read_table(spark, path)
+    from trainlake.sources.zones import files_where
+
+    files = files_where(spark, path, "user_id", user_id)
+    if files is None:
+        return for_user(read_table(spark, path), user_id)
+    if not files:
+        return read_table(spark, path).limit(0)
+    return for_user(spark.read.option("basePath", path.rstrip("/")).parquet(*files), user_id)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
