@@ -60,3 +60,34 @@ def test_documents(spark, tmp_path, monkeypatch):
         assert row == (doc, start, len(ids), ids)
         start += len(ids)
     assert tb.round_trip(df.limit(0)).count() == 0
+
+
+def test_parts_of_a_segment():
+    """Any range of ids equals that of the whole, and only its blocks are unpacked."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 49_000, 5000).astype(np.uint32)
+    ids[rng.integers(0, 5000, 40)] = (1 << 32) - 1
+    payload = tb.pack_ids(ids)
+    for start, stop in [(0, 5000), (0, 1), (127, 129), (128, 256), (4999, 5000), (4000, 9000), (10, 10), (20, 5), *rng.integers(0, 5001, (60, 2)).tolist()]:
+        assert tb.unpack_ids(payload, start, stop).tolist() == ids[start:stop].tolist()
+    unpacked = []
+    lanes = tb.unpack_lanes
+    tb.unpack_lanes = lambda words, width: unpacked.append(len(words)) or lanes(words, width)
+    try:
+        tb.unpack_ids(payload, 300, 400)
+    finally:
+        tb.unpack_lanes = lanes
+    assert sum(unpacked) == 2
+
+
+def test_read_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tb, "SEGMENT_IDS", 300)
+    docs = spark.createDataFrame([(k, "some words of text number " * (k % 7) + str(k)) for k in range(120)], "doc_id long, text string")
+    path = str(tmp_path / "blocks")
+    tb.write_token_blocks(docs, path)
+    whole = [i for r in tb.read_token_blocks(spark, path).orderBy("start").collect() for i in r.ids]
+    assert spark.read.parquet(path).count() > 5
+    for start, length in [(0, len(whole)), (0, 1), (290, 20), (700, 1500), (len(whole) - 3, 50), (len(whole), 5), (5, 0)]:
+        got = [i for r in sorted(tb.read_ids(spark, path, start, length).collect()) for i in r.ids]
+        assert got == whole[start : start + length]
+    assert tb.read_ids(spark, path, 0, 10).count() == 1

@@ -3,7 +3,7 @@
 A segment is a run of whole documents in ascending id order. Its ids are cut into blocks of 128
 values. Of each block the minimum is subtracted; the rest is packed at the width that holds the
 chosen share of the values (``PERCENTILE``); what is wider goes to the block's exception list.
-The starts of all blocks are indexed, so one block can be read without the others.
+The starts of all blocks are indexed, so one block can be read without the others: ``read_ids``.
 
 Layout of a segment, little-endian, each array preceded by its length as uint32:
 
@@ -102,8 +102,9 @@ def pack_ids(ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpack_ids(payload: bytes) -> np.ndarray:
-    """The ids of a packed segment."""
+def unpack_ids(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids of a packed segment, or those from ``start`` to ``stop`` (exclusive): the block index
+    says where their blocks lie, and only these are unpacked."""
     if payload[:4] != MAGIC:
         raise ValueError("not a segment of packed ids")
     (n,) = struct.unpack_from("<Q", payload, 4)
@@ -112,16 +113,22 @@ def unpack_ids(payload: bytes) -> np.ndarray:
         (size,) = struct.unpack_from("<I", payload, at)
         arrays.append(np.frombuffer(payload, kind, size, at + 4))
         at += 4 + size * np.dtype(kind).itemsize
+    start, stop = max(0, start), n if stop is None else min(n, stop)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    some = slice(start // BLOCK, -(-stop // BLOCK))
     low, widths, starts, first, packed, places, exceptions = arrays
+    low, widths, starts, first = low[some], widths[some], starts[some], first[some.start : some.stop + 1].astype(np.int64)
     values = np.zeros((len(low), BLOCK), np.uint32)
     for width in np.unique(widths):
         if width:
             own = np.nonzero(widths == width)[0]
             words = packed[starts[own].astype(np.int64)[:, None] + np.arange(2 * int(width))]
             values[own] = unpack_lanes(words, int(width))
-    rows = np.repeat(np.arange(len(low)), np.diff(first.astype(np.int64)))
-    values[rows, places] = exceptions
-    return (values + low[:, None]).reshape(-1)[:n]
+    rows = np.repeat(np.arange(len(low)), np.diff(first))
+    values[rows, places[first[0] : first[-1]]] = exceptions[first[0] : first[-1]]
+    skipped = some.start * BLOCK
+    return (values + low[:, None]).reshape(-1)[start - skipped : stop - skipped]
 
 
 def write_token_blocks(
@@ -186,12 +193,7 @@ def read_token_blocks(spark: SparkSession, path: str, checksums: bool = False) -
 
     With ``checksums`` there is ``ids_crc32`` instead of ``ids``, the unsigned crc32 of the read
     ids in little-endian order, four bytes each; then no ids leave the Python workers."""
-    segments = spark.read.schema(SEGMENTS).parquet(path)
-    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    placed = segments.join(F.broadcast(offsets), "shard")
-    rows = placed.select((F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_docs", "doc_ids", "doc_lengths", "payload")
+    rows = located(spark.read.schema(SEGMENTS).parquet(path)).select("start", "n_docs", "doc_ids", "doc_lengths", "payload")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +225,40 @@ def read_token_blocks(spark: SparkSession, path: str, checksums: bool = False) -
     return rows.mapInArrow(task, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'array<int>'}")
 
 
+def located(segments: DataFrame) -> DataFrame:
+    """Segments with ``start``, the ids of all segments before; one row per shard is summed up."""
+    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    return segments.join(F.broadcast(offsets), "shard").withColumn("start", F.col("shard_start") + F.col("start_in_shard"))
+
+
+def read_ids(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
+    """The ids ``start`` to ``start + length`` of the whole file, counted from 0, in pieces
+    ``start, ids`` of one segment each. Segments are found by their sizes; of others nothing is read,
+    and of theirs the blocks in the range alone are unpacked. What lies beyond the end is left out."""
+    stop = start + length
+    slim = located(spark.read.schema(SEGMENTS).parquet(path).select("shard", "segment", "start_in_shard", "n_ids"))
+    met = slim.filter((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+    ends = met.agg(F.min(F.struct("shard", "segment", "start")).alias("low"), F.max(F.struct("shard", "segment")).alias("high")).first()
+    if length <= 0 or ends.low is None:
+        return spark.createDataFrame([], "start long, ids array<int>")
+    low, high = ends.low, ends.high
+    wanted = f"(shard > {low.shard} OR shard = {low.shard} AND segment >= {low.segment}) AND (shard < {high.shard} OR shard = {high.shard} AND segment <= {high.segment})"
+    # The range is one run of segments, so numbers say which rows to read.
+    payloads = spark.read.schema(SEGMENTS).parquet(path).filter(f"shard BETWEEN {low.shard} AND {high.shard}").filter(wanted).select("shard", "segment", "payload")
+    rows = payloads.join(F.broadcast(met.select("shard", "segment", "start")), ["shard", "segment"]) if low[:2] != high else payloads.withColumn("start", F.lit(low.start))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.select(["start", "payload"]).to_pylist():
+                own = unpack_ids(r["payload"], start - r["start"], stop - r["start"])
+                first = max(start, r["start"])
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([own.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    return rows.select("start", "payload").mapInArrow(task, "start long, ids array<int>")
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
     """Write the documents as token blocks in the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, "token-blocks")
