@@ -29,7 +29,24 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle
+        FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (shingle) GROUP BY 1, 2),
+    links AS (
+        SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+    ),
+    reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(y), doc_id) AS component_id
+    FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = doc_id GROUP BY doc_id
+""")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -49,7 +66,43 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"))
 
 
-@query()
+WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def sql_words(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def template_rows() -> str:
+    """The templates as SQL rows: label, words, distinct words needed, distinct words, base or not."""
+    rows = [f"('{t.label}', {sql_words(t.words)}, {licenses.needed(t)}, {len(set(t.words))}, {t.base})" for t in licenses.TEMPLATES]
+    return ", ".join(rows)
+
+
+@query(f"""
+    WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    templates AS (SELECT * FROM (VALUES {template_rows()}) AS t(label, words, needed, n_distinct, base)),
+    blocks AS (
+        SELECT doc_id, label, base, n_distinct, needed, i, w[i : i + len(words) - 1] AS block, words
+        FROM docs, templates, unnest(range(1, len(w) + 1)) AS t(i)
+        WHERE list_contains(words, w[i])
+    ),
+    found AS (
+        SELECT doc_id, label, base, i - 1 AS place, len(list_distinct(list_intersect(block, words))) / CAST(n_distinct AS DOUBLE) AS share
+        FROM blocks
+        WHERE CASE WHEN base THEN block = words ELSE len(list_distinct(list_intersect(block, words))) >= needed END
+    ),
+    scored AS (
+        SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+               string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+               string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+               CASE WHEN count(*) FILTER (base) > 0 THEN 1.0 ELSE max(share) END AS score
+        FROM found GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+    FROM docs LEFT JOIN scored USING (doc_id)
+""")
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -102,9 +155,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-
 @query(f"""
     WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
     items AS (SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -136,7 +186,27 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query("""
+    WITH vectors AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+        FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+    )
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+           other AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same
+        AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+""")
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
