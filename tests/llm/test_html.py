@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import functools
 import html as entities
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from trainlake.llm import html, queries
@@ -164,3 +167,61 @@ def test_names_of_passages():
 )
 def test_what_drops(page, text):
     assert html.main_text(page, {}) == text
+
+
+def varied_page(seed: int, n: int) -> str:
+    """A page whose blocks are drawn anew for each seed, between a menu and a footer."""
+    rng = random.Random(seed)
+    out = ["<html><body><div class=\"top\">Home Shop Contact</div>"]
+    for _ in range(n):
+        tag, name = rng.choice(["p", "h2", "ul", "div", "section"]), rng.choice("abcde")
+        item = "".join(f'<li class="{rng.choice("xyz")}">item {rng.random()}</li>' for _ in range(2))
+        out.append(f"<ul>{item}</ul>" if tag == "ul" else f'<{tag} class="{name}">text {rng.random()} of {seed}</{tag}>')
+    return "".join([*out, "<div class=\"end\">All rights reserved by us</div></body></html>"])
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 25])
+def test_common_subsequence(monkeypatch, cells):
+    """As long as by the plain table, whether the sequences are halved or not."""
+    monkeypatch.setattr(html, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        x, y = rng.integers(0, 4, rng.integers(0, 25)), rng.integers(0, 4, rng.integers(0, 25))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+        pairs = html.common(x, y)
+        assert len(pairs) == best[-1, -1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs[:-1], pairs[1:], strict=True))
+
+
+def test_two_long_varied_pages():
+    """Two pages of 50,000 tokens: little memory, and the template is found."""
+    import tracemalloc
+
+    x, y = html.stream(varied_page(1, 14_000)), html.stream(varied_page(2, 14_000))
+    tracemalloc.start()
+    wrapper = html.aligned(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert min(len(x), len(y)) > 40_000 and most < 200 << 20
+    assert set(html.removable(wrapper).values()) - {None} == {"Home Shop Contact", "All rights reserved by us"}
+
+
+def test_long_wrappers_decide_alike(monkeypatch):
+    """A wrapper that keeps its optional groups as a bag says what the whole one says, and stays short
+    however many pages a host has."""
+    streams = [html.stream(varied_page(k, 30)) for k in range(40)]
+
+    def wrapper(longest: int) -> list:
+        monkeypatch.setattr(html, "LONGEST_WRAPPER", longest)
+        return functools.reduce(html.aligned, streams)
+
+    whole, short = wrapper(1 << 30), wrapper(100)
+    assert html.tokens_in(short) < 200 < html.tokens_in(whole)
+    # The bag has no order, so other runs may be common; what goes is the same.
+    gone = [{p: t for p, t in html.removable(w).items() if t is not None} for w in (whole, short)]
+    assert gone[0] == gone[1] and html.in_articles(whole) == html.in_articles(short)
+    assert set(gone[0].values()) == {"Home Shop Contact", "All rights reserved by us"}
+    assert "Home Shop Contact" in html.expression(short).replace("\\", "")

@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +173,15 @@ def mark(text: str) -> str:
 # A token is a list: ["t", tag], ["x", path, text or None for a slot, inside, outside, pages],
 # ["+", *tokens] or ["?", *tokens]. Of a text, inside and outside are the characters that pages have
 # there within and outside an article element, links and what is no content by its element left out;
-# pages are digests of up to SUPPORT different pages that have it.
+# pages are digests of up to SUPPORT different pages that have it. A wrapper of many varied pages ends
+# in ["b", {path: [text, inside, outside, pages]}]: the texts of optional groups by their paths.
+
+#: A wrapper with more tokens keeps its optional groups as a bag of texts: their order, which no
+#: decision needs, is given up; texts, sizes and pages are not.
+LONGEST_WRAPPER = 4096
+#: Cells of an alignment's table that are held at a time. Longer sequences are halved, and come to a
+#: common subsequence of the same length.
+CELLS = 1 << 21
 
 #: So many pages that differ elsewhere must have a text before it is the host's template.
 SUPPORT = 2
@@ -187,6 +196,78 @@ def shape(token: list) -> tuple:
     return (token[0], *map(shape, token[1:]))
 
 
+def texts_in(tokens: list[list]) -> Iterator[list]:
+    """The text tokens of a wrapper, groups and bag included."""
+    for t in tokens:
+        if t[0] == "x":
+            yield t
+        elif t[0] in "+?":
+            yield from texts_in(t[1:])
+        elif t[0] == "b":
+            yield from (["x", path, *figures] for path, figures in t[1].items())
+
+
+def bagged(texts: Iterator[list]) -> list[list]:
+    """Texts by their paths as a bag; no bag without texts."""
+    bag: dict[str, list] = {}
+    for t in texts:
+        known = bag.get(t[1])
+        bag[t[1]] = (merged(["x", t[1], *known], t) if known else t)[2:]
+    return [["b", bag]] if bag else []
+
+
+def tokens_in(tokens: list[list]) -> int:
+    return sum(1 + tokens_in(t[1:]) if t[0] in "+?" else 1 for t in tokens)
+
+
+def bounded(tokens: list[list]) -> list[list]:
+    """The wrapper, and once it is too long, with its optional groups in the bag."""
+    if tokens_in(tokens) <= LONGEST_WRAPPER:
+        return tokens
+    kept = [t for t in tokens if t[0] not in "?b"]
+    return kept + bagged(texts_in([t for t in tokens if t[0] in "?b"]))
+
+
+def common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places ``(i, j)`` of a longest common subsequence of two sequences of numbers, in memory that
+    does not grow with their product."""
+    n, m = len(x), len(y)
+    if not n or not m:
+        return []
+    if n * m > CELLS and n > 1:
+        half = n // 2
+        ahead, behind = lengths(x[:half], y), lengths(x[half:][::-1], y[::-1])[::-1]
+        cut = int((ahead + behind).argmax())
+        return common(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in common(x[half:], y[cut:])]
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        row = best[i + 1].copy()
+        same = y == x[i]
+        row[:-1][same] = best[i + 1, 1:][same] + 1
+        best[i] = np.maximum.accumulate(row[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each beginning of ``y``, the length of a longest common subsequence with ``x``."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for value in x.tolist():
+        after = row.copy()
+        same = y == value
+        after[1:][same] = row[:-1][same] + 1
+        row = np.maximum.accumulate(after)
+    return row
+
+
 def merged(a: list, b: list) -> list:
     """Two tokens of one shape; texts that differ make a slot."""
     if a[0] == "t":
@@ -254,6 +335,8 @@ def optional(run: list[list]) -> list[list]:
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """The wrapper of both: common tokens merged along a longest common subsequence."""
+    bags = bagged(texts_in([t for t in (*a, *b) if t[0] == "b"]))
+    a, b = [t for t in a if t[0] != "b"], [t for t in b if t[0] != "b"]
     a, b = adopted(a, b), adopted(b, a)
     x, y = [shape(t) for t in a], [shape(t) for t in b]
     lo = 0
@@ -263,26 +346,17 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
         hi += 1
     n, m = len(x) - lo - hi, len(y) - lo - hi
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[lo + i] == y[lo + j] else max(best[i + 1][j], best[i][j + 1])
+    number: dict[tuple, int] = {}
+    coded = [np.array([number.setdefault(s, len(number)) for s in side], np.int64) for side in (x[lo : lo + n], y[lo : lo + m])]
     out = [merged(s, t) for s, t in zip(a[:lo], b[:lo], strict=True)]
     i = j = 0
-    only_a, only_b = [], []
-    while i < n or j < m:
-        if i < n and j < m and x[lo + i] == y[lo + j]:
-            out += [*optional(only_a), *optional(only_b), merged(a[lo + i], b[lo + j])]
-            only_a, only_b = [], []
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            only_a.append(a[lo + i])
-            i += 1
-        else:
-            only_b.append(b[lo + j])
-            j += 1
-    out += [*optional(only_a), *optional(only_b)]
-    return out + [merged(s, t) for s, t in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
+    for p, q in [*common(*coded), (n, m)]:
+        out += [*optional(a[lo + i : lo + p]), *optional(b[lo + j : lo + q])]
+        if p < n:
+            out.append(merged(a[lo + p], b[lo + q]))
+        i, j = p + 1, q + 1
+    out += [merged(s, t) for s, t in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
+    return bounded(out + bags)
 
 
 def stream(page: str) -> list[list]:
@@ -320,6 +394,9 @@ def expression(tokens: list[list]) -> str:
             out.append(f"<{t[1]}>")
         elif t[0] == "x":
             out.append("#" if t[2] is None else re.escape(t[2]))
+        elif t[0] == "b":
+            texts = sorted("#" if text is None else re.escape(text) for text, *_ in t[1].values())
+            out.append(f"({'|'.join(dict.fromkeys(texts))})*")
         else:
             out.append(f"({expression(t[1:])}){t[0]}")
     return "".join(out)
@@ -329,14 +406,9 @@ def path_texts(tokens: list[list]) -> dict[str, tuple[str | None, frozenset[str]
     """The constant text of each path of a wrapper, None where any place of it is a slot, and the
     pages that have the path."""
     found: dict[str, tuple[str | None, frozenset[str]]] = {}
-    for t in tokens:
-        if t[0] == "x":
-            places = [(t[1], (t[2], frozenset(t[5])))]
-        else:
-            places = path_texts(t[1:]).items() if t[0] in "+?" else ()
-        for path, (text, pages) in places:
-            before, others = found.get(path, (text, frozenset()))
-            found[path] = (text if before == text else None, pages | others)
+    for _, path, text, _, _, pages in texts_in(tokens):
+        before, others = found.get(path, (text, frozenset()))
+        found[path] = (text if before == text else None, others | frozenset(pages))
     return found
 
 
@@ -354,15 +426,8 @@ def in_articles(tokens: list[list]) -> bool:
     """Whether the article elements hold most of what differs between the pages of a wrapper.
     Where nothing differs, they are believed."""
     texts = path_texts(tokens)
-
-    def sizes(part: list[list]) -> Iterator[int]:
-        for t in part:
-            if t[0] == "x" and texts[t[1]][0] is None and len(texts[t[1]][1]) >= SUPPORT:
-                yield t[3] - t[4]
-            elif t[0] in "+?":
-                yield from sizes(t[1:])
-
-    return sum(sizes(tokens)) >= 0
+    differing = {path for path, (text, pages) in texts.items() if text is None and len(pages) >= SUPPORT}
+    return sum(t[3] - t[4] for t in texts_in(tokens) if t[1] in differing) >= 0
 
 
 def main_text(page: str, constants: dict[str, str | None], articles: bool = True) -> str:
@@ -454,6 +519,18 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return some.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(again, WRAPPERS)
 
 
+def decisions(wrappers: DataFrame) -> DataFrame:
+    """``host, decision``: what a wrapper says about the pages of its host, the constant texts that go
+    and whether the article elements are the content. Only this goes to the pages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [json.dumps([{p: t for p, t in removable(w).items() if t is not None}, in_articles(w)]) for w in map(json.loads, batch.column("wrapper").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(said, pa.string())], names=["host", "decision"])
+
+    return wrappers.select("host", "wrapper").mapInArrow(task, "host string, decision string")
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
@@ -468,9 +545,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     null or empty page gives an empty text; repeated rows and rows without an id or address are
     answered each; an empty table gives no rows; other columns are ignored.
     """
-    wrappers = written(infer_wrappers(pages, url_col, html_col), "wrappers")
+    said = written(decisions(infer_wrappers(pages, url_col, html_col)), "wrappers")
     rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), host_of(col(url_col)).alias("host"), F.coalesce(col(html_col), F.lit("")).alias("html"))
-    placed = rows.join(wrappers, "host").select("page_id", "url", "host", "html", "wrapper")
+    placed = rows.join(said, "host").select("page_id", "url", "host", "html", "decision")
     fields = f"page_id {dict(placed.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,8 +556,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = []
             for k, (own, page) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
                 if own != host:
-                    wrapper = json.loads(part.column("wrapper")[k].as_py())
-                    host, constants, articles = own, removable(wrapper), in_articles(wrapper)
+                    host, (constants, articles) = own, json.loads(part.column("decision")[k].as_py())
                 texts.append(main_text(page, constants, articles))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
