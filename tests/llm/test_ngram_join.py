@@ -125,3 +125,26 @@ def test_one_id_with_two_texts(spark):
         docs = spark.createDataFrame(rows).coalesce(1)
         pairs = ngram_join.written(spark.createDataFrame([(2, 5)], "a long, b long"), "pairs")
         assert ngram_join.linked(pairs, docs, 75).count() == 1
+
+
+def test_bitmaps_never_lose_a_link():
+    """The bound of the bitmaps is at least the overlap, and far below it for sets with little in common."""
+    rng = np.random.default_rng(9)
+    for n, m, common in [(1, 1, 1), (5, 9, 5), (300, 280, 270), (300, 300, 0), (1000, 700, 690), (2000, 1500, 150), (64, 65, 1)]:
+        values = rng.integers(0, 1 << 63, n + m - common, dtype=np.int64).astype(np.uint64)
+        x, y = values[:n], values[n - common :]
+        for bits in (2, 8):
+            most = ngram_join.overlap_bound(ngram_join.bitmap(x, bits), n, ngram_join.bitmap(y, bits), m)
+            assert common <= most <= min(n, m)
+    x, y = rng.integers(0, 1 << 63, (2, 1000), dtype=np.int64).astype(np.uint64)
+    assert 175 * ngram_join.overlap_bound(ngram_join.bitmap(x, 2), 1000, ngram_join.bitmap(y, 2), 1000) < 75 * 2000
+
+
+def test_a_shared_passage_is_no_likely_pair(spark):
+    """Texts that share a passage meet in its lists, and part before their texts are moved."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = [(d, f"{passage} " + " ".join(f"d{d}w{k}" for k in range(160))) for d in range(30)] + [(100, f"{passage} " + " ".join(f"d3w{k}" for k in range(158)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in [*range(a + 1, 30), 100]], "a long, b long")
+    found = {(r.a, r.b) for r in ngram_join.possible_pairs(pairs, df, 75).collect()}
+    assert found == {(3, 100)}

@@ -10,8 +10,9 @@ Links are found exactly, in steps whose output is bounded by the rows, not by pa
 3. A list of up to 16 sets is a tree of one leaf. The pairs of all leaves are counted: a pair
    that shares leaves only, and fewer of them than the similarity needs, is dropped.
 4. In longer lists each set is paired with one or two others at first: the most central sets of
-   its lists, those that are in most lists. What steps 3 and 4 found is compared exactly; links
-   collapse copies and near copies into components.
+   its lists, those that are in most lists. Of what steps 3 and 4 found, the pairs whose token
+   bitmaps allow the overlap are compared exactly; links collapse copies and near copies into
+   components.
 5. Longer lists that still hold several components are arranged as signature trees: sets
    ordered by size, 16 to a node and 16 nodes to the next, each node with the OR of its sets'
    token bitmaps, its size range and its component range. Pairs of nodes are traversed together
@@ -252,23 +253,55 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long").distinct()
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    """The token bitmap of a set: eight to sixteen bits for each token, a power of two in all."""
-    bits = 64 << max(0, int(8 * len(values) - 1).bit_length() - 6)
+def bitmap(values: np.ndarray, per_token: int = 8) -> np.ndarray:
+    """The token bitmap of a set: ``per_token`` to twice as many bits for each token, a power of two
+    in all."""
+    bits = 64 << max(0, int(per_token * len(values) - 1).bit_length() - 6)
     place = (values >> np.uint64(20)) & np.uint64(bits - 1)
     out = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out
 
 
-def bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, bits``: the token bitmap of each wanted id."""
+def bitmaps(docs: DataFrame, ids: DataFrame, per_token: int = 8) -> DataFrame:
+    """``doc_id, bits, n``: the token bitmap and the size of the set of each wanted id."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, sets in sets_of(batches):
-            yield pa.RecordBatch.from_arrays([own, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "bits"])
+            columns = [own, pa.array([bitmap(s, per_token).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "bits", "n"])
 
-    return wanted(docs, ids).mapInArrow(task, "doc_id long, bits binary").filter("length(bits) > 0")
+    return wanted(docs, ids).mapInArrow(task, "doc_id long, bits binary, n long").filter("n > 0")
+
+
+def overlap_bound(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """How many tokens two sets of ``n`` and ``m`` tokens with these bitmaps can share at most: the
+    bits that both have, and the tokens that one set can have beyond its bits."""
+    words = min(len(x), len(y))
+    x, y = folded(x, words), folded(y, words)
+    beyond = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+    return min(n, m, int(np.bitwise_count(x & y).sum()) + beyond)
+
+
+def possible_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose bitmaps of two to four bits for each token allow the similarity. Sets
+    that share a passage alone part here, and their texts need not move. ``pairs`` is a written
+    table. Rows that share an id can have several bitmaps; a pair stays if any two allow it."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    signs = written(bitmaps(docs, ids, per_token=2), "pair-bitmaps")
+    left = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"), "n"), "a")
+    both = left.join(signs.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m")), strict=True):
+                most = overlap_bound(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m)
+                keep.append((100 + percent) * most >= percent * (n + m))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "n", "y", "m").mapInArrow(task, "a long, b long").distinct()
 
 
 def shared_prefix(n: Column, m: Column, percent: int) -> Column:
@@ -400,7 +433,7 @@ def forest_pairs(lists: DataFrame, groups: DataFrame, docs: DataFrame, percent:
     pairs = x.join(y, F.expr(f"x.token = y.token AND x.tree <= y.tree AND 100 * x.high >= {percent} * y.low AND NOT (x.first = x.last AND y.first = y.last AND x.first = y.first)"))
     pairs = pairs.select("x.token", F.col("x.tree").alias("i"), F.col("y.tree").alias("j"))
     sides = pairs.select("token", F.col("i").alias("tree"), "i", "j").unionByName(pairs.filter("i < j").select("token", F.col("j").alias("tree"), "i", "j"))
-    signatures = written(bitmaps(docs, numbered.select("doc_id").distinct()), "bitmaps")
+    signatures = written(bitmaps(docs, numbered.select("doc_id").distinct()).drop("n"), "bitmaps")
     rows = numbered.join(sides, ["token", "tree"]).join(signatures, "doc_id")
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "tree", "n", "doc_id")
     dealt = dealt.select("token", "i", "j", "tree", "n", "doc_id", "component", "bits")
@@ -474,7 +507,8 @@ def jaccard_components(
     long = lists.filter(F.col("size") > LEAF)
 
     first_pairs = written(leaf_pairs(short, percent).unionByName(central_pairs(long, percent)).distinct(), "first-pairs")
-    first_links = written(linked(first_pairs, docs, percent), "first-links")
+    likely = written(possible_pairs(first_pairs, docs, percent), "likely-pairs")
+    first_links = written(linked(likely, docs, percent), "first-links")
     groups = written(connected_components(first_links), "first-components")
 
     rest = written(forest_pairs(long.select("token", "n", "doc_id"), groups, docs, percent), "tree-pairs")
