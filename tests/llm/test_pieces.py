@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import zlib
 from functools import cache
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -147,3 +149,35 @@ def test_whole_texts_decode(spark, monkeypatch, frequent):
     got = {r.doc_id: (r.round_trip, r.text_round_trip) for r in pieces.summarise(table(spark, [*ODD, "x▁y"])).collect()}
     assert got == {k: (True, "▁" not in (t or "")) for k, t in enumerate([*ODD, "x▁y"])}
     assert all(pieces.plain("▁" + t.replace(" ", "▁")) == t for t in ODD if t and "▁" not in t)
+
+
+def test_distinct_words():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB1é.,-( \n\t日”▁_×÷ɏɐȿĀ\r\x7f🙂", k=rng.randrange(30))) for _ in range(3000)]
+    words, at, ends = pieces.distinct_words(pa.array(texts))
+    assert len(set(words)) == len(words)
+    assert [[words[k] for k in at[a:b]] for a, b in zip(ends[:-1], ends[1:])] == [pieces.words_of(t) for t in texts]
+
+
+def test_numbers_packed():
+    for values in ([], [0], [5, 0, 1 << 31, 70000]):
+        assert pieces.unpacked_numbers(pieces.packed_numbers(np.array(values, np.int64))).tolist() == values
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 50, 1])
+def test_whole_documents(spark, monkeypatch, frequent):
+    """The ids of whole documents are those of the library, word by word and whole, and one id that
+    stands for other text is seen in the decoded text."""
+    monkeypatch.setattr(pieces, "FREQUENT_WORDS", frequent)
+    docs = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SMALL_DIR}/documents.parquet' ORDER BY doc_id LIMIT 30").fetchall()] + ODD
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    wanted = {}
+    for k, t in enumerate(docs):
+        best = [i for w in pieces.words_of(t or "") for i in word_ids(w, "viterbi")]
+        wanted[k] = (crc(best), crc(MERGING.encode(t or "")))
+    assert {r.doc_id: (r.ids_crc32, r.merged_crc32) for r in pieces.summarise(table(spark, docs)).collect()} == wanted
+    right = pieces.piece_bytes(VOCAB)
+    word = VOCAB.ids["▁the"]
+    monkeypatch.setattr(pieces, "piece_bytes", lambda vocab: [b"THE" if k == word else b for k, b in enumerate(right)])
+    got = {r.doc_id: (r.round_trip, r.text_round_trip) for r in pieces.summarise(table(spark, ["in the house", "a house", None])).collect()}
+    assert got == {0: (False, False), 1: (True, True), 2: (True, True)}

@@ -4,38 +4,50 @@ A text gets a blank before it and is cut before every run of blanks, around line
 ASCII signs meet Latin letters or digits. No piece spans such a cut, which the vocabulary is held to,
 so each distinct word between cuts is encoded once for all texts. Substrings of a word
 up to the longest piece are exploded and equi-joined with the piece table; the pieces found are
-the edges of the word's lattice. Grouped by word, they are folded with Spark's ``aggregate``:
+the edges of the word's lattice. They stay in order where the word lies, and are folded for many
+words at a time:
 
 * ``viterbi``: the path with the best sum of scores, position by position;
 * ``merge``: from single characters, the best-scoring edge over two neighbouring pieces is taken
   until none is left. Model files of type BPE mean this; the scores in them are merge ranks.
 
 Characters that are no piece become one byte piece for each of their UTF-8 bytes.
+
+Documents get the ids of their words, put together in order, and are decoded from these ids alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import pickle
 import re
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import id_and_text, ship_by_value, shuffle_partitions, slices, written
+from trainlake.llm.common import id_and_text, ship_by_value, shuffle_partitions, slices, text_bytes, written
 from trainlake.llm.shingles import mixed
 
 ship_by_value(__name__)
 
 BLANK = "▁"
+WAYS = "viterbi", "merged"
 UNKNOWN_PENALTY = 10.0
-#: Words of at most so many characters are folded by Spark, whose masks have 64 bits; longer
-#: words are folded by the same rules in Python, in time in proportion to their length.
+#: Words of at most so many characters have a lattice, whose masks have 64 bits; longer
+#: words are folded by the same rules one by one, in time in proportion to their length.
 LONGEST_WORD = 60
+#: So many edges are folded at a time, and so many distinct words counted before they are sent on.
+FOLDED_EDGES, COUNTED_WORDS = 1 << 18, 1 << 18
 #: At most so many of the most frequent words are sent to all tasks; the rest is joined.
 FREQUENT_WORDS = 1 << 19
 PRIME = (1 << 31) - 1
@@ -96,111 +108,156 @@ def words_of(text: str) -> list[str]:
     return (ANY_WORD if OTHER.search(text) else PLAIN_WORD).findall(text)
 
 
+def byte_pairs() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte (blank, line end, Latin letter or digit, sign, other), and for two kinds
+    in a row (8 * first + second) whether a word begins between them."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[:128] = 4
+    kinds[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
+    kinds[32], kinds[10] = 1, 2
+    cuts = np.zeros(64, bool)
+    for first in range(5):
+        for second in range(5):
+            cuts[8 * first + second] = 2 in (first, second) or (second == 1 and first != 1) or {first, second} == {3, 4}
+    return kinds, cuts
+
+
+KINDS, CUTS = byte_pairs()
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts without nulls, the number among them of every word in order, and
+    the word offsets of the texts: ``words_of`` for many texts at once, on their bytes."""
+    plain = pc.replace_substring(texts, BLANK, " ")
+    data, offsets = text_bytes(pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(" ", plain, "")))
+    kinds = KINDS[data]
+    # Latin letters of two bytes, from U+00C0 to U+024F but for two signs.
+    wide = np.nonzero((data >= 0xC3) & (data <= 0xC9))[0]
+    if len(wide):
+        lead, after = data[wide], data[wide + 1]
+        wide = wide[~((lead == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (lead == 0xC9) & (after >= 0x90))]
+        kinds[wide] = kinds[wide + 1] = 3
+    begins = np.zeros(len(data), bool)
+    begins[1:] = CUTS[kinds[:-1] * np.uint8(8) + kinds[1:]]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.nonzero(begins)[0]
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+    words = pc.replace_substring(coded.dictionary, " ", BLANK).to_pylist()
+    return words, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` of every distinct word, counted in each task before the shuffle, and dealt
     finely, because a word grows many times in the lattice."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 16 << 20):
-            counts: Counter[str] = Counter()
-            for text in part.column("text").to_pylist():
-                counts.update(words_of(text))
+        counts: Counter[str] = Counter()
+
+        def sent() -> Iterator[pa.RecordBatch]:
             words, n = list(counts), list(counts.values())
+            counts.clear()
             for lo in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + (1 << 16)], pa.string()), pa.array(n[lo : lo + (1 << 16)], pa.int64())], names=["word", "n"])
 
+        for part in slices(batches, "text"):
+            words, at, _ = distinct_words(part.column("text"))
+            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
+                counts[word] += n
+            if len(counts) >= COUNTED_WORDS:
+                yield from sent()
+        yield from sent()
+
     found = docs.select("text").mapInArrow(task, "word string, n long")
     return found.repartition(4 * shuffle_partitions(docs.sparkSession), "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
-    rows = pa.table({"piece": list(vocab.ids), "id": pa.array(vocab.ids.values(), pa.int32()), "score": pa.array([vocab.scores[i] for i in vocab.ids.values()], pa.float32())})
-    return spark.createDataFrame(rows)
-
-
-def byte_ids(char: Column, first_byte: int) -> Column:
-    code = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substr(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + first_byte)
+    return spark.createDataFrame(pa.table({"piece": list(vocab.ids), "id": pa.array(vocab.ids.values(), pa.int32())}))
 
 
 def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, n, edges``: the pieces within each word of up to ``LONGEST_WORD`` characters.
+    """``word, start, length, id`` and the other columns of ``words``: the pieces within each word of up
+    to ``LONGEST_WORD`` characters, and its single characters, which may be no piece and have no id
+    then. A longer word is one row with start -1. The first row of a word alone has the columns of
+    ``words``.
 
     ``words`` is dealt by word and stays so: the piece table has the size of the vocabulary and
-    is broadcast, and the edges of a word are gathered where it lies."""
+    is broadcast, so the edges of a word follow each other by start and length."""
     pieces = F.broadcast(piece_table(words.sparkSession, vocab))
     size = F.length("word")
-    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"), size.alias("size"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.col("size") - F.col("start")))
-    parts = starts.select("word", "n", "start", F.explode(lengths).alias("length"))
+    places = F.when(size <= LONGEST_WORD, F.sequence(F.lit(0), size - 1)).otherwise(F.array(F.lit(-1)))
+    starts = words.select("*", F.explode(places).alias("start"), size.alias("size"))
+    lengths = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.col("size") - F.col("start"))))
+    parts = starts.select("*", F.explode(lengths).alias("length"))
     parts = parts.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("length")))
-    found = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR length = 1")
-    end = F.col("start") + F.col("length")
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
-    edge = F.struct(
-        end.alias("end"),
-        F.col("start"),
-        F.coalesce("score", F.lit(vocab.unknown_score).cast("float")).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(byte_ids(F.col("piece"), vocab.first_byte)).alias("ids"),
-        (bit(end) * 2 - bit(F.col("start"))).alias("span"),
-        (bit(end) + bit(F.col("start"))).alias("ends"),
-    )
-    return found.select("word", "n", edge.alias("edge")).groupBy("word").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
-
-
-def viterbi(edges: Column, size: Column) -> Column:
-    """The ids on the path with the best sum; of equal sums, the one whose last piece is longer.
-
-    The edges are folded in the order of their end and start. The state has the best path to
-    each place so far; an edge opens the path to its end or betters it."""
-    del size
-    begin = F.array(F.struct(F.lit(0.0).cast("float").alias("score"), F.expr("CAST(array() AS array<int>)").alias("ids")))
-
-    def step(paths: Column, e: Column) -> Column:
-        before = F.get(paths, e["start"])
-        score = (before["score"] + e["score"]).cast("float")
-        path = F.array(F.struct(score.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids")))
-        last = F.get(paths, e["end"])["score"]
-        return F.when(F.size(paths) == e["end"], F.concat(paths, path)).when(score > last, F.concat(F.slice(paths, F.lit(1), e["end"]), path)).otherwise(paths)
-
-    return F.aggregate(F.array_sort(edges), begin, step, lambda paths: F.element_at(paths, -1)["ids"])
-
-
-def merge(edges: Column, size: Column) -> Column:
-    """The ids left when neighbours have been merged by score, leftmost first among equals.
-
-    The state is a mask of the places between the pieces. An edge joins two neighbours when the
-    mask has its ends and one place between them."""
-    everywhere = F.call_function("shiftleft", F.lit(2).cast("long"), size) - 1
-    several = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    ordered = F.array_sort(F.transform(several, lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["span"].alias("span"), e["ends"].alias("ends"))))
-
-    def joins(mask: Column, e: Column) -> Column:
-        return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["span"])) == 3)
-
-    def may_join(mask: Column, e: Column) -> Column:
-        return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["span"])) > 2)
-
-    def step(state: Column, _: Column) -> Column:
-        # A fold over the best edge, or none, looks for it once. After it, edges whose ends are
-        # gone or that are one piece can never join again; without one, nothing can.
-        best = F.slice(F.filter(state["edges"], lambda e: joins(state["mask"], e)), 1, 1)
-
-        def taken(_: Column, e: Column) -> Column:
-            mask = state["mask"].bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))
-            return F.struct(mask.alias("mask"), F.filter(state["edges"], lambda other: may_join(mask, other)).alias("edges"))
-
-        idle = F.struct(state["mask"].alias("mask"), F.slice(state["edges"], 1, 0).alias("edges"))
-        return F.aggregate(best, idle, taken)
-
-    def ids(state: Column) -> Column:
-        mask = state["mask"]
-        left = F.filter(edges, lambda e: (F.bit_count(mask.bitwiseAND(e["span"])) == 2) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
-        return F.flatten(F.transform(F.array_sort(left), lambda e: e["ids"]))
-
-    # The edges are part of the state, so that they are sorted once and not in every step.
-    begin = F.struct(everywhere.alias("mask"), ordered.alias("edges"))
-    return F.aggregate(F.sequence(F.lit(1), size), begin, step, ids)
+    found = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR length <= 1")
+    first = (F.col("start") < 0) | ((F.col("start") == 0) & (F.col("length") == 1))
+    return found.select(*[F.when(first, F.col(c)).alias(c) for c in words.columns], F.col("start").cast("tinyint").alias("start"), F.col("length").cast("tinyint").alias("length"), "id")
+
+
+def viterbi(of: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which edges are on the path with the best sum of their word; of equal sums, the one whose
+    last piece is longer. ``of`` numbers the words; edges lie by word, start and end.
+
+    The edges are taken by their end, those of all words at a time; each place of a word keeps the
+    best sum to it and the edge that gives it."""
+    best = np.zeros((len(sizes), int(sizes.max()) + 1), np.float32)
+    back = np.full(best.shape, -1, np.int64)
+    order = np.lexsort((start, of, end))
+    bounds = np.searchsorted(end[order], np.arange(1, best.shape[1] + 1))
+    for at, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), start=1):
+        own = order[lo:hi]
+        if not len(own):
+            continue
+        words = of[own]
+        sums = best[words, start[own]] + score[own]
+        first = np.nonzero(np.concatenate([[True], words[1:] != words[:-1]]))[0]
+        top = np.maximum.reduceat(sums, first)
+        met = np.nonzero(sums == np.repeat(top, np.diff(np.append(first, len(own)))))[0]
+        met = met[np.concatenate([[True], words[met[1:]] != words[met[:-1]]])]
+        best[words[first], at] = top
+        back[words[met], at] = own[met]
+    taken = np.zeros(len(of), bool)
+    words, places = np.arange(len(sizes)), sizes
+    while len(words):
+        edges = back[words, places]
+        taken[edges] = True
+        left = start[edges] > 0
+        words, places = words[left], start[edges][left]
+    return taken
+
+
+def merge(of: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which edges are left when neighbours have been merged by score, leftmost first among equals.
+
+    Each word has a mask of the places between its pieces. An edge joins two neighbours when the
+    mask has its ends and one place between them; each round merges once in every word that can."""
+    one = np.uint64(1)
+    bit = lambda at: one << at.astype(np.uint64)
+    ends = bit(start) | bit(end)
+    inner = (bit(end) - bit(start)) & ~bit(start)
+    inner &= ~(bit(start) | (bit(start) - one))
+    masks = (one << (sizes.astype(np.uint64) + one)) - one
+    several = np.nonzero(end - start > 1)[0]
+    live = several[np.lexsort((start[several], -score[several], of[several]))]
+    while len(live):
+        words = of[live]
+        mask, ring = masks[words], ends[live]
+        within = mask & inner[live]
+        # Edges whose ends are gone or that are one piece can never join again.
+        open_ = ((mask & ring) == ring) & (within != 0)
+        able = np.nonzero(open_ & ((within & (within - one)) == 0))[0]
+        if not len(able):
+            break
+        able = able[np.concatenate([[True], words[able[1:]] != words[able[:-1]]])]
+        masks[words[able]] &= ~inner[live[able]]
+        # A word without a merge in this round has none left.
+        busy = np.zeros(len(sizes), bool)
+        busy[words[able]] = True
+        live = live[open_ & busy[words]]
+    mask = masks[of]
+    return ((mask & ends) == ends) & ((mask & inner) == 0)
 
 
 def long_viterbi(word: str, vocab: Vocabulary) -> list[int]:
@@ -253,21 +310,114 @@ def bytes_of(char: str, vocab: Vocabulary) -> list[int]:
     return [vocab.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], head: str, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The batches put together to tables of about so many rows, cut before rows that have ``head``,
+    and the places of these rows in them."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        heads = np.nonzero(table.column(head).is_valid().to_numpy())[0]
+        # The last group may go on in the next batch.
+        if len(heads) > 1:
+            yield table.slice(0, heads[-1]), heads[:-1]
+        held = table.slice(heads[-1]).to_batches()
+        n = len(table) - int(heads[-1])
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.nonzero(table.column(head).is_valid().to_numpy())[0]
+
+
+def with_ids(words: pa.Table, ids: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    columns = [words.column(c).combine_chunks() for c in words.column_names]
+    return pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), *ids], names=[*words.column_names, *names])
+
+
+def folded(edges: pa.Table, heads: np.ndarray, vocab: Vocabulary, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The words whose lattices are here whole, with their other columns and ids by both folds."""
+    start, length = (edges.column(c).to_numpy().astype(np.int64) for c in ("start", "length"))
+    ids = edges.column("id").fill_null(-1).to_numpy().astype(np.int64)
+    rest = edges.drop_columns(["start", "length", "id"])
+    kind = pa.list_(pa.int32())
+    long = start[heads] < 0
+    if long.any():
+        table = rest.take(pa.array(heads[long]))
+        words = table.column("word").to_pylist()
+        yield with_ids(table, [pa.array([fold(w, vocab) for w in words], kind) for fold in (long_viterbi, long_merge)], list(WAYS))
+    if long.all():
+        return
+    of = np.repeat(np.cumsum(~long) - 1, np.diff(np.append(heads, len(edges))))
+    keep = start >= 0
+    start, length, ids, of = start[keep], length[keep], ids[keep], of[keep]
+    table = rest.take(pa.array(heads[~long]))
+    words = table.column("word").to_pylist()
+    sizes = np.array([len(w) for w in words], np.int64)
+    if (np.bincount(of[length == 1], minlength=len(sizes)) != sizes).any():
+        raise RuntimeError("the edges of a word do not follow each other")
+    score = np.where(ids < 0, np.float32(vocab.unknown_score), scores[ids]).astype(np.float32)
+    out = []
+    for fold in (viterbi, merge):
+        left = np.nonzero(fold(of, start, start + length, score, sizes))[0]
+        own, found = of[left], ids[left]
+        unknown = np.nonzero(found < 0)[0]
+        if len(unknown):
+            spelled = [bytes_of(words[own[k]][start[left[k]]], vocab) for k in unknown]
+            times = np.ones(len(found), np.int64)
+            times[unknown] = [len(s) for s in spelled]
+            found, own = np.repeat(found, times), np.repeat(own, times)
+            found[found < 0] = [i for s in spelled for i in s]
+        bounds = np.searchsorted(own, np.arange(len(sizes) + 1)).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.astype(np.int32))))
+    yield with_ids(table, out, list(WAYS))
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+
 def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, n, viterbi, merged``: the ids of each word by both folds."""
-    short = lattice(words.filter(F.length("word") <= LONGEST_WORD), vocab)
-    size = F.length("word")
-    folded = short.select("word", "n", viterbi(F.col("edges"), size).alias("viterbi"), merge(F.col("edges"), size).alias("merged"))
+    """The columns of ``words``, and ``viterbi, merged``: the ids of each word by both folds. Words
+    are dealt by word and come once."""
+    scores = np.array(vocab.scores, np.float32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int32())
-        for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                ids = [pa.array([fold(word, vocab)], kind) for fold in (long_viterbi, long_merge)]
-                yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([n], pa.int64()), *ids], names=["word", "n", "viterbi", "merged"])
+        for edges, heads in whole_groups(batches, "word", FOLDED_EDGES):
+            yield from folded(edges, heads, vocab, scores)
+
+    return lattice(words, vocab).mapInArrow(task, f"{ddl(words)}, viterbi array<int>, merged array<int>")
 
-    long = words.filter(F.length("word") > LONGEST_WORD).select("word", "n")
-    return folded.unionByName(long.mapInArrow(task, "word string, n long, viterbi array<int>, merged array<int>"))
+
+def checked_words(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The columns of ``coded``, which has ``word, viterbi, merged``, and ``same``: 1 where the ids decode
+    to the word by either way, else 0. The ids are exploded and equi-joined with what they stand
+    for; as in the lattice, those of a word follow each other and only its first row has its columns."""
+    spark = coded.sparkSession
+    raw = piece_bytes(vocab)
+    table = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(raw)), pa.int32()), "bytes": pa.array(raw, pa.binary())})))
+    placed = coded.select("*", F.posexplode(F.concat("viterbi", "merged")).alias("at", "id")).join(table, "id", "left")
+    rows = placed.select(*[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in coded.columns], "bytes")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts, heads in whole_groups(batches, "word", FOLDED_EDGES):
+            table = parts.drop_columns(["bytes"]).take(pa.array(heads))
+            found = parts.column("bytes").to_pylist()
+            first = pc.list_value_length(table.column("viterbi")).to_numpy() + heads
+            same = []
+            for word, lo, mid, hi in zip(table.column("word").to_pylist(), heads.tolist(), first.tolist(), [*heads[1:].tolist(), len(found)], strict=True):
+                whole = word.encode("utf-8", "surrogatepass")
+                same.append(int(b"".join(found[lo:mid]) == whole and b"".join(found[mid:hi]) == whole))
+            yield with_ids(table, [pa.array(same, pa.int32())], ["same"])
+
+    return rows.mapInArrow(task, f"{ddl(coded)}, same int")
+
+
+def piece_bytes(vocab: Vocabulary) -> list[bytes]:
+    """What each id stands for; control and unknown ids for nothing."""
+    return [bytes([i - vocab.first_byte]) if vocab.first_byte <= i < vocab.first_byte + 256 else (t.encode() if vocab.ids.get(t) == i else b"") for i, t in enumerate(vocab.texts)]
 
 
 def decode(ids: DataFrame, vocab: Vocabulary, key: str = "word", ids_col: str = "ids") -> DataFrame:
@@ -275,7 +425,7 @@ def decode(ids: DataFrame, vocab: Vocabulary, key: str = "word", ids_col: str =
     runs of byte pieces are read as UTF-8. Blanks stay written as in the pieces; ``plain_text``
     makes the text of them. No ids give the empty text, unknown ids nothing."""
     spark = ids.sparkSession
-    raw = [bytes([i - vocab.first_byte]) if vocab.first_byte <= i < vocab.first_byte + 256 else (t.encode() if vocab.ids.get(t) == i else b"") for i, t in enumerate(vocab.texts)]
+    raw = piece_bytes(vocab)
     table = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(raw)), pa.int32()), "bytes": pa.array(raw, pa.binary())})))
     placed = ids.select(key, F.posexplode_outer(ids_col).alias("at", "id")).join(table, "id", "left")
     gathered = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.hex("bytes").alias("bytes")))).alias("parts"))
@@ -324,94 +474,183 @@ def frequent_step(table: DataFrame) -> int:
     return least
 
 
+def lists_of(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists without nulls one after the other, and the bounds of the lists."""
+    whole = values.combine_chunks()
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], values.type)
+    lengths = pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+    return whole.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def strung(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` in the order given, as one array and its bounds."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+FIGURES = "code", "merged_code", "same"
+
+
+def coded_words(words: pa.Table) -> dict:
+    """Ids and figures of words as arrays, in their order. Null merges are like the Viterbi path."""
+    either = {c: words.column(c) for c in (*WAYS, *FIGURES)}
+    for way, other in zip(("merged", "merged_code"), ("viterbi", "code"), strict=True):
+        either[way] = pc.coalesce(either[way], either[other])
+    out: dict = {c: lists_of(either[c]) for c in WAYS}
+    return out | {c: either[c].to_numpy().astype(np.int32) for c in FIGURES}
+
+
+class Packed:
+    """A value that lies compressed in files and messages; each process unpacks it once."""
+
+    def __init__(self, value):
+        plain = pickle.dumps(value, protocol=5)
+        self.size, self.data = len(plain), pa.compress(plain, "zstd", asbytes=True)
+
+    def get(self):
+        if "value" not in self.__dict__:
+            self.value = pickle.loads(pa.decompress(self.data, self.size, "zstd", asbytes=True))
+        return self.value
+
+
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers from 0 below 2**32, their low bytes first and their high ones, mostly 0, last."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return struct.pack("<Q", len(values)) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<Q", data)
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
+    """``block, doc_ids, sizes, digests, numbers, own, rare``: documents by the numbers of their words.
+
+    A block has the documents of one slice, or one long document: the numbers of their words, and
+    the digests of their texts. Frequent words are numbered from 1; 0 stands for another word, and
+    ``own`` has the steps from one such word to the next in the list ``rare``."""
+    id_type = pa.string() if kind == "string" else pa.int64()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = places.value.get()
+        block = TaskContext.get().partitionId() << 33
+        for part in slices(batches, "text"):
+            words, at, ends = distinct_words(part.column("text"))
+            number = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+            rare = np.nonzero(number == 0)[0]
+            order = np.zeros(len(words), np.int64)
+            order[rare] = np.arange(len(rare))
+            numbers = number[at]
+            met = order[at[numbers == 0]]
+            steps = np.diff(met, prepend=0)
+            digests = [hashlib.sha256(t).digest() for t in part.column("text").cast(pa.binary()).to_pylist()]
+            columns = [[block], [part.column("doc_id").to_pylist()], [np.diff(ends)], [digests], [packed_numbers(numbers)], [packed_numbers(np.where(steps < 0, -2 * steps - 1, 2 * steps))], [[words[k] for k in rare]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+            block += 1
+
+    fields = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("numbers", pa.binary()), ("own", pa.binary()), ("rare", pa.list_(pa.string()))])
+    return rows.mapInArrow(task, f"block long, doc_ids array<{kind}>, sizes array<long>, digests array<binary>, numbers binary, own binary, rare array<string>")
+
+
+def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes], kind: str) -> DataFrame:
+    """One row per document of the blocks, from the ids of the whole document and their decoded text.
+    ``rare`` has ``home, at, viterbi, merged, code, merged_code, same`` of the rare words."""
+    id_type = pa.string() if kind == "string" else pa.int64()
+    out = [("doc_id", id_type), *[(c, pa.int64()) for c in ("n_words", "n_pieces", "ids_checksum", "ids_crc32", "n_merged", "merged_checksum", "merged_crc32")], ("round_trip", pa.bool_()), ("text_round_trip", pa.bool_())]
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        texts = np.array(raw, object)
+        widths = np.array([len(b) for b in raw], np.int64)
+        often = frequent.value.get()
+        seldom = coded_words(right.sort_by("at"))
+        for k in range(left.num_rows):
+            row = left.slice(k, 1).to_pylist()[0]
+            numbers, steps = unpacked_numbers(row["numbers"]), unpacked_numbers(row["own"])
+            met = np.cumsum(np.where(steps % 2, -(steps + 1) // 2, steps // 2))
+            if max(met, default=-1) + 1 != right.num_rows:
+                raise RuntimeError("words of a block are missing")
+            # The block's distinct words: the frequent ones in it, then the rare ones.
+            here, at = np.unique(numbers, return_inverse=True)
+            here = here[here > 0] - 1
+            at = at - (1 if len(met) else 0)
+            at[numbers == 0] = len(here) + met
+            figures = {c: np.concatenate([often[c][here], seldom[c]]).astype(np.int64) for c in FIGURES}
+            sizes = np.array(row["sizes"], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            place = (mixed(np.arange(1, max(sizes, default=0) + 1, dtype=np.uint64)) % np.uint64(PRIME)).astype(np.int64)
+            place = place[np.arange(len(at)) - np.repeat(bounds[:-1], sizes)]
+            added = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
+            found = {"doc_id": row["doc_ids"], "n_words": sizes, "round_trip": added(1 - figures["same"][at]) == 0}
+            same_text = np.ones(len(sizes), bool)
+            for way, code, n, checksum, crc in (("viterbi", "code", "n_pieces", "ids_checksum", "ids_crc32"), ("merged", "merged_code", "n_merged", "merged_checksum", "merged_crc32")):
+                (ids, ends), (more, more_ends) = often[way], seldom[way]
+                ids, ends = strung(ids, ends[here], ends[here + 1] - ends[here])
+                ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
+                ids, word_ends = strung(ids, ends[at], ends[at + 1] - ends[at])
+                ends = word_ends[bounds]
+                decoded = b"".join(texts[ids].tolist())
+                cuts = np.concatenate([[0], np.cumsum(widths[ids])])[ends].tolist()
+                packed = memoryview(ids.astype("<u4").tobytes())
+                found[n] = np.diff(ends)
+                found[checksum] = added(figures[code][at] * place % PRIME) % PRIME
+                found[crc] = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                back = (decoded[a:b].replace(sign, b" ").removeprefix(b" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+                same_text &= [hashlib.sha256(t).digest() == d for t, d in zip(back, row["digests"], strict=True)]
+            found["text_round_trip"] = same_text
+            tables.append(pa.table([pa.array(found[c], t) for c, t in out], names=[c for c, _ in out]))
+        return pa.concat_tables(tables) if tables else pa.schema(out).empty_table()
+
+    sign = BLANK.encode()
+    types = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
+    return blocks.groupBy("block").cogroup(rare.groupBy("home")).applyInArrow(task, ", ".join(f"{c} {types[t]}" for c, t in out))
+
+
 def summarise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_pieces, ids_checksum, n_merged,
-    merged_checksum, round_trip, text_round_trip``.
+    """One row per input row: ``doc_id, n_words, n_pieces, ids_checksum, ids_crc32, n_merged,
+    merged_checksum, merged_crc32, round_trip, text_round_trip``.
 
     ``n_pieces`` and ``ids_checksum`` are of the Viterbi path, ``n_merged`` and
     ``merged_checksum`` of the merges. A checksum adds, modulo 2**31 - 1, for each word the hash
     of its ids times a hash of its place in the text, so it depends on all ids and their order.
+    The crc32 are of the ids of the whole document as little-endian unsigned 32-bit integers.
     ``round_trip`` says that the ids of each word decode to the word by either way, and
-    ``text_round_trip`` that the decoded words, put together and made plain text, are the whole
-    text; a text with the sign for blanks in it comes back with blanks. The ids of a whole
-    document are not made here, see ``encode``. A null or empty text has zeros and true; repeated rows are answered each; an empty table gives no
+    ``text_round_trip`` that the ids of the whole document, decoded and made plain text, give the
+    whole text by either way; a text with the sign for blanks in it comes back with blanks.
+    A null or empty text has zeros and true; repeated rows are answered each; an empty table gives no
     rows; other columns are ignored.
 
-    The most frequent words, at most ``FREQUENT_WORDS``, go to all tasks and are
-    added up beside the text. Of the other words only their document, place hash and count are
-    shuffled and joined.
+    The most frequent words, at most ``FREQUENT_WORDS``, go to all tasks. Documents are dealt as
+    blocks of word numbers; the other words of a block are encoded where they lie by word, and their
+    ids come to the block.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = id_and_text(docs, id_col, text_col)
     vocab = vocabulary(path)
     spark = docs.sparkSession
-    coded = written(encode_words(word_counts(rows), vocab), "word-pieces")
-    # Dealt by word once, the words are decoded and compared where they lie.
-    dealt = coded.repartition(shuffle_partitions(spark), "word")
-    back = [decode(dealt, vocab, "word", c).select("word", F.col("text").alias(f"{c}_text")) for c in ("viterbi", "merged")]
-    checked = dealt.join(back[0], "word").join(back[1], "word")
-    table = checked.select(
-        "word",
-        "n",
-        F.size("viterbi").alias("n_pieces"),
-        code_of(F.col("viterbi")).alias("code"),
-        F.size("merged").alias("n_merged"),
-        code_of(F.col("merged")).alias("merged_code"),
-        ((F.col("viterbi_text") == F.col("word")) & (F.col("merged_text") == F.col("word"))).alias("same"),
-    )
-    table = written(table.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "word-codes")
-    top = table.filter(F.col("step") >= frequent_step(table)).drop("n", "step").toArrow()
-    places = {w: k for k, w in enumerate(top.column("word").to_pylist())}
-    figures = np.stack([top.column(c).to_numpy().astype(np.int64) for c in ("n_pieces", "code", "n_merged", "merged_code", "same")]) if len(places) else np.zeros((5, 0), np.int64)
-
-    shared = spark.sparkContext.broadcast((places, figures))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, figures = shared.value
-        for part in slices(batches, "text"):
-            whole: list[tuple] = []
-            rare: list[tuple] = []
-            for row, doc, text in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                words = words_of(text)
-                at = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
-                place = (mixed(np.arange(1, len(words) + 1, dtype=np.uint64)) % np.uint64(PRIME)).astype(np.int64)
-                known = at >= 0
-                n, code, m, merged_code, same = figures[:, at[known]]
-                by = place[known]
-                whole.append((row, doc, None, len(words), int(n.sum()), int((code * by % PRIME).sum()), int(m.sum()), int((merged_code * by % PRIME).sum()), bool(same.all()), bool(same.all()) and plain("".join(words)) == text))
-                unknown: dict[str, list[int]] = {}
-                for k in np.nonzero(~known)[0].tolist():
-                    entry = unknown.setdefault(words[k], [0, 0])
-                    entry[0] += 1
-                    entry[1] = (entry[1] + int(place[k])) % PRIME
-                rare += [(row, None, w, times, None, at_, None, None, None, None) for w, (times, at_) in unknown.items()]
-            columns = zip(*whole, *rare, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
-
-    id_type = dict(rows.dtypes)["doc_id"]
-    kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.string() if id_type == "string" else pa.int64()), ("word", pa.string()), *[(c, pa.int64()) for c in ("times", "n_pieces", "ids_checksum", "n_merged", "merged_checksum")], ("round_trip", pa.bool_()), ("text_round_trip", pa.bool_())])
-    ids = F.col("doc_id") if id_type == "string" else F.col("doc_id").cast("long")
-    counted = rows.select("row", ids.alias("doc_id"), "text").mapInArrow(task, f"row long, doc_id {'string' if id_type == 'string' else 'long'}, word string, times long, n_pieces long, ids_checksum long, n_merged long, merged_checksum long, round_trip boolean, text_round_trip boolean")
-    counted = written(counted, "counted-words")
-    rest = counted.filter("word IS NOT NULL").select("row", "word", "times", F.col("ids_checksum").alias("place"))
-    added = rest.join(table, "word").select(
-        "row",
-        F.lit(None).cast(dict(counted.dtypes)["doc_id"]).alias("doc_id"),
-        F.lit(0).cast("long").alias("n_words"),
-        (F.col("times") * F.col("n_pieces")).alias("n_pieces"),
-        F.pmod(F.col("code") * F.col("place"), F.lit(PRIME)).alias("ids_checksum"),
-        (F.col("times") * F.col("n_merged")).alias("n_merged"),
-        F.pmod(F.col("merged_code") * F.col("place"), F.lit(PRIME)).alias("merged_checksum"),
-        F.col("same").alias("round_trip"),
-        F.col("same").alias("text_round_trip"),
-    )
-    own = counted.filter("word IS NULL").select("row", "doc_id", F.col("times").alias("n_words"), "n_pieces", "ids_checksum", "n_merged", "merged_checksum", "round_trip", "text_round_trip")
-    total = own.unionByName(added).groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        *[F.sum(c).alias(c) for c in ("n_words", "n_pieces")],
-        F.pmod(F.sum("ids_checksum"), F.lit(PRIME)).alias("ids_checksum"),
-        F.sum("n_merged").alias("n_merged"),
-        F.pmod(F.sum("merged_checksum"), F.lit(PRIME)).alias("merged_checksum"),
-        F.bool_and("round_trip").alias("round_trip"),
-        F.bool_and("text_round_trip").alias("text_round_trip"),
-    )
-    return total.drop("row")
+    kind = "string" if dict(rows.dtypes)["doc_id"] == "string" else "long"
+    parts = 4 * shuffle_partitions(spark)
+
+    id_list = "array<smallint>" if len(vocab.texts) <= 1 << 15 else "array<int>"
+
+    def figures(words: DataFrame) -> DataFrame:
+        # Rows are kept short: merges that are like the Viterbi path are null.
+        both = checked_words(encode_words(words, vocab), vocab)
+        other = F.col("viterbi") != F.col("merged")
+        ids = [F.col("viterbi").cast(id_list).alias("viterbi"), F.when(other, F.col("merged").cast(id_list)).alias("merged")]
+        codes = [code_of(F.col("viterbi")).cast("int").alias("code"), F.when(other, code_of(F.col("merged")).cast("int")).alias("merged_code")]
+        return both.select(*words.columns, *ids, *codes, "same")
+
+    counted = written(word_counts(rows).select("word", F.floor(8 * F.log2("n")).cast("int").alias("step")), "word-counts")
+    # Frequent words are numbered from the most frequent on: small numbers pack well.
+    often = counted.filter(F.col("step") >= frequent_step(counted)).repartition(parts, "word")
+    top = figures(often).toArrow().sort_by([("step", "descending"), ("word", "ascending")])
+    places = spark.sparkContext.broadcast(Packed({w: k for k, w in enumerate(top.column("word").to_pylist(), start=1)}))
+    frequent = spark.sparkContext.broadcast(Packed(coded_words(top)))
+    blocks = written(document_blocks(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), places, kind), "document-words")
+    rest = blocks.select("block", F.posexplode("rare").alias("at", "word"))
+    homes = rest.repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("homes"))
+    rare = figures(homes).select(F.explode("homes").alias("home"), *WAYS, *FIGURES).select(F.col("home.block").alias("home"), F.col("home.at").alias("at"), *WAYS, *FIGURES)
+    return document_rows(blocks.drop("rare"), rare, frequent, piece_bytes(vocab), kind)
