@@ -129,3 +129,20 @@ def test_feed_loads_each_file_once(spark, tmp_path, monkeypatch):
     got = commits.read_committed(spark, f"{base}/silver/workouts_feed")
     assert sorted(r.user_id for r in got.collect()) == [1, 2, 3]
     assert got.filter(F.col("description") == "one\ntwo").count() == 3 and "workout_title" in got.columns
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_records_of_many_parts(spark, tmp_path, small_ranges, monkeypatch, bits):
+    """Parts of one or four lines, dealt to many tasks; a header of several lines after blank ones."""
+    monkeypatch.setattr(csv_records, "PART_BITS", bits)
+    monkeypatch.setattr(csv_records, "TASK_BYTES", 1000)
+    rng = random.Random(3)
+    rows = [(k, texts(rng), texts(rng)) for k in range(80)]
+    write(tmp_path / "x.csv", rows, "\n", rng)
+    body = (tmp_path / "x.csv").read_bytes().removeprefix(b"id,a,b\n")
+    (tmp_path / "x.csv").write_bytes(b'\n\n\nid,"a\n\n\nof many lines",b\n' + body)
+    lines = csv_records.with_parts(csv_records.quoted_lines(spark, str(tmp_path)))
+    assert lines.groupBy("file", "block", "part").count().agg(F.max("count")).first()[0] <= 1 << bits
+    got = readers.read_csv(spark, str(tmp_path), SCHEMA)
+    assert got.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, a or None, b or None) for i, a, b in rows], key=str)
