@@ -117,10 +117,12 @@ def csv_line_ends(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_split_scan(t: Tables) -> DataFrame:
-    """One file, read in byte ranges of 16 kB, so that most ranges begin inside a record."""
+    """One file, read in byte ranges of 16 kB, or for a large file in some 500, so that most ranges
+    begin inside a record."""
     path = write_csv(t.documents.coalesce(1), t.scratch("documents_csv"))
     ranged = t.spark.newSession()
-    ranged.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    size = rd.file_listing(t.spark, path, "*.csv").agg(F.sum("length")).first()[0] or 0
+    ranged.conf.set("spark.sql.files.maxPartitionBytes", str(max(16384, size >> 9)))
     ranged.conf.set("spark.sql.files.openCostInBytes", "0")
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         ranged.conf.set(key, t.spark.conf.get(key))
