@@ -367,3 +367,41 @@ def test_new_accounts_job(spark, lake):
     new = spark.createDataFrame([("B", " B@x"), ("A2", "A@X"), ("", "c@x")], "nome STRING, email STRING")
     profiles.run_new_accounts(spark, lake, new, DAY + dt.timedelta(days=1))
     assert rows(readers.read_latest_snapshot(spark, lake.gold("users_app")).select("nome", "email")) == [("A", "a@x"), ("B", "b@x")]
+
+
+def test_one_folder_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """A batch of one day and one user comes from one task, and is sorted by several."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = spark.range(0, 20_000, 1, 1).select("id", F.lit("u").alias("user_id"), F.create_map(F.lit("k"), "id").alias("m"))
+        writers.append_batch(rows, str(tmp_path / "raw"), dt.date(2024, 6, 15))
+    finally:
+        spark.conf.set(key, before)
+    back = spark.read.parquet(str(tmp_path / "raw"))
+    assert back.columns == ["id", "user_id", "m", "dt"]
+    assert back.agg(F.count("id"), F.countDistinct("id")).first()[:] == (20_000, 20_000)
+    assert back.select(F.input_file_name()).distinct().count() > 3
+
+
+def test_zone_limits_without_a_sort(spark, tmp_path):
+    """Text limits of files are found without sorting the rows by file."""
+    from trainlake.sources import zones
+
+    path = str(tmp_path / "fact")
+    spark.createDataFrame([(u, k) for k, u in enumerate(["a", "b", None, "c"])], "user_id string, k int").repartition(2).write.parquet(path)
+    plans = []
+    ordered = type(spark.range(1)).orderBy
+
+    def seen(df, *cols, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ordered(df, *cols, **kw)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1)), "orderBy", seen)
+        zones.write_zones(spark, path, ["user_id"])
+    assert len(plans) == 1 and "SortAggregate" not in plans[0]
+    found = zones.read_zones(spark, path)
+    assert found.columns == ["file", "rows", "min_user_id", "max_user_id", "nulls_user_id"]
+    assert found.agg(F.sum("rows"), F.min("min_user_id"), F.max("max_user_id"), F.sum("nulls_user_id")).first()[:] == (4, "a", "c", 1)

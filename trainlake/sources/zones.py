@@ -24,10 +24,13 @@ def write_zones(spark: SparkSession, path: str, columns: Sequence[str]) -> None:
     df = spark.read.parquet(root)
     file = F.col("_metadata.file_path").alias("file")
     limits = [f(F.col(f"`{c}`")).alias(f"{kind}_{c}") for c in columns for kind, f in (("min", F.min), ("max", F.max))]
+    # Spark groups texts' limits by hash, not by sorting all rows with their paths, if an aggregate of
+    # lists is among them.
+    by_hash = F.collect_set(F.lit(True)).alias("by_hash")
     nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in columns]
-    zones = df.select(file, *[F.col(f"`{c}`") for c in columns]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *limits, *nulls)
+    zones = df.select(file, *[F.col(f"`{c}`") for c in columns]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *limits, *nulls, by_hash)
     # Files come in the order of their first column, so a reader of the map skips most of it, too.
-    zones.orderBy(f"min_{columns[0]}", "file").write.mode("overwrite").parquet(f"{root}/{ZONES}")
+    zones.filter(F.size("by_hash") > 0).drop("by_hash").orderBy(f"min_{columns[0]}", "file").write.mode("overwrite").parquet(f"{root}/{ZONES}")
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame | None:
