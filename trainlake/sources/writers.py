@@ -13,16 +13,33 @@ from trainlake.functions.text import user_token
 from trainlake.sources.readers import read_csv
 
 
-def clustered(df: DataFrame, cols: Sequence[str], sort: Sequence[str] = ()) -> DataFrame:
+#: The rows of a folder are dealt to so many partitions, which AQE merges where they are small.
+SHARES = 16
+
+
+def clustered(df: DataFrame, cols: Sequence[str], sort: Sequence[str] = (), shares: int = 1) -> DataFrame:
     """Bring rows of equal ``cols`` together for a write.
 
     The rebalance hint lets AQE split a hot group over several tasks and merge small ones,
-    so files come out near the advisory size whatever the skew.
+    so files come out near the advisory size whatever the skew. AQE does not split what one task
+    has sent; ``shares`` deals each group to so many partitions by the contents of its rows.
     """
+    if shares > 1:
+        free = "share"
+        while free.lower() in {c.lower() for c in df.columns}:
+            free += "_"
+        whole = F.xxhash64(*[F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if not has_map(f.dataType)])
+        dealt = df.withColumn(free, F.pmod(whole, F.lit(shares))).hint("rebalance", *cols, free)
+        return (dealt.sortWithinPartitions(*sort) if sort else dealt).drop(free)
     df = df.hint("rebalance", *cols)
     return df.sortWithinPartitions(*sort) if sort else df
 
 
+def has_map(kind: T.DataType) -> bool:
+    """Maps, and variants that may hold them, have no hash."""
+    return any(name in kind.simpleString() for name in ("map<", "variant"))
+
+
 def ranged(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows dealt and sorted by ranges of ``cols`` for a write.
 
@@ -60,7 +77,7 @@ def append_batch(
     if by_user:
         out = out.withColumn("user", user_token(F.col(user).cast("string")))
         keys = ["user", "dt"]
-    out = clustered(out, keys, [*keys, user] if user in df.columns else ())
+    out = clustered(out, keys, [*keys, user] if user in df.columns else (), SHARES)
     if observe is not None:
         out = out.observe(observe[0], *observe[1])
     out.write.partitionBy(*keys).mode("append").parquet(path)
