@@ -501,17 +501,18 @@ def coded_words(words: pa.Table) -> dict:
     return out | {c: either[c].to_numpy().astype(np.int32) for c in FIGURES}
 
 
-class Packed:
-    """A value that lies compressed in files and messages; each process unpacks it once."""
+def packed(value) -> dict:
+    """A value to broadcast that lies compressed in files and messages. It is made of built-in types
+    and arrays, since broadcasts are read where this package may not be installed."""
+    plain = pickle.dumps(value, protocol=5)
+    return {"size": len(plain), "data": pa.compress(plain, "zstd", asbytes=True)}
 
-    def __init__(self, value):
-        plain = pickle.dumps(value, protocol=5)
-        self.size, self.data = len(plain), pa.compress(plain, "zstd", asbytes=True)
 
-    def get(self):
-        if "value" not in self.__dict__:
-            self.value = pickle.loads(pa.decompress(self.data, self.size, "zstd", asbytes=True))
-        return self.value
+def unpacked(held: dict):
+    """The value of a broadcast, unpacked once in each process."""
+    if "value" not in held:
+        held["value"] = pickle.loads(pa.decompress(held["data"], held["size"], "zstd", asbytes=True))
+    return held["value"]
 
 
 def packed_numbers(values: np.ndarray) -> bytes:
@@ -535,7 +536,7 @@ def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
     id_type = pa.string() if kind == "string" else pa.int64()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = places.value.get()
+        known = unpacked(places.value)
         block = TaskContext.get().partitionId() << 33
         for part in slices(batches, "text"):
             words, at, ends = distinct_words(part.column("text"))
@@ -565,7 +566,7 @@ def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes]
         tables = []
         texts = np.array(raw, object)
         widths = np.array([len(b) for b in raw], np.int64)
-        often = frequent.value.get()
+        often = unpacked(frequent.value)
         seldom = coded_words(right.sort_by("at"))
         for k in range(left.num_rows):
             row = left.slice(k, 1).to_pylist()[0]
@@ -647,8 +648,8 @@ def summarise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     # Frequent words are numbered from the most frequent on: small numbers pack well.
     often = counted.filter(F.col("step") >= frequent_step(counted)).repartition(parts, "word")
     top = figures(often).toArrow().sort_by([("step", "descending"), ("word", "ascending")])
-    places = spark.sparkContext.broadcast(Packed({w: k for k, w in enumerate(top.column("word").to_pylist(), start=1)}))
-    frequent = spark.sparkContext.broadcast(Packed(coded_words(top)))
+    places = spark.sparkContext.broadcast(packed({w: k for k, w in enumerate(top.column("word").to_pylist(), start=1)}))
+    frequent = spark.sparkContext.broadcast(packed(coded_words(top)))
     blocks = written(document_blocks(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), places, kind), "document-words")
     rest = blocks.select("block", F.posexplode("rare").alias("at", "word"))
     homes = rest.repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("homes"))
