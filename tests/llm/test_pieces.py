@@ -181,3 +181,27 @@ def test_whole_documents(spark, monkeypatch, frequent):
     monkeypatch.setattr(pieces, "piece_bytes", lambda vocab: [b"THE" if k == word else b for k, b in enumerate(right)])
     got = {r.doc_id: (r.round_trip, r.text_round_trip) for r in pieces.summarise(table(spark, ["in the house", "a house", None])).collect()}
     assert got == {0: (False, False), 1: (True, True), 2: (True, True)}
+
+
+def test_rare_words_packed(spark):
+    """What rare words take to a block comes back by their places, null merges like the Viterbi path."""
+    rows = [(7, k, [k, 3], None if k % 2 else [k, 5, 9], 100 + k, None if k % 2 else 200 + k, k % 3) for k in range(40)] + [(8, 0, [], None, 1, None, 1)]
+    df = spark.createDataFrame(rows[::-1], "home long, at int, viterbi array<smallint>, merged array<smallint>, code int, merged_code int, same int").repartition(3)
+    found = pieces.packed_words(df).collect()
+    assert len(found) <= 6
+    got = pieces.unpacked_words([r.words for r in found if r.home == 7])
+    wanted = pa.table({c: pa.array([r[k] for r in rows[:40]], t) for k, (c, t) in enumerate([("viterbi", pa.list_(pa.int16())), ("merged", pa.list_(pa.int16())), ("code", pa.int32()), ("merged_code", pa.int32()), ("same", pa.int32())], start=2)})
+    for name, value in pieces.coded_words(wanted).items():
+        for have, want in zip(got[name], value, strict=True) if isinstance(value, tuple) else [(got[name], value)]:
+            assert have.tolist() == want.tolist(), name
+    assert got["at"].tolist() == list(range(40))
+    assert [x.tolist() for x in pieces.unpacked_words([])["merged"]] == [[], [0]]
+
+
+def test_blocks_are_shuffled_once(spark, monkeypatch):
+    """Both readers of the documents' blocks use one shuffle, and no table of them is written."""
+    monkeypatch.setattr(pieces, "FREQUENT_WORDS", 1)
+    df = pieces.summarise(table(spark, ["in the house", "xqzkjv house", None]))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1

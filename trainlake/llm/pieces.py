@@ -108,6 +108,11 @@ def words_of(text: str) -> list[str]:
     return (ANY_WORD if OTHER.search(text) else PLAIN_WORD).findall(text)
 
 
+def as_list(values: pa.Array | pa.ChunkedArray) -> list:
+    """Texts or bytes as a list, many times faster than ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist() if isinstance(values, pa.Array) else values.to_numpy().tolist()
+
+
 def byte_pairs() -> tuple[np.ndarray, np.ndarray]:
     """The kind of each byte (blank, line end, Latin letter or digit, sign, other), and for two kinds
     in a row (8 * first + second) whether a word begins between them."""
@@ -143,7 +148,7 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     starts = np.nonzero(begins)[0]
     bounds = np.append(starts, len(data)).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    words = pc.replace_substring(coded.dictionary, " ", BLANK).to_pylist()
+    words = as_list(pc.replace_substring(coded.dictionary, " ", BLANK))
     return words, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
 
 
@@ -346,7 +351,7 @@ def folded(edges: pa.Table, heads: np.ndarray, vocab: Vocabulary, scores: np.nda
     long = start[heads] < 0
     if long.any():
         table = rest.take(pa.array(heads[long]))
-        words = table.column("word").to_pylist()
+        words = as_list(table.column("word"))
         yield with_ids(table, [pa.array([fold(w, vocab) for w in words], kind) for fold in (long_viterbi, long_merge)], list(WAYS))
     if long.all():
         return
@@ -354,7 +359,7 @@ def folded(edges: pa.Table, heads: np.ndarray, vocab: Vocabulary, scores: np.nda
     keep = start >= 0
     start, length, ids, of = start[keep], length[keep], ids[keep], of[keep]
     table = rest.take(pa.array(heads[~long]))
-    words = table.column("word").to_pylist()
+    words = as_list(table.column("word"))
     sizes = np.array([len(w) for w in words], np.int64)
     if (np.bincount(of[length == 1], minlength=len(sizes)) != sizes).any():
         raise RuntimeError("the edges of a word do not follow each other")
@@ -404,17 +409,25 @@ def checked_words(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, heads in whole_groups(batches, "word", FOLDED_EDGES):
             table = parts.drop_columns(["bytes"]).take(pa.array(heads))
-            found = parts.column("bytes").to_pylist()
+            found, ends = joined(parts.column("bytes"))
             first = pc.list_value_length(table.column("viterbi")).to_numpy() + heads
             same = []
-            for word, lo, mid, hi in zip(table.column("word").to_pylist(), heads.tolist(), first.tolist(), [*heads[1:].tolist(), len(found)], strict=True):
+            for word, lo, mid, hi in zip(as_list(table.column("word")), ends[heads].tolist(), ends[first].tolist(), ends[np.append(heads[1:], len(parts))].tolist(), strict=True):
                 whole = word.encode("utf-8", "surrogatepass")
-                same.append(int(b"".join(found[lo:mid]) == whole and b"".join(found[mid:hi]) == whole))
+                same.append(int(found[lo:mid] == whole and found[mid:hi] == whole))
             yield with_ids(table, [pa.array(same, pa.int32())], ["same"])
 
     return rows.mapInArrow(task, f"{ddl(coded)}, same int")
 
 
+def joined(values: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """Binary values, nulls as empty, put together, and their bounds in that."""
+    whole = pc.fill_null(values, b"")
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    data, offsets = text_bytes(whole)
+    return data.tobytes(), offsets
+
+
 def piece_bytes(vocab: Vocabulary) -> list[bytes]:
     """What each id stands for; control and unknown ids for nothing."""
     return [bytes([i - vocab.first_byte]) if vocab.first_byte <= i < vocab.first_byte + 256 else (t.encode() if vocab.ids.get(t) == i else b"") for i, t in enumerate(vocab.texts)]
@@ -527,6 +540,81 @@ def unpacked_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+#: What a rare word takes to each of its blocks, with the names of its columns.
+SELDOM = "home", "at", *WAYS, *FIGURES
+
+
+def packed_words(rare: DataFrame) -> DataFrame:
+    """``home, words`` from ``rare`` with the columns ``SELDOM``: what the words of a task have for one
+    block as one row. Its numbers are the count, then for each word the place, the length of the Viterbi
+    ids, that of the merged ones or 0 for null, the code, that of the merged ids and ``same``; then all ids."""
+
+    def together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by([("home", "ascending"), ("at", "ascending")])
+        home = table.column("home").to_numpy()
+        cuts = np.append(np.nonzero(np.append(True, home[1:] != home[:-1]))[0], len(home))
+        (best, best_ends), (other, other_ends) = (lists_of(pc.if_else(pc.is_null(c), pa.scalar([], c.type), c)) for c in (table.column(w) for w in WAYS))
+        each = [table.column("at").to_numpy(), np.diff(best_ends), np.diff(other_ends), *(pc.fill_null(table.column(c), 0).to_numpy() for c in FIGURES)]
+        words = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids = best[best_ends[lo] : best_ends[hi]], other[other_ends[lo] : other_ends[hi]]
+            words.append(packed_numbers(np.concatenate([[hi - lo], *(c[lo:hi] for c in each), *ids]).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(home[cuts[:-1]], pa.int64()), pa.array(words, pa.binary())], names=["home", "words"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FOLDED_EDGES:
+                yield together(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield together(held)
+
+    return rare.select(*SELDOM).mapInArrow(task, "home long, words binary")
+
+
+def unpacked_words(packed: list[bytes]) -> dict:
+    """``coded_words`` of the words of one block, by their places in it."""
+    each: list[list[np.ndarray]] = [[] for _ in range(6)]
+    ids: list[list[np.ndarray]] = [[], []]
+    for data in packed:
+        numbers = unpacked_numbers(data)
+        n = int(numbers[0])
+        for k, values in enumerate(numbers[1 : 1 + 6 * n].reshape(6, n)):
+            each[k].append(values)
+        best = 1 + 6 * n + int(each[1][-1].sum())
+        ids[0].append(numbers[1 + 6 * n : best])
+        ids[1].append(numbers[best:])
+    whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    at, best_size, other_size, code, other_code, same = map(whole, each)
+    order = np.argsort(at, kind="stable")
+    best, other = map(whole, ids)
+    # No merged ids are like the Viterbi path.
+    best_from, other_from = np.cumsum(best_size) - best_size, len(best) + np.cumsum(other_size) - other_size
+    like = other_size == 0
+    held = np.concatenate([best, other])
+    out = {"viterbi": strung(held, best_from[order], best_size[order])}
+    out["merged"] = strung(held, np.where(like, best_from, other_from)[order], np.where(like, best_size, other_size)[order])
+    figures = zip(FIGURES, (code, np.where(like, code, other_code), same), strict=True)
+    return out | {c: values[order].astype(np.int32) for c, values in figures} | {"at": at[order]}
+
+
+def rare_words(blocks: DataFrame) -> DataFrame:
+    """``block, at, word`` of the rare words of each block. The blocks come with all their columns, so
+    that they are shuffled once for this and for ``document_rows``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("rare"), strict=True):
+                found = words.values
+                for lo in range(0, len(found), 1 << 16):
+                    part = found.slice(lo, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(lo, lo + len(part)), pa.int32()), part], names=["block", "at", "word"])
+
+    return blocks.mapInArrow(task, "block long, at int, word string")
+
+
 def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
     """``block, doc_ids, sizes, digests, numbers, own, rare``: documents by the numbers of their words.
 
@@ -558,31 +646,31 @@ def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
 
 def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes], kind: str) -> DataFrame:
     """One row per document of the blocks, from the ids of the whole document and their decoded text.
-    ``rare`` has ``home, at, viterbi, merged, code, merged_code, same`` of the rare words."""
+    ``rare`` has the rare words as ``packed_words`` gives them."""
     id_type = pa.string() if kind == "string" else pa.int64()
     out = [("doc_id", id_type), *[(c, pa.int64()) for c in ("n_words", "n_pieces", "ids_checksum", "ids_crc32", "n_merged", "merged_checksum", "merged_crc32")], ("round_trip", pa.bool_()), ("text_round_trip", pa.bool_())]
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
-        texts = np.array(raw, object)
-        widths = np.array([len(b) for b in raw], np.int64)
+        pieces = pa.array(raw, pa.large_binary())
         often = unpacked(frequent.value)
-        seldom = coded_words(right.sort_by("at"))
+        seldom = unpacked_words(right.column("words").to_pylist())
         for k in range(left.num_rows):
             row = left.slice(k, 1).to_pylist()[0]
             numbers, steps = unpacked_numbers(row["numbers"]), unpacked_numbers(row["own"])
             met = np.cumsum(np.where(steps % 2, -(steps + 1) // 2, steps // 2))
-            if max(met, default=-1) + 1 != right.num_rows:
+            if not np.array_equal(seldom["at"], np.arange(met.max(initial=-1) + 1)):
                 raise RuntimeError("words of a block are missing")
             # The block's distinct words: the frequent ones in it, then the rare ones.
-            here, at = np.unique(numbers, return_inverse=True)
-            here = here[here > 0] - 1
-            at = at - (1 if len(met) else 0)
+            seen = np.zeros(numbers.max(initial=0) + 1, bool)
+            seen[numbers] = True
+            seen[0] = False
+            here, at = np.nonzero(seen)[0] - 1, (np.cumsum(seen) - 1)[numbers]
             at[numbers == 0] = len(here) + met
             figures = {c: np.concatenate([often[c][here], seldom[c]]).astype(np.int64) for c in FIGURES}
             sizes = np.array(row["sizes"], np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            place = (mixed(np.arange(1, max(sizes, default=0) + 1, dtype=np.uint64)) % np.uint64(PRIME)).astype(np.int64)
+            place = (mixed(np.arange(1, sizes.max(initial=0) + 1, dtype=np.uint64)) % np.uint64(PRIME)).astype(np.int64)
             place = place[np.arange(len(at)) - np.repeat(bounds[:-1], sizes)]
             added = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
             found = {"doc_id": row["doc_ids"], "n_words": sizes, "round_trip": added(1 - figures["same"][at]) == 0}
@@ -593,8 +681,8 @@ def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes]
                 ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
                 ids, word_ends = strung(ids, ends[at], ends[at + 1] - ends[at])
                 ends = word_ends[bounds]
-                decoded = b"".join(texts[ids].tolist())
-                cuts = np.concatenate([[0], np.cumsum(widths[ids])])[ends].tolist()
+                decoded, cuts = joined(pieces.take(pa.array(ids)))
+                cuts = cuts[ends].tolist()
                 packed = memoryview(ids.astype("<u4").tobytes())
                 found[n] = np.diff(ends)
                 found[checksum] = added(figures[code][at] * place % PRIME) % PRIME
@@ -650,8 +738,7 @@ def summarise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     top = figures(often).toArrow().sort_by([("step", "descending"), ("word", "ascending")])
     places = spark.sparkContext.broadcast(packed({w: k for k, w in enumerate(top.column("word").to_pylist(), start=1)}))
     frequent = spark.sparkContext.broadcast(packed(coded_words(top)))
-    blocks = written(document_blocks(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), places, kind), "document-words")
-    rest = blocks.select("block", F.posexplode("rare").alias("at", "word"))
-    homes = rest.repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("homes"))
+    blocks = document_blocks(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), places, kind).repartition(shuffle_partitions(spark), "block")
+    homes = rare_words(blocks).repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("homes"))
     rare = figures(homes).select(F.explode("homes").alias("home"), *WAYS, *FIGURES).select(F.col("home.block").alias("home"), F.col("home.at").alias("at"), *WAYS, *FIGURES)
-    return document_rows(blocks.drop("rare"), rare, frequent, piece_bytes(vocab), kind)
+    return document_rows(blocks, packed_words(rare), frequent, piece_bytes(vocab), kind)
