@@ -148,3 +148,31 @@ def test_a_shared_passage_is_no_likely_pair(spark):
     pairs = spark.createDataFrame([(a, b) for a in range(30) for b in [*range(a + 1, 30), 100]], "a long, b long")
     found = {(r.a, r.b) for r in ngram_join.possible_pairs(pairs, df, 75).collect()}
     assert found == {(3, 100)}
+
+
+def test_the_most_frequent_shingles_come_last(spark):
+    """A set of frequent shingles alone is listed by the least frequent of them."""
+    common = [f"c{k}" for k in range(30)]
+    docs = [(d, " ".join([*common, *[f"t{d // 2}w{k}" for k in range(120)], f"e{d}"])) for d in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    frequent = ngram_join.frequent_shingles(ngram_join.shingle_rows(df))
+    tokens, steps = frequent
+    assert len(tokens) == len(np.unique(tokens)) and (np.sort(tokens) == tokens).all()
+    often = set(tokens[steps == steps.max()].tolist())
+    assert len(often) == 26
+    listed = ngram_join.postings(df, frequent, 75).collect()
+    assert listed and not any(r.token % 2**64 in often for r in listed)
+
+
+def test_prefix_is_in_one_order():
+    """Rare shingles first, then frequent ones by step; the same order for all sets."""
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.int64).astype(np.uint64))
+    tokens = np.sort(rng.choice(pool, 200, replace=False))
+    frequent = tokens, rng.integers(8, 40, 200).astype(np.int16)
+    place = {t: (0, t) for t in pool.tolist()} | {t: (s, t) for t, s in zip(tokens.tolist(), frequent[1].tolist(), strict=True)}
+    for _ in range(20):
+        own = np.sort(rng.choice(pool, 90, replace=False))
+        for take in (1, 23, 60, 90):
+            assert ngram_join.prefix(own, take, frequent).tolist() == sorted(own.tolist(), key=place.get)[:take]
+    assert ngram_join.prefix(own, 5, (tokens[:0], frequent[1][:0])).tolist() == own[:5].tolist()

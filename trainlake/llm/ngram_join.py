@@ -4,7 +4,7 @@ Links are found exactly, in steps whose output is bounded by the rows, not by pa
 
 1. ``shingle_rows``: size and key of each document's shingle set, and the shingles that are
    frequent in some part of the rows. Equal sets are one class from here on.
-2. Shingles are ordered, frequent ones last. Two sets that reach the similarity share one of
+2. Shingles are ordered, frequent ones last and the most frequent ones at the end. Two sets that reach the similarity share one of
    the first ``n - ceil(t * n) + 1`` shingles of each, so the sets that have a shingle in that
    prefix form a *list* per shingle, which is the root of the signature tree over its sets.
 3. A list of up to 16 sets is a tree of one leaf. The pairs of all leaves are counted: a pair
@@ -49,7 +49,7 @@ PERCENT = 75
 #: Of those, the most frequent ones in all windows together, at most so many, go to all tasks. It
 #: only changes the order, never the result.
 WINDOW_SHINGLES = 1 << 21
-FREQUENT_HERE, FREQUENT_SHINGLES = 3, 1 << 20
+FREQUENT_HERE, FREQUENT_SHINGLES = 2, 1 << 20
 SLICE_BYTES = 1 << 20
 LEAF, TREE = 16, 1024
 FILTER_BITS = 1 << 24
@@ -105,8 +105,8 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n long, key binary, token long, times long")
 
 
-def frequent_shingles(rows: DataFrame) -> np.ndarray:
-    """The shingles with the highest counts, sorted; at most ``FREQUENT_SHINGLES``, cut where the
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles with the highest counts, sorted, and the step of the count of each; at most ``FREQUENT_SHINGLES``, cut where the
     count passes a step of an eighth power of two, so that no order of equal counts is needed."""
     counted = rows.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
     counted = written(counted.withColumn("step", F.floor(8 * F.log2("times")).cast("int")), "frequent")
@@ -117,15 +117,32 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
         if total > FREQUENT_SHINGLES:
             break
         least = step
-    found = counted.filter(F.col("step") >= least).select("token").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = counted.filter(F.col("step") >= least).select("token", F.col("step").cast("smallint").alias("step")).toArrow()
+    tokens = found.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found.column("step").to_numpy()[order]
+
+
+def prefix(own: np.ndarray, take: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``take`` shingles of a sorted set in the common order: the others by value, then the
+    frequent ones by their step and value."""
+    tokens, steps = frequent
+    if not len(tokens):
+        return own[:take]
+    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+    hot = tokens[at] == own
+    rare = own[~hot]
+    if len(rare) >= take:
+        return rare[:take]
+    order = np.argsort(steps[at[hot]], kind="stable")
+    return np.concatenate([rare, own[hot][order[: take - len(rare)]]])
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """``token, n, key, doc_id`` for the prefix of each set; of equal sets in one slice of the
     rows, the one with the smallest id."""
 
@@ -140,10 +157,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             tokens, sizes, keys, owners = [], [], [], []
             for key, (doc, k) in seen.items():
                 own = sets[k]
-                take = prefix_length(len(own), percent)
-                hot = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
-                rare = own[~hot]
-                tokens.append(rare[:take] if len(rare) >= take else np.concatenate([rare, own[hot][: take - len(rare)]]))
+                tokens.append(prefix(own, prefix_length(len(own), percent), frequent))
                 sizes.append(len(own))
                 keys.append(int.from_bytes(key[:8], "little", signed=True))
                 owners.append(doc)
