@@ -205,3 +205,54 @@ def test_blocks_are_shuffled_once(spark, monkeypatch):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") == 1
+
+
+def test_lattice_has_every_piece(spark):
+    """Substrings are exploded to the lengths that pieces with their first characters have, which leaves
+    out no piece and many substrings."""
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choices(["the", "ing", "an", "é", "日", "st", "ou", "x", "."], k=rng.randrange(1, 14))) for _ in range(200)]
+    words = [w for w in dict.fromkeys(words) if len(w) <= pieces.LONGEST_WORD] + ["a", "▁", "🙂"]
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long").coalesce(1)
+    got, word = {}, None
+    for r in pieces.lattice(df, VOCAB).collect():
+        word = r.word or word
+        got.setdefault(word, []).append((r.edge >> 8 & 255, r.edge & 255, (r.edge >> 16) - 1))
+    for w in words:
+        spans = [(a, b - a, VOCAB.ids.get(w[a:b], -1)) for a in range(len(w)) for b in range(a + 1, len(w) + 1)]
+        assert got[w] == [(a, n, i) for a, n, i in spans if i >= 0 or n == 1], w
+    lengths = {r.head: r.lengths for r in pieces.length_table(spark, VOCAB).collect()}
+    tried = sum(n <= len(w) - a for w in words for a in range(len(w)) for n in lengths.get(w[a : a + pieces.HEAD], range(1, pieces.HEAD)))
+    assert tried < 0.6 * sum(min(VOCAB.longest, len(w) - a) for w in words for a in range(len(w)))
+
+
+def test_words_are_decoded_where_they_are_folded(spark):
+    """One Python worker of a task folds and decodes; a word whose ids stand for other text is seen."""
+    df = spark.createDataFrame([("▁the", 1), ("▁日x", 2), ("z" * 70, 3)], "word string, n long").coalesce(1)
+    checked = pieces.checked_words(df, VOCAB)
+    assert checked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    assert {r.word: (r.n, r.same) for r in checked.collect()} == {"▁the": (1, 1), "▁日x": (2, 1), "z" * 70: (3, 1)}
+    ids = pa.array([[VOCAB.ids["▁the"], VOCAB.first_byte], [], [VOCAB.first_byte + 255]], pa.list_(pa.int32()))
+    assert pieces.decoded(ids, pa.array(pieces.piece_bytes(VOCAB), pa.large_binary())).to_pylist() == ["▁the".encode() + b"\0", b"", b"\xff"]
+
+
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "COUNTED_WORDS", 3)
+    texts = ["a b c a", "", None, "b\nb d e", "a  b (c)"] * 3
+    wanted = {}
+    for w in (w for t in texts for w in pieces.words_of(t or "")):
+        wanted[w] = wanted.get(w, 0) + 1
+    docs = table(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert {r.word: r.n for r in pieces.word_counts(docs).collect()} == wanted
+
+
+@pytest.mark.parametrize("held", [1, 5 << 20])
+def test_words_of_several_slices_are_numbered_together(spark, monkeypatch, held):
+    """Frequent words are looked up in one array for all slices of a task, not in a dict of each worker."""
+    monkeypatch.setattr(pieces, "NUMBERED_BYTES", held)
+    monkeypatch.setattr(pieces, "FREQUENT_WORDS", 4)
+    texts = [f"the house {k} of x{k} " * 60000 for k in range(5)] + ["", "x3 the"]
+    got = {r.doc_id: r for r in pieces.summarise(table(spark, texts).coalesce(1)).collect()}
+    for k, text in enumerate(texts):
+        ids = MERGING.encode(text)
+        assert (got[k].n_merged, got[k].merged_crc32, got[k].text_round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)

@@ -97,10 +97,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
 
 
 def release_memory() -> None:
-    import ctypes
     import gc
 
     gc.collect()
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Return what is free already, without a search for cycles: cheap enough for each group or task."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

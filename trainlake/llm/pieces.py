@@ -24,7 +24,6 @@ import pickle
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import id_and_text, ship_by_value, shuffle_partitions, slices, text_bytes, written
+from trainlake.llm.common import id_and_text, ship_by_value, shuffle_partitions, slices, text_bytes, trim_memory, written
 from trainlake.llm.shingles import mixed
 
 ship_by_value(__name__)
@@ -46,8 +45,12 @@ UNKNOWN_PENALTY = 10.0
 #: Words of at most so many characters have a lattice, whose masks have 64 bits; longer
 #: words are folded by the same rules one by one, in time in proportion to their length.
 LONGEST_WORD = 60
+#: The start that marks a longer word, and so many first characters of pieces tell their lengths.
+LONG, HEAD = 255, 4
 #: So many edges are folded at a time, and so many distinct words counted before they are sent on.
-FOLDED_EDGES, COUNTED_WORDS = 1 << 18, 1 << 18
+FOLDED_EDGES, COUNTED_WORDS = 1 << 17, 1 << 18
+#: The words of texts of so many bytes are looked up at once, and so many rows of rare words packed.
+NUMBERED_BYTES, PACKED_ROWS = 16 << 20, 1 << 18
 #: At most so many of the most frequent words are sent to all tasks; the rest is joined.
 FREQUENT_WORDS = 1 << 19
 PRIME = (1 << 31) - 1
@@ -131,6 +134,12 @@ KINDS, CUTS = byte_pairs()
 
 
 def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``coded_texts`` with the words as a list."""
+    words, at, ends = coded_texts(texts)
+    return as_list(words), at, ends
+
+
+def coded_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of texts without nulls, the number among them of every word in order, and
     the word offsets of the texts: ``words_of`` for many texts at once, on their bytes."""
     plain = pc.replace_substring(texts, BLANK, " ")
@@ -148,7 +157,7 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     starts = np.nonzero(begins)[0]
     bounds = np.append(starts, len(data)).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    words = as_list(pc.replace_substring(coded.dictionary, " ", BLANK))
+    words = pc.replace_substring(coded.dictionary, " ", BLANK)
     return words, coded.indices.to_numpy(), np.searchsorted(starts, offsets)
 
 
@@ -156,22 +165,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` of every distinct word, counted in each task before the shuffle, and dealt
     finely, because a word grows many times in the lattice."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+    def added(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate([n for _, n in held]), minlength=len(coded.dictionary))
+        return coded.dictionary, n.astype(np.int64)
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            words, n = list(counts), list(counts.values())
-            counts.clear()
-            for lo in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + (1 << 16)], pa.string()), pa.array(n[lo : lo + (1 << 16)], pa.int64())], names=["word", "n"])
+    def sent(words: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(words), 1 << 16):
+            yield pa.RecordBatch.from_arrays([words.slice(lo, 1 << 16).cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], names=["word", "n"])
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray]] = []
         for part in slices(batches, "text"):
-            words, at, _ = distinct_words(part.column("text"))
-            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
-                counts[word] += n
-            if len(counts) >= COUNTED_WORDS:
-                yield from sent()
-        yield from sent()
+            words, at, _ = coded_texts(part.column("text"))
+            held.append((words, np.bincount(at, minlength=len(words))))
+            if sum(len(words) for words, _ in held) >= 2 * COUNTED_WORDS:
+                held = [added(held)]
+                if len(held[0][0]) >= COUNTED_WORDS:
+                    yield from sent(*held.pop())
+        if held:
+            yield from sent(*added(held))
 
     found = docs.select("text").mapInArrow(task, "word string, n long")
     return found.repartition(4 * shuffle_partitions(docs.sparkSession), "word").groupBy("word").agg(F.sum("n").alias("n"))
@@ -181,24 +194,40 @@ def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(vocab.ids), "id": pa.array(vocab.ids.values(), pa.int32())}))
 
 
-def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, start, length, id`` and the other columns of ``words``: the pieces within each word of up
-    to ``LONGEST_WORD`` characters, and its single characters, which may be no piece and have no id
-    then. A longer word is one row with start -1. The first row of a word alone has the columns of
-    ``words``.
+def length_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """``head, lengths``: the first ``HEAD`` characters of longer pieces, and the lengths of substrings with
+    this head that may be pieces, those below ``HEAD`` included."""
+    lengths: dict[str, set[int]] = {}
+    for piece in vocab.ids:
+        if len(piece) >= HEAD:
+            lengths.setdefault(piece[:HEAD], set(range(1, HEAD))).add(len(piece))
+    columns = [pa.array(lengths, pa.string()), pa.array(map(sorted, lengths.values()), pa.list_(pa.int32()))]
+    return spark.createDataFrame(pa.table(columns, names=["head", "lengths"]))
 
-    ``words`` is dealt by word and stays so: the piece table has the size of the vocabulary and
-    is broadcast, so the edges of a word follow each other by start and length."""
+
+def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``edge`` and the other columns of ``words``: the pieces within each word of up to ``LONGEST_WORD``
+    characters, and its single characters, which may be no piece. An edge is one number, because
+    millions of rows go to Python: 65536 * (id + 1, or 0 for none) + 256 * start + length. A longer word
+    is one row with start ``LONG``. The first row of a word alone has the columns of ``words``.
+
+    ``words`` is dealt by word and stays so: the tables of pieces have the size of the vocabulary and
+    are broadcast, so the edges of a word follow each other by start and length. Substrings are
+    exploded to the lengths that pieces with the same first characters have."""
     pieces = F.broadcast(piece_table(words.sparkSession, vocab))
+    heads = F.broadcast(length_table(words.sparkSession, vocab))
     size = F.length("word")
-    places = F.when(size <= LONGEST_WORD, F.sequence(F.lit(0), size - 1)).otherwise(F.array(F.lit(-1)))
+    places = F.when(size <= LONGEST_WORD, F.sequence(F.lit(0), size - 1)).otherwise(F.array(F.lit(LONG)))
     starts = words.select("*", F.explode(places).alias("start"), size.alias("size"))
-    lengths = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.col("size") - F.col("start"))))
-    parts = starts.select("*", F.explode(lengths).alias("length"))
+    starts = starts.withColumn("head", F.substr("word", F.col("start") + 1, F.lit(HEAD))).join(heads, "head", "left")
+    lengths = F.when(F.col("start") == LONG, F.array(F.lit(0))).otherwise(F.coalesce("lengths", F.array(*map(F.lit, range(1, HEAD)))))
+    parts = starts.select(*words.columns, "start", "size", F.explode(lengths).alias("length"))
+    parts = parts.filter((F.col("start") + F.col("length") <= F.col("size")) | (F.col("start") == LONG))
     parts = parts.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("length")))
     found = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR length <= 1")
-    first = (F.col("start") < 0) | ((F.col("start") == 0) & (F.col("length") == 1))
-    return found.select(*[F.when(first, F.col(c)).alias(c) for c in words.columns], F.col("start").cast("tinyint").alias("start"), F.col("length").cast("tinyint").alias("length"), "id")
+    first = (F.col("start") == LONG) | ((F.col("start") == 0) & (F.col("length") == 1))
+    edge = F.shiftleft(F.coalesce("id", F.lit(-1)).cast("long") + 1, 16) + 256 * F.col("start") + F.col("length")
+    return found.select(*[F.when(first, F.col(c)).alias(c) for c in words.columns], edge.alias("edge"))
 
 
 def viterbi(of: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -344,11 +373,11 @@ def with_ids(words: pa.Table, ids: list[pa.Array], names: list[str]) -> pa.Recor
 
 def folded(edges: pa.Table, heads: np.ndarray, vocab: Vocabulary, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The words whose lattices are here whole, with their other columns and ids by both folds."""
-    start, length = (edges.column(c).to_numpy().astype(np.int64) for c in ("start", "length"))
-    ids = edges.column("id").fill_null(-1).to_numpy().astype(np.int64)
-    rest = edges.drop_columns(["start", "length", "id"])
+    edge = edges.column("edge").to_numpy()
+    start, length, ids = edge >> 8 & 255, edge & 255, (edge >> 16) - 1
+    rest = edges.drop_columns(["edge"])
     kind = pa.list_(pa.int32())
-    long = start[heads] < 0
+    long = start[heads] == LONG
     if long.any():
         table = rest.take(pa.array(heads[long]))
         words = as_list(table.column("word"))
@@ -356,7 +385,7 @@ def folded(edges: pa.Table, heads: np.ndarray, vocab: Vocabulary, scores: np.nda
     if long.all():
         return
     of = np.repeat(np.cumsum(~long) - 1, np.diff(np.append(heads, len(edges))))
-    keep = start >= 0
+    keep = start != LONG
     start, length, ids, of = start[keep], length[keep], ids[keep], of[keep]
     table = rest.take(pa.array(heads[~long]))
     words = as_list(table.column("word"))
@@ -387,37 +416,33 @@ def ddl(df: DataFrame) -> str:
 def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     """The columns of ``words``, and ``viterbi, merged``: the ids of each word by both folds. Words
     are dealt by word and come once."""
+    return checked_words(words, vocab).drop("same")
+
+
+def checked_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The columns of ``words``, ``viterbi, merged`` as by ``encode_words``, and ``same``: 1 where the ids
+    decode to the word by either way, else 0. Words are decoded where they are folded, so that ids
+    do not go to Python again and a task has one worker for both."""
     scores = np.array(vocab.scores, np.float32)
+    raw = piece_bytes(vocab)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(raw, pa.large_binary())
         for edges, heads in whole_groups(batches, "word", FOLDED_EDGES):
-            yield from folded(edges, heads, vocab, scores)
+            for coded in folded(edges, heads, vocab, scores):
+                wanted = coded.column("word").cast(pa.large_string()).cast(pa.large_binary())
+                same = [pc.equal(decoded(coded.column(way), pieces), wanted) for way in WAYS]
+                yield coded.append_column("same", pc.and_(*same).cast(pa.int32()))
+        trim_memory()
 
-    return lattice(words, vocab).mapInArrow(task, f"{ddl(words)}, viterbi array<int>, merged array<int>")
+    return lattice(words, vocab).mapInArrow(task, f"{ddl(words)}, viterbi array<int>, merged array<int>, same int")
 
 
-def checked_words(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """The columns of ``coded``, which has ``word, viterbi, merged``, and ``same``: 1 where the ids decode
-    to the word by either way, else 0. The ids are exploded and equi-joined with what they stand
-    for; as in the lattice, those of a word follow each other and only its first row has its columns."""
-    spark = coded.sparkSession
-    raw = piece_bytes(vocab)
-    table = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(raw)), pa.int32()), "bytes": pa.array(raw, pa.binary())})))
-    placed = coded.select("*", F.posexplode(F.concat("viterbi", "merged")).alias("at", "id")).join(table, "id", "left")
-    rows = placed.select(*[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in coded.columns], "bytes")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, heads in whole_groups(batches, "word", FOLDED_EDGES):
-            table = parts.drop_columns(["bytes"]).take(pa.array(heads))
-            found, ends = joined(parts.column("bytes"))
-            first = pc.list_value_length(table.column("viterbi")).to_numpy() + heads
-            same = []
-            for word, lo, mid, hi in zip(as_list(table.column("word")), ends[heads].tolist(), ends[first].tolist(), ends[np.append(heads[1:], len(parts))].tolist(), strict=True):
-                whole = word.encode("utf-8", "surrogatepass")
-                same.append(int(found[lo:mid] == whole and found[mid:hi] == whole))
-            yield with_ids(table, [pa.array(same, pa.int32())], ["same"])
-
-    return rows.mapInArrow(task, f"{ddl(coded)}, same int")
+def decoded(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The bytes that each list of ids without nulls stands for."""
+    ids, ends = lists_of(lists)
+    found, cuts = joined(pieces.take(pa.array(ids)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cuts[ends]), pa.py_buffer(found)])
 
 
 def joined(values: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
@@ -487,9 +512,9 @@ def frequent_step(table: DataFrame) -> int:
     return least
 
 
-def lists_of(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists without nulls one after the other, and the bounds of the lists."""
-    whole = values.combine_chunks()
+    whole = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     if isinstance(whole, pa.ChunkedArray):
         whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], values.type)
     lengths = pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -499,7 +524,9 @@ def lists_of(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def strung(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``values`` in the order given, as one array and its bounds."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+    at = np.repeat(starts - ends[:-1], lengths)
+    at += np.arange(ends[-1])
+    return values[at], ends
 
 
 FIGURES = "code", "merged_code", "same"
@@ -522,9 +549,9 @@ def packed(value) -> dict:
 
 
 def unpacked(held: dict):
-    """The value of a broadcast, unpacked once in each process."""
+    """The value of a broadcast, unpacked once in each process, which keeps it alone."""
     if "value" not in held:
-        held["value"] = pickle.loads(pa.decompress(held["data"], held["size"], "zstd", asbytes=True))
+        held["value"] = pickle.loads(pa.decompress(held.pop("data"), held["size"], "zstd", asbytes=True))
     return held["value"]
 
 
@@ -565,11 +592,13 @@ def packed_words(rare: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= FOLDED_EDGES:
+            if sum(b.num_rows for b in held) >= PACKED_ROWS:
                 yield together(held)
                 held = []
         if sum(b.num_rows for b in held):
             yield together(held)
+        held.clear()
+        trim_memory()
 
     return rare.select(*SELDOM).mapInArrow(task, "home long, words binary")
 
@@ -626,9 +655,24 @@ def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unpacked(places.value)
         block = TaskContext.get().partitionId() << 33
+        held: list[tuple[pa.RecordBatch, tuple[pa.Array, np.ndarray, np.ndarray]]] = []
         for part in slices(batches, "text"):
-            words, at, ends = distinct_words(part.column("text"))
-            number = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+            held.append((part, coded_texts(part.column("text"))))
+            if sum(part.column("text").nbytes for part, _ in held) >= NUMBERED_BYTES:
+                yield from numbered(held, known, block)
+                block += len(held)
+                held = []
+        if held:
+            yield from numbered(held, known, block)
+
+    def numbered(held: list, known: pa.Array, block: int) -> Iterator[pa.RecordBatch]:
+        # Each call looks up by a table of all frequent words, so it is made for many slices at once.
+        found = pc.index_in(pa.concat_arrays([words for _, (words, _, _) in held]).cast(pa.string()), known)
+        found = pc.fill_null(found, -1).to_numpy().astype(np.int64) + 1
+        first = 0
+        for block, (part, (words, at, ends)) in enumerate(held, start=block):
+            number = found[first : first + len(words)]
+            first += len(words)
             rare = np.nonzero(number == 0)[0]
             order = np.zeros(len(words), np.int64)
             order[rare] = np.arange(len(rare))
@@ -636,9 +680,9 @@ def document_blocks(rows: DataFrame, places, kind: str) -> DataFrame:
             met = order[at[numbers == 0]]
             steps = np.diff(met, prepend=0)
             digests = [hashlib.sha256(t).digest() for t in part.column("text").cast(pa.binary()).to_pylist()]
-            columns = [[block], [part.column("doc_id").to_pylist()], [np.diff(ends)], [digests], [packed_numbers(numbers)], [packed_numbers(np.where(steps < 0, -2 * steps - 1, 2 * steps))], [[words[k] for k in rare]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
-            block += 1
+            columns = [[block], [part.column("doc_id").to_pylist()], [np.diff(ends)], [digests], [packed_numbers(numbers)], [packed_numbers(np.where(steps < 0, -2 * steps - 1, 2 * steps))]]
+            others = pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), words.take(pa.array(rare)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)), others], schema=fields)
 
     fields = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("numbers", pa.binary()), ("own", pa.binary()), ("rare", pa.list_(pa.string()))])
     return rows.mapInArrow(task, f"block long, doc_ids array<{kind}>, sizes array<long>, digests array<binary>, numbers binary, own binary, rare array<string>")
@@ -651,6 +695,13 @@ def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes]
     out = [("doc_id", id_type), *[(c, pa.int64()) for c in ("n_words", "n_pieces", "ids_checksum", "ids_crc32", "n_merged", "merged_checksum", "merged_crc32")], ("round_trip", pa.bool_()), ("text_round_trip", pa.bool_())]
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            # The rare words came along for ``rare_words``.
+            return rows_of(left.drop_columns(["rare"]), right)
+        finally:
+            trim_memory()
+
+    def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         pieces = pa.array(raw, pa.large_binary())
         often = unpacked(frequent.value)
@@ -678,12 +729,12 @@ def document_rows(blocks: DataFrame, rare: DataFrame, frequent, raw: list[bytes]
             for way, code, n, checksum, crc in (("viterbi", "code", "n_pieces", "ids_checksum", "ids_crc32"), ("merged", "merged_code", "n_merged", "merged_checksum", "merged_crc32")):
                 (ids, ends), (more, more_ends) = often[way], seldom[way]
                 ids, ends = strung(ids, ends[here], ends[here + 1] - ends[here])
-                ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
+                ids, ends = np.concatenate([ids, more]).astype("<u4"), np.concatenate([ends, ends[-1] + more_ends[1:]])
                 ids, word_ends = strung(ids, ends[at], ends[at + 1] - ends[at])
                 ends = word_ends[bounds]
                 decoded, cuts = joined(pieces.take(pa.array(ids)))
                 cuts = cuts[ends].tolist()
-                packed = memoryview(ids.astype("<u4").tobytes())
+                packed = memoryview(ids.tobytes())
                 found[n] = np.diff(ends)
                 found[checksum] = added(figures[code][at] * place % PRIME) % PRIME
                 found[crc] = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -726,7 +777,7 @@ def summarise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def figures(words: DataFrame) -> DataFrame:
         # Rows are kept short: merges that are like the Viterbi path are null.
-        both = checked_words(encode_words(words, vocab), vocab)
+        both = checked_words(words, vocab)
         other = F.col("viterbi") != F.col("merged")
         ids = [F.col("viterbi").cast(id_list).alias("viterbi"), F.when(other, F.col("merged").cast(id_list)).alias("merged")]
         codes = [code_of(F.col("viterbi")).cast("int").alias("code"), F.when(other, code_of(F.col("merged")).cast("int")).alias("merged_code")]
@@ -736,7 +787,7 @@ def summarise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     # Frequent words are numbered from the most frequent on: small numbers pack well.
     often = counted.filter(F.col("step") >= frequent_step(counted)).repartition(parts, "word")
     top = figures(often).toArrow().sort_by([("step", "descending"), ("word", "ascending")])
-    places = spark.sparkContext.broadcast(packed({w: k for k, w in enumerate(top.column("word").to_pylist(), start=1)}))
+    places = spark.sparkContext.broadcast(packed(pa.concat_arrays([pa.array([], pa.string()), *top.column("word").cast(pa.string()).chunks])))
     frequent = spark.sparkContext.broadcast(packed(coded_words(top)))
     blocks = document_blocks(rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), places, kind).repartition(shuffle_partitions(spark), "block")
     homes = rare_words(blocks).repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("homes"))
