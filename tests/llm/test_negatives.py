@@ -94,3 +94,68 @@ def test_few_rows(spark):
     assert negatives.mine(frame(spark, rows[:1])).collect() == []
     assert negatives.mine(frame(spark, rows), F.lit(False)).collect() == []
     assert negatives.mine(frame(spark, [(1, 0, []), (2, 0, []), (3, 1, [])])).count() == 2
+
+
+def asked_all(spark, rows, n_queries, **options):
+    """An index of ``rows``, and its first ``n_queries`` rows as open queries with one open window."""
+    df = negatives.usable(frame(spark, rows), "vec_id", "embedding", F.col("label"))
+    index = negatives.build_index(df, **options)
+    one = F.array(F.lit(negatives.LOWEST + 1).cast("long")), F.array(F.lit(negatives.HIGHEST).cast("long"))
+    queries = df.filter(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), "label", one[0].alias("lows"), one[1].alias("highs"), "vector")
+    return index, queries
+
+
+def test_requests_are_not_broadcast(spark):
+    """The files of requests are far smaller than their rows: the driver must not gather them by that size."""
+    index, queries = asked_all(spark, clusters(np.random.default_rng(5), 900, 4), 200, cell_rows=9)
+    state = queries.withColumn("worst", F.transform("lows", lambda _: F.lit(negatives.LOWEST).cast("long"))).withColumn("pops", F.lit(0).cast("long"))
+    asked = negatives.written(negatives.requests(state, index, 900, negatives.RUN), "asked")
+    assert int(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+    pairs = negatives.scored(asked, index, True, 5, negatives.RUN)
+    assert pairs.count() and "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_broadcast_in_whole_job(spark, monkeypatch):
+    """No join of the job depends on what its tables take as files."""
+    plans = []
+
+    def logged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    written = negatives.written
+    monkeypatch.setattr(negatives, "written", logged)
+    out = negatives.mine(frame(spark, clusters(np.random.default_rng(6), 300, 4)), F.col("vec_id") % 20 == 0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() and any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_requests_by_runs(spark):
+    """A query that asks for all cells goes to each run once, and asks for each cell once."""
+    index, queries = asked_all(spark, clusters(np.random.default_rng(7), 900, 4), 10, cell_rows=4)
+    cells = int((index.counts > 0).sum())
+    assert cells > 2 * negatives.RUN and negatives.run_width(index.counts, 900) == negatives.RUN and negatives.run_width(index.counts, 10) == 1
+    state = queries.withColumn("worst", F.col("lows")).withColumn("pops", F.lit(0).cast("long"))
+    for width in (1, negatives.RUN):
+        asked = [r for r in negatives.requests(state, index, 900, width).collect() if r.run is not None]
+        per_query = -(-len(index.counts) // width)
+        assert len(asked) <= 10 * per_query and sum(bin(r.wants).count("1") for r in asked) == 10 * cells
+        own = {r.run * width + k for r in asked if r["query"] == 3 for k in range(width) if r.wants >> k & 1}
+        assert own == set(np.nonzero(index.counts)[0].tolist())
+
+
+@pytest.mark.parametrize("run", [1, 4, 63])
+def test_rounds_by_cells_and_runs(spark, monkeypatch, run):
+    """Rounds of few cells, then of runs of cells, with small blocks and chunks: whole results."""
+    monkeypatch.setattr(negatives, "RUN", run)
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(negatives, "CHUNK", 3)
+    rows = clusters(np.random.default_rng(8), 500, 6)
+    index, queries = asked_all(spark, rows, 12, cell_rows=5)
+    found = negatives.search(queries, index, True, 5, first_rows=10)
+    whole = [(i, lab, [math.floor(256 * c) for c in v]) for i, lab, v in rows]
+    expected = set()
+    for i, lab, v in whole[:12]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, other, w in whole if other == lab and j != i)[:5]
+        expected |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
+    assert {(r["query"], r["rank"], r.vec_id, r.score) for r in found.collect()} == expected

@@ -9,7 +9,8 @@
    plus the length of the query's half times the radius. The multi-sequence heap pops cells by falling
    sum of both bounds, so no row of an unvisited cell scores above the next cell's bound.
    Queries visit cells in rounds, few at first and then ever more; queries that ask for one cell
-   go to it together.
+   go to it together. In a round of many cells a query goes once to each run of ``RUN`` cells, with
+   the cells that it asks for as bits, so that its vector is not copied for every cell.
 4. *Windows.* A query wants the best rows in score windows. A window is certified, and done, once its
    last row beats the next bound, or the next bound falls below the window. A query
    whose windows are all certified stops.
@@ -43,6 +44,9 @@ SAMPLE = 1 << 14
 #: A cell should hold about so many rows; a codebook has at most so many codewords.
 CELL_ROWS, CODEWORDS = 256, 64
 BLOCK_ROWS, CHUNK = 2048, 512
+#: Cells of a run, at most 63 (the bits of a long). Runs are used from a round on where a query asks
+#: for so many cells, and for so great a share of all, that a block still meets many queries that want it.
+RUN, RUN_SHARE = 32, 1 / 16
 #: Rows that a query's cells of the first round hold, and growth of that by round.
 FIRST_ROWS, GROWTH = 2048, 8
 POSITIVES, NEGATIVES = 5, 10
@@ -50,6 +54,12 @@ LOW, HIGH = 30, 90
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of shuffled sides. Spark takes the size of a written table from its compressed files, and
+    the files of requests are a hundredth of their rows: it would gather them on the driver to broadcast them."""
+    return left.hint("merge").join(right, on, how)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label: Column) -> DataFrame:
     """``vec_id, label, vector`` with whole numbers ``floor(256 x)``, of rows that take part."""
     rows = vectors.select(col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), col(vector_col).cast("array<double>").alias("given"))
@@ -118,8 +128,8 @@ def build_index(rows: DataFrame, sample: int = SAMPLE, cell_rows: int = CELL_ROW
         return None
     dims, kind = max(2, dims), np.int16 if most < 1 << 15 else np.int32
     chosen = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(min(1.0, sample / total) * (1 << 30))
-    drawn = rows.filter(chosen).limit(2 * sample).select("vector").toArrow().column(0).to_pylist()
-    drawn = dense(pa.array(drawn or [[]], pa.list_(pa.int64())), dims)
+    drawn = rows.filter(chosen).limit(2 * sample).select(F.col("vector").cast("array<int>")).toArrow().column(0)
+    drawn = dense(drawn.combine_chunks() if len(drawn) else pa.array([[]], pa.list_(pa.int32())), dims)
     size = max(1, min(CODEWORDS, math.isqrt(total // cell_rows)))
     half = dims // 2
     words = (codebook(drawn[:, :half], size), codebook(drawn[:, half:], size))
@@ -196,13 +206,28 @@ def visited(bounds: list[np.ndarray], counts: np.ndarray, skip: int, rows: int)
     return cells, pops, -heap[0][0] if heap else -math.inf
 
 
-REQUEST = "query long, own long, label long, lows array<long>, highs array<long>, worst array<long>, vector array<long>, x binary, cell int, pops long, bound long"
+REQUEST = "query long, own long, label long, lows array<long>, highs array<long>, worst array<long>, vector array<long>, x binary, run int, wants long, pops long, bound long"
 FOUND = "query long, window int, score long, vec_id long"
 
 
-def requests(state: DataFrame, index: Index, rows: int) -> DataFrame:
-    """``cell`` requests of the open queries for their next cells, with the next bound of each
-    query in the row without a cell."""
+def run_width(counts: np.ndarray, rows: int) -> int:
+    """Cells of a run in a round of ``rows`` rows a query: 1 where a query asks for few cells."""
+    held = counts[counts > 0]
+    asked = min(len(held), rows / np.median(held))
+    return RUN if asked >= max(RUN, RUN_SHARE * len(held)) else 1
+
+
+def by_run(cells: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the cells, which are distinct, and for each run its cells as bits."""
+    runs, at = np.unique(np.array(cells, np.int64) // width, return_inverse=True)
+    wants = np.zeros(len(runs), np.int64)
+    np.bitwise_or.at(wants, at, np.int64(1) << np.array(cells, np.int64) % width)
+    return runs, wants
+
+
+def requests(state: DataFrame, index: Index, rows: int, width: int) -> DataFrame:
+    """Requests of the open queries for their next cells, one for each ``run`` of ``width`` cells, with
+    the next bound of each query in the row without a run."""
     words, radii, counts, dims, kind = index.words, index.radii, index.counts, index.dims, index.kind
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,37 +235,38 @@ def requests(state: DataFrame, index: Index, rows: int) -> DataFrame:
             vectors = dense(batch.column("vector"), dims)
             for k in range(batch.num_rows):
                 cells, pops, bound = visited(half_bounds(vectors[k], words, radii), counts, batch.column("pops")[k].as_py(), rows)
-                n = len(cells) + 1
+                runs, wants = by_run(cells, width)
+                n = len(runs) + 1
                 one = batch.slice(k, 1)
                 asked = one.select(["query", "own", "label", "lows", "highs", "worst"]).take(pa.array([0] * n))
-                # Only the row without a cell needs the vector as it is.
+                # Only the row without a run needs the vector as it is.
                 own = [pa.array([None] * (n - 1) + one.column("vector").to_pylist(), pa.list_(pa.int64())), pa.array([vectors[k].astype(kind).tobytes()] * n, pa.binary())]
                 # Rounded up: a row may score as much as the bound.
                 next_bound = LOWEST if bound == -math.inf else math.floor(min(bound, HIGHEST - 1))
-                more = [*own, pa.array([*cells, None], pa.int32()), pa.array([pops] * n, pa.int64()), pa.array([next_bound] * n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*asked.columns, *more], names=[*asked.schema.names, "vector", "x", "cell", "pops", "bound"])
+                more = [*own, pa.array([*runs.tolist(), None], pa.int32()), pa.array([*wants.tolist(), None], pa.int64()), pa.array([pops] * n, pa.int64()), pa.array([next_bound] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*asked.columns, *more], names=[*asked.schema.names, "vector", "x", "run", "wants", "pops", "bound"])
 
     return state.mapInArrow(task, REQUEST)
 
 
 def chunks(asked: DataFrame) -> DataFrame:
-    """Up to ``CHUNK`` queries for one cell in one row."""
-    dealt = asked.filter("cell IS NOT NULL").drop("vector", "pops", "bound").hint("rebalance", "cell").sortWithinPartitions("cell", "query")
+    """Up to ``CHUNK`` queries for one run of cells in one row."""
+    dealt = asked.filter("run IS NOT NULL").drop("vector", "pops", "bound").hint("rebalance", "run").sortWithinPartitions("run", "query")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            edges = np.nonzero(np.diff(cells))[0] + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(cells)], strict=True):
+            runs = batch.column("run").to_numpy()
+            edges = np.nonzero(np.diff(runs))[0] + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(runs)], strict=True):
                 for at in range(lo, hi, CHUNK):
-                    part = batch.slice(at, min(CHUNK, hi - at)).select(["query", "own", "label", "lows", "highs", "worst", "x"])
+                    part = batch.slice(at, min(CHUNK, hi - at)).select(["query", "own", "label", "lows", "highs", "worst", "x", "wants"])
                     if part.num_rows:
                         stream = pa.BufferOutputStream()
                         with pa.ipc.new_stream(stream, part.schema) as out:
                             out.write_batch(part)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(cells[lo])], pa.int32()), pa.array([stream.getvalue().to_pybytes()], pa.binary())], names=["cell", "asked"])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(runs[lo])], pa.int32()), pa.array([stream.getvalue().to_pybytes()], pa.binary())], names=["run", "asked"])
 
-    return dealt.mapInArrow(task, "cell int, asked binary")
+    return dealt.mapInArrow(task, "run int, asked binary")
 
 
 def best_rows(scores: np.ndarray, fits: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,20 +291,24 @@ def best_rows(scores: np.ndarray, fits: np.ndarray, ids: np.ndarray, k: int) ->
 
 def table_of(lists: pa.Array) -> np.ndarray:
     """Lists of one length as rows."""
-    return np.array(lists.to_pylist(), np.int64)
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
-def scored(asked: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
+def scored(asked: DataFrame, index: Index, same: bool, k: int, width: int) -> DataFrame:
     """``query, window, score, vec_id``: the best rows of each block for the windows of the queries
     that asked for its cell; rows that a window has no more room for are left out."""
     dims, kind = index.dims, index.kind
-    pairs = chunks(asked).join(index.blocks.select("cell", "ids", "labels", "vectors"), "cell")
+    blocks = index.blocks.select(F.floor(F.col("cell") / width).cast("int").alias("run"), (F.col("cell") % width).alias("place"), "ids", "labels", "vectors")
+    pairs = joined(chunks(asked), blocks, "run")
 
     def block_rows(block: dict) -> Iterator[pa.RecordBatch]:
-        ids, labels = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["labels"], np.int64)
-        vectors = np.frombuffer(block["vectors"], kind).reshape(len(ids), dims)
         with pa.ipc.open_stream(block["asked"]) as stream:
             queries = stream.read_next_batch()
+        queries = queries.filter(pa.array(queries.column("wants").to_numpy() >> block["place"] & 1 == 1))
+        if not queries.num_rows:
+            return
+        ids, labels = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["labels"], np.int64)
+        vectors = np.frombuffer(block["vectors"], kind).reshape(len(ids), dims)
         names, own, label = (queries.column(c).to_numpy() for c in ("query", "own", "label"))
         asking = np.frombuffer(b"".join(queries.column("x").to_pylist()), kind).reshape(len(names), dims)
         scores = products(asking, vectors)
@@ -296,7 +326,7 @@ def scored(asked: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
             for row in range(batch.num_rows):
                 yield from block_rows(batch.slice(row, 1).to_pylist()[0])
 
-    return pairs.select("asked", "ids", "labels", "vectors").mapInArrow(task, FOUND)
+    return pairs.select("asked", "place", "ids", "labels", "vectors").mapInArrow(task, FOUND)
 
 
 def search(queries: DataFrame, index: Index, same: bool, k: int, first_rows: int = FIRST_ROWS) -> DataFrame:
@@ -315,21 +345,22 @@ def search(queries: DataFrame, index: Index, same: bool, k: int, first_rows: int
     order = Window.partitionBy("query", "window").orderBy(F.col("score").desc(), "vec_id")
     rows = first_rows
     while not state.isEmpty():
-        asked = written(requests(state, index, rows), "cell-requests")
-        candidates = found.unionByName(scored(asked, index, same, k)).distinct()
+        width = run_width(index.counts, rows)
+        asked = written(requests(state, index, rows, width), "cell-requests")
+        candidates = found.unionByName(scored(asked, index, same, k, width)).distinct()
         best = written(candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best-rows")
         # A window's k-th score, where it has one.
         full = best.filter(F.col("rank") == k).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("last"))
-        now = asked.filter("cell IS NULL").join(full, "query", "left")
+        now = joined(asked.filter("run IS NULL"), full, "query", "left")
         certain = F.expr("""
             forall(sequence(0, size(lows) - 1), w -> bound < lows[w] OR lows[w] > highs[w] OR coalesce(bound < last[w], false))
         """)
         worst = F.expr(f"transform(sequence(0, size(lows) - 1), w -> coalesce(last[w], {LOWEST}L))")
-        marked = written(now.withColumn("done", certain | (F.col("bound") == LOWEST)).withColumn("worst", worst).drop("last", "cell", "bound", "x"), "query-state")
+        marked = written(now.withColumn("done", certain | (F.col("bound") == LOWEST)).withColumn("worst", worst).drop("last", "run", "wants", "bound", "x"), "query-state")
         finished = marked.filter("done").select("query")
-        done.append(best.join(finished, "query", "left_semi"))
+        done.append(joined(best, finished, "query", "left_semi"))
         state = marked.filter("NOT done").drop("done")
-        found = best.join(finished, "query", "left_anti").select("query", "window", "score", "vec_id")
+        found = joined(best, finished, "query", "left_anti").select("query", "window", "score", "vec_id")
         rows *= GROWTH
     out = done[0] if done else found.withColumn("rank", F.lit(0))
     for part in done[1:]:
@@ -380,10 +411,10 @@ def mine(
     ends = near.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("place", "positive_score"))).alias("p"))
     first = F.expr(f"transform(sequence(1, {positives}), k -> if(k <= size(p), {_whole('ceil', low)}, 1L))")
     last = F.expr(f"transform(sequence(1, {positives}), k -> if(k <= size(p), {_whole('floor', high)}, 0L))")
-    windows = asked.join(ends.withColumn("lows", first).withColumn("highs", last), F.col("query") == F.col("anchor_id")).select("query", "own", "label", "lows", "highs", "vector")
+    windows = joined(asked, ends.withColumn("lows", first).withColumn("highs", last), F.col("query") == F.col("anchor_id")).select("query", "own", "label", "lows", "highs", "vector")
     far = search(windows, index, False, negatives)
     far = far.select(F.col("query").alias("anchor_id"), (F.col("window") + 1).alias("place"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    out = near.join(far, ["anchor_id", "place"])
+    out = joined(near, far, ["anchor_id", "place"])
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 
